@@ -16,7 +16,7 @@ def stamp(name):
 
 @query(
     "A1_typed_load",
-    """SELECT post_id, username, post_type, post_ts, media_count, likes,
+    f"""SELECT post_id, username, post_type, strftime(post_ts, '{TS}') AS post_ts, media_count, likes,
        CAST(len(list_filter(list_transform(string_split(coalesce(media_links, ''), ','), lambda x: trim(x)), lambda x: x <> '')) AS INTEGER) AS n_media,
        array_to_string(list_filter(list_transform(string_split(coalesce(media_links, ''), ','), lambda x: trim(x)), lambda x: x <> ''), '|') AS media
        FROM posts""",
@@ -24,7 +24,7 @@ def stamp(name):
 def typed_load(v):
     posts = S.with_media_list(S.with_thread_columns(v.posts))
     return posts.select(
-        "post_id", "username", "post_type", "post_ts", "media_count", "likes",
+        "post_id", "username", "post_type", stamp("post_ts"), "media_count", "likes",
         F.size("media_urls").alias("n_media"), F.array_join("media_urls", "|").alias("media"),
     )
 
@@ -59,11 +59,11 @@ def clean(v):
 
 @query(
     "A4_upsert_posts",
-    """SELECT coalesce(p.post_id, n.post_id) AS post_id,
+    f"""SELECT coalesce(p.post_id, n.post_id) AS post_id,
        CASE WHEN n.post_id IS NULL THEN p.content ELSE n.content END AS content,
        CASE WHEN p.post_id IS NULL THEN n.username ELSE p.username END AS username,
        CASE WHEN p.post_id IS NULL THEN n.reply_to_username ELSE p.reply_to_username END AS reply_to_username,
-       CASE WHEN p.post_id IS NULL THEN n.post_ts ELSE p.post_ts END AS post_ts,
+       strftime(CASE WHEN p.post_id IS NULL THEN n.post_ts ELSE p.post_ts END, '{TS}') AS post_ts,
        CASE WHEN n.post_id IS NULL THEN p.post_type ELSE n.post_type END AS post_type,
        CASE WHEN n.post_id IS NULL THEN p.original_author ELSE n.original_author END AS original_author,
        CASE WHEN n.post_id IS NULL THEN p.likes ELSE n.likes END AS likes,
@@ -77,7 +77,7 @@ def clean(v):
 )
 def upsert(v):
     return M.upsert_posts(v.posts, v.incoming_posts).select(
-        "post_id", "content", "username", "reply_to_username", "post_ts", "post_type", "original_author", "likes",
+        "post_id", "content", "username", "reply_to_username", stamp("post_ts"), "post_type", "original_author", "likes",
         "is_pinned", "thread_id", "thread_position", "is_thread_start", "reply_to_post_id", "original_content",
     )
 
@@ -158,13 +158,13 @@ def new_analyses(v):
 @query(
     "A8_upsert_analyses",
     f"""WITH n AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY post_id ORDER BY analysis_ts DESC) AS rn FROM ({NEW_ANALYSES}) b) r WHERE rn = 1)
-       SELECT post_id, author_username, category, analysis_ts, local_explanation FROM content_analyses
+       SELECT post_id, author_username, category, strftime(analysis_ts, '{TS}') AS analysis_ts, local_explanation FROM content_analyses
        WHERE post_id NOT IN (SELECT post_id FROM n)
-       UNION ALL SELECT post_id, author_username, category, analysis_ts, NULL FROM n""",
+       UNION ALL SELECT post_id, author_username, category, strftime(analysis_ts, '{TS}'), NULL FROM n""",
 )
 def analyses_upsert(v):
     return M.upsert_analyses(v.content_analyses, new_analyses(v)).select(
-        "post_id", "author_username", "category", "analysis_ts", "local_explanation"
+        "post_id", "author_username", "category", stamp("analysis_ts"), "local_explanation"
     )
 
 
@@ -184,13 +184,13 @@ def patch(v):
 
 @query(
     "A10_upsert_model_results",
-    """WITH n AS (SELECT post_id, model_name, category, analysis_ts, rn FROM (
+    f"""WITH n AS (SELECT post_id, model_name, category, analysis_ts, rn FROM (
          SELECT CAST(doc_id - doc_id % 2 AS VARCHAR) AS post_id, 'm_mid' AS model_name, concat('c', CAST(doc_id % 4 AS VARCHAR)) AS category,
            TIMESTAMP '2024-07-01 00:00:00' + (doc_id % 100000) * INTERVAL '1' MINUTE AS analysis_ts,
            row_number() OVER (PARTITION BY doc_id - doc_id % 2 ORDER BY doc_id DESC) AS rn FROM labels) b WHERE rn = 1)
-       SELECT post_id, model_name, category, analysis_ts, error_message FROM model_analyses m
+       SELECT post_id, model_name, category, strftime(analysis_ts, '{TS}') AS analysis_ts, error_message FROM model_analyses m
        WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.post_id = m.post_id AND n.model_name = m.model_name)
-       UNION ALL SELECT post_id, model_name, category, analysis_ts, NULL FROM n""",
+       UNION ALL SELECT post_id, model_name, category, strftime(analysis_ts, '{TS}'), NULL FROM n""",
 )
 def model_upsert(v):
     fresh = v.raw("labels").selectExpr(
@@ -200,7 +200,7 @@ def model_upsert(v):
         "TIMESTAMP '2024-07-01 00:00:00' + (doc_id % 100000) * INTERVAL '1' MINUTE AS analysis_ts",
     )
     return M.upsert_model_results(v.model_analyses, fresh).select(
-        "post_id", "model_name", "category", "analysis_ts", "error_message"
+        "post_id", "model_name", "category", stamp("analysis_ts"), "error_message"
     )
 
 
