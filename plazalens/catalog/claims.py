@@ -1 +1,211 @@
-"""Queries."""
+"""Queries for claim extraction, parsing and search queries."""
+
+from pyspark.sql import functions as F
+
+from plazalens.catalog.registry import query
+from plazalens.operators import claims as O
+from plazalens.rules import claims as R
+
+AS_OF = F.lit("2024-06-01 00:00:00").cast("timestamp")
+
+# RE2 has no Unicode \b: boundaries are spelled out.
+W = "[^0-9A-Za-zÀ-ÿ_]"
+NUM = f"(^|{W})([0-9]{{1,3}}(,[0-9]{{3}})*(\\.[0-9]+)?($|{W})|[0-9]+(\\.[0-9]+)?%[0-9A-Za-zÀ-ÿ_]|[0-9]+(\\.[0-9]+)?\\s+(millones?|billones?|mil|trillones?)($|{W})|[0-9]+(\\.[0-9]+)?\\s*(euros?|dólares?)($|{W})|[0-9]+(\\.[0-9]+)?\\s*[€$£][0-9A-Za-zÀ-ÿ_])"
+TEMP = f"(^|{W})([0-9]{{1,2}}[/-][0-9]{{1,2}}[/-][0-9]{{2,4}}|(19|20)[0-9]{{2}}|(hace|en|desde|durante)\\s+[0-9]+\\s+(días?|meses?|años?|horas?))($|{W})"
+
+
+def has(col, words):
+    return "(" + " OR ".join(f"contains(lower({col}), '{w}')" for w in words) + ")"
+
+
+SENTENCES = """s AS (SELECT post_id, content, unnest(string_split(regexp_replace(trim(content, chr(32) || chr(10) || chr(9) || chr(13)), '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1))) AS sentence,
+   unnest(range(len(string_split(regexp_replace(trim(content, chr(32) || chr(10) || chr(9) || chr(13)), '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1))))) AS sentence_no FROM posts)"""
+
+CONTEXTUAL = f"""{SENTENCES}, q AS (SELECT post_id, content, sentence, sentence_no, regexp_matches(sentence, '{NUM}', 'i') AS num, regexp_matches(sentence, '{TEMP}', 'i') AS tmp,
+     regexp_extract(sentence, '([0-9]+(?:[.,][0-9]+)*)', 1) AS n1, lower(regexp_extract(sentence, '[0-9]+(?:[.,][0-9]+)*(.*)$', 1, 's')) AS rest,
+     nullif(regexp_extract(sentence, '([0-9]{{4}})', 1), '') AS yr FROM s WHERE sentence <> ''),
+   v AS (SELECT *, CASE WHEN num AND n1 <> '' THEN CASE WHEN contains(rest, 'millones') OR contains(rest, 'million') THEN n1 || ' millones'
+       WHEN contains(rest, 'billones') OR contains(rest, 'billion') THEN n1 || ' billones' WHEN contains(rest, '%') THEN n1 || '%' ELSE n1 END END AS val FROM q WHERE num OR tmp),
+   t AS (SELECT *, (tmp AND yr IS NOT NULL AND (val IS NULL OR (NOT {has('sentence', R.NUMERIC_LEAD)} AND {has('sentence', R.TEMPORAL_LEAD)}))) AS dated FROM v),
+   claims AS (SELECT post_id, sentence_no AS rule, CASE WHEN dated THEN 'temporal' ELSE 'numerical' END AS claim_type, sentence AS claim_text, CASE WHEN dated THEN yr ELSE val END AS extracted_value,
+       CAST(instr(content, sentence) - 1 AS INTEGER) AS start_pos FROM t)"""
+
+SCORED = f"""{CONTEXTUAL}, b AS (SELECT *, (contains(claim_text, '2024') OR contains(claim_text, '2023')) AS recent, {has('claim_text', R.ECONOMY_NUMBERS)} AS eco,
+     contains(claim_text, '%') AS pct, {has('claim_text', R.IMPORTANT_TOPICS)} AS topic, {has('claim_text', R.OFFICIAL_CONTEXT)} AS off FROM claims),
+   c0 AS (SELECT *, CASE WHEN recent THEN 0.8 WHEN eco THEN 0.9 WHEN pct THEN 0.85 ELSE 0.7 END AS cf, CASE WHEN recent THEN 8 WHEN eco THEN 10 WHEN pct THEN 9 ELSE 6 END AS pr FROM b),
+   scored AS (SELECT post_id, rule, claim_type, claim_text, extracted_value, start_pos,
+     CAST(round(least(CASE WHEN topic THEN greatest(cf, 0.85) ELSE cf END + CASE WHEN off THEN 0.1 ELSE 0 END, 1.0), 4) AS DOUBLE) AS confidence,
+     CAST(least(CASE WHEN topic THEN greatest(pr, 9) ELSE pr END + CASE WHEN off THEN 1 ELSE 0 END, 10) AS INTEGER) AS priority FROM c0)"""
+
+TOP = f"""{SCORED}, top AS (SELECT *, row_number() OVER (PARTITION BY post_id ORDER BY priority DESC, confidence DESC, rule, start_pos) AS rn FROM scored)"""
+
+
+def scored(v):
+    return O.score_claims(O.contextual_claims(v.posts), AS_OF)
+
+
+@query("E1_extract_matches")
+def matches(v):
+    return O.extract_matches(v.posts)
+
+
+@query("E1_scored_claims")
+def scored_matches(v):
+    return O.top_claims(O.score_claims(O.all_claims(v.posts), AS_OF)).select(
+        "post_id", "claim_no", "claim_type", "claim_text", "priority", F.round("confidence", 4).alias("confidence")
+    )
+
+
+@query(
+    "E2_contextual_claims",
+    f"WITH {CONTEXTUAL} SELECT post_id, CAST(rule AS INTEGER) AS rule, claim_type, claim_text, extracted_value, start_pos FROM claims",
+)
+def contextual(v):
+    return O.contextual_claims(v.posts).select("post_id", "rule", "claim_type", "claim_text", "extracted_value", "start_pos")
+
+
+@query("E3_sentences", f"WITH {SENTENCES} SELECT post_id, CAST(sentence_no AS INTEGER) AS sentence_no, sentence FROM s WHERE sentence <> ''")
+def sentences(v):
+    return O.sentences(v.posts)
+
+
+@query("E4_score_claims", f"WITH {SCORED} SELECT post_id, claim_type, claim_text, confidence, priority FROM scored")
+def score(v):
+    return scored(v).select("post_id", "claim_type", "claim_text", F.round("confidence", 4).alias("confidence"), "priority")
+
+
+@query(
+    "E5_top_claims",
+    f"WITH {TOP} SELECT post_id, claim_text, confidence, priority, CAST(rn - 1 AS INTEGER) AS claim_no FROM top WHERE rn <= 2",
+)
+def top(v):
+    return O.top_claims(scored(v), 2).select(
+        "post_id", "claim_text", F.round("confidence", 4).alias("confidence"), "priority", "claim_no"
+    )
+
+
+@query("E6_parse_numbers")
+def numbers(v):
+    return O.parse_numbers(O.contextual_claims(v.posts), ["post_id", "rule"])
+
+
+@query(
+    "E7_parse_magnitude",
+    f"""WITH {CONTEXTUAL} SELECT post_id, rule_no AS rule, CASE WHEN regexp_matches(claim_text, '(^|{W})millones($|{W})', 'i') THEN
+        CAST(replace(regexp_extract(right(regexp_extract(claim_text, '^(.*?)(?:^|{W})millones', 1, 'is') || ' ', 20), '([0-9]+(?:[.,][0-9]+)*)', 1), ',', '') AS DOUBLE) * 1000000
+        ELSE TRY_CAST(regexp_replace(extracted_value, '[%, ]', '', 'g') AS DOUBLE) END AS magnitude FROM
+       (SELECT *, CAST(rule AS INTEGER) AS rule_no FROM claims) z""",
+)
+def magnitude(v):
+    claims = O.contextual_claims(v.posts)
+    text = F.when(F.col("claim_text").rlike(r"(?iU)\bmillones\b"), F.col("claim_text")).otherwise(F.col("extracted_value"))
+    return claims.select("post_id", "rule", O.parse_magnitude(text).alias("magnitude"))
+
+
+@query(
+    "E8_temporal_check",
+    f"""WITH {CONTEXTUAL}, d AS (SELECT post_id, CAST(rule AS INTEGER) AS rule, claim_text || ' ' || claim_text AS t FROM claims),
+       e AS (SELECT *, CASE WHEN regexp_matches(t, '(^|{W})[0-9]{{1,2}}[/-][0-9]{{1,2}}[/-][0-9]{{4}}($|{W})') THEN
+           try_cast(regexp_replace(regexp_extract(t, '(?:^|{W})([0-9]{{1,2}}[/-][0-9]{{1,2}}[/-][0-9]{{4}})(?:$|{W})', 1), '^([0-9]+)[/-]([0-9]+)[/-]([0-9]+)$', '\\3-\\2-\\1') AS DATE) END AS dt,
+           try_cast(nullif(regexp_extract(t, '(?:^|{W})((?:19|20)[0-9]{{2}})(?:$|{W})', 1), '') AS INTEGER) AS y FROM d)
+       SELECT post_id, rule, CASE WHEN dt IS NOT NULL THEN dt <= DATE '2024-06-01' WHEN y IS NOT NULL THEN y <= 2026 ELSE regexp_matches(t, '(^|{W})(hace\\s+[0-9]+\\s+(días?|meses?|años?)|en\\s+(el\\s+)?[0-9]{{4}})($|{W})', 'i') END AS plausible,
+         CASE WHEN dt > DATE '2024-06-01' THEN 'Fecha futura: ' || strftime(dt, '%d/%m/%Y') WHEN dt IS NOT NULL THEN 'Fecha plausible: ' || strftime(dt, '%d/%m/%Y')
+          WHEN y > 2026 THEN 'Año improbable: ' || y WHEN y IS NOT NULL THEN 'Año plausible: ' || y
+          WHEN regexp_matches(t, '(^|{W})(hace\\s+[0-9]+\\s+(días?|meses?|años?)|en\\s+(el\\s+)?[0-9]{{4}})($|{W})', 'i') THEN 'Tiempo relativo plausible'
+          ELSE 'No se pudo verificar información temporal' END AS temporal_note,
+         CAST(coalesce(dt, make_date(y, 1, 1)) AS VARCHAR) AS verified_date FROM e""",
+)
+def temporal(v):
+    return O.temporal_check(O.contextual_claims(v.posts), AS_OF).select(
+        "post_id", "rule", "plausible", "temporal_note", F.col("verified_date").cast("string").alias("verified_date")
+    )
+
+
+STOP = ", ".join(f"'{w}'" for w in R.STOPWORDS)
+WORD = "[0-9A-Za-zÀ-ÖØ-öø-ÿ_]"
+
+
+def words_sql(col, n):
+    """Word runs of n or more characters of the lower-cased text without links."""
+    return f"list_filter(regexp_split_to_array(lower(regexp_replace({col}, 'https?://\\S+', ' ', 'g')), '[^\\p{{L}}\\p{{N}}_]+'), lambda x: length(x) >= {n})"
+
+
+@query(
+    "E9_claim_queries",
+    f"""WITH {TOP}, k AS (SELECT post_id, rn - 1 AS claim_no, claim_type, extracted_value AS val, claim_text, {words_sql('claim_text', 3)} AS w FROM top WHERE rn <= 3),
+       k2 AS (SELECT *, list_filter(w, lambda x, i: list_position(w, x) = i AND x NOT IN ({STOP})) AS u FROM k),
+       k3 AS (SELECT *, array_to_string(u[1:5], ' ') AS ctx FROM k2),
+       r AS (SELECT post_id, claim_no, 0 AS template_no, '"' || val || '" ' || ctx AS q FROM k3 WHERE val <> ''
+         UNION ALL SELECT post_id, claim_no, 1, ctx || CASE claim_type WHEN 'numerical' THEN ' datos estadísticas' ELSE ' fecha verificación' END FROM k3
+         UNION ALL SELECT post_id, claim_no, 2, val || CASE claim_type WHEN 'numerical' THEN ' verificación comprobación' ELSE ' acontecimiento histórico' END FROM k3 WHERE val <> ''),
+       z AS (SELECT post_id, claim_no, template_no, array_to_string(string_split(trim(regexp_replace(q, '\\s+', ' ', 'g')), ' ')[1:10], ' ') AS query FROM r WHERE length(trim(regexp_replace(q, '\\s+', ' ', 'g'))) >= 5)
+       SELECT post_id, query, CAST(claim_no AS INTEGER) AS claim_no, template_no FROM (SELECT *, row_number() OVER (PARTITION BY post_id, query ORDER BY claim_no, template_no) AS o FROM z WHERE query LIKE '% %') y WHERE o = 1""",
+)
+def queries(v):
+    return O.claim_queries(O.top_claims(scored(v), 3))
+
+
+KEY_TERMS = f"""kt AS (SELECT post_id, term, freq, row_number() OVER (PARTITION BY post_id ORDER BY freq DESC, term) - 1 AS term_no FROM (
+   SELECT post_id, term, count(*) AS freq FROM (SELECT post_id, unnest({words_sql('content', 4)}) AS term FROM posts) x WHERE term NOT IN ({STOP}) GROUP BY post_id, term) y)"""
+
+
+@query("E10_key_terms", f"WITH {KEY_TERMS} SELECT post_id, CAST(term_no AS INTEGER) AS term_no, term, freq FROM kt WHERE term_no < 8")
+def key_terms(v):
+    return O.key_terms(v.posts)
+
+
+@query(
+    "E11_fallback_queries",
+    f"""WITH {KEY_TERMS}, k AS (SELECT * FROM kt WHERE term_no < 8),
+       p AS (SELECT a.post_id, '"' || a.term || '" "' || b.term || '" verificación' AS q, a.term_no * 100 + b.term_no AS o FROM k a JOIN k b ON b.post_id = a.post_id AND a.term_no < b.term_no
+         UNION ALL SELECT post_id, string_agg(term, ' ' ORDER BY term_no) FILTER (WHERE term_no < 3) || s.suffix, 10000 + s.i FROM k CROSS JOIN
+           (SELECT ' desmentido' AS suffix, 1 AS i UNION ALL SELECT ' comprobación', 2 UNION ALL SELECT ' evidencia', 3) s GROUP BY post_id, s.suffix, s.i),
+       o AS (SELECT post_id, q, row_number() OVER (PARTITION BY post_id ORDER BY o) - 1 AS query_no FROM p)
+       SELECT post_id, CAST(query_no AS INTEGER) AS query_no, q AS query FROM o WHERE query_no < 5""",
+)
+def fallback(v):
+    return O.fallback_queries(O.key_terms(v.posts))
+
+
+@query(
+    "E12_claim_topic",
+    "SELECT post_id, CASE " + " ".join(f"WHEN {has('content', w)} THEN '{t}'" for t, w in R.TOPICS) + " ELSE 'general' END AS topic FROM posts",
+)
+def topic(v):
+    return v.posts.select("post_id", O.claim_topic(F.col("content")).alias("topic"))
+
+
+EVENTS_TEXT = """et AS (SELECT post_id, concat(content, CASE post_num % 6 WHEN 0 THEN ' Ingresa en prisión Ábalos' WHEN 1 THEN ' La jueza cita a Sánchez'
+   WHEN 2 THEN ' Detenido Juan Pérez' WHEN 3 THEN ' Montero ha dimitido' ELSE '' END) AS content FROM posts)"""
+
+
+def event_posts(v):
+    tail = F.expr(
+        "CASE post_num % 6 WHEN 0 THEN ' Ingresa en prisión Ábalos' WHEN 1 THEN ' La jueza cita a Sánchez' "
+        "WHEN 2 THEN ' Detenido Juan Pérez' WHEN 3 THEN ' Montero ha dimitido' ELSE '' END"
+    )
+    return v.posts.withColumn("content", F.concat("content", tail))
+
+
+FIRST_FIGURE = "CASE " + " ".join(f"WHEN contains(lower(content), '{f}') THEN '{f}'" for f in R.FIGURES)
+
+
+@query(
+    "E13_arrest_claims",
+    f"WITH {EVENTS_TEXT} SELECT post_id, {FIRST_FIGURE} END AS person_name, 'arrest' AS event_type FROM et "
+    f"WHERE {has('content', R.ARREST_WORDS)} AND {has('content', R.FIGURES)}",
+)
+def arrests(v):
+    return O.arrest_claims(event_posts(v)).select("post_id", "person_name", "event_type")
+
+
+@query(
+    "E14_parse_events",
+    f"WITH {EVENTS_TEXT} SELECT post_id, {FIRST_FIGURE} ELSE 'desconocido' END AS judicial_person, CASE "
+    + " ".join(f"WHEN {has('content', w)} THEN '{n}'" for n, w in R.JUDICIAL_TYPES)
+    + " ELSE 'judicial_event' END AS judicial_type, coalesce(nullif(regexp_extract(content, '([A-ZÁ-Ú][a-zá-úñ]+(?:\\s+[A-ZÁ-Ú][a-zá-úñ]+)*)', 1), ''), 'desconocido') AS event_person, CASE "
+    + " ".join(f"WHEN {has('content', w)} THEN '{n}'" for n, w in R.EVENT_TYPES)
+    + " ELSE 'political_event' END AS event_type FROM et",
+)
+def events(v):
+    return O.parse_events(event_posts(v))
