@@ -9,6 +9,7 @@ anchors do not meet them is not evaluated. The test never changes a result.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import lru_cache
 from re import _parser as regex_parser
 
 HEAD = 4
@@ -99,6 +100,7 @@ def _leads_to_word_start(item) -> bool:
     return False
 
 
+@lru_cache(maxsize=4096)
 def anchors_of(rule: str) -> Anchors:
     """Anchors of one rule; ``always`` when none can be derived."""
     items = list(regex_parser.parse(rule))

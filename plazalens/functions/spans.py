@@ -48,9 +48,10 @@ def find_spans(df: DataFrame, keys: list[str], text: str, rules: list[SpanRule],
     chosen = df.select(*keys, F.col(text).alias("_text")).filter(F.col("_text").isNotNull())
     schema = T.StructType([*[chosen.schema[k] for k in keys], *SPAN_FIELDS])
 
+    needs = [sorted(a.heads | a.parts) for a in (anchors_of(r.pattern) for r in rules)]
+
     def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        compiled = [(r, re.compile(r.pattern, re.IGNORECASE), anchors_of(r.pattern)) for r in rules]
-        compiled = [(r, pattern, sorted(need.heads | need.parts)) for r, pattern, need in compiled]
+        compiled = [(r, re.compile(r.pattern, re.IGNORECASE), need) for r, need in zip(rules, needs, strict=True)]
         for batch in batches:
             rows = []
             for values in batch.itertuples(index=False, name=None):

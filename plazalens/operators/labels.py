@@ -17,20 +17,36 @@ from plazalens.functions import posts as C
 from plazalens.functions.anchors import HEAD, anchors_of, merged
 from plazalens.functions.spans import SpanRule, find_spans
 from plazalens.functions.tables import ranked
-from plazalens.functions.text import FLAGS, any_of, contains_any, first_contained, found_in_order
+from plazalens.functions.text import any_of, contains_any, first_contained, found_in_order
 from plazalens.rules import categories as R
 from plazalens.rules import phrases as P
 
 # -- rule labelling ---------------------------------------------------------
 
 
+def folded_pattern(rules: list[str]) -> str:
+    """The rules as one expression for folded text (see ``folded``). Lower-case rules
+    need no case folding, and the leading word boundary is tested once for all."""
+    lowered = [f"(?iu:{r})" if re.search(r"\\[A-Z]", r) else r.lower() for r in rules]
+    bounded = [r[2:] for r in lowered if r.startswith(r"\b")]
+    parts = [r for r in lowered if not r.startswith(r"\b")]
+    if bounded:
+        parts.append(r"\b(?:" + "|".join(bounded) + ")")
+    return "(?Ud)" + "|".join(parts)
+
+
+def folded(content: Column) -> Column:
+    """Lower case, with the two letters that fold to ASCII replaced by it."""
+    return F.translate(F.lower(content), "ſı", "si")
+
+
 def _hit(patterns: list[str], low: Column, heads: Column, group: int) -> Column:
     """Any rule hits. Groups of rules are tried only when their anchors occur."""
     tests = []
     for at in range(0, len(patterns), group):
         part = patterns[at:at + group]
         need = merged(part)
-        test = low.rlike(FLAGS + "(?:" + "|".join(part) + ")")
+        test = low.rlike(folded_pattern(part))
         if not need.always:
             near = [low.contains(p) for p in sorted(need.parts)]
             if need.heads:
@@ -40,27 +56,31 @@ def _hit(patterns: list[str], low: Column, heads: Column, group: int) -> Column:
     return any_of(tests)
 
 
-def with_categories(posts: DataFrame, rules: dict[str, list[str]] | None = None, group: int = 3) -> DataFrame:
-    """Add ``categories``: those with at least one hit, in rule order; short texts have none.
+def detected_categories(content: Column, rules: dict[str, list[str]] | None = None, group: int = 3) -> Column:
+    """Categories with at least one hit, in rule order; short texts have none.
 
     The word beginnings of a post are cut down once to those any rule needs, so the
-    test of each rule group runs on a handful of values.
+    test of each rule group runs on a handful of values. The lower-cased text and the
+    beginnings are bound by a lambda: wherever Catalyst moves the expression, they
+    are computed once per row.
     """
     rules = rules or R.LABEL_RULES
-    low, heads = F.col("_low"), F.col("_heads")
-    hits = [F.when(_hit(patterns, low, heads, group), F.lit(name)) for name, patterns in rules.items()]
     needed = sorted(frozenset().union(*[anchors_of(p).heads for patterns in rules.values() for p in patterns]))
-    words = F.regexp_extract_all("_low", F.lit(rf"(?U)\b\w{{{HEAD}}}"), F.lit(0))
-    none = F.array().cast("array<string>")
-    return (
-        posts.withColumn("_low", F.lower("content"))
-        .withColumn("_heads", F.array_intersect(words, F.array(*[F.lit(h) for h in needed])))
-        .withColumn(
-            "categories",
-            F.when(F.length(F.trim("content")) >= 5, F.array_compact(F.array(*hits))).otherwise(none),
+    low = folded(content)
+    words = F.regexp_extract_all(low, F.lit(rf"(?U)\b\w{{{HEAD}}}"), F.lit(0))
+    heads = F.array_intersect(words, F.array(*[F.lit(h) for h in needed]))
+
+    def hits(bound: Column) -> Column:
+        return F.array_compact(
+            F.array(*[F.when(_hit(p, bound["low"], bound["heads"], group), F.lit(c)) for c, p in rules.items()])
         )
-        .drop("_low", "_heads")
-    )
+
+    found = F.transform(F.array(F.struct(low.alias("low"), heads.alias("heads"))), hits)[0]
+    return F.when(F.length(F.trim(content)) >= 5, found).otherwise(F.array().cast("array<string>"))
+
+
+def with_categories(posts: DataFrame, rules: dict[str, list[str]] | None = None) -> DataFrame:
+    return posts.withColumn("categories", detected_categories(F.col("content"), rules))
 
 
 def primary_category(categories: Column) -> Column:
