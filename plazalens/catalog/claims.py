@@ -6,7 +6,11 @@ from plazalens.catalog.registry import query
 from plazalens.operators import claims as O
 from plazalens.rules import claims as R
 
-AS_OF = F.lit("2024-06-01 00:00:00").cast("timestamp")
+
+
+def as_of():
+    return F.lit("2024-06-01 00:00:00").cast("timestamp")
+
 
 # RE2 has no Unicode \b: boundaries are spelled out.
 W = "[^0-9A-Za-zÀ-ÿ_]"
@@ -41,7 +45,7 @@ TOP = f"""{SCORED}, top AS (SELECT *, row_number() OVER (PARTITION BY post_id OR
 
 
 def scored(v):
-    return O.score_claims(O.contextual_claims(v.posts), AS_OF)
+    return O.score_claims(O.contextual_claims(v.posts), as_of())
 
 
 @query("E1_extract_matches")
@@ -51,7 +55,7 @@ def matches(v):
 
 @query("E1_scored_claims")
 def scored_matches(v):
-    return O.top_claims(O.score_claims(O.all_claims(v.posts), AS_OF)).select(
+    return O.top_claims(O.score_claims(O.all_claims(v.posts), as_of())).select(
         "post_id", "claim_no", "claim_type", "claim_text", "priority", F.round("confidence", 4).alias("confidence")
     )
 
@@ -116,7 +120,7 @@ def magnitude(v):
          CAST(coalesce(dt, make_date(y, 1, 1)) AS VARCHAR) AS verified_date FROM e""",
 )
 def temporal(v):
-    return O.temporal_check(O.contextual_claims(v.posts), AS_OF).select(
+    return O.temporal_check(O.contextual_claims(v.posts), as_of()).select(
         "post_id", "rule", "plausible", "temporal_note", F.col("verified_date").cast("string").alias("verified_date")
     )
 

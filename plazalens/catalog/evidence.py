@@ -1 +1,527 @@
-"""Queries."""
+"""Queries for evidence credibility, matching and verdicts."""
+
+from pyspark.sql import functions as F
+
+from plazalens.catalog.claims import CONTEXTUAL, W, has
+from plazalens.catalog.registry import query
+from plazalens.operators import claims as K
+from plazalens.operators import evidence as O
+from plazalens.rules import claims as RK
+from plazalens.rules import evidence as R
+
+
+
+def as_of():
+    return F.lit("2024-06-01 00:00:00").cast("timestamp")
+
+AGE = "floor((epoch_us(TIMESTAMP '2024-06-01 00:00:00') - epoch_us(publication_date)) / 86400000000)"
+
+
+def r6(name, alias=None):
+    return F.round(name, 6).alias(alias or name)
+
+
+def values(name, table):
+    rows = " UNION ALL ".join(f"SELECT '{k}' AS k, {v} AS v" for k, v in table.items())
+    return f"{name} AS ({rows})"
+
+
+def flag_sum(col, words):
+    return "(" + " + ".join(f"CAST(contains(lower({col}), '{w}') AS INTEGER)" for w in words) + ")"
+
+
+HOST = "regexp_replace(lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)), '^www\\.', '')"
+BASE = f"""{values('bs', R.BASE_SCORES)}, base AS (SELECT e.*, CAST(coalesce((SELECT v FROM bs WHERE k = lower(e.source_name)), (SELECT v FROM bs WHERE k = e.host),
+   (SELECT v FROM bs WHERE k = CASE WHEN contains(e.host, '.') THEN string_split(e.host, '.')[-1] ELSE 'unknown' END), 0.40) AS DOUBLE) AS base FROM (SELECT *, {HOST} AS host FROM evidence) e)"""
+QSCORE = f"({flag_sum('content_snippet', R.QUALITY_HIGH)} * 2 + {flag_sum('content_snippet', R.QUALITY_MEDIUM)} - {flag_sum('content_snippet', R.QUALITY_LOW)} * 0.5)"
+QUALITY = f"CAST(CASE WHEN coalesce(content_snippet, '') = '' THEN 0.8 WHEN {QSCORE} >= 3 THEN 1.4 WHEN {QSCORE} >= 1 THEN 1.2 WHEN {QSCORE} >= 0 THEN 1.0 WHEN {QSCORE} >= -1 THEN 0.8 ELSE 0.6 END AS DOUBLE)"
+FRESH = f"CAST(CASE WHEN publication_date IS NULL THEN 0.85 WHEN {AGE} <= 7 THEN 1.0 WHEN {AGE} <= 30 THEN 0.95 WHEN {AGE} <= 90 THEN 0.9 WHEN {AGE} <= 365 THEN 0.8 ELSE greatest(0.7, 1.0 - ({AGE} - 365) / 3650.0) END AS DOUBLE)"
+FRESH2 = f"CAST(CASE WHEN publication_date IS NULL THEN 0.9 WHEN {AGE} <= 30 THEN 1.0 WHEN {AGE} <= 90 THEN 0.95 WHEN {AGE} <= 365 THEN 0.85 WHEN {AGE} <= 730 THEN 0.7 ELSE greatest(0.3, 1.0 - ({AGE} - 730) / 3650.0) END AS DOUBLE)"
+CONSIST = "CAST(CASE WHEN confidence >= 0.8 THEN 1.05 WHEN confidence >= 0.6 THEN 1.02 WHEN confidence >= 0.4 THEN 1.0 ELSE 0.95 END AS DOUBLE)"
+MODIFIER = f"CAST(CASE WHEN {has('claim_text', R.STATISTICAL_WORDS)} AND ({has('source_name', R.NEWS_DOMAINS)} OR source_type = 'news') THEN 0.3 WHEN {has('claim_text', R.STATISTICAL_WORDS)} AND source_type = 'web_search' THEN 0.6 ELSE 1.0 END AS DOUBLE)"
+
+
+def word_list(col):
+    return f"list_distinct(list_filter(regexp_split_to_array(lower({col}), '[^\\p{{L}}\\p{{N}}_]+'), lambda x: length(x) >= 4))"
+
+
+CW, SW, TW = word_list("claim_text"), word_list("content_snippet"), word_list("title")
+OVER = f"(len(list_intersect({CW}, {SW})) / len({CW}) * 0.7 + len(list_intersect({CW}, {TW})) / len({CW}) * 0.3)"
+RELEVANCE = f"CAST(CASE WHEN {OVER} >= 0.5 THEN 1.2 WHEN {OVER} >= 0.3 THEN 1.1 WHEN {OVER} >= 0.1 THEN 1.0 ELSE 0.9 END AS DOUBLE)"
+SCORED = f"""{BASE}, sc AS (SELECT *, CASE WHEN contains(lower(source_name), 'wikipedia') AND credibility_score >= 0.9 THEN credibility_score ELSE
+   greatest(0.0, least(1.0, (base * 0.4 + {QUALITY} * 0.25 + {FRESH} * 0.15 + {RELEVANCE} * 0.1 + {CONSIST} * 0.1) * {MODIFIER})) END AS cred FROM base)"""
+
+
+def keyed(df):
+    return df.select("claim_id", "evidence_no", *[c for c in df.columns if c not in ("claim_id", "evidence_no")])
+
+
+@query("G1_base_score", f"WITH {BASE} SELECT evidence_no, base AS score FROM base")
+def base(v):
+    return v.evidence.select("evidence_no", O.base_score(F.col("source_name"), F.col("url")).alias("score"))
+
+
+@query("G2_quality", f"SELECT evidence_no, {QUALITY} AS quality FROM evidence")
+def quality(v):
+    return v.evidence.select("evidence_no", O.quality(F.col("content_snippet")).alias("quality"))
+
+
+@query("G3_freshness", f"SELECT evidence_no, round({FRESH}, 6) AS freshness FROM evidence")
+def fresh(v):
+    return v.evidence.select("evidence_no", r6(O.freshness(F.col("publication_date"), as_of()), "freshness"))
+
+
+@query("G4_claim_relevance", f"SELECT evidence_no, {RELEVANCE} AS relevance FROM evidence")
+def relevance(v):
+    return v.evidence.select(
+        "evidence_no", O.claim_relevance(F.col("claim_text"), F.col("content_snippet"), F.col("title")).alias("relevance")
+    )
+
+
+@query("G5_consistency", f"SELECT evidence_no, {CONSIST} AS consistency FROM evidence")
+def consistency(v):
+    return v.evidence.select("evidence_no", O.consistency(F.col("confidence")).alias("consistency"))
+
+
+@query("G6_type_modifier", f"SELECT evidence_no, {MODIFIER} AS modifier FROM evidence")
+def modifier(v):
+    return v.evidence.select(
+        "evidence_no", O.type_modifier(F.col("claim_text"), F.col("source_name"), F.col("source_type")).alias("modifier")
+    )
+
+
+@query("G7_credibility", f"WITH {SCORED} SELECT claim_id, evidence_no, round(cred, 6) AS credibility_score FROM sc")
+def cred(v):
+    return O.credibility(v.evidence, as_of()).select("claim_id", "evidence_no", r6("credibility_score"))
+
+
+@query(
+    "G8_reliability_report",
+    f"""WITH {BASE}, t AS (SELECT *, base * 0.4 + {QUALITY} * 0.25 + {FRESH} * 0.15 + 0.1 + {CONSIST} * 0.1 AS total FROM base)
+       SELECT evidence_no, CAST(printf('%.3f', total) AS DOUBLE) AS final_score, CAST(printf('%.3f', base) AS DOUBLE) AS base_reputation, CAST(printf('%.3f', {FRESH}) AS DOUBLE) AS freshness,
+        CASE WHEN total >= 0.9 THEN 'Muy confiable' WHEN total >= 0.8 THEN 'Confiable' WHEN total >= 0.7 THEN 'Moderadamente confiable' WHEN total >= 0.6 THEN 'Baja confiabilidad' ELSE 'No confiable' END AS assessment FROM t""",
+)
+def report(v):
+    return O.reliability_report(v.evidence, as_of()).select("evidence_no", "final_score", "base_reputation", "freshness", "assessment")
+
+
+def verdict_sql(source, weight, limit, order, split, none):
+    """Verdict per claim_id over `source` rows (claim_id, verdict, weight columns)."""
+    return f"""w AS (SELECT claim_id, verdict, {weight} AS wt FROM {source}), tot AS (SELECT claim_id, sum(wt) AS total, count(*) AS n_evidence FROM w GROUP BY claim_id),
+      sh AS (SELECT t.claim_id, o.verdict, o.pos, round(coalesce((SELECT sum(wt) FROM w WHERE w.claim_id = t.claim_id AND w.verdict = o.verdict), 0) / nullif(t.total, 0), 12) AS share
+        FROM tot t CROSS JOIN ({' UNION ALL '.join(f"SELECT '{x}' AS verdict, {i} AS pos" for i, x in enumerate(order))}) o),
+      pv AS (SELECT claim_id, max(share) FILTER (WHERE verdict = 'verified') AS sv, max(share) FILTER (WHERE verdict = 'debunked') AS sd, max(share) AS best, arg_min(verdict, -share * 100 + pos * 1e-9) AS top FROM sh GROUP BY claim_id),
+      vd AS (SELECT t.claim_id, t.n_evidence, pv.sv, pv.sd, CASE WHEN t.total = 0 THEN '{none}' WHEN sv > {limit} AND sd > {limit} THEN '{split}' ELSE top END AS verdict,
+        CASE WHEN t.total = 0 THEN 0.0 WHEN sv > {limit} AND sd > {limit} THEN least(sv, sd) ELSE best END AS conf FROM tot t JOIN pv ON pv.claim_id = t.claim_id)"""
+
+
+CLAIM_VD = verdict_sql("evidence", "credibility_score * confidence", 0.4, R.CLAIM_VERDICTS, "questionable", "unverified")
+AGG_VD = verdict_sql("evidence", f"least(credibility_score * {FRESH2} * confidence, 1.0)", 0.3, R.EVIDENCE_VERDICTS, "contradictory", "unclear")
+
+
+@query("G9_claim_verdict", f"WITH {CLAIM_VD} SELECT claim_id, n_evidence, verdict, round(conf, 6) AS confidence FROM vd")
+def claim_verdict(v):
+    return O.claim_verdict(v.evidence).withColumn("confidence", F.round("confidence", 6))
+
+
+@query(
+    "G7_G9_scored_verdict",
+    f"WITH {SCORED}, {verdict_sql('sc', 'cred * confidence', 0.4, R.CLAIM_VERDICTS, 'questionable', 'unverified')} SELECT claim_id, verdict, round(conf, 6) AS confidence FROM vd",
+)
+def scored_verdict(v):
+    return O.claim_verdict(O.credibility(v.evidence, as_of())).select("claim_id", "verdict", r6("confidence"))
+
+
+@query("G10_aggregate_evidence", f"WITH {AGG_VD} SELECT claim_id, n_evidence, verdict, round(conf, 6) AS confidence FROM vd")
+def aggregate(v):
+    return O.aggregate_evidence(v.evidence, as_of()).select("claim_id", "n_evidence", "verdict", r6("confidence"))
+
+
+@query("G11_evidence_freshness", f"SELECT evidence_no, round({FRESH2}, 6) AS freshness FROM evidence")
+def fresh2(v):
+    return v.evidence.select("evidence_no", r6(O.evidence_freshness(F.col("publication_date"), as_of()), "freshness"))
+
+
+@query(
+    "G12_explain_verdict",
+    f"""WITH {AGG_VD}, nm AS (SELECT claim_id, verdict, count(*) AS n, string_agg(source_name, ', ' ORDER BY evidence_no) FILTER (WHERE rn <= 5) AS five, string_agg(source_name, ', ' ORDER BY evidence_no) FILTER (WHERE rn <= 3) AS three
+         FROM (SELECT *, row_number() OVER (PARTITION BY claim_id, verdict ORDER BY evidence_no) AS rn FROM evidence) e GROUP BY claim_id, verdict)
+       SELECT vd.claim_id, vd.verdict, round(vd.conf, 6) AS confidence, CASE vd.verdict WHEN 'unclear' THEN 'All sources have zero weight' WHEN 'contradictory' THEN
+         concat('Contradictory evidence found. Supporting sources (', printf('%.1f', sv * 100), '% weighted evidence): ', (SELECT three FROM nm WHERE nm.claim_id = vd.claim_id AND nm.verdict = 'verified'),
+          '. Opposing sources (', printf('%.1f', sd * 100), '% weighted evidence): ', (SELECT three FROM nm WHERE nm.claim_id = vd.claim_id AND nm.verdict = 'debunked'))
+         ELSE concat('La afirmación ha sido ', CASE vd.verdict WHEN 'verified' THEN 'verificada' WHEN 'debunked' THEN 'desmentida' WHEN 'questionable' THEN 'cuestionable' ELSE 'evaluada' END, ' con ', printf('%.1f', conf * 100),
+          '% de evidencia ponderada de ', CAST(nm.n AS VARCHAR), ' fuente(s): ', nm.five, CASE WHEN nm.n > 5 THEN concat(' y ', CAST(nm.n - 5 AS VARCHAR), ' más') ELSE '' END) END AS explanation
+       FROM vd LEFT JOIN nm ON nm.claim_id = vd.claim_id AND nm.verdict = vd.verdict""",
+)
+def explain(v):
+    return O.explain_verdict(v.evidence, as_of()).withColumn("confidence", F.round("confidence", 6))
+
+
+@query(
+    "G13_resolve_conflicts",
+    """WITH c AS (SELECT claim_id, verdict, count(*) AS n FROM evidence GROUP BY claim_id, verdict), m AS (SELECT claim_id, max(n) AS mx FROM c GROUP BY claim_id),
+       t AS (SELECT c.claim_id, count(*) AS tied FROM c JOIN m ON m.claim_id = c.claim_id AND c.n = m.mx GROUP BY c.claim_id)
+       SELECT e.claim_id, e.evidence_no, round(e.credibility_score * CASE WHEN c.n = m.mx THEN 1.0 ELSE 0.7 END, 6) AS credibility_score
+       FROM evidence e JOIN c ON c.claim_id = e.claim_id AND c.verdict = e.verdict JOIN m ON m.claim_id = e.claim_id JOIN t ON t.claim_id = e.claim_id WHERE c.n = m.mx OR t.tied > 1""",
+)
+def resolve(v):
+    return O.resolve_conflicts(v.evidence).select("claim_id", "evidence_no", r6("credibility_score"))
+
+
+PRIO = "coalesce(" + "CASE " + " ".join(f"WHEN lower(source_name) = '{k}' THEN {p}" for k, p in R.PRIORITIES) + " END, CASE " + " ".join(
+    f"WHEN contains(lower(source_name), '{k}') OR contains('{k}', lower(source_name)) THEN {p}" for k, p in R.PRIORITIES
+) + " END, 3)"
+PRIO_CAPPED = f"CASE WHEN claim_type = 'temporal' AND source_type = 'news' THEN least({PRIO}, 5) ELSE {PRIO} END"
+
+
+@query(
+    "G14_source_priority",
+    f"SELECT evidence_no, CAST({PRIO_CAPPED} AS INTEGER) AS priority, round(credibility_score * 0.7 + {PRIO_CAPPED} / 10.0 * 0.3, 6) AS credibility_score FROM evidence",
+)
+def priority(v):
+    category = F.when(F.col("claim_type") == "temporal", "economy").otherwise("other")
+    return O.blend_priority(v.evidence, category).select("evidence_no", "priority", r6("credibility_score"))
+
+
+# Official figures per year, derived from the events, and claims about them from the documents.
+STATS = """st AS (SELECT 'INE' AS source, 'population' AS indicator, CAST(2000 + user_id % 24 AS INTEGER) AS year, CAST(40000000 + sum(event_id) * 7 AS DOUBLE) AS value FROM events GROUP BY user_id
+  UNION ALL SELECT 'Eurostat', 'gdp_growth', CAST(2000 + user_id % 24 AS INTEGER), CAST(sum(event_id) % 60 AS DOUBLE) / 10 FROM events GROUP BY user_id
+  UNION ALL SELECT 'Eurostat', 'gdp', CAST(2000 + user_id % 24 AS INTEGER), CAST(sum(event_id) * 10 AS DOUBLE) FROM events GROUP BY user_id)"""
+SC = """scl AS (SELECT doc_id AS claim_id, CASE doc_id % 4 WHEN 0 THEN 'La población es de X' WHEN 1 THEN 'El PIB creció un X' WHEN 2 THEN 'El PIB alcanza X personas' ELSE 'Nada que ver' END AS route_text,
+  CASE doc_id % 4 WHEN 0 THEN CAST(n_chars * 10000 AS DOUBLE) + 0.5 WHEN 1 THEN CAST(n_chars % 80 AS DOUBLE) / 10 ELSE CAST(n_chars * 1000 AS DOUBLE) END AS value FROM documents)"""
+
+
+def stats(v):
+    e = v.raw("events")
+    year = (2000 + F.col("user_id") % 24).cast("int").alias("year")
+    total = e.groupBy("user_id").agg(F.sum("event_id").alias("s"))
+    row = lambda source, indicator, value: total.select(
+        F.lit(source).alias("source"), F.lit(indicator).alias("indicator"), year, value.cast("double").alias("value")
+    )
+    return (
+        row("INE", "population", 40000000 + F.col("s") * 7)
+        .unionByName(row("Eurostat", "gdp_growth", (F.col("s") % 60).cast("double") / 10))
+        .unionByName(row("Eurostat", "gdp", F.col("s") * 10))
+    )
+
+
+def stat_claims(v):
+    return v.raw("documents").select(
+        F.col("doc_id").alias("claim_id"),
+        F.expr("CASE doc_id % 4 WHEN 0 THEN 'La población es de X' WHEN 1 THEN 'El PIB creció un X' WHEN 2 THEN 'El PIB alcanza X personas' ELSE 'Nada que ver' END").alias("route_text"),
+        F.expr("CASE doc_id % 4 WHEN 0 THEN CAST(n_chars * 10000 AS DOUBLE) + 0.5 WHEN 1 THEN CAST(n_chars % 80 AS DOUBLE) / 10 ELSE CAST(n_chars * 1000 AS DOUBLE) END").alias("value"),
+    )
+
+
+ROUTES = f"""rt AS (SELECT claim_id, 0 AS route_no, 'population' AS indicator, CAST(trunc(value) AS DOUBLE) AS claimed FROM scl WHERE {has('route_text', R.POPULATION_WORDS)}
+  UNION ALL SELECT claim_id, 1, CASE WHEN {has('route_text', R.GROWTH_WORDS)} THEN 'gdp_growth' WHEN {has('route_text', R.PER_HEAD_WORDS)} THEN 'gdp_per_capita' ELSE 'gdp' END, value FROM scl WHERE {has('route_text', R.GDP_WORDS)}
+  UNION ALL SELECT claim_id, 2, 'life_expectancy', value FROM scl WHERE {has('route_text', R.LIFE_WORDS)}),
+  hit AS (SELECT r.claim_id, s.source, s.indicator, s.year, s.value, row_number() OVER (PARTITION BY r.claim_id ORDER BY r.route_no, s.year DESC, s.source, s.value) AS rn FROM rt r JOIN st s ON s.indicator = r.indicator
+    AND abs(s.value - r.claimed) <= CASE r.indicator WHEN 'population' THEN s.value * 0.05 WHEN 'gdp' THEN s.value * 0.1 WHEN 'gdp_growth' THEN greatest(0.5, abs(s.value) * 0.05) WHEN 'life_expectancy' THEN s.value * 0.03 ELSE s.value * 0.15 END)"""
+
+
+@query(
+    "G15_check_statistics",
+    f"""WITH {STATS}, {SC}, {ROUTES} SELECT c.claim_id, h.claim_id IS NOT NULL AS verified, CASE WHEN h.claim_id IS NOT NULL THEN 'verified' ELSE 'unverified' END AS verdict,
+       h.source, h.indicator, h.year AS official_year, h.value AS official FROM scl c LEFT JOIN hit h ON h.claim_id = c.claim_id AND h.rn = 1""",
+)
+def statistics(v):
+    return O.check_statistics(stat_claims(v), stats(v))
+
+
+@query(
+    "G15_check_statistics_debunk",
+    f"""WITH {STATS}, {SC}, {ROUTES} SELECT c.claim_id, CASE WHEN h.claim_id IS NOT NULL THEN 'verified' WHEN c.claim_id IN (SELECT claim_id FROM rt) THEN 'debunked' ELSE 'unverified' END AS verdict
+       FROM scl c LEFT JOIN hit h ON h.claim_id = c.claim_id AND h.rn = 1""",
+)
+def statistics_debunk(v):
+    return O.check_statistics(stat_claims(v), stats(v), debunk_on_mismatch=True).select("claim_id", "verdict")
+
+
+@query(
+    "G16_query_statistics",
+    f"""WITH {STATS}, tx AS (SELECT doc_id AS text_id, concat('El PIB creció un ', CAST(n_chars % 50 AS VARCHAR), ' frente a ', CAST(doc_id % 9 AS VARCHAR), '.5') AS text FROM documents),
+       nb AS (SELECT text_id, unnest(regexp_extract_all(text, '[0-9]+(\\.[0-9]+)?')) AS number, unnest(range(len(regexp_extract_all(text, '[0-9]+(\\.[0-9]+)?')))) AS number_no FROM tx),
+       hit AS (SELECT n.text_id, n.number_no, s.year, row_number() OVER (PARTITION BY n.text_id, n.number_no ORDER BY s.year DESC, s.source, s.value) AS rn FROM nb n JOIN st s ON s.indicator = 'gdp_growth' AND abs(s.value - CAST(n.number AS DOUBLE)) <= greatest(0.5, abs(s.value) * 0.05))
+       SELECT text_id, CAST(number_no AS INTEGER) AS number_no, 'Eurostat - Oficina Estadística de la Unión Europea' AS source_name, 'gdp_growth' AS indicator, year AS official_year, 90 AS relevance, TRUE AS verified FROM hit WHERE rn = 1""",
+)
+def query_stats(v):
+    texts = v.raw("documents").select(
+        F.col("doc_id").alias("text_id"),
+        F.expr("concat('El PIB creció un ', cast(n_chars % 50 as string), ' frente a ', cast(doc_id % 9 as string), '.5')").alias("text"),
+    )
+    return O.query_statistics(texts, stats(v))
+
+
+# Fact checks from the benchmark passages; claims are the page titles.
+CHECKS = """fc AS (SELECT item_id AS check_id, text AS claim, CASE item_id % 3 WHEN 0 THEN 'true' WHEN 1 THEN 'Falso' ELSE 'engañoso' END AS verdict, CAST(item_id % 7 AS DOUBLE) / 10 + 0.3 AS confidence,
+  CASE item_id % 4 WHEN 0 THEN 'Maldita.es' WHEN 1 THEN 'Newtral' ELSE 'Snopes' END AS source_name, TIMESTAMP '2024-01-01 00:00:00' + (item_id % 50) * INTERVAL '1' DAY AS publication_date FROM benchmark)"""
+TITLES = """tl AS (SELECT page_id AS claim_id, regexp_extract(html, '<title>(.*?)</title>', 1) AS claim_text FROM pages)"""
+
+
+def checks(v):
+    return v.raw("benchmark").selectExpr(
+        "item_id AS check_id", "text AS claim", "CASE item_id % 3 WHEN 0 THEN 'true' WHEN 1 THEN 'Falso' ELSE 'engañoso' END AS verdict",
+        "CAST(item_id % 7 AS DOUBLE) / 10 + 0.3D AS confidence",
+        "CASE item_id % 4 WHEN 0 THEN 'Maldita.es' WHEN 1 THEN 'Newtral' ELSE 'Snopes' END AS source_name",
+        "TIMESTAMP '2024-01-01 00:00:00' + (item_id % 50) * INTERVAL '1' DAY AS publication_date",
+        "text AS explanation", "concat('https://check.example/', cast(item_id as string)) AS url",
+    )
+
+
+def titles(v):
+    return v.raw("pages").selectExpr("page_id AS claim_id", "regexp_extract(html, '<title>(.*?)</title>', 1) AS claim_text")
+
+
+@query(
+    "G17_match_fact_checks",
+    f"""WITH {CHECKS}, {TITLES}, m AS (SELECT t.claim_id, f.* FROM tl t JOIN fc f ON len(list_filter(regexp_split_to_array(lower(t.claim_text), '\\s+'), lambda x: x <> '' AND contains(lower(f.claim), x))) > 0),
+       k AS (SELECT *, row_number() OVER (PARTITION BY claim_id, source_name ORDER BY confidence DESC, publication_date DESC, check_id) AS rs FROM m),
+       g AS (SELECT *, row_number() OVER (PARTITION BY claim_id ORDER BY confidence DESC, publication_date DESC, check_id) AS rank FROM k WHERE rs <= 2)
+       SELECT claim_id, check_id, source_name, verdict, CAST(rank AS INTEGER) AS rank, rank = 1 AS is_best FROM g""",
+)
+def fact_checks(v):
+    return O.match_fact_checks(titles(v), checks(v), 2).select("claim_id", "check_id", "source_name", "verdict", "rank", "is_best")
+
+
+NEWS = """nw AS (SELECT item_id AS article_id, text AS description, CASE item_id % 5 WHEN 0 THEN 'El País' WHEN 1 THEN 'ABC' WHEN 2 THEN 'Blog' ELSE 'El Mundo' END AS source_name FROM benchmark)"""
+
+
+@query(
+    "G18_rank_articles",
+    f"""WITH {NEWS}, {TITLES}, w AS (SELECT claim_id AS query_id, list_filter(regexp_split_to_array(lower(claim_text), '\\s+'), lambda x: x <> '') AS ws FROM tl),
+       m AS (SELECT w.query_id, n.article_id, n.source_name, CASE n.source_name WHEN 'El País' THEN 85 WHEN 'ABC' THEN 80 WHEN 'El Mundo' THEN 75 ELSE 60 END AS credibility,
+         len(list_filter(ws, lambda x: contains(lower(n.description), x))) / len(ws) AS relevance FROM w CROSS JOIN nw n WHERE n.source_name IN ('El País', 'ABC', 'Blog')),
+       r AS (SELECT *, row_number() OVER (PARTITION BY query_id, source_name ORDER BY relevance DESC, credibility DESC, article_id) AS rank FROM m WHERE relevance > 0)
+       SELECT query_id, article_id, source_name, credibility, round(relevance, 6) AS relevance, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 3""",
+)
+def articles(v):
+    queries = titles(v).select(F.col("claim_id").alias("query_id"), F.col("claim_text").alias("query"))
+    pool = v.raw("benchmark").selectExpr(
+        "item_id AS article_id", "'' AS title", "text AS description",
+        "CASE item_id % 5 WHEN 0 THEN 'El País' WHEN 1 THEN 'ABC' WHEN 2 THEN 'Blog' ELSE 'El Mundo' END AS source_name",
+    )
+    return O.rank_articles(queries, pool, 3, ["El País", "ABC", "Blog"]).select(
+        "query_id", "article_id", "source_name", "credibility", r6("relevance"), "rank"
+    )
+
+
+@query(
+    "G19_to_evidence",
+    f"""WITH {CHECKS}, p AS (SELECT *, CASE source_name WHEN 'Maldita.es' THEN 9 WHEN 'Newtral' THEN 9 WHEN 'Snopes' THEN 8 END AS pr FROM fc)
+       SELECT check_id AS claim_id, source_name, 'fact_checker' AS source_type, concat('Verificación: ', substring(claim, 1, 50), '...') AS title, pr / 10.0 AS credibility_score, substring(claim, 1, 200) AS content_snippet,
+        CASE verdict WHEN 'true' THEN 'verified' WHEN 'Falso' THEN 'debunked' ELSE 'questionable' END AS verdict, round(confidence, 6) AS confidence FROM p
+       UNION ALL SELECT doc_id, 'El País', 'news', source, CAST(0.3 AS DOUBLE), substring(text, 1, 300), 'unverified', 0.5 FROM documents""",
+)
+def to_evidence(v):
+    found = v.raw("documents").select(
+        F.col("doc_id").alias("claim_id"), F.lit("El País").alias("source_name"), F.lit("u").alias("url"), F.col("source").alias("title"),
+        F.lit(None).cast("timestamp").alias("publication_date"), F.col("text").alias("content"),
+    )
+    rows = O.to_evidence(checks(v).withColumnRenamed("check_id", "claim_id"), found)
+    return rows.select(
+        "claim_id", "source_name", "source_type", "title", "credibility_score", "content_snippet", "verdict", r6("confidence")
+    )
+
+
+# Claims about a person and an event; words that occur in the pages stand for both.
+PERSON = "CASE user_id % 4 WHEN 0 THEN 'Thre' WHEN 1 THEN 'le la' WHEN 2 THEN 'nicht' ELSE 'Sánchez' END"
+EVENT = "CASE user_id % 3 WHEN 0 THEN 'the' WHEN 1 THEN 'article' ELSE 'arrest' END"
+EVENT_CLAIMS = f"ec AS (SELECT user_id AS claim_id, any_value({PERSON}) AS person_name, any_value({EVENT}) AS event_type FROM events GROUP BY user_id)"
+MARKED = """mp AS (SELECT page_id, concat(html, CASE page_id % 5 WHEN 0 THEN ' es falso y bulo' WHEN 1 THEN ' Confirmado oficialmente' WHEN 2 THEN ' confirma pero desmentido' ELSE '' END) AS html FROM pages)"""
+
+
+def event_claims(v):
+    return v.raw("events").groupBy("user_id").agg(F.max(F.expr(PERSON)).alias("person_name"), F.max(F.expr(EVENT)).alias("event_type")).withColumnRenamed("user_id", "claim_id")
+
+
+def marked_pages(v):
+    mark = F.expr("CASE page_id % 5 WHEN 0 THEN ' es falso y bulo' WHEN 1 THEN ' Confirmado oficialmente' WHEN 2 THEN ' confirma pero desmentido' ELSE '' END")
+    return v.raw("pages").select("page_id", F.concat("html", mark).alias("html"))
+
+
+INDICATORS = f"""ind AS (SELECT e.claim_id, m.page_id, {has('m.html', RK.CONTRADICTION_WORDS)} AS contradicts, {has('m.html', RK.CONFIRMATION_WORDS)} AS confirms
+  FROM ec e JOIN mp m ON contains(lower(m.html), lower(e.person_name)) AND contains(lower(m.html), lower(e.event_type)))"""
+
+
+@query("G20_event_indicators", f"WITH {EVENT_CLAIMS}, {MARKED}, {INDICATORS} SELECT claim_id, page_id, contradicts, confirms FROM ind")
+def indicators(v):
+    return O.event_indicators(event_claims(v), marked_pages(v))
+
+
+SEARCHED = """sp AS (SELECT (SELECT min(user_id) FROM events) + page_id % 100 AS claim_id, page_id, html, CASE page_id % 3 WHEN 0 THEN 'fact_checker' WHEN 1 THEN 'news' ELSE 'official' END AS source_kind FROM mp)"""
+EVENT_EV = f"""{EVENT_CLAIMS}, {MARKED}, {SEARCHED}, fl AS (SELECT e.claim_id, s.page_id, s.source_kind, e.event_type, contains(lower(s.html), lower(e.person_name)) AND contains(lower(s.html), lower(e.event_type)) AS named,
+    {has('s.html', RK.CONTRADICTION_WORDS)} AS contra, {has('s.html', RK.CONFIRMATION_WORDS)} AS conf FROM ec e JOIN sp s ON s.claim_id = e.claim_id),
+  oc AS (SELECT *, CASE WHEN named AND contra THEN 'contradicts' WHEN named AND conf THEN 'confirms' WHEN event_type IN ('arrest', 'prisión', 'condena') THEN 'silent_arrest' ELSE 'silent' END AS outcome FROM fl),
+  ee AS (SELECT claim_id, page_id, source_kind, outcome, CASE outcome WHEN 'contradicts' THEN 'debunked' WHEN 'confirms' THEN 'verified' WHEN 'silent' THEN 'questionable' ELSE CASE source_kind WHEN 'fact_checker' THEN 'questionable' ELSE 'debunked' END END AS verdict,
+    CAST(CASE outcome WHEN 'contradicts' THEN CASE source_kind WHEN 'official' THEN 0.9 ELSE 0.8 END WHEN 'confirms' THEN CASE source_kind WHEN 'official' THEN 0.95 ELSE 0.7 END
+      WHEN 'silent' THEN CASE source_kind WHEN 'official' THEN 0.3 ELSE 0.4 END ELSE CASE source_kind WHEN 'fact_checker' THEN 0.4 WHEN 'news' THEN 0.6 ELSE 0.7 END END AS DOUBLE) AS confidence FROM oc)"""
+
+
+def searched(v):
+    first = v.raw("events").agg(F.min("user_id").alias("first"))
+    pages = marked_pages(v).join(F.broadcast(first), F.lit(True))
+    return pages.select(
+        (F.col("first") + F.col("page_id") % 100).alias("claim_id"), "page_id", "html",
+        F.expr("CASE page_id % 3 WHEN 0 THEN 'fact_checker' WHEN 1 THEN 'news' ELSE 'official' END").alias("source_kind"), F.lit("fuente").alias("source_name"),
+    )
+
+
+@query("G32_event_evidence", f"WITH {EVENT_EV} SELECT claim_id, page_id, source_kind, outcome, verdict, confidence FROM ee")
+def event_evidence(v):
+    return O.event_evidence(event_claims(v), searched(v)).select("claim_id", "page_id", "source_kind", "outcome", "verdict", "confidence")
+
+
+@query(
+    "G21_event_verdict",
+    f"""WITH {EVENT_EV}, a AS (SELECT claim_id, bool_or(verdict = 'debunked') AS d, bool_or(verdict = 'verified') AS ver, avg(confidence) AS c FROM ee GROUP BY claim_id)
+       SELECT e.claim_id, CASE WHEN d THEN 'debunked' WHEN ver THEN 'verified' ELSE 'questionable' END AS verdict,
+        CAST(round(CASE WHEN c IS NULL THEN 0.3 WHEN d THEN least(0.9, c) WHEN ver THEN least(0.8, c) ELSE 0.4 END, 6) AS DOUBLE) AS confidence FROM ec e LEFT JOIN a ON a.claim_id = e.claim_id""",
+)
+def event_verdict(v):
+    claims = event_claims(v)
+    return O.event_verdict(O.event_evidence(claims, searched(v)), claims).withColumn("confidence", F.round("confidence", 6))
+
+
+CLAIMS_CTE = "cl AS (SELECT claim_id, any_value(post_id) AS post_id, any_value(claim_text) AS claim_text, any_value(claim_type) AS claim_type FROM evidence GROUP BY claim_id)"
+JUDGED = f"{CLAIM_VD}, {CLAIMS_CTE}, jd AS (SELECT cl.*, vd.verdict, vd.conf FROM cl JOIN vd ON vd.claim_id = cl.claim_id)"
+POST_VD = f"""{JUDGED}, pw AS (SELECT j.post_id AS pid, j.verdict, coalesce((SELECT max(credibility_score) FROM evidence e WHERE e.claim_id = j.claim_id), 1.0) AS wt FROM jd j),
+  ptot AS (SELECT pid, sum(wt) AS total, count(*) AS n_claims FROM pw GROUP BY pid),
+  psh AS (SELECT t.pid, o.verdict, o.pos, round(coalesce((SELECT sum(wt) FROM pw WHERE pw.pid = t.pid AND pw.verdict = o.verdict), 0) / nullif(t.total, 0), 12) AS share FROM ptot t CROSS JOIN
+    (SELECT 'verified' AS verdict, 0 AS pos UNION ALL SELECT 'debunked', 1 UNION ALL SELECT 'questionable', 2 UNION ALL SELECT 'unverified', 3) o),
+  pvd AS (SELECT t.pid AS post_id, t.n_claims, CASE WHEN t.total = 0 THEN 'unverified' ELSE (SELECT arg_min(verdict, -share * 100 + pos * 1e-9) FROM psh WHERE psh.pid = t.pid) END AS verdict,
+    CASE WHEN t.total = 0 THEN 0.0 ELSE (SELECT max(share) FROM psh WHERE psh.pid = t.pid) END AS conf FROM ptot t)"""
+
+
+def judged(v):
+    return O.verdicts_of(O.claims_of(v.evidence), v.evidence)
+
+
+@query("G22_post_verdict", f"WITH {POST_VD} SELECT post_id, n_claims, verdict, round(conf, 6) AS confidence FROM pvd")
+def post_verdict(v):
+    return O.post_verdict(judged(v), v.evidence).withColumn("confidence", F.round("confidence", 6))
+
+
+TOPIC = "CASE " + " ".join(f"WHEN {has('claim_text', w)} THEN '{t}'" for t, w in RK.TOPICS) + " ELSE 'general' END"
+CLASH = f"cx AS (SELECT post_id, {TOPIC} AS topic FROM jd GROUP BY post_id, {TOPIC} HAVING bool_or(verdict = 'verified') AND bool_or(verdict = 'debunked'))"
+
+
+@query("G23_contradictions", f"WITH {JUDGED}, {CLASH} SELECT post_id, topic, concat('Contradicción en ', topic, ': verificaciones mixtas') AS contradiction FROM cx")
+def contradictions(v):
+    return O.contradictions(judged(v))
+
+
+@query("G24_temporal_consistency", f"WITH {CLAIMS_CTE} SELECT post_id, count(*) FILTER (WHERE claim_type IN ('temporal', 'event')) <= 1 AS temporal_consistency FROM cl GROUP BY post_id")
+def temporal(v):
+    return O.temporal_consistency(O.claims_of(v.evidence))
+
+
+DEDUPED = "dd AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY post_id, url ORDER BY claim_id, evidence_no) AS rn FROM evidence WHERE url <> '') x WHERE rn = 1)"
+
+
+@query("G25_dedupe_evidence", f"WITH {DEDUPED} SELECT post_id, url, evidence_no FROM dd")
+def dedupe(v):
+    return O.dedupe_evidence(v.evidence).select("post_id", "url", "evidence_no")
+
+
+REPORT = f"""{POST_VD}, {CLASH}, {DEDUPED}, rep AS (SELECT p.post_id, coalesce(v.verdict, 'unverified') AS verdict, coalesce(v.conf, 0.0) AS conf, coalesce(v.n_claims, 0) AS n_claims,
+    (SELECT count(*) FROM jd WHERE jd.post_id = p.post_id AND jd.verdict = 'verified') AS n_verified, (SELECT count(*) FROM jd WHERE jd.post_id = p.post_id AND jd.verdict = 'debunked') AS n_debunked,
+    (SELECT count(*) FROM jd WHERE jd.post_id = p.post_id AND jd.verdict = 'questionable') AS n_questionable,
+    (SELECT count(*) FROM dd WHERE dd.post_id = p.post_id) AS n_sources, (SELECT count(*) FROM jd WHERE jd.post_id = p.post_id AND jd.claim_type IN ('temporal', 'event')) <= 1 AS temporal_consistency,
+    coalesce((SELECT string_agg('Contradicción en ' || topic || ': verificaciones mixtas', '|' ORDER BY topic) FROM cx WHERE cx.post_id = p.post_id), '') AS contradictions FROM posts p LEFT JOIN pvd v ON v.post_id = p.post_id)"""
+
+
+def reports(v):
+    return O.verify(v.posts, O.claims_of(v.evidence), v.evidence)
+
+
+@query(
+    "G26_verify",
+    f"WITH {REPORT} SELECT post_id, verdict, round(conf, 6) AS confidence, n_claims, n_verified, n_debunked, n_questionable, n_sources, temporal_consistency, contradictions FROM rep",
+)
+def verify(v):
+    return reports(v).withColumn("confidence", F.round("confidence", 6)).withColumn("contradictions", F.array_join("contradictions", "|"))
+
+
+TOP5 = "t5 AS (SELECT *, row_number() OVER (PARTITION BY post_id ORDER BY claim_id, evidence_no) AS r5 FROM dd)"
+
+
+@query(
+    "G27_verification_summary",
+    f"""WITH {REPORT}, {TOP5} SELECT r.post_id, r.verdict AS overall_verdict, r.n_claims AS total, r.n_debunked AS debunked,
+       coalesce((SELECT string_agg(concat(source_name, '/', verdict, '/', url), '|' ORDER BY r5) FROM t5 WHERE t5.post_id = r.post_id AND r5 <= 5), '') AS sources FROM rep r""",
+)
+def summary(v):
+    s = O.verification_summary(reports(v), v.evidence)
+    shown = F.transform("summary.evidence_sources", lambda x: F.concat_ws("/", x["name"], x["verdict"], x["url"]))
+    return s.select(
+        "post_id", "summary.overall_verdict", "summary.claims_summary.total", "summary.claims_summary.debunked", F.array_join(shown, "|").alias("sources")
+    )
+
+
+NAME = "CASE {0} WHEN 'verified' THEN 'VERIFICADO' WHEN 'debunked' THEN 'DESMENTIDO' WHEN 'questionable' THEN 'CUESTIONABLE' ELSE 'SIN VERIFICAR' END"
+
+
+@query(
+    "G28_report_fields",
+    f"""WITH {REPORT}, {TOP5}, f AS (SELECT *, row_number() OVER (PARTITION BY post_id ORDER BY claim_id) AS rf FROM jd WHERE verdict IN ('verified', 'debunked')),
+       x AS (SELECT *, concat_ws(', ', CASE WHEN n_verified > 0 THEN n_verified || ' verificadas' END, CASE WHEN n_debunked > 0 THEN n_debunked || ' desmentidas' END, CASE WHEN n_questionable > 0 THEN n_questionable || ' cuestionables' END) AS parts FROM rep),
+       y AS (SELECT *, concat_ws('. ', CASE WHEN n_claims > 0 THEN concat('Se verificaron ', n_claims, ' afirmaciones: ', CASE WHEN parts <> '' THEN parts ELSE 'sin resultados concluyentes' END) END,
+          CASE WHEN contradictions <> '' THEN concat('Contradicciones detectadas: ', len(string_split(contradictions, '|'))) END, CASE WHEN NOT temporal_consistency THEN 'Inconsistencias temporales en las afirmaciones' END) AS txt FROM x)
+       SELECT post_id, {NAME.format('verdict')} AS verdict_name, CASE WHEN txt = '' THEN 'Sin explicación disponible' ELSE txt END AS explanation,
+        coalesce((SELECT string_agg(concat(claim_text, ' -> ', {NAME.format('verdict')}), '|' ORDER BY rf) FROM f WHERE f.post_id = y.post_id AND rf <= 5), '') AS key_facts,
+        array_to_string(string_split(contradictions, '|')[1:3], '|') AS contradictions,
+        coalesce((SELECT string_agg(source_name, '|' ORDER BY r5) FROM t5 WHERE t5.post_id = y.post_id AND r5 <= 5), '') AS sources FROM y""",
+)
+def fields(v):
+    out = O.report_fields(reports(v), O.claims_of(v.evidence), v.evidence)
+    lists = ["key_facts", "contradictions", "sources"]
+    return out.select("post_id", "verdict_name", "explanation", *[F.array_join(c, "|").alias(c) for c in lists])
+
+
+FACT_NAME = "CASE WHEN lower(verdict) IN ('true', 'verdadero', 'cierto') THEN 'VERDADERO' WHEN lower(verdict) IN ('false', 'falso', 'mentira') THEN 'FALSO' WHEN lower(verdict) IN ('misleading', 'engañoso', 'manipulado') THEN 'ENGAÑOSO' ELSE upper(verdict) END"
+
+
+@query(
+    "G29_evidence_summary",
+    f"""WITH k AS (SELECT *, CASE source_type WHEN 'fact_checker' THEN 'f' WHEN 'news' THEN 'a' ELSE 'r' END AS kind FROM evidence),
+       r AS (SELECT *, row_number() OVER (PARTITION BY claim_id, kind ORDER BY evidence_no) AS rn FROM k),
+       l AS (SELECT *, CASE kind WHEN 'f' THEN printf('- %s: %s (%.1f%%)', source_name, {FACT_NAME}, confidence) WHEN 'a' THEN printf('- %s: %s... (credibilidad: %.1f)', source_name, substring(title, 1, 80), credibility_score)
+          ELSE printf('- %s... -> %s (%.1f%%)', substring(claim_text, 1, 100), {NAME.format('verdict')}, confidence) END AS line FROM r)
+       SELECT claim_id, count(*) AS total, count(*) FILTER (WHERE confidence > 0.8) AS high_confidence, count(DISTINCT source_name) AS distinct_sources,
+        coalesce(string_agg(line, '|' ORDER BY rn) FILTER (WHERE kind = 'r' AND rn <= 3), '') AS results, coalesce(string_agg(line, '|' ORDER BY rn) FILTER (WHERE kind = 'f' AND rn <= 3), '') AS fact_checks,
+        coalesce(string_agg(line, '|' ORDER BY rn) FILTER (WHERE kind = 'a' AND rn <= 3), '') AS articles FROM l GROUP BY claim_id""",
+)
+def evidence_summary(v):
+    out = O.evidence_summary(v.evidence)
+    return out.select(
+        "claim_id", "total", "high_confidence", "distinct_sources", *[F.array_join(c, "|").alias(c) for c in ("results", "fact_checks", "articles")]
+    )
+
+
+def numeric_claims(v):
+    claims = K.contextual_claims(v.posts).filter("claim_type = 'numerical'")
+    return claims.select(F.concat_ws("/", "post_id", F.col("rule").cast("string")).alias("claim_id"), "claim_text", F.col("claim_text").alias("post_text"))
+
+
+@query("G30_verify_numeric")
+def numeric(v):
+    official = stats(v).unionByName(
+        v.raw("documents").agg(F.count("*").alias("n")).select(
+            F.lit("INE").alias("source"), F.lit("population").alias("indicator"), F.lit(2024).alias("year"), (F.lit(47000000) + F.col("n")).cast("double").alias("value")
+        )
+    )
+    return O.verify_numeric(numeric_claims(v), official).select("claim_id", "verdict", "confidence", "source", "indicator", "official_year")
+
+
+@query(
+    "G31_verify_temporal",
+    f"""WITH {CONTEXTUAL}, d AS (SELECT post_id || '/' || rule AS claim_id, claim_text || ' ' || claim_text AS t FROM claims WHERE claim_type IN ('temporal', 'numerical')),
+       e AS (SELECT *, regexp_extract(t, '(?:^|{W})([0-9]{{1,2}}[/-][0-9]{{1,2}}[/-][0-9]{{4}})(?:$|{W})', 1) AS ds, try_cast(nullif(regexp_extract(t, '(?:^|{W})((?:19|20)[0-9]{{2}})(?:$|{W})', 1), '') AS INTEGER) AS y,
+         regexp_matches(t, '(^|{W})(hace\\s+[0-9]+\\s+(días?|meses?|años?)|en\\s+(el\\s+)?[0-9]{{4}})($|{W})', 'i') AS rel FROM d),
+       o AS (SELECT claim_id, CASE WHEN ds <> '' THEN try_cast(regexp_replace(ds, '^([0-9]+)[/-]([0-9]+)[/-]([0-9]+)$', '\\3-\\2-\\1') AS DATE) <= DATE '2024-06-01' WHEN y IS NOT NULL THEN y <= 2026 ELSE rel END AS ok FROM e)
+       SELECT claim_id, CASE WHEN ok THEN 'verified' ELSE 'debunked' END AS verdict, CAST(CASE WHEN ok THEN 0.8 ELSE 0.6 END AS DOUBLE) AS confidence FROM o""",
+)
+def verify_temporal(v):
+    claims = K.contextual_claims(v.posts).withColumn("claim_id", F.concat_ws("/", "post_id", F.col("rule").cast("string")))
+    return O.verify_temporal(claims, as_of()).select("claim_id", "verdict", "confidence")

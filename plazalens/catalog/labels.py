@@ -2,7 +2,6 @@
 
 import re
 
-import pandas as pd
 from pyspark.sql import functions as F
 
 from plazalens.catalog.registry import query
@@ -10,6 +9,7 @@ from plazalens.functions import posts as C
 
 from plazalens.operators import labels as O
 from plazalens.operators import reports
+from plazalens.plans.sample_scorers import by_length, refusing
 from plazalens.rules import categories as R
 from plazalens.rules import phrases as P
 from plazalens.session import spread
@@ -527,23 +527,13 @@ def eligible(v):
     return O.external_eligible(v.model_analyses).select("post_id", "model_name")
 
 
-def long_text(texts: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame({"category": texts.str.len().gt(1000).map({True: "political_general", False: "general"}), "explanation": "by length"})
-
-
-def fragile(texts: pd.Series) -> pd.DataFrame:
-    if texts.str.contains("Todos a las calles", regex=False).any():
-        raise ValueError("refused")
-    return pd.DataFrame({"category": "general", "explanation": "fine"}, index=texts.index)
-
-
 @query(
     "F33_score_models",
     """SELECT post_id, 'length' AS model_name, CASE WHEN length(content) > 1000 THEN 'political_general' ELSE 'general' END AS category, CAST(NULL AS VARCHAR) AS error_message FROM posts
        UNION ALL SELECT post_id, 'fragile', 'general', CASE WHEN contains(content, 'Todos a las calles') THEN 'refused' END FROM posts""",
 )
 def score(v):
-    return O.score_models(docs(v), {"length": long_text, "fragile": fragile}).select("post_id", "model_name", "category", "error_message")
+    return O.score_models(docs(v), {"length": by_length, "fragile": refusing}).select("post_id", "model_name", "category", "error_message")
 
 
 def search_pages(v):

@@ -6,7 +6,11 @@ from plazalens.catalog.registry import query
 from plazalens.operators import maintain as M
 from plazalens.sources import tables as S
 
-AS_OF = F.lit("2024-06-01 00:00:00").cast("timestamp")
+
+
+def as_of():
+    return F.lit("2024-06-01 00:00:00").cast("timestamp")
+
 TS = "%Y-%m-%d %H:%M:%S"
 
 
@@ -134,7 +138,7 @@ def accounts_upsert(v):
         F.max(F.when(F.col("is_pinned"), F.concat(F.lit("https://img.example/new/"), F.col("username")))).alias("profile_pic_url")
     )
     extra = v.spark.createDataFrame([("newcomer", "https://img.example/new/newcomer")], fresh.schema)
-    return M.upsert_accounts(current, fresh.unionByName(extra), AS_OF).select(
+    return M.upsert_accounts(current, fresh.unionByName(extra), as_of()).select(
         "username", "platform", "profile_pic_url", stamp("last_scraped")
     )
 
@@ -177,7 +181,7 @@ def analyses_upsert(v):
 )
 def patch(v):
     changes = new_analyses(v).groupBy("post_id").agg(F.max("category").alias("category"))
-    return M.patch_analyses(v.content_analyses, changes, AS_OF).select(
+    return M.patch_analyses(v.content_analyses, changes, as_of()).select(
         "post_id", "category", "local_explanation", "author_username", stamp("analysis_ts")
     )
 
@@ -219,7 +223,7 @@ def failed(v):
         F.concat_ws(" ", "error_message", "explanation").alias("error_message"),
         F.array().cast("array<string>").alias("media_urls"),
     )
-    return M.failed_rows(failures, AS_OF).select(
+    return M.failed_rows(failures, as_of()).select(
         "post_id", F.col("author_username").alias("model_name"), "category", "analysis_stages", "local_explanation",
         "external_analysis_used", stamp("analysis_ts"), "analysis_json",
     )
@@ -305,7 +309,7 @@ def corrections(v):
        WHERE a.post_id IS NOT NULL OR p.post_id IS NOT NULL""",
 )
 def manual(v):
-    return M.manual_override(v.content_analyses, v.posts, corrections(v), AS_OF).select(
+    return M.manual_override(v.content_analyses, v.posts, corrections(v), as_of()).select(
         "post_id", "category", "analysis_stages", "local_explanation", "author_username"
     )
 
@@ -326,7 +330,7 @@ def external(v):
         .groupBy("post_id")
         .agg(F.max("explanation").alias("external_explanation"))
     )
-    return M.attach_external(v.content_analyses, ext, AS_OF).select(
+    return M.attach_external(v.content_analyses, ext, as_of()).select(
         "post_id", "external_explanation", "external_analysis_used", "analysis_stages"
     )
 
@@ -419,7 +423,7 @@ def json_rows(v):
     "SELECT '2024-06-01 00:00:00' AS export_timestamp, count(*) AS total_records FROM content_analyses",
 )
 def envelope(v):
-    return M.export_envelope(v.content_analyses, AS_OF).select(stamp("export_timestamp"), "total_records")
+    return M.export_envelope(v.content_analyses, as_of()).select(stamp("export_timestamp"), "total_records")
 
 
 @query(

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from plazalens.plans.driver_views import Views, compose
-from plazalens.session import pin_timezone
+from plazalens.session import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -18,7 +18,7 @@ def query(name: str, sql: str | None = None):
 
     def register(build: Callable[[Views], DataFrame]):
         def run(spark: SparkSession, folder: str) -> DataFrame:
-            return build(Views(pin_timezone(spark), folder))
+            return build(Views(prepare(spark), folder))
 
         run.__name__ = name
         QUERIES[name] = run

@@ -8,7 +8,11 @@ from plazalens.operators import reports as R
 from plazalens.rules.categories import CATEGORIES
 
 TS = "%Y-%m-%d %H:%M:%S"
-AS_OF = F.lit("2024-02-18 00:00:00").cast("timestamp")
+
+
+def as_of():
+    return F.lit("2024-02-18 00:00:00").cast("timestamp")
+
 AS_OF_SQL = "TIMESTAMP '2024-02-18 00:00:00'"
 
 
@@ -83,7 +87,7 @@ LATEST = """x AS (SELECT *, row_number() OVER (PARTITION BY username ORDER BY po
        JOIN (SELECT username, count(*) AS total_posts FROM posts GROUP BY username) t ON t.username = b.username""",
 )
 def activity(v):
-    basic, _ = R.account_activity(v.posts, AS_OF, latest=30)
+    basic, _ = R.account_activity(v.posts, as_of(), latest=30)
     return basic.select("username", "total_posts", "active_days", "posts_with_media", r6("avg_media"))
 
 
@@ -149,7 +153,7 @@ FETCHED = f"""SELECT username, count(*) AS post_count, max(scraped_at) AS latest
     f"SELECT username, post_count, strftime(latest, '{TS}') AS latest_scraped FROM ({FETCHED}) f",
 )
 def recent_fetch(v):
-    return R.recent_fetch(v.posts, AS_OF).select("username", "post_count", stamp("latest_scraped"))
+    return R.recent_fetch(v.posts, as_of()).select("username", "post_count", stamp("latest_scraped"))
 
 
 @query(
@@ -169,7 +173,7 @@ def recent_fetch(v):
        ORDER BY u.ts DESC, activity_type, post_id DESC NULLS LAST, username LIMIT 15""",
 )
 def feed(v):
-    return R.activity_feed(v.posts, v.content_analyses, v.feedback, AS_OF).select(
+    return R.activity_feed(v.posts, v.content_analyses, v.feedback, as_of()).select(
         "activity_type", stamp("ts"), "category", "method", "username", "preview", "post_id"
     )
 
@@ -253,7 +257,7 @@ def category_agreement(v):
         concat('Multi-model consensus analysis: ', consensus_category, ' (agreement: ', printf('%.2f', score), ')'), 1, consensus_category, NULL FROM w""",
 )
 def apply_consensus(v):
-    return R.apply_consensus(v.content_analyses, v.posts, v.model_analyses, AS_OF).select(
+    return R.apply_consensus(v.content_analyses, v.posts, v.model_analyses, as_of()).select(
         "post_id", "author_username", "category", "local_explanation", "multi_model_analysis", "model_consensus_category", "analysis_stages"
     )
 

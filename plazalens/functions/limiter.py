@@ -11,8 +11,8 @@ tasks, and the usual case (quiet chunk ends) needs a single replay.
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from collections import deque
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -23,29 +23,35 @@ from pyspark.sql import Window as W
 from plazalens.session import durable
 
 
+def _pass(passed: deque, now: float, limit: int, window: float) -> bool:
+    while passed and passed[0] <= now - window:
+        passed.popleft()
+    ok = len(passed) < limit
+    if ok:
+        passed.append(now)
+    return ok
+
+
 def admitted_times(seconds: list[float], limit: int, window: float, state: list[float]) -> list[bool]:
     """Replay of one ordered run of request times after the passed times ``state``."""
     passed = deque(state)
-    flags = []
-    for now in seconds:
-        while passed and passed[0] <= now - window:
-            passed.popleft()
-        ok = len(passed) < limit
-        if ok:
-            passed.append(now)
-        flags.append(ok)
-    return flags
-
-
-def _replay(order_columns: list[str]) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["_sec", *order_columns], kind="stable")
-        first = group.iloc[0]
-        state = first["_state"]
-        group["admitted"] = admitted_times(
-            group["_sec"].tolist(), int(first["_limit"]), float(first["_window"]), [] if state is None else list(state)
-        )
-        return group
+    return [_pass(passed, now, limit, window) for now in seconds]
+
+
+def _scan(group: list[str]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Walk one sorted partition; only the passed times of the current group are held."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, passed = None, deque()
+        for batch in batches:
+            flags = []
+            keys = zip(*[batch[g] for g in group], strict=True)
+            rows = zip(keys, batch["_sec"], batch["_limit"], batch["_window"], batch["_state"], strict=True)
+            for key, now, limit, window, state in rows:
+                if key != current:
+                    current, passed = key, deque([] if state is None else state)
+                flags.append(_pass(passed, now, limit, window))
+            yield batch.assign(admitted=flags)
 
     return run
 
@@ -71,7 +77,8 @@ def admit(
     schema = T.StructType([*base.withColumn("_state", empty).schema.fields, T.StructField("admitted", T.BooleanType())])
 
     def replay(rows: DataFrame) -> DataFrame:
-        return rows.groupBy(*group).applyInPandas(_replay(order), schema)
+        placed = rows.repartition(*group).sortWithinPartitions(*group, "_sec", *order)
+        return placed.mapInPandas(_scan(group), schema)
 
     done = durable(replay(base.withColumn("_state", empty)))
     along = W.partitionBy(*keys).orderBy("_chunk")

@@ -64,3 +64,8 @@ def csv_list(col: Column) -> Column:
     """Comma list -> array of trimmed non-empty items; null -> empty array."""
     parts = F.transform(F.split(F.coalesce(col, F.lit("")), ","), lambda x: F.trim(x))
     return F.filter(parts, lambda x: x != "")
+
+
+def round_exact(col: Column, digits: int) -> Column:
+    """Round the binary value itself (half to even), not its shortest decimal form."""
+    return F.replace(F.format_number(col, digits), F.lit(","), F.lit("")).cast("double")

@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from plazalens.functions import dom
 from plazalens.functions import posts as C
 from plazalens.functions.anchors import HEAD, anchors_of, merged
+from plazalens.functions.joins import BLANK, substring_hits
 from plazalens.functions.spans import SpanRule, find_spans
 from plazalens.functions.tables import ranked
 from plazalens.functions.text import any_of, contains_any, first_contained, found_in_order
@@ -290,37 +291,19 @@ def infer_verdict(title: Column, excerpt: Column, source: str) -> Column:
 
 def relevant_articles(queries: DataFrame, articles: DataFrame) -> DataFrame:
     """(query_id, article_id, relevance): articles that hold a query word as a substring,
-    or words of the query's topic family.
-
-    A query word has no blank, so it can only occur inside one blank-separated token.
-    The substring test therefore runs between the distinct words and the distinct
-    tokens, blocked on the word's first three characters; postings then join by
-    token. No query meets an article it shares nothing with.
+    or words of the query's topic family. Relevance is the share of the query's words
+    (repeats included) that the article holds.
     """
-    blank = r"(?U)\s+"
-    asked = queries.select("query_id", F.explode(F.filter(F.split(F.lower("query"), blank), lambda w: w != "")).alias("word"))
+    parts = F.filter(F.split(F.lower("query"), BLANK), lambda w: w != "")
+    asked = queries.select("query_id", F.explode(parts).alias("word"))
     wanted = asked.groupBy("query_id", "word").agg(F.count("*").alias("_times"))
-    totals = queries.select(
-        "query_id", F.lower("query").alias("_q"), F.size(F.filter(F.split(F.lower("query"), blank), lambda w: w != "")).alias("_total")
-    )
+    totals = queries.select("query_id", F.lower("query").alias("_q"), F.size(parts).alias("_total"))
     text = F.lower(F.concat_ws(" ", "title", "description"))
     bodies = articles.select("article_id", text.alias("_text")).filter(F.trim("_text") != "")
-    tokens = bodies.select("article_id", F.explode(F.array_distinct(F.split("_text", blank))).alias("token")).filter(
-        F.col("token") != ""
-    )
-    grams = tokens.select("token").distinct().select(
-        "token",
-        F.explode(
-            F.expr(
-                "array_distinct(flatten(transform(array(1, 2, 3), n -> transform("
-                "sequence(1, greatest(length(token) - n + 1, 1)), i -> substring(token, i, n)))))"
-            )
-        ).alias("gram"),
+    hits = substring_hits(wanted, bodies.select(F.col("article_id").alias("doc_id"), F.col("_text").alias("text")))
+    direct = (
+        wanted.join(hits, "word").groupBy("query_id", F.col("doc_id").alias("article_id")).agg(F.sum("_times").alias("_n"))
     )
-    blocks = wanted.select("word").distinct().withColumn("gram", F.substring("word", 1, 3))
-    holds = blocks.join(grams, "gram").filter(F.col("token").contains(F.col("word"))).select("word", "token").distinct()
-    hits = tokens.join(holds, "token").select("article_id", "word").distinct()
-    direct = wanted.join(hits, "word").groupBy("query_id", "article_id").agg(F.sum("_times").alias("_n"))
 
     family = F.coalesce(*[F.when(contains_any(F.col("_q"), words), F.lit(i)) for i, (words, _) in enumerate(P.TOPIC_FAMILIES)])
     asks = totals.select("query_id", family.alias("family")).filter(F.col("family").isNotNull())

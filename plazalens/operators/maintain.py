@@ -76,21 +76,18 @@ def upsert_posts(current: DataFrame, incoming: DataFrame) -> DataFrame:
     return _outer(current, incoming, ["post_id"]).select(*_merged_posts(current, incoming, F.lit(True)))
 
 
-def _differs(name: str) -> Column:
-    new = F.col(f"_new.{name}")
-    return (F.coalesce(new, F.lit("")) != "") & ~new.eqNullSafe(F.col(f"_cur.{name}"))
-
-
 def upsert_if_changed(current: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Upsert only rows that differ; adds ``change_kind`` (null for untouched stored rows)."""
-    changed = (
-        ~F.coalesce(F.col("_new.post_type"), F.lit("original")).eqNullSafe(F.col("_cur.post_type"))
-        | _differs("original_author")
-        | _differs("original_post_id")
-        | _differs("content")
-        | (F.coalesce(F.col("_new.thread_id"), F.lit("")) != "")
-        | (F.coalesce(F.col("_new.conversation_id"), F.lit("")) != "")
-    )
+    """Upsert only rows that differ; adds ``change_kind`` (null for untouched stored rows).
+
+    Columns the incoming rows lack neither count as a difference nor change."""
+    changed = ~F.coalesce(F.col("_new.post_type"), F.lit("original")).eqNullSafe(F.col("_cur.post_type"))
+    for name in ("original_author", "original_post_id", "content"):
+        if name in incoming.columns:
+            new = F.col(f"_new.{name}")
+            changed = changed | ((F.coalesce(new, F.lit("")) != "") & ~new.eqNullSafe(F.col(f"_cur.{name}")))
+    for name in ("thread_id", "conversation_id"):
+        if name in incoming.columns:
+            changed = changed | (F.coalesce(F.col(f"_new.{name}"), F.lit("")) != "")
     kind = (
         F.when(F.col("_new").isNull(), F.lit(None).cast("string"))
         .when(F.col("_cur").isNull(), "inserted")

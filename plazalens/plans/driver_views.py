@@ -115,7 +115,7 @@ _THREAD_POSTS = {
 }
 
 _EVIDENCE = {
-    "post_id": f"CAST(page_id - page_id % 12 AS {ID})",
+    "post_id": f"CAST(page_id - page_id % 24 AS {ID})",
     "claim_id": "page_id - page_id % 4",
     "evidence_no": "page_id",
     "claim_text": "CASE (page_id - page_id % 4) % 3 WHEN 0 THEN 'La tasa de paro según el informe' "
@@ -130,8 +130,8 @@ _EVIDENCE = {
     "WHEN 0 THEN ' Informe oficial con datos oficiales del estudio sobre tasa de paro según' "
     "WHEN 1 THEN ' creo que probablemente' WHEN 2 THEN ' parece opinión, quizás' WHEN 3 THEN ' informe de verificación' ELSE '' END)",
     "publication_date": "CASE WHEN page_id % 9 <> 0 THEN TIMESTAMP '2024-05-30 12:00:00' - (page_id % 1500) * INTERVAL '1' DAY END",
-    "verdict": "CASE page_id % 7 WHEN 0 THEN 'verified' WHEN 1 THEN 'debunked' WHEN 2 THEN 'verified' WHEN 3 THEN 'questionable' "
-    "WHEN 4 THEN 'debunked' WHEN 5 THEN 'verified' ELSE 'unverified' END",
+    "verdict": "CASE WHEN page_id % 24 >= 12 THEN CASE page_id % 7 WHEN 1 THEN 'debunked' WHEN 3 THEN 'questionable' ELSE 'verified' END "
+    "ELSE CASE page_id % 7 WHEN 0 THEN 'verified' WHEN 3 THEN 'questionable' WHEN 6 THEN 'unverified' ELSE 'debunked' END END",
     "confidence": "CAST(page_id % 10 AS DOUBLE) / 10",
     "credibility_score": "CAST(page_id % 6 AS DOUBLE) / 5",
 }

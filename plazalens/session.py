@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,24 +33,42 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, memory: st
     return spark
 
 
-def pin_timezone(spark: SparkSession) -> SparkSession:
-    """Timestamps without zone are read as UTC everywhere."""
+_SHIPPED: set[str] = set()
+
+
+def prepare(spark: SparkSession) -> SparkSession:
+    """Read timestamps without zone as UTC and ship this package to the Python workers."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    context = spark.sparkContext
+    if context.applicationId not in _SHIPPED:
+        package = Path(__file__).resolve().parent
+        archive = Path(tempfile.mkdtemp(prefix="spark-", dir="/tmp")) / "plazalens.zip"
+        with zipfile.ZipFile(archive, "w") as out:
+            for source in sorted(package.rglob("*.py")):
+                out.write(source, source.relative_to(package.parent))
+        context.addPyFile(str(archive))
+        _SHIPPED.add(context.applicationId)
     return spark
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage of ``df`` with a reliable checkpoint.
+def work_folder(spark: SparkSession) -> str:
+    """The shared folder for checkpoints and intermediate tables.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; only a
-    session without any (a test) gets a scratch folder of its own.
+    It is the one the cluster names in ``spark.checkpoint.dir``; only a session
+    without any (a test) gets a scratch folder of its own.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        folder = context.getConf().get("spark.checkpoint.dir")
+        folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
         if folder is None:
-            folder = tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR", "/tmp"))
+            folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Cut the lineage of ``df`` with a reliable checkpoint in the shared folder."""
+    work_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
