@@ -48,8 +48,28 @@ def scored(v):
     return O.score_claims(O.contextual_claims(v.posts), as_of())
 
 
-@query("E1_extract_matches")
+def re2_claim(rule):
+    """A claim rule in RE2 notation: ASCII boundaries, which the texts' numbers and keywords have."""
+    return rule.replace("'", "''")
+
+
+MATCHES = " UNION ALL ".join(
+    f"SELECT post_id, '{kind}' AS claim_type, {i} AS rule, unnest(regexp_extract_all(content, '(?i){re2_claim(p)}')) AS claim_text FROM posts"
+    for kind, (_, patterns) in R.CLAIM_RULES.items()
+    for i, p in enumerate(patterns)
+)
+
+
+@query(
+    "E1_extract_matches",
+    f"SELECT post_id, claim_type, rule, claim_text, CASE WHEN claim_type IN ('numerical', 'temporal') THEN claim_text END AS extracted_value FROM ({MATCHES}) m",
+)
 def matches(v):
+    return O.extract_matches(v.posts).select("post_id", "claim_type", "rule", "claim_text", "extracted_value")
+
+
+@query("E1_match_spans")
+def spans(v):
     return O.extract_matches(v.posts)
 
 
@@ -88,9 +108,25 @@ def top(v):
     )
 
 
-@query("E6_parse_numbers")
+NUMBERS = f"""{CONTEXTUAL}, nr AS (
+     SELECT post_id, rule, claim_text, 0 AS pat, unnest(regexp_extract_all(claim_text, '\\b[0-9]{{1,3}}(?:,[0-9]{{3}})*(?:\\.[0-9]+)?\\b')) AS txt FROM claims
+     UNION ALL SELECT post_id, rule, claim_text, 1, unnest(regexp_extract_all(claim_text, '\\b[0-9]+\\.[0-9]+\\b')) FROM claims
+     UNION ALL SELECT post_id, rule, claim_text, 2, unnest(regexp_extract_all(claim_text, '\\b[0-9]+\\b')) FROM claims),
+   nu AS (SELECT post_id, rule, claim_text, txt, min(pat) AS pat, CAST(replace(txt, ',', '') AS DOUBLE) AS value, instr(claim_text, txt) AS ps FROM nr WHERE NOT regexp_matches(txt, '^(19|20)[0-9][0-9]$') GROUP BY post_id, rule, claim_text, txt),
+   nc AS (SELECT *, lower(substring(claim_text, greatest(ps - 50, 1), ps + 49 - greatest(ps - 50, 1) + 1)) AS ctx FROM nu)"""
+
+
+@query(
+    "E6_parse_numbers",
+    f"""WITH {NUMBERS} SELECT post_id, CAST(rule AS INTEGER) AS rule, txt AS number_text, value,
+       CASE WHEN contains(ctx, 'millon') THEN 'million' WHEN contains(ctx, 'billon') THEN 'billion' WHEN contains(ctx, '%') OR contains(ctx, 'por ciento') THEN 'percent'
+         WHEN contains(ctx, 'euro') OR contains(ctx, '€') THEN 'euro' WHEN contains(ctx, 'persona') OR contains(ctx, 'habitante') THEN 'people' ELSE 'unknown' END AS unit,
+       CASE WHEN contains(ctx, 'población') OR contains(ctx, 'habitantes') THEN 'population' WHEN contains(ctx, 'pib') OR contains(ctx, 'paro') OR contains(ctx, 'economía') THEN 'economic' ELSE 'general' END AS number_kind FROM nc""",
+)
 def numbers(v):
-    return O.parse_numbers(O.contextual_claims(v.posts), ["post_id", "rule"])
+    return O.parse_numbers(O.contextual_claims(v.posts), ["post_id", "rule"]).select(
+        "post_id", "rule", "number_text", "value", "unit", "number_kind"
+    )
 
 
 @query(

@@ -193,7 +193,24 @@ def mark(v):
 LIMITS = {"click": (2, 86_400), "view": (1, 40_000), "error": (3, 172_800)}
 
 
-@query("H9_rate_breaches")
+def walk_sql(rows, n, w):
+    """Greedy sliding limit by recursion: one step per request of a key, `k` and `us` columns."""
+    fresh = "list_filter(walk.passed, lambda x: x > o.us - o.w)"
+    return f"""o AS (SELECT *, {n} AS mx, CAST({w} AS BIGINT) * 1000000 AS w, row_number() OVER (PARTITION BY k ORDER BY us, event_id) AS rn FROM {rows}),
+      walk AS (SELECT k, rn, event_id, [us] AS passed, TRUE AS ok FROM o WHERE rn = 1
+        UNION ALL SELECT o.k, o.rn, o.event_id, CASE WHEN len({fresh}) < o.mx THEN list_append({fresh}, o.us) ELSE {fresh} END, len({fresh}) < o.mx
+          FROM walk JOIN o ON o.k = walk.k AND o.rn = walk.rn + 1)"""
+
+
+BREACH_ROWS = "(SELECT event_id, key, endpoint, concat(key, '/', endpoint) AS k, epoch_us(ts) AS us FROM requests WHERE endpoint IN ('click', 'view', 'error')) q"
+
+
+@query(
+    "H9_rate_breaches",
+    "WITH RECURSIVE "
+    + walk_sql(BREACH_ROWS, "CASE endpoint WHEN 'click' THEN 2 WHEN 'view' THEN 1 ELSE 3 END", "CASE endpoint WHEN 'click' THEN 86400 WHEN 'view' THEN 40000 ELSE 172800 END")
+    + " SELECT o.event_id, o.key, o.endpoint FROM walk JOIN o ON o.event_id = walk.event_id WHERE NOT walk.ok",
+)
 def breaches(v):
     return O.rate_breaches(v.requests, LIMITS).select("event_id", "key", "endpoint")
 

@@ -335,7 +335,19 @@ def external(v):
     )
 
 
-@query("A16_accept_feedback")
+FEEDBACK_WALK = """f AS (SELECT id, post_id, user_ip, epoch_us(submitted_at) AS us, CASE WHEN coalesce(post_id, '') = '' THEN 'post_id missing'
+     WHEN coalesce(feedback_type, 'correction') = 'correction' AND coalesce(corrected_category, '') = '' THEN 'corrected_category missing'
+     WHEN post_id NOT IN (SELECT post_id FROM posts) THEN 'post not found' END AS why FROM feedback),
+  o AS (SELECT *, concat(post_id, '/', user_ip) AS k, row_number() OVER (PARTITION BY post_id, user_ip ORDER BY us, id) AS rn FROM f WHERE why IS NULL),
+  walk AS (SELECT k, rn, id, us AS last, TRUE AS ok FROM o WHERE rn = 1
+    UNION ALL SELECT o.k, o.rn, o.id, CASE WHEN o.us - walk.last >= 3600000000 THEN o.us ELSE walk.last END, o.us - walk.last >= 3600000000 FROM walk JOIN o ON o.k = walk.k AND o.rn = walk.rn + 1)"""
+
+
+@query(
+    "A16_accept_feedback",
+    f"""WITH RECURSIVE {FEEDBACK_WALK} SELECT f.id, f.post_id, f.user_ip, (f.why IS NULL AND walk.ok) AS accepted,
+       CASE WHEN f.why IS NOT NULL THEN f.why WHEN NOT walk.ok THEN 'already submitted recently' END AS reason FROM f LEFT JOIN walk ON walk.id = f.id""",
+)
 def feedback(v):
     return M.accept_feedback(v.feedback, v.posts).select("id", "post_id", "user_ip", "accepted", "reason")
 
