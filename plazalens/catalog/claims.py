@@ -45,7 +45,7 @@ TOP = f"""{SCORED}, top AS (SELECT *, row_number() OVER (PARTITION BY post_id OR
 
 
 def scored(v):
-    return O.score_claims(O.contextual_claims(v.posts), as_of())
+    return O.score_claims(O.contextual_claims(v.texts), as_of())
 
 
 def re2_claim(rule):
@@ -65,17 +65,17 @@ MATCHES = " UNION ALL ".join(
     f"SELECT post_id, claim_type, rule, claim_text, CASE WHEN claim_type IN ('numerical', 'temporal') THEN claim_text END AS extracted_value FROM ({MATCHES}) m",
 )
 def matches(v):
-    return O.extract_matches(v.posts).select("post_id", "claim_type", "rule", "claim_text", "extracted_value")
+    return O.extract_matches(v.texts).select("post_id", "claim_type", "rule", "claim_text", "extracted_value")
 
 
 @query("E1_match_spans")
 def spans(v):
-    return O.extract_matches(v.posts)
+    return O.extract_matches(v.texts)
 
 
 @query("E1_scored_claims")
 def scored_matches(v):
-    return O.top_claims(O.score_claims(O.all_claims(v.posts), as_of())).select(
+    return O.top_claims(O.score_claims(O.all_claims(v.texts), as_of())).select(
         "post_id", "claim_no", "claim_type", "claim_text", "priority", F.round("confidence", 4).alias("confidence")
     )
 
@@ -85,12 +85,12 @@ def scored_matches(v):
     f"WITH {CONTEXTUAL} SELECT post_id, CAST(rule AS INTEGER) AS rule, claim_type, claim_text, extracted_value, start_pos FROM claims",
 )
 def contextual(v):
-    return O.contextual_claims(v.posts).select("post_id", "rule", "claim_type", "claim_text", "extracted_value", "start_pos")
+    return O.contextual_claims(v.texts).select("post_id", "rule", "claim_type", "claim_text", "extracted_value", "start_pos")
 
 
 @query("E3_sentences", f"WITH {SENTENCES} SELECT post_id, CAST(sentence_no AS INTEGER) AS sentence_no, sentence FROM s WHERE sentence <> ''")
 def sentences(v):
-    return O.sentences(v.posts)
+    return O.sentences(v.texts)
 
 
 @query("E4_score_claims", f"WITH {SCORED} SELECT post_id, claim_type, claim_text, confidence, priority FROM scored")
@@ -124,7 +124,7 @@ NUMBERS = f"""{CONTEXTUAL}, nr AS (
        CASE WHEN contains(ctx, 'población') OR contains(ctx, 'habitantes') THEN 'population' WHEN contains(ctx, 'pib') OR contains(ctx, 'paro') OR contains(ctx, 'economía') THEN 'economic' ELSE 'general' END AS number_kind FROM nc""",
 )
 def numbers(v):
-    return O.parse_numbers(O.contextual_claims(v.posts), ["post_id", "rule"]).select(
+    return O.parse_numbers(O.contextual_claims(v.texts), ["post_id", "rule"]).select(
         "post_id", "rule", "number_text", "value", "unit", "number_kind"
     )
 
@@ -137,7 +137,7 @@ def numbers(v):
        (SELECT *, CAST(rule AS INTEGER) AS rule_no FROM claims) z""",
 )
 def magnitude(v):
-    claims = O.contextual_claims(v.posts)
+    claims = O.contextual_claims(v.texts)
     text = F.when(F.col("claim_text").rlike(r"(?iU)\bmillones\b"), F.col("claim_text")).otherwise(F.col("extracted_value"))
     return claims.select("post_id", "rule", O.parse_magnitude(text).alias("magnitude"))
 
@@ -156,7 +156,7 @@ def magnitude(v):
          CAST(coalesce(dt, make_date(y, 1, 1)) AS VARCHAR) AS verified_date FROM e""",
 )
 def temporal(v):
-    return O.temporal_check(O.contextual_claims(v.posts), as_of()).select(
+    return O.temporal_check(O.contextual_claims(v.texts), as_of()).select(
         "post_id", "rule", "plausible", "temporal_note", F.col("verified_date").cast("string").alias("verified_date")
     )
 
@@ -191,7 +191,7 @@ KEY_TERMS = f"""kt AS (SELECT post_id, term, freq, row_number() OVER (PARTITION
 
 @query("E10_key_terms", f"WITH {KEY_TERMS} SELECT post_id, CAST(term_no AS INTEGER) AS term_no, term, freq FROM kt WHERE term_no < 8")
 def key_terms(v):
-    return O.key_terms(v.posts)
+    return O.key_terms(v.texts)
 
 
 @query(
@@ -204,7 +204,7 @@ def key_terms(v):
        SELECT post_id, CAST(query_no AS INTEGER) AS query_no, q AS query FROM o WHERE query_no < 5""",
 )
 def fallback(v):
-    return O.fallback_queries(O.key_terms(v.posts))
+    return O.fallback_queries(O.key_terms(v.texts))
 
 
 @query(
@@ -212,7 +212,7 @@ def fallback(v):
     "SELECT post_id, CASE " + " ".join(f"WHEN {has('content', w)} THEN '{t}'" for t, w in R.TOPICS) + " ELSE 'general' END AS topic FROM posts",
 )
 def topic(v):
-    return v.posts.select("post_id", O.claim_topic(F.col("content")).alias("topic"))
+    return v.texts.select("post_id", O.claim_topic(F.col("content")).alias("topic"))
 
 
 EVENTS_TEXT = """et AS (SELECT post_id, concat(content, CASE post_num % 6 WHEN 0 THEN ' Ingresa en prisión Ábalos' WHEN 1 THEN ' La jueza cita a Sánchez'

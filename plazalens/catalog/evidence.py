@@ -500,7 +500,7 @@ def evidence_summary(v):
 
 
 def numeric_claims(v):
-    claims = K.contextual_claims(v.posts).filter("claim_type = 'numerical'")
+    claims = K.contextual_claims(v.texts).filter("claim_type = 'numerical'")
     return claims.select(F.concat_ws("/", "post_id", F.col("rule").cast("string")).alias("claim_id"), "claim_text", F.col("claim_text").alias("post_text"))
 
 
@@ -538,5 +538,5 @@ def numeric(v):
        SELECT claim_id, CASE WHEN ok THEN 'verified' ELSE 'debunked' END AS verdict, CAST(CASE WHEN ok THEN 0.8 ELSE 0.6 END AS DOUBLE) AS confidence FROM o""",
 )
 def verify_temporal(v):
-    claims = K.contextual_claims(v.posts).withColumn("claim_id", F.concat_ws("/", "post_id", F.col("rule").cast("string")))
+    claims = K.contextual_claims(v.texts).withColumn("claim_id", F.concat_ws("/", "post_id", F.col("rule").cast("string")))
     return O.verify_temporal(claims, as_of()).select("claim_id", "verdict", "confidence")

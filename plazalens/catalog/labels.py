@@ -60,14 +60,9 @@ LABELS = (
 )
 
 
-def docs(v):
-    """Post texts, spread over the cores when they sit in one small file."""
-    return spread(v.posts.select("post_id", "content"))
-
-
 @query("F1_label", f"WITH {LABELS} SELECT post_id, array_to_string(cats, ',') AS categories FROM lab")
 def label(v):
-    return O.with_categories(docs(v)).select("post_id", F.array_join("categories", ",").alias("categories"))
+    return O.with_categories(v.texts).select("post_id", F.array_join("categories", ",").alias("categories"))
 
 
 def count_sql(rule):
@@ -89,17 +84,17 @@ RULE_COUNTS = " UNION ALL ".join(
 
 @query("F2_label_match_counts", f"WITH lowered AS (SELECT post_id, lower(content) AS low FROM posts) SELECT * FROM ({RULE_COUNTS}) r WHERE n > 0")
 def label_match_counts(v):
-    return O.label_matches(docs(v)).groupBy("post_id", "category", "rule_no").agg(F.count("*").alias("n"))
+    return O.label_matches(v.texts).groupBy("post_id", "category", "rule_no").agg(F.count("*").alias("n"))
 
 
 @query("F2_label_matches")
 def label_matches(v):
-    return O.label_matches(docs(v))
+    return O.label_matches(v.texts)
 
 
 @query("F3_primary_category", f"WITH {LABELS} SELECT post_id, coalesce(cats[1], 'non_political') AS primary_category FROM lab")
 def primary(v):
-    return O.with_categories(docs(v)).select("post_id", O.primary_category(F.col("categories")).alias("primary_category"))
+    return O.with_categories(v.texts).select("post_id", O.primary_category(F.col("categories")).alias("primary_category"))
 
 
 @query(
@@ -108,7 +103,7 @@ def primary(v):
     "round(count(*) * 100.0 / (SELECT count(*) FROM lab), 6) AS percentage FROM lab GROUP BY 1",
 )
 def label_distribution(v):
-    labelled = O.with_categories(docs(v)).select(O.primary_category(F.col("categories")).alias("category"))
+    labelled = O.with_categories(v.texts).select(O.primary_category(F.col("categories")).alias("category"))
     return reports.category_distribution(labelled).select("category", "n", F.round("percentage", 6).alias("percentage"))
 
 
@@ -121,7 +116,7 @@ KEYWORDS = "kw AS (" + " UNION ALL ".join(f"SELECT '{c}' AS category, {lit(k)} A
     "FROM lab l LEFT JOIN kw k ON list_contains(l.cats, k.category) GROUP BY l.post_id",
 )
 def keywords(v):
-    return O.with_categories(docs(v)).select(
+    return O.with_categories(v.texts).select(
         "post_id", F.array_join(O.category_keywords(F.col("categories")), ",").alias("keywords")
     )
 
@@ -136,12 +131,12 @@ ENTITIES = ", ".join(
     f"SELECT post_id, array_to_string(list_filter([{ENTITIES}], lambda x: x IS NOT NULL)[1:10], ',') AS entities FROM posts",
 )
 def entities(v):
-    return docs(v).select("post_id", F.array_join(O.entity_tags(F.col("content")), ",").alias("entities"))
+    return v.texts.select("post_id", F.array_join(O.entity_tags(F.col("content")), ",").alias("entities"))
 
 
 @query("F6_normalize", "SELECT post_id, nfc_normalize(lower(content)) AS normalized FROM posts")
 def normalize(v):
-    return docs(v).select("post_id", O.normalize("content").alias("normalized"))
+    return v.texts.select("post_id", O.normalize("content").alias("normalized"))
 
 
 def any_sql(col, words):
@@ -260,7 +255,7 @@ def scores(v):
     "SELECT post_id, CASE " + " ".join(f"WHEN {any_sql('content', w)} THEN '{c}'" for c, w in P.KEYWORD_CATEGORY) + " END AS category FROM posts",
 )
 def keyword_category(v):
-    return v.posts.select("post_id", O.keyword_category(F.col("content")).alias("category"))
+    return v.texts.select("post_id", O.keyword_category(F.col("content")).alias("category"))
 
 
 MESSAGES = """CASE event_id % 8 WHEN 0 THEN 'Connection reset' WHEN 1 THEN 'Read TIMEOUT after 5s' WHEN 2 THEN 'API key invalid' WHEN 3 THEN 'Rate limit hit'
@@ -292,7 +287,7 @@ def tags_sql(text, rules):
     f"SELECT post_id, {tags_sql('content', P.SPANISH_TAGS)} AS spanish, {tags_sql('content', P.ENGLISH_TAGS)} AS english FROM posts",
 )
 def tags(v):
-    return v.posts.select(
+    return v.texts.select(
         "post_id",
         F.array_join(O.topic_tags(F.col("content"), "maldita"), ",").alias("spanish"),
         F.array_join(O.topic_tags(F.col("content"), "snopes"), ",").alias("english"),
@@ -564,7 +559,7 @@ def eligible(v):
        UNION ALL SELECT post_id, 'fragile', 'general', CASE WHEN contains(content, 'Todos a las calles') THEN 'refused' END FROM posts""",
 )
 def score(v):
-    return O.score_models(docs(v), {"length": by_length, "fragile": refusing}).select("post_id", "model_name", "category", "error_message")
+    return O.score_models(v.texts, {"length": by_length, "fragile": refusing}).select("post_id", "model_name", "category", "error_message")
 
 
 def search_pages(v):

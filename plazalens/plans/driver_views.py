@@ -13,6 +13,8 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plazalens.session import spread
+
 ID = "VARCHAR(32)"
 
 _POSTS = {
@@ -234,6 +236,11 @@ class Views:
     def posts(self) -> DataFrame:
         return self._view(_POSTS, self.raw("documents"))
 
+    @cached_property
+    def texts(self) -> DataFrame:
+        """Post texts, spread over the cores when they sit in one small file."""
+        return spread(self.posts.select("post_id", "content"))
+
     @cached_property
     def incoming_posts(self) -> DataFrame:
         return self._view(_INCOMING, self.raw("documents"))
