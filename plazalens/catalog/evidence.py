@@ -6,6 +6,7 @@ from plazalens.catalog.claims import CONTEXTUAL, NUMBERS, W, has
 from plazalens.catalog.registry import query
 from plazalens.operators import claims as K
 from plazalens.operators import evidence as O
+from plazalens.plans.lifecycles import verify_content as verify_lifecycle
 from plazalens.rules import claims as RK
 from plazalens.rules import evidence as R
 
@@ -540,3 +541,19 @@ def numeric(v):
 def verify_temporal(v):
     claims = K.contextual_claims(v.texts).withColumn("claim_id", F.concat_ws("/", "post_id", F.col("rule").cast("string")))
     return O.verify_temporal(claims, as_of()).select("claim_id", "verdict", "confidence")
+
+
+def news_pool(v):
+    return v.raw("benchmark").selectExpr(
+        "item_id AS article_id", "'' AS title", "text AS description", "text AS content",
+        "CASE item_id % 5 WHEN 0 THEN 'El País' WHEN 1 THEN 'ABC' ELSE 'El Mundo' END AS source_name",
+        "concat('https://news.example/', cast(item_id as string)) AS url", "cast(null as timestamp) AS publication_date",
+    )
+
+
+@query("G26_verify_content")
+def verify_content(v):
+    """The whole verification lifecycle over the posts."""
+    posts = v.texts
+    out, _ = verify_lifecycle(posts, stats(v), checks(v), news_pool(v), as_of())
+    return out.withColumn("contradictions", F.array_join("contradictions", "|"))

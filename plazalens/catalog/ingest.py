@@ -10,7 +10,8 @@ from plazalens.catalog.registry import query
 from plazalens.operators import ingest as O
 from plazalens.operators import reports
 from plazalens.plans import driver_views as D
-from plazalens.plans.sample_scorers import silent
+from plazalens.plans.lifecycles import analyse_pending
+from plazalens.plans.sample_scorers import by_length, silent
 from plazalens.session import work_folder
 from plazalens.streaming import jobs as J
 
@@ -285,3 +286,16 @@ def with_original(v):
 )
 def collectable(v):
     return O.collectable(v.incoming_posts, v.posts).select("post_id", "reason")
+
+
+@query(
+    "H12_analyse_pending",
+    f"""WITH {LABELS}, w AS (SELECT post_id, username FROM posts p WHERE NOT (post_type IN ('repost_other', 'repost_own') AND rt_original_analyzed) AND NOT EXISTS (SELECT 1 FROM content_analyses a WHERE a.post_id = p.post_id))
+       SELECT w.post_id, w.username AS author_username, CASE WHEN length(l.content) > 1000 THEN 'political_general' ELSE 'general' END AS category, l.cats[1] AS first_pattern FROM w JOIN lab l ON l.post_id = w.post_id
+       UNION ALL SELECT post_id, author_username, category, CASE WHEN json_valid(categories_detected) THEN json_extract_string(categories_detected, '$[0]') END FROM content_analyses""",
+)
+def analyse(v):
+    """The whole analysis lifecycle over the worklist; no reports yet."""
+    reports_ = v.posts.limit(0).select("post_id", F.lit("unverified").alias("verdict"))
+    table = analyse_pending(v.posts, v.content_analyses, by_length, reports_, as_of())
+    return table.select("post_id", "author_username", "category", F.get_json_object("categories_detected", "$[0]").alias("first_pattern"))
