@@ -114,10 +114,9 @@ def volume_stream(log: DataFrame, window: str = "1 minute", slide: str = "10 sec
 BREACH_SCHEMA = "event_id bigint, key string, endpoint string, ts timestamp"
 
 
-def breach_stream(log: DataFrame, limits: dict[str, tuple[int, int]], idle: str = "1 hour") -> DataFrame:
+def breach_stream(log: DataFrame, limits: dict[str, tuple[int, int]], delay: str = "10 minutes") -> DataFrame:
     """Refused requests of a stream. The state per (client, endpoint) holds at most its
-    limit of passed times; an idle key is forgotten."""
-    idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000)
+    limit of passed times and is forgotten once the watermark leaves its window."""
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -131,11 +130,13 @@ def breach_stream(log: DataFrame, limits: dict[str, tuple[int, int]], idle: str
         ok = admitted_times(seconds, limit, float(window), passed)
         passed = (passed + [s for s, good in zip(seconds, ok, strict=True) if good])[-limit:]
         state.update((passed,))
-        state.setTimeoutDuration(idle_ms)
+        gone = int((seconds[-1] + window) * 1000)
+        state.setTimeoutTimestamp(max(gone, state.getCurrentWatermarkMs() + 1))
         yield rows.loc[[not good for good in ok], ["event_id", "key", "endpoint", "ts"]]
 
     return (
-        log.filter(F.col("endpoint").isin(list(limits)))
+        log.withWatermark("ts", delay)
+        .filter(F.col("endpoint").isin(list(limits)))
         .groupBy("key", "endpoint")
-        .applyInPandasWithState(run, BREACH_SCHEMA, "passed array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+        .applyInPandasWithState(run, BREACH_SCHEMA, "passed array<double>", "append", GroupStateTimeout.EventTimeTimeout)
     )
