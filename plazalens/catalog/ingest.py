@@ -206,16 +206,28 @@ def walk_sql(rows, n, w):
 BREACH_ROWS = "(SELECT event_id, key, endpoint, concat(key, '/', endpoint) AS k, epoch_us(ts) AS us FROM requests WHERE endpoint IN ('click', 'view', 'error')) q"
 
 
-@query(
-    "H9_rate_breaches",
+BREACHES = (
     "WITH RECURSIVE "
     + walk_sql(BREACH_ROWS, "CASE endpoint WHEN 'click' THEN 2 WHEN 'view' THEN 1 ELSE 3 END", "CASE endpoint WHEN 'click' THEN 86400 WHEN 'view' THEN 40000 ELSE 172800 END")
-    + " SELECT o.event_id, o.key, o.endpoint FROM walk JOIN o ON o.event_id = walk.event_id WHERE NOT walk.ok",
+    + " SELECT o.event_id, o.key, o.endpoint FROM walk JOIN o ON o.event_id = walk.event_id WHERE NOT walk.ok"
 )
+
+
+@query("H9_rate_breaches", BREACHES)
 def breaches(v):
     return O.rate_breaches(v.requests, LIMITS).select("event_id", "key", "endpoint")
 
 
+@query("H9_breach_stream", BREACHES)
+def breach_stream(v):
+    folder = scratch(v)
+    events = v.spark.readStream.schema(v.raw("events").schema).option("pathGlobFilter", "events.parquet").parquet(v.folder)
+    log = v._view(D._REQUESTS, events).select("event_id", "key", "endpoint", "ts")
+    refused = J.breach_stream(log, LIMITS, "40 days")
+    J.append_to(refused, f"{folder}/out", f"{folder}/state").awaitTermination()
+    return v.spark.read.schema(J.BREACH_SCHEMA).parquet(f"{folder}/out").select("event_id", "key", "endpoint")
+
+
 @query(
     "H10_request_volume",
     """WITH r AS (SELECT event_id, key, endpoint, epoch_us(ts) AS us, CASE endpoint WHEN 'click' THEN 2 WHEN 'view' THEN 1 ELSE 3 END AS mx, CASE endpoint WHEN 'click' THEN CAST(86400 AS BIGINT) WHEN 'view' THEN 40000 ELSE 172800 END AS w
