@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plazalens.llm import secrets, sharding, simhash
+from plazalens.llm import secrets, sharding, simhash, substrings
 from plazalens.llm.common import table
 from plazalens.session import prepare
 
@@ -28,6 +28,11 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op3_substrings")
+def op3(spark, folder):
+    return substrings.report(table(spark, folder, "documents"))
+
+
 @query("op4_sharding")
 def op4(spark, folder):
     return sharding.shard(table(spark, folder, "documents"))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from plazalens.session import work_folder
 
 #: UTF-8 bytes of text that a Python worker handles at once; one longer text is handled whole.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 
 #: The bytes 0x09 to 0x0D and 0x20 end a word; all others belong to words.
 IS_SPACE = np.zeros(256, bool)
@@ -134,3 +134,11 @@ class Rolling:
         """Hash of each range; it depends on the content and the length only."""
         plain = (prefix[stop] - prefix[start]) * self.inverses[start]
         return mixed(plain + (stop - start).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+    def pieces(self, data: np.ndarray, start: np.ndarray, stop: np.ndarray, step: int = 1 << 17) -> np.ndarray:
+        """Hashes of rising ranges of bytes; so many at a time, which bounds the prefix sums."""
+        out = np.zeros(len(start), np.uint64)
+        for k in range(0, len(start), step):
+            a, b = start[k : k + step], stop[k : k + step]
+            out[k : k + step] = self.ranges(self.prefix(data[a[0] : b[-1]]), a - a[0], b - a[0])
+        return out
