@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plazalens.llm import secrets, sharding, simhash, substrings
+from plazalens.llm import bpe, secrets, sharding, simhash, substrings
 from plazalens.llm.common import table
 from plazalens.session import prepare
 
@@ -43,6 +43,11 @@ def op8(spark, folder):
     return secrets.report(table(spark, folder, "documents"))
 
 
+@query("op9_bpe")
+def op9(spark, folder):
+    return bpe.report(table(spark, folder, "documents"))
+
+
 @query("op10_simhash")
 def op10(spark, folder):
     return simhash.near_duplicates(table(spark, folder, "documents"))
