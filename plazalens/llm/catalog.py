@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plazalens.llm import bpe, secrets, sharding, simhash, substrings
+from plazalens.llm import bpe, fingerprints, secrets, sharding, simhash, substrings, tokenfiles
 from plazalens.llm.common import table
 from plazalens.session import prepare
 
@@ -38,6 +38,16 @@ def op4(spark, folder):
     return sharding.shard(table(spark, folder, "documents"))
 
 
+@query("op6_token_files")
+def op6(spark, folder):
+    return tokenfiles.report(table(spark, folder, "documents"))
+
+
+@query("op7_fingerprints")
+def op7(spark, folder):
+    return fingerprints.report(table(spark, folder, "documents"))
+
+
 @query("op8_secrets")
 def op8(spark, folder):
     return secrets.report(table(spark, folder, "documents"))

@@ -29,10 +29,10 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write ``df`` to the shared folder and read it again, which cuts its lineage."""
     path = f"{work_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -46,6 +46,18 @@ def held_out(remainder_of: str = "doc_id"):
     return F.coalesce(split_name(remainder_of) == 2, F.lit(False))
 
 
+def bounds(rows: DataFrame, parts: int) -> list:
+    """At most ``parts`` - 1 rising doc_ids that deal the rows into parts of about equal size."""
+    found = rows.agg(F.percentile_approx("doc_id", [k / parts for k in range(1, parts)], 10 * parts)).first()[0]
+    return sorted(set(found or []))
+
+
+def part_of(column, cuts: list):
+    """How many bounds are at or below the id; -1 without id."""
+    below = F.aggregate(F.array(*[F.lit(c) for c in cuts]), F.lit(0), lambda n, c: n + (c <= column).cast("int")) if cuts else F.lit(0)
+    return F.when(column.isNull(), F.lit(-1)).otherwise(below)
+
+
 def buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of an Arrow text column and the place where each text begins (one more
     than there are texts). Nulls are empty."""
