@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plazalens.llm import bpe, fingerprints, secrets, sharding, simhash, substrings, tokenfiles
+from plazalens.llm import bpe, fingerprints, language, secrets, sharding, simhash, substrings, tokenfiles, toxicity
 from plazalens.llm.common import table
 from plazalens.session import prepare
 
@@ -28,6 +28,11 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op2_toxicity")
+def op2(spark, folder):
+    return toxicity.report(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 @query("op3_substrings")
 def op3(spark, folder):
     return substrings.report(table(spark, folder, "documents"))
@@ -38,6 +43,11 @@ def op4(spark, folder):
     return sharding.shard(table(spark, folder, "documents"))
 
 
+@query("op5_language")
+def op5(spark, folder):
+    return language.report(table(spark, folder, "documents"))
+
+
 @query("op6_token_files")
 def op6(spark, folder):
     return tokenfiles.report(table(spark, folder, "documents"))
