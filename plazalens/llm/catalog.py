@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plazalens.llm import bpe, fingerprints, language, secrets, sharding, simhash, substrings, tokenfiles, toxicity
+from plazalens.llm import bpe, decontamination, fingerprints, language, secrets, sharding, simhash, substrings, tokenfiles, toxicity
 from plazalens.llm.common import table
 from plazalens.session import prepare
 
@@ -28,6 +28,11 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op1_decontamination")
+def op1(spark, folder):
+    return decontamination.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 @query("op2_toxicity")
 def op2(spark, folder):
     return toxicity.report(table(spark, folder, "documents"), table(spark, folder, "labels"))

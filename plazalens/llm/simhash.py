@@ -244,6 +244,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     lows = linked.join(nodes, "fp").groupBy("root").agg(F.min("low").alias("lowest"))
     named = linked.join(lows, "root").select("fp", "lowest")
     ids = nodes.join(named, "fp", "left").select("fp", F.coalesce("lowest", "low").alias("component_id"))
+    # Written, so that both sides of the next join are dealt anew and a hot fingerprint can be split.
+    ids = written(ids, "component-ids")
     return prints.join(ids, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
