@@ -20,6 +20,7 @@ import heapq
 import json
 import os
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -316,7 +317,7 @@ def compiled(docs: DataFrame, path: str = TOKENIZER, most: int = LEXICON_WORDS)
     ids, counts = merges.pieces(words)
     bounds = np.concatenate([[0], np.cumsum(counts)])
     whole = build({w: ids[a:b].tolist() for w, a, b in zip(words, bounds, bounds[1:])})
-    name = f"lexicon-{hashlib.sha256(whole.tobytes()).hexdigest()[:24]}.bin"
+    name = f"lexicon-{uuid.uuid4().hex}.bin"
     file = os.path.join(tempfile.mkdtemp(prefix="spark-"), name)
     whole.tofile(file)
     docs.sparkSession.sparkContext.addFile(file)

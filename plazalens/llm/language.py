@@ -31,8 +31,9 @@ ROWS = 256
 CHARS = 192
 BYTES = 256 << 10
 SEGMENT = 128
-#: The pipeline rejects texts that need more phrases a byte than this in every language.
-STRANGE = 0.6
+#: The pipeline rejects texts that need more phrases a byte than this in every language: most of
+#: their letters are in no sample.
+STRANGE = 0.8
 
 _FOLD = np.full(256, 0x20, np.uint8)
 _FOLD[0x61:0x7B] = np.arange(0x61, 0x7B)

@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plazalens.llm.common import buffer, slices, written
@@ -42,19 +42,22 @@ SHARD_NODES = 4096
 DIRECT = 1 << 18
 
 
-def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    import xxhash
+def _fingerprints(others: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        digest = xxhash.xxh64_intdigest
+        for batch in slices(batches, most=2 << 20):
+            data, places = buffer(batch.column("text"))
+            raw = data.tobytes().lower()  # bytes.lower changes A-Z only
+            out = np.zeros(batch.num_rows, np.uint64)
+            for i in range(batch.num_rows):
+                tokens = raw[places[i] : places[i + 1]].split()  # at 0x09 to 0x0D and 0x20
+                if tokens:
+                    out[i] = majority(tokens, digest)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in others), pa.array(out.view(np.int64))], [*others, "fp"])
 
-    digest = xxhash.xxh64_intdigest
-    for batch in slices(batches, most=2 << 20):
-        data, places = buffer(batch.column("text"))
-        raw = data.tobytes().lower()  # bytes.lower changes A-Z only
-        out = np.zeros(batch.num_rows, np.uint64)
-        for i in range(batch.num_rows):
-            tokens = raw[places[i] : places[i + 1]].split()  # at 0x09 to 0x0D and 0x20
-            if tokens:
-                out[i] = majority(tokens, digest)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out.view(np.int64))], ["doc_id", "fp"])
+    return run
 
 
 def majority(tokens: list[bytes], digest) -> np.uint64:
@@ -72,11 +75,10 @@ def majority(tokens: list[bytes], digest) -> np.uint64:
     return np.packbits(2 * bits > n, bitorder="little").view(np.uint64)[0]
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and ``fp``, the fingerprint as a signed 64-bit number, for every row."""
-    rows = docs.select("doc_id", "text")
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(_fingerprints, f"doc_id {kind}, fp bigint")
+def fingerprints(docs: DataFrame, others: list[str]) -> DataFrame:
+    """The columns ``others`` and ``fp``, the fingerprint as a signed 64-bit number, of every row."""
+    kinds = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in others)
+    return docs.select("text", *others).mapInArrow(_fingerprints(others), f"{kinds}, fp bigint")
 
 
 class Tree:
@@ -234,23 +236,32 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, fingerprint and component_id for every row of ``docs``."""
-    prints = written(fingerprints(docs), "fingerprints")
+def groups(prints: DataFrame) -> DataFrame:
+    """(fp, component_id, root) of every distinct fingerprint: the smallest doc_id of its component,
+    and a fingerprint that names the component."""
     nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("low")), "nodes")
     roots = components(links(nodes))
-    # The smallest doc_id of each component, over all of its nodes.
     linked = roots.select(F.col("node").alias("fp"), "root").unionByName(roots.select(F.col("root").alias("fp"), "root").distinct())
     lows = linked.join(nodes, "fp").groupBy("root").agg(F.min("low").alias("lowest"))
-    named = linked.join(lows, "root").select("fp", "lowest")
-    ids = nodes.join(named, "fp", "left").select("fp", F.coalesce("lowest", "low").alias("component_id"))
+    named = linked.join(lows, "root").select("fp", "root", "lowest")
+    found = nodes.join(named, "fp", "left").select("fp", F.coalesce("lowest", "low").alias("component_id"), F.coalesce("root", "fp").alias("root"))
     # Written, so that both sides of the next join are dealt anew and a hot fingerprint can be split.
-    ids = written(ids, "component-ids")
-    return prints.join(ids, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return written(found, "groups")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, fingerprint and component_id for every row of ``docs``."""
+    prints = written(fingerprints(docs, ["doc_id"]), "fingerprints")
+    found = prints.join(groups(prints), "fp")
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the smallest of their component; of repeated rows one."""
-    first = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    kept = docs.join(first.select(F.col("doc_id").alias("_kept")), docs["doc_id"].eqNullSafe(F.col("_kept"))).drop("_kept")
-    return kept.dropDuplicates(["doc_id"])
+    """The row of every component with the smallest doc_id; of repeated rows one. Texts are
+    shuffled once."""
+    rows = docs.withColumns({"_k1": F.xxhash64("doc_id", "text"), "_k2": F.hash("text")})
+    prints = written(fingerprints(rows, ["doc_id", "_k1", "_k2"]), "fingerprints")
+    member = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_k1", "_k2")
+    first = prints.join(groups(prints), "fp").groupBy("root").agg(F.min(member).alias("m")).select("m._k1", "m._k2")
+    place = F.row_number().over(Window.partitionBy("_k1", "_k2").orderBy("_k1"))
+    return rows.join(first, ["_k1", "_k2"]).withColumn("_place", place).where("_place = 1").select(*docs.columns)
