@@ -46,16 +46,30 @@ def held_out(remainder_of: str = "doc_id"):
     return F.coalesce(split_name(remainder_of) == 2, F.lit(False))
 
 
-def bounds(rows: DataFrame, parts: int) -> list:
-    """At most ``parts`` - 1 rising doc_ids that deal the rows into parts of about equal size."""
-    found = rows.agg(F.percentile_approx("doc_id", [k / parts for k in range(1, parts)], 10 * parts)).first()[0]
+def bounds(rows: DataFrame, rows_each: int, most: int = 16_384) -> list:
+    """Rising doc_ids that deal the rows into ranges of about ``rows_each``, at most ``most`` ranges."""
+    parts = max(1, min(most, rows.count() // rows_each))
+    wanted = [k / parts for k in range(1, parts)]
+    found = rows.agg(F.percentile_approx("doc_id", wanted, 10 * parts)).first()[0] if wanted else None
     return sorted(set(found or []))
 
 
 def part_of(column, cuts: list):
-    """How many bounds are at or below the id; -1 without id."""
-    below = F.aggregate(F.array(*[F.lit(c) for c in cuts]), F.lit(0), lambda n, c: n + (c <= column).cast("int")) if cuts else F.lit(0)
-    return F.when(column.isNull(), F.lit(-1)).otherwise(below)
+    """How many bounds are at or below the id; -1 without id. The bounds are searched in two steps,
+    a stretch and a place in it."""
+    wide = max(1, int(len(cuts) ** 0.5))
+    stretches = [cuts[k : k + wide] for k in range(0, len(cuts), wide)]
+
+    def below(items):
+        return F.aggregate(items, F.lit(0), lambda n, c: n + (c <= column).cast("int"))
+
+    if not cuts:
+        number = F.lit(0)
+    else:
+        stretch = F.greatest(below(F.array(*[F.lit(s[0]) for s in stretches])) - 1, F.lit(0))
+        table = F.array(*[F.array(*map(F.lit, s)) for s in stretches])
+        number = stretch * wide + below(F.get(table, stretch))
+    return F.when(column.isNull(), F.lit(-1)).otherwise(number)
 
 
 def buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

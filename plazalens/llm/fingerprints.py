@@ -36,7 +36,8 @@ PARAGRAPH = 8
 #: Cells of the fingerprint that is given out, in three parts.
 CELLS = 24
 GROWTH = 4
-RANGES = 256
+#: Rows that a range of doc_id should hold.
+RANGE_ROWS = 1024
 
 _WORD, _TEXT = Rolling(11), Rolling(12)
 
@@ -215,12 +216,12 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def with_guests(docs: DataFrame, ranges: int = RANGES) -> DataFrame:
+def with_guests(docs: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
     """doc_id, text and ``guest``, ordered inside partitions so that the next document (by falling
     doc_id, the first after the last) is in the row below."""
     rows = keyed(docs)
-    rows = rows.withColumn("range", part_of(F.col("doc_id"), bounds(docs, ranges)))
-    heads = rows.groupBy("range").agg(F.max(F.struct("doc_id", "text_key")).alias("head"))  # at most ``ranges`` + 1 rows
+    rows = rows.withColumn("range", part_of(F.col("doc_id"), bounds(docs, range_rows)))
+    heads = rows.groupBy("range").agg(F.max(F.struct("doc_id", "text_key")).alias("head"))  # a row per range
     falling = Window.partitionBy(F.lit(0)).orderBy(F.desc("range"))
     host = F.coalesce(F.lag("range").over(falling), F.min("range").over(Window.partitionBy(F.lit(0))))
     heads = heads.select(F.col("range").alias("_range"), host.alias("host"), F.col("head.doc_id").alias("_id"), F.col("head.text_key").alias("_key"))

@@ -35,7 +35,7 @@ def check(docs, key=lambda d: d.doc_id):
 
 
 def test_small(spark, monkeypatch):
-    monkeypatch.setattr(fp, "RANGES", 5)
+    monkeypatch.setattr(fp.with_guests, "__defaults__", (6,))
     rng = random.Random(1)
     line = lambda n: " ".join(rng.choice("abcdefgh") * rng.randrange(1, 9) for _ in range(n))
     texts = [None, "", " ", "x", "🙂é" * 7, "one line\n" * 9, *("\n".join(line(rng.randrange(1, 30)) for _ in range(rng.randrange(1, 40))) for _ in range(40))]
