@@ -66,6 +66,7 @@ def by_author(href: Column, username: Column) -> Column:
     return F.coalesce((link["author"] == username) & (link["post_id"] != ""), F.lit(False))
 
 
+COUNT = r"([\d,.]+)\s*([KM])?"
 NUMBER = r"^[+-]?(?:\d+\.?\d*|\.\d+)$"
 
 
@@ -83,6 +84,15 @@ def parse_count(text: Column) -> Column:
     )
 
 
+def labelled_count(text: Column) -> Column:
+    """The first number of a label such as '1,2K likes'; 0 when there is none."""
+    up = F.upper(text)
+    number = F.regexp_replace(F.regexp_extract(up, COUNT, 1), ",", ".")
+    factor = F.create_map(F.lit("K"), F.lit(1e3), F.lit("M"), F.lit(1e6))[F.regexp_extract(up, COUNT, 2)]
+    plain = F.regexp_replace(number, "[^0-9]", "").try_cast("bigint")
+    return F.coalesce(F.when(factor.isNull(), plain).otherwise((number.try_cast("double") * factor).cast("bigint")), F.lit(0).cast("bigint"))
+
+
 def stage_text(flags: dict[str, Column]) -> Column:
     """Comma list of the stages that ran, in pipeline order."""
     return F.array_join(F.array_compact(F.array(*[F.when(flags[s], F.lit(s)) for s in P.STAGES if s in flags])), ",")

@@ -18,7 +18,7 @@ from plazalens.functions.anchors import HEAD, anchors_of, merged
 from plazalens.functions.joins import BLANK, substring_hits
 from plazalens.functions.spans import SpanRule, find_spans
 from plazalens.functions.tables import ranked
-from plazalens.functions.text import any_of, contains_any, first_contained, found_in_order
+from plazalens.functions.text import any_of, contains_any, extract_or_null, first_contained, found_in_order
 from plazalens.rules import categories as R
 from plazalens.rules import phrases as P
 
@@ -427,122 +427,42 @@ def score_models(posts: DataFrame, scorers: dict[str, Scorer], retries: int = 0)
 
 # -- stored HTML ------------------------------------------------------------
 
-POST_SCHEMA = (
-    "page_id string, status string, post_id string, username string, url string, content string, post_ts string, "
-    "media_links string, media_count int, reposts bigint, likes bigint, replies bigint, views bigint, post_type string, "
-    "original_author string, original_post_id string, has_thread_line boolean, seconds double"
+# What a page holds, as it stands there; columns decide what it means.
+RAW_POST = (
+    "page_id string, target string, read boolean, links array<struct<href:string,role:string,in_card:boolean>>, "
+    "images array<struct<src:string,later:string,in_photo:boolean>>, videos array<struct<poster:string,src:string>>, "
+    "bodies array<string>, language_spans array<string>, stamps array<string>, marked map<string,struct<label:string,shown:string>>, "
+    "labels array<string>, classes array<string>, nested boolean, seconds double"
 )
 
 
-def _link_parts(href: str) -> tuple[str | None, str | None]:
-    parts = href.strip("/").split("/")
-    return (parts[0], parts[2].split("?")[0]) if len(parts) >= 3 and parts[1] == "status" else (None, None)
-
-
-def _is_status(n: dom.Node) -> bool:
-    return n.tag == "a" and "/status/" in n.attrs.get("href", "")
-
-
-def labelled_count(text: str) -> int:
-    """Count inside a label text such as '1,2K likes'."""
-    found = re.search(r"([\d,.]+)\s*([KM])?", (text or "").strip().upper())
-    if not found:
-        return 0
-    number = found.group(1).replace(",", ".")
-    try:
-        if found.group(2):
-            return int(float(number) * (1000 if found.group(2) == "K" else 1000000))
-        return int(re.sub(r"[^0-9]", "", number) or 0)
-    except ValueError:
-        return 0
-
-
-def _media(root: dom.Node) -> list[str]:
-    links: list[str] = []
-    images = root.all(lambda n: n.tag == "img" and "twimg.com/media/" in n.attrs.get("src", ""))
-    images += root.all(lambda n: n.tag == "img" and n.inside(dom.testid("tweetPhoto")))
-    for image in images:
-        src = image.attrs.get("src") or image.attrs.get("data-src") or ""
-        skipped = "amplify_video_thumb" in src or "/thumb/" in src or "profile_images" in src
-        if "twimg.com" in src and not skipped and src not in links:
-            links.append(src)
-    for video in root.all(lambda n: n.tag == "video" and n.inside(dom.testid("videoPlayer"))):
-        poster, src = video.attrs.get("poster"), video.attrs.get("src", "")
-        if poster and poster not in links:
-            links.append(poster)
-        if "video.twimg.com" in src and src not in links:
-            links.append(src)
-    return links
-
-
-def _kind(root: dom.Node, author: str, target: str) -> tuple[str, str | None, str | None]:
-    """(post_type, original_author, original_post_id)."""
-    context = root.first(dom.testid("socialContext"))
-    said = context.text() if context else ""
-    low = said.lower()
-    pinned_label = root.first(lambda n: "Pinned" in n.attrs.get("aria-label", "") or "fijado" in n.attrs.get("aria-label", ""))
-    if "pinned" in low or "fijado" in low:
-        return "pinned", None, None
-    kind, original, original_id = "original", None, None
-    if "retweeted" in low or "retuiteó" in low:
-        kind = "retweet"
-        for link in root.all(lambda n: n.tag == "a" and n.attrs.get("role") == "link" and n.attrs.get("href", "").startswith("/")):
-            name = link.attrs["href"].strip("/")
-            if "/status/" not in link.attrs["href"] and name and name.lower() != target.lower():
-                original = name
-                break
-    if pinned_label:
-        return "pinned", original, None
-    if kind == "retweet":
-        by = re.search(r"(?:retweeted by|retuiteó)\s+@?(\w+)", said, re.IGNORECASE) or re.search(
-            r"@?(\w+)\s+(?:retweeted|retuiteó)", said, re.IGNORECASE
-        )
-        if by and by.group(1).lower() == author.lower() == target.lower():
-            kind = "repost_own"
-    card = root.first(dom.testid("card.wrapper"))
-    quoted = card.first(_is_status) if card else None
-    if quoted is not None:
-        name, number = _link_parts(quoted.attrs["href"])
-        if name:
-            return "quote", name, number
-    return kind, original, original_id
-
-
-def _post_row(html: str, target: str) -> dict:
-    root = dom.parse(html)
-    link = root.first(_is_status)
-    author, post_id = _link_parts(link.attrs["href"]) if link else (None, None)
-    if not author or not post_id:
-        return {"status": "failed"}
-    if author.lower() != target.lower():
-        return {"status": "other_author", "post_id": post_id, "username": author}
-    body = root.first(dom.testid("tweetText"))
-    if body:
-        content = body.text()
-    else:
-        spans = root.all(lambda n: n.tag == "span" and n.inside(lambda p: p.tag == "div" and "lang" in p.attrs))
-        content = " ".join(s.text() for s in spans)
-    stamp = root.first(lambda n: n.tag == "time")
-    links = _media(root)
-    row = {
-        "status": "ok", "post_id": post_id, "username": author, "url": f"https://x.com{link.attrs['href']}", "content": content,
-        "post_ts": stamp.attrs.get("datetime") if stamp else None,
-        "media_links": ",".join(links) or None, "media_count": len(links),
+def _raw_post(html: str) -> dict:
+    """The raw attributes of a stored post page, in document order."""
+    nodes = list(dom.parse(html).walk())
+    by_tag = {name: [n for n in nodes if n.tag == name] for name in ("a", "img", "video", "span", "time")}
+    marked: dict[str, dict] = {}
+    for n in nodes:
+        if "data-testid" in n.attrs:
+            marked.setdefault(n.attrs["data-testid"], {"label": n.attrs.get("aria-label"), "shown": n.text()})
+    card = next((n for n in nodes if n.attrs.get("data-testid") == P.CARD_MARK), None)
+    return {
+        "read": True,
+        "links": [{"href": n.attrs.get("href"), "role": n.attrs.get("role"), "in_card": n.inside(lambda up: up is card)} for n in by_tag["a"]],
+        "images": [{"src": n.attrs.get("src"), "later": n.attrs.get("data-src"), "in_photo": n.inside(dom.testid(P.PHOTO_MARK))} for n in by_tag["img"]],
+        "videos": [{"poster": n.attrs.get("poster"), "src": n.attrs.get("src")} for n in by_tag["video"] if n.inside(dom.testid(P.PLAYER_MARK))],
+        "bodies": [n.text() for n in nodes if n.attrs.get("data-testid") == P.BODY_MARK],
+        "language_spans": [n.text() for n in by_tag["span"] if n.inside(lambda up: up.tag == "div" and "lang" in up.attrs)],
+        "stamps": [n.attrs.get("datetime") for n in by_tag["time"]],
+        "marked": marked,
+        "labels": [n.attrs["aria-label"] for n in nodes if n.attrs.get("aria-label")],
+        "classes": [n.attrs["class"] for n in nodes if n.attrs.get("class")],
+        "nested": any(dom.testid(P.POST_MARK)(n) and n.inside(dom.testid(P.POST_MARK)) for n in nodes),
     }
-    for name, mark in (("replies", "reply"), ("reposts", "retweet"), ("likes", "like")):
-        found = root.first(dom.testid(mark))
-        row[name] = labelled_count(found.attrs.get("aria-label") or found.text()) if found else 0
-    views = root.first(dom.testid("app-text-transition-container"))
-    row["views"] = labelled_count(views.text()) if views else 0
-    row["post_type"], row["original_author"], row["original_post_id"] = _kind(root, author, target)
-    nested = root.first(lambda n: dom.testid("tweet")(n) and n.inside(dom.testid("tweet")))
-    row["has_thread_line"] = nested is not None or root.first(lambda n: "r-1bimlpy" in n.attrs.get("class", "")) is not None
-    return row
 
 
-def parse_post_html(pages: DataFrame) -> DataFrame:
-    """Stored post pages (page_id, html, username) -> one row per page with its parse status."""
-    names = [f.name for f in T._parse_datatype_string(POST_SCHEMA).fields]
+def raw_posts(pages: DataFrame) -> DataFrame:
+    """Stored pages (page_id, html, username) -> RAW_POST rows; an unreadable page has only its id."""
+    names = [f.name for f in T._parse_datatype_string(RAW_POST).fields]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -550,13 +470,105 @@ def parse_post_html(pages: DataFrame) -> DataFrame:
             for page_id, html, target in zip(batch["page_id"], batch["html"], batch["username"], strict=True):
                 start = time.perf_counter()
                 try:
-                    row = _post_row(html or "", target or "")
-                except Exception:  # malformed page: keep it as a failed row
-                    row = {"status": "failed"}
-                rows.append({**row, "page_id": page_id, "seconds": time.perf_counter() - start})
+                    row = _raw_post(html or "")
+                except Exception:  # malformed page: a failed row
+                    row = {"read": False}
+                rows.append({**row, "page_id": page_id, "target": target or "", "seconds": time.perf_counter() - start})
             yield pd.DataFrame(rows, columns=names).astype(object).where(lambda d: d.notna(), None)
 
-    return pages.select(F.col("page_id").cast("string").alias("page_id"), "html", "username").mapInPandas(run, POST_SCHEMA)
+    return pages.select(F.col("page_id").cast("string").alias("page_id"), "html", "username").mapInPandas(run, RAW_POST)
+
+
+def _holds(text: Column, marks: list[str]) -> Column:
+    return F.coalesce(any_of(text.contains(m) for m in marks), F.lit(False))
+
+
+def _status_link(links: Column) -> Column:
+    """First link to a status; null when there is none."""
+    return F.try_element_at(F.filter(links, lambda k: _holds(k["href"], ["/status/"])), F.lit(1))["href"]
+
+
+def _media_links(images: Column, videos: Column) -> Column:
+    """Distinct media links: stored images first, then images of photo frames, then videos."""
+    stored = F.filter(images, lambda i: _holds(i["src"], P.STORED_IMAGE_MARKS))
+    framed = F.filter(images, lambda i: i["in_photo"])
+    shown = F.transform(F.concat(stored, framed), lambda i: F.coalesce(F.nullif(i["src"], F.lit("")), i["later"]))
+    kept = F.filter(shown, lambda u: _holds(u, P.MEDIA_HOSTS) & ~_holds(u, P.SKIPPED_IMAGE_MARKS))
+    clips = F.flatten(
+        F.transform(videos, lambda v: F.array(F.nullif(v["poster"], F.lit("")), F.when(_holds(v["src"], P.CLIP_HOSTS), v["src"])))
+    )
+    return F.array_distinct(F.concat(kept, F.array_compact(clips)))
+
+
+def _post_kind(raw: DataFrame) -> DataFrame:
+    """post_type and its origin: the first rule of the table that holds decides."""
+    said = F.coalesce(F.col("marked")[P.CONTEXT_MARK]["shown"], F.lit(""))
+    low = F.lower(said)
+    target = F.lower("target")
+    reposted = _holds(low, P.REPOST_WORDS)
+    profile = F.try_element_at(
+        F.filter(
+            F.transform(
+                F.filter("links", lambda k: (k["role"] == "link") & k["href"].startswith("/") & ~k["href"].contains("/status/")),
+                lambda k: F.regexp_replace(k["href"], "^/+|/+$", ""),
+            ),
+            lambda name: (name != "") & (F.lower(name) != target),
+        ),
+        F.lit(1),
+    )
+    actor = F.lower(F.coalesce(*[extract_or_null(said, p) for p in P.REPOST_ACTORS]))
+    quoted = C.author_and_id(_status_link(F.filter("links", lambda k: k["in_card"])))
+    none = F.lit(None).cast("string")
+    rules = [
+        ("pinned", _holds(low, P.PINNED_WORDS), none, none),
+        ("pinned", F.exists("labels", lambda t: _holds(t, P.PINNED_LABELS)), F.when(reposted, profile), none),
+        ("quote", F.coalesce(quoted["author"] != "", F.lit(False)), quoted["author"], quoted["post_id"]),
+        ("repost_own", reposted & F.coalesce((actor == target) & (F.lower("link.author") == target), F.lit(False)), profile, none),
+        ("retweet", reposted, profile, none),
+        ("original", F.lit(True), none, none),
+    ]
+    found = F.coalesce(
+        *[F.when(test, F.struct(F.lit(kind).alias("kind"), author.alias("author"), number.alias("number"))) for kind, test, author, number in rules]
+    )
+    return raw.withColumn("origin", found)
+
+
+def parse_post_html(pages: DataFrame) -> DataFrame:
+    """Stored post pages (page_id, html, username) -> one row per page with its parse status."""
+    raw = raw_posts(pages).withColumn("href", _status_link(F.col("links")))
+    raw = _post_kind(raw.withColumn("link", C.author_and_id(F.col("href"))))
+    linked = F.coalesce(F.col("read") & (F.col("link.author") != "") & (F.col("link.post_id") != ""), F.lit(False))
+    own = F.lower("link.author") == F.lower("target")
+    media = _media_links(F.col("images"), F.col("videos"))
+    body = F.coalesce(F.try_element_at("bodies", F.lit(1)), F.array_join("language_spans", " "))
+
+    def counted(mark: str) -> Column:
+        held = F.col("marked")[mark]
+        return C.labelled_count(F.coalesce(F.nullif(held["label"], F.lit("")), held["shown"]))
+
+    post = {
+        "url": F.concat(F.lit("https://x.com"), F.col("href")),
+        "content": body,
+        "post_ts": F.try_element_at("stamps", F.lit(1)),
+        "media_links": F.nullif(F.array_join(media, ","), F.lit("")),
+        "media_count": F.size(media),
+        "reposts": counted("retweet"),
+        "likes": counted("like"),
+        "replies": counted("reply"),
+        "views": C.labelled_count(F.col("marked")[P.VIEWS_MARK]["shown"]),
+        "post_type": F.col("origin.kind"),
+        "original_author": F.col("origin.author"),
+        "original_post_id": F.col("origin.number"),
+        "has_thread_line": F.col("nested") | F.exists("classes", lambda c: c.contains(P.THREAD_CLASS)),
+    }
+    return raw.select(
+        "page_id",
+        F.when(~linked, "failed").when(own, "ok").otherwise("other_author").alias("status"),
+        F.when(linked, F.col("link.post_id")).alias("post_id"),
+        F.when(linked, F.col("link.author")).alias("username"),
+        *[F.when(linked & own, value).alias(name) for name, value in post.items()],
+        "seconds",
+    )
 
 
 # Article markup of the fact-check sources, in search order.

@@ -152,3 +152,21 @@ STAGES = ["pattern", "category_detection", "media_analysis", "explanation", "ext
 NO_ANALYSIS = "Sin análisis disponible"
 REPOST_TYPES = ["repost_other", "repost_own", "repost_reply"]
 WARNINGS = [("is_deleted", "deleted", "Este tweet fue eliminado"), ("is_edited", "edited", "Este tweet fue editado")]
+
+# Marks of stored post pages.
+BODY_MARK = "tweetText"
+POST_MARK = "tweet"
+PHOTO_MARK = "tweetPhoto"
+PLAYER_MARK = "videoPlayer"
+CONTEXT_MARK = "socialContext"
+CARD_MARK = "card.wrapper"
+VIEWS_MARK = "app-text-transition-container"
+THREAD_CLASS = "r-1bimlpy"
+STORED_IMAGE_MARKS = ["twimg.com/media/"]
+MEDIA_HOSTS = ["twimg.com"]
+CLIP_HOSTS = ["video.twimg.com"]
+SKIPPED_IMAGE_MARKS = ["amplify_video_thumb", "/thumb/", "profile_images"]
+PINNED_WORDS = ["pinned", "fijado"]
+PINNED_LABELS = ["Pinned", "fijado"]
+REPOST_WORDS = ["retweeted", "retuiteó"]
+REPOST_ACTORS = [r"(?iU)(?:retweeted by|retuiteó)\s+@?(\w+)", r"(?iU)@?(\w+)\s+(?:retweeted|retuiteó)"]
