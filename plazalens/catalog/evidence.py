@@ -310,9 +310,9 @@ def articles(v):
 @query(
     "G19_to_evidence",
     f"""WITH {CHECKS}, p AS (SELECT *, CASE source_name WHEN 'Maldita.es' THEN 9 WHEN 'Newtral' THEN 9 WHEN 'Snopes' THEN 8 END AS pr FROM fc)
-       SELECT check_id AS claim_id, source_name, 'fact_checker' AS source_type, concat('Verificación: ', substring(claim, 1, 50), '...') AS title, pr / 10.0 AS credibility_score, substring(claim, 1, 200) AS content_snippet,
+       SELECT check_id AS claim_id, source_name, 'fact_checker' AS source_type, concat('Verificación: ', substring(claim, 1, 50), '...') AS title, pr / 10.0 AS credibility_score, claim AS content_snippet,
         CASE verdict WHEN 'true' THEN 'verified' WHEN 'Falso' THEN 'debunked' ELSE 'questionable' END AS verdict, round(confidence, 6) AS confidence FROM p
-       UNION ALL SELECT doc_id, 'El País', 'news', source, CAST(0.3 AS DOUBLE), substring(text, 1, 300), 'unverified', 0.5 FROM documents""",
+       UNION ALL SELECT doc_id, 'El País', 'news', source, CAST(0.3 AS DOUBLE), text, 'unverified', 0.5 FROM documents""",
 )
 def to_evidence(v):
     found = v.raw("documents").select(
@@ -508,7 +508,7 @@ def numeric_claims(v):
 # 47 millones is an official figure here; the others come from the events.
 OFFICIAL = f"""{STATS}, of AS (SELECT * FROM st UNION ALL SELECT 'INE', 'population', 2024, CAST(47000000 + count(*) AS DOUBLE) FROM documents)"""
 NUMERIC = f"""{NUMBERS}, {OFFICIAL}, fn AS (SELECT post_id || '/' || rule AS claim_id, post_id, rule, arg_min(value, pat * 100000 + ps) AS value FROM nc GROUP BY post_id, rule),
-  nx AS (SELECT c.post_id || '/' || c.rule AS claim_id, c.claim_text || '. ' || substring(c.claim_text, 1, 200) AS rtx, f.value FROM claims c LEFT JOIN fn f ON f.post_id = c.post_id AND f.rule = c.rule WHERE c.claim_type = 'numerical'),
+  nx AS (SELECT c.post_id || '/' || c.rule AS claim_id, c.claim_text || '. ' || c.claim_text AS rtx, f.value FROM claims c LEFT JOIN fn f ON f.post_id = c.post_id AND f.rule = c.rule WHERE c.claim_type = 'numerical'),
   nv AS (SELECT claim_id, rtx, CASE WHEN regexp_matches(rtx, '(?i)[0-9]+ millones') THEN CAST(regexp_extract(rtx, '(?i)([0-9]+) millones', 1) AS DOUBLE) * 1000000 ELSE value END AS value FROM nx WHERE value IS NOT NULL),
   rr AS (SELECT claim_id, 0 AS route_no, 'population' AS indicator, CAST(trunc(value) AS DOUBLE) AS claimed FROM nv WHERE {has('rtx', R.POPULATION_WORDS)}
     UNION ALL SELECT claim_id, 1, CASE WHEN {has('rtx', R.GROWTH_WORDS)} THEN 'gdp_growth' WHEN {has('rtx', R.PER_HEAD_WORDS)} THEN 'gdp_per_capita' ELSE 'gdp' END, value FROM nv WHERE {has('rtx', R.GDP_WORDS)}),

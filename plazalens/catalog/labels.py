@@ -55,7 +55,7 @@ def hit_sql(rules, col="low"):
 
 LABELS = (
     "lab AS (SELECT post_id, content, list_filter(["
-    + ", ".join(f"CASE WHEN length(trim(content)) >= 5 AND {hit_sql(rules)} THEN '{c}' END" for c, rules in R.LABEL_RULES.items())
+    + ", ".join(f"CASE WHEN length(trim(content, chr(32) || chr(10) || chr(9) || chr(13))) >= 5 AND {hit_sql(rules)} THEN '{c}' END" for c, rules in R.LABEL_RULES.items())
     + "], lambda x: x IS NOT NULL) AS cats FROM (SELECT post_id, content, lower(content) AS low FROM posts) p)"
 )
 
@@ -128,7 +128,7 @@ ENTITIES = ", ".join(
 
 @query(
     "F5_entity_tags",
-    f"SELECT post_id, array_to_string(list_filter([{ENTITIES}], lambda x: x IS NOT NULL)[1:10], ',') AS entities FROM posts",
+    f"SELECT post_id, array_to_string(list_filter([{ENTITIES}], lambda x: x IS NOT NULL), ',') AS entities FROM posts",
 )
 def entities(v):
     return v.texts.select("post_id", F.array_join(O.entity_tags(F.col("content")), ",").alias("entities"))
@@ -368,7 +368,7 @@ def relevant(v):
 @query(
     "F20_page_text",
     """WITH b AS (SELECT page_id, regexp_replace(regexp_replace(html, '<script[^>]*>.*?</script>', '', 'gs'), '<style[^>]*>.*?</style>', '', 'gs') AS h FROM pages)
-       SELECT page_id, substring(trim(regexp_replace(regexp_replace(array_to_string(regexp_extract_all(h, '(?s)<p[^>]*>(.*?)</p>', 1), ' '), '&[^;]+;', ' ', 'g'), '\\s+', ' ', 'g')), 1, 2000) AS page_text FROM b""",
+       SELECT page_id, trim(regexp_replace(regexp_replace(array_to_string(regexp_extract_all(h, '(?s)<p[^>]*>(.*?)</p>', 1), ' '), '&[^;]+;', ' ', 'g'), '\\s+', ' ', 'g')) AS page_text FROM b""",
 )
 def page_text(v):
     return spread(v.raw("pages").select("page_id", "html")).select("page_id", C.page_text(F.col("html")).alias("page_text"))
@@ -478,8 +478,8 @@ def stages(v):
 
 @query(
     "F27_best_explanation",
-    """SELECT post_id, CASE WHEN length(trim(coalesce(external_explanation, ''))) > 0 THEN external_explanation WHEN coalesce(local_explanation, '') <> '' THEN local_explanation ELSE 'Sin análisis disponible' END AS best,
-       length(trim(coalesce(external_explanation, ''))) > 0 AND length(trim(coalesce(local_explanation, ''))) > 0 AS dual,
+    """SELECT post_id, CASE WHEN length(trim(coalesce(external_explanation, ''), chr(32) || chr(10) || chr(9) || chr(13))) > 0 THEN external_explanation WHEN coalesce(local_explanation, '') <> '' THEN local_explanation ELSE 'Sin análisis disponible' END AS best,
+       length(trim(coalesce(external_explanation, ''), chr(32) || chr(10) || chr(9) || chr(13))) > 0 AND length(trim(coalesce(local_explanation, ''), chr(32) || chr(10) || chr(9) || chr(13))) > 0 AS dual,
        concat(coalesce(analysis_stages, 'pattern'), CASE WHEN external_analysis_used THEN ' (external)' ELSE '' END) AS method FROM content_analyses""",
 )
 def best(v):
@@ -608,9 +608,9 @@ def stat_payloads(v, source):
     "F35_normalize_statistics",
     """WITH b AS (SELECT user_id, count(*) AS n, CAST(sum(event_id % 100) AS BIGINT) AS s FROM events GROUP BY user_id)
        SELECT user_id AS payload_id, 'INE' AS source, 'population' AS indicator, 2023 AS year, CAST(n || lpad(CAST(s % 1000 AS VARCHAR), 3, '0') AS DOUBLE) AS value FROM b
-       UNION ALL SELECT user_id, 'Eurostat', 'gdp', CAST(2015 + i AS INTEGER), (n + i + 0.5) * 1000000.0 FROM b CROSS JOIN (SELECT unnest(range(2, 7)) AS i) r
+       UNION ALL SELECT user_id, 'Eurostat', 'gdp', CAST(2015 + i AS INTEGER), (n + i + 0.5) * 1000000.0 FROM b CROSS JOIN (SELECT unnest(range(0, 7)) AS i) r
        UNION ALL SELECT user_id, 'WHO', 'life_expectancy', 2019, n + 0.25 FROM b
-       UNION ALL SELECT user_id, 'World Bank', 'gdp_per_capita', CAST(2014 + i AS INTEGER), CAST(s + i AS DOUBLE) FROM b CROSS JOIN (SELECT unnest(range(3, 8)) AS i) r""",
+       UNION ALL SELECT user_id, 'World Bank', 'gdp_per_capita', CAST(2014 + i AS INTEGER), CAST(s + i AS DOUBLE) FROM b CROSS JOIN (SELECT unnest(range(1, 8)) AS i) r""",
 )
 def statistics(v):
     parts = [O.normalize_statistics(stat_payloads(v, s), s) for s in ("ine", "eurostat_gdp", "who", "worldbank")]

@@ -213,7 +213,7 @@ def model_upsert(v):
     f"""SELECT post_id, model_name, 'ERROR' AS category, 'error' AS analysis_stages,
        concat('Analysis failed: ', error_message, ' ', explanation) AS local_explanation, FALSE AS external_analysis_used,
        '2024-06-01 00:00:00' AS analysis_ts,
-       concat('{{"error":"', substring(concat(error_message, ' ', explanation), 1, 500), '","media_urls":0}}') AS analysis_json
+       concat('{{"error":"', concat(error_message, ' ', explanation), '","media_urls":0}}') AS analysis_json
        FROM model_analyses WHERE error_message IS NOT NULL""",
 )
 def failed(v):

@@ -76,25 +76,22 @@ def accounts(v):
     )
 
 
-LATEST = """x AS (SELECT *, row_number() OVER (PARTITION BY username ORDER BY post_ts DESC, post_id DESC) AS rn FROM posts)"""
-
-
 @query(
     "C6_account_activity",
-    f"""WITH {LATEST} SELECT b.username, t.total_posts, b.active_days, b.posts_with_media, b.avg_media FROM
+    f"""SELECT b.username, t.total_posts, b.active_days, b.posts_with_media, b.avg_media FROM
        (SELECT username, count(DISTINCT CAST(post_ts AS DATE)) AS active_days, count(*) FILTER (WHERE media_count > 0) AS posts_with_media,
-          round(avg(media_count), 6) AS avg_media FROM x WHERE rn <= 30 GROUP BY username) b
+          round(avg(media_count), 6) AS avg_media FROM posts GROUP BY username) b
        JOIN (SELECT username, count(*) AS total_posts FROM posts GROUP BY username) t ON t.username = b.username""",
 )
 def activity(v):
-    basic, _ = R.account_activity(v.posts, as_of(), latest=30)
+    basic, _ = R.account_activity(v.posts, as_of())
     return basic.select("username", "total_posts", "active_days", "posts_with_media", r6("avg_media"))
 
 
 @query(
     "C6_recent_activity",
-    f"""WITH {LATEST} SELECT username, CAST(CAST(post_ts AS DATE) AS VARCHAR) AS day, count(*) AS n FROM x
-       WHERE rn <= 1000 AND floor((epoch_us(TIMESTAMP '2024-01-31 00:00:00') - epoch_us(post_ts)) / 86400000000) <= 7
+    """SELECT username, CAST(CAST(post_ts AS DATE) AS VARCHAR) AS day, count(*) AS n FROM posts
+       WHERE floor((epoch_us(TIMESTAMP '2024-01-31 00:00:00') - epoch_us(post_ts)) / 86400000000) <= 7
        GROUP BY username, CAST(post_ts AS DATE)""",
 )
 def recent_activity(v):

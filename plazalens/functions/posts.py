@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from plazalens.functions.text import any_of
+from plazalens.functions.text import any_of, strip
 from plazalens.rules import phrases as P
 
 
@@ -72,8 +72,8 @@ NUMBER = r"^[+-]?(?:\d+\.?\d*|\.\d+)$"
 
 def parse_count(text: Column) -> Column:
     """Abbreviated count (1,2K, 3M, plain digits) as a number; 0 when unreadable."""
-    up = F.upper(F.trim(F.coalesce(text, F.lit(""))))
-    body = F.trim(F.regexp_replace(F.substring(up, F.lit(1), F.length(up) - 1), ",", "."))
+    up = F.upper(strip(F.coalesce(text, F.lit(""))))
+    body = strip(F.regexp_replace(F.substring(up, F.lit(1), F.length(up) - 1), ",", "."))
     scaled = F.when(body.rlike(NUMBER), body.try_cast("double"))
     digits = F.regexp_replace(up, "[^0-9]", "")
     return F.coalesce(
@@ -107,14 +107,14 @@ def stage_flags(col: Column) -> Column:
 def best_explanation(external: Column, local: Column) -> Column:
     """External text unless blank, else the local one, else a default."""
     return (
-        F.when(F.length(F.trim(F.coalesce(external, F.lit("")))) > 0, external)
+        F.when(F.length(strip(F.coalesce(external, F.lit("")))) > 0, external)
         .when(F.coalesce(local, F.lit("")) != "", local)
         .otherwise(P.NO_ANALYSIS)
     )
 
 
 def dual_explanations(external: Column, local: Column) -> Column:
-    return (F.length(F.trim(F.coalesce(external, F.lit("")))) > 0) & (F.length(F.trim(F.coalesce(local, F.lit("")))) > 0)
+    return (F.length(strip(F.coalesce(external, F.lit("")))) > 0) & (F.length(strip(F.coalesce(local, F.lit("")))) > 0)
 
 
 def display_method(stages: Column, external_used: Column) -> Column:
@@ -138,10 +138,11 @@ def relevance(query: Column, text: Column) -> Column:
     return F.when(F.size(wanted) > 0, F.size(F.array_intersect(wanted, words(text))) / F.size(wanted)).otherwise(0.0)
 
 
-def page_text(html: Column, limit: int = 2000) -> Column:
-    """Paragraph text of a page: scripts and styles out, entities to blanks, whitespace squeezed."""
+def page_text(html: Column, limit: int | None = None) -> Column:
+    """Paragraph text of a page, or its first ``limit`` characters: scripts and styles out, entities to blanks, whitespace squeezed."""
     body = F.regexp_replace(html, r"(?s)<script[^>]*>.*?</script>", "")
     body = F.regexp_replace(body, r"(?s)<style[^>]*>.*?</style>", "")
     text = F.array_join(F.regexp_extract_all(body, F.lit(r"(?s)<p[^>]*>(.*?)</p>"), F.lit(1)), " ")
     text = F.regexp_replace(text, "&[^;]+;", " ")
-    return F.substring(F.trim(F.regexp_replace(text, r"(?U)\s+", " ")), 1, limit)
+    text = F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
+    return text if limit is None else F.substring(text, 1, limit)

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plazalens.functions.anchors import anchors_of
+from plazalens.functions.text import folded_text
 
 
 @dataclass(frozen=True)
@@ -56,10 +57,10 @@ def find_spans(df: DataFrame, keys: list[str], text: str, rules: list[SpanRule],
             rows = []
             for values in batch.itertuples(index=False, name=None):
                 original = values[-1]
-                low = original.lower()
-                searched = low if on_lower else original
+                near = folded_text(original)
+                searched = original.lower() if on_lower else original
                 for r, pattern, need in compiled:
-                    if need and not any(n in low for n in need):
+                    if need and not any(n in near for n in need):
                         continue
                     for hit in pattern.finditer(searched):
                         start, end = hit.span()

@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 
-def ranked(df: DataFrame, keys: list, order: list[Column], n: int, name: str | None = None) -> DataFrame:
-    """First ``n`` rows per key. Spark trims each map task to ``n`` rows before the
+def ranked(df: DataFrame, keys: list, order: list[Column], n: int | None, name: str | None = None) -> DataFrame:
+    """First ``n`` rows per key, all of them for None. Spark trims each map task to ``n`` rows before the
     shuffle (window group limit), so a hot key does not grow its task."""
     column = name or "_rank"
-    out = df.withColumn(column, F.row_number().over(W.partitionBy(*keys).orderBy(*order))).filter(F.col(column) <= n)
+    out = df.withColumn(column, F.row_number().over(W.partitionBy(*keys).orderBy(*order)))
+    out = out if n is None else out.filter(F.col(column) <= n)
     return out if name else out.drop(column)
 
 

@@ -50,6 +50,24 @@ def blank_links_and_marks(col: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(col, r"https?://\S+", " "), r"(?U)[^\w\s]", " ")
 
 
+def strip(col: Column) -> Column:
+    """The text without white space of any kind at its ends."""
+    return F.regexp_replace(col, r"(?U)^\s+|\s+$", "")
+
+
+FOLDED = str.maketrans("ſı", "si")
+
+
+def folded(col: Column) -> Column:
+    """Lower case, with the two letters that fold to ASCII replaced by it."""
+    return F.translate(F.lower(col), "ſı", "si")
+
+
+def folded_text(text: str) -> str:
+    """``folded`` for one text inside a task."""
+    return text.lower().translate(FOLDED)
+
+
 def squeeze(col: Column) -> Column:
     """Single blanks between words, none at the ends."""
     return F.trim(F.regexp_replace(col, r"(?U)\s+", " "))

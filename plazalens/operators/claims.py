@@ -14,6 +14,7 @@ from plazalens.functions.text import (
     extract_or_null,
     first_contained,
     squeeze,
+    strip,
     unicode_words,
 )
 from plazalens.rules import claims as R
@@ -24,10 +25,6 @@ TEMPORAL = FLAGS + "(?:" + "|".join(R.CLAIM_RULES["temporal"][1]) + ")"
 FLOAT_TEXT = r"^[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?$"
 
 
-def strip(col: Column) -> Column:
-    return F.regexp_replace(col, r"(?U)^\s+|\s+$", "")
-
-
 def to_float(col: Column) -> Column:
     return F.when(col.rlike(FLOAT_TEXT), col.try_cast("double"))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -17,7 +19,6 @@ RANGE_KEYS = ["username", "start_date", "end_date"]
 
 # Collection settings and request limits (requests per window of seconds).
 SPLIT_THRESHOLD = 750
-MAX_DEPTH = 10
 EMPTY_TO_STOP = 3
 KNOWN_TO_STOP = 10
 RATE_LIMITS = {
@@ -64,16 +65,16 @@ def windows_back(ends: DataFrame, k: int, months: int = 6) -> DataFrame:
 
 
 def adaptive_windows(
-    posts: DataFrame, windows: DataFrame, threshold: int = SPLIT_THRESHOLD, depth: int = MAX_DEPTH
+    posts: DataFrame, windows: DataFrame, threshold: int = SPLIT_THRESHOLD, depth: int | None = None
 ) -> DataFrame:
-    """Halve windows [start, end) with at least ``threshold`` posts, down to a day or ``depth``.
+    """Halve windows [start, end) with at least ``threshold`` posts, down to a day, or to ``depth`` halvings.
 
-    Works on daily counts per user, at most ``depth`` rounds over the open windows.
+    Works on daily counts per user, in as many rounds over the open windows as the longest has halvings.
     """
     daily = durable(posts.groupBy("username", F.to_date("post_ts").alias("_day")).agg(F.count("*").alias("_n")))
     open_ = windows.select("username", "start_date", "end_date")
     finished = None
-    for level in range(depth + 1):
+    for level in count():
         inside = (F.col("_day") >= F.col("start_date")) & (F.col("_day") < F.col("end_date"))
         counted = (
             open_.join(daily.withColumnRenamed("username", "_user"), (F.col("username") == F.col("_user")) & inside, "left")
@@ -81,7 +82,7 @@ def adaptive_windows(
             .agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("n_posts"))
         )
         days = F.datediff("end_date", "start_date")
-        counted = durable(counted.withColumn("_split", (F.col("n_posts") >= threshold) & (days > 1) & F.lit(level < depth)))
+        counted = durable(counted.withColumn("_split", (F.col("n_posts") >= threshold) & (days > 1) & F.lit(depth is None or level < depth)))
         done = counted.filter(~F.col("_split")).drop("_split").withColumn("depth", F.lit(level))
         finished = done if finished is None else finished.unionByName(done)
         full = counted.filter("_split")
@@ -141,9 +142,9 @@ def mark_ranges(progress: DataFrame, updates: DataFrame) -> DataFrame:
 
 def limits_frame(log: DataFrame, limits: dict[str, tuple[int, int]]) -> tuple[Column, Column]:
     """Limit and window columns by endpoint."""
-    spec = F.create_map(*[F.lit(x) for k, (n, w) in limits.items() for x in (k, n * 1_000_000 + w)])
-    packed = F.try_element_at(spec, log["endpoint"])
-    return F.floor(packed / 1_000_000).cast("int"), (packed % 1_000_000).cast("int")
+    spec = F.create_map(*[x for k, (n, w) in limits.items() for x in (F.lit(k), F.struct(F.lit(n).alias("n"), F.lit(w).alias("w")))])
+    found = F.try_element_at(spec, log["endpoint"])
+    return found["n"], found["w"]
 
 
 def rate_breaches(log: DataFrame, limits: dict[str, tuple[int, int]], chunk_seconds: int = 86_400) -> DataFrame:

@@ -4,23 +4,24 @@ from __future__ import annotations
 
 import re
 import time
-import unicodedata
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window as W
 
 from plazalens.functions import dom
 from plazalens.functions import posts as C
 from plazalens.functions.anchors import HEAD, anchors_of, merged
-from plazalens.functions.joins import BLANK, substring_hits
+from plazalens.functions.joins import BLANK, holding, substring_hits, tokens_of
 from plazalens.functions.spans import SpanRule, find_spans
 from plazalens.functions.tables import ranked
-from plazalens.functions.text import any_of, contains_any, extract_or_null, first_contained, found_in_order
+from plazalens.functions.text import any_of, contains_any, extract_or_null, first_contained, folded, found_in_order, strip
 from plazalens.rules import categories as R
 from plazalens.rules import phrases as P
+from plazalens.session import durable
 
 # -- rule labelling ---------------------------------------------------------
 
@@ -36,11 +37,6 @@ def folded_pattern(rules: list[str]) -> str:
     return "(?Ud)" + "|".join(parts)
 
 
-def folded(content: Column) -> Column:
-    """Lower case, with the two letters that fold to ASCII replaced by it."""
-    return F.translate(F.lower(content), "ſı", "si")
-
-
 def _hit(patterns: list[str], low: Column, heads: Column, group: int) -> Column:
     """Any rule hits. Groups of rules are tried only when their anchors occur."""
     tests = []
@@ -77,7 +73,7 @@ def detected_categories(content: Column, rules: dict[str, list[str]] | None = No
         )
 
     found = F.transform(F.array(F.struct(low.alias("low"), heads.alias("heads"))), hits)[0]
-    return F.when(F.length(F.trim(content)) >= 5, found).otherwise(F.array().cast("array<string>"))
+    return F.when(F.length(strip(content)) >= 5, found).otherwise(F.array().cast("array<string>"))
 
 
 def with_categories(posts: DataFrame, rules: dict[str, list[str]] | None = None) -> DataFrame:
@@ -97,14 +93,15 @@ def category_keywords(categories: Column) -> Column:
     return F.array_sort(F.array_distinct(F.flatten(F.array(*lists))))
 
 
-def entity_tags(content: Column, entities: list[tuple[str, str]] | None = None, limit: int = R.ENTITY_LIMIT) -> Column:
-    """`kind:name` of the listed entities on word boundaries, in list order, first ``limit``."""
+def entity_tags(content: Column, entities: list[tuple[str, str]] | None = None, limit: int | None = None) -> Column:
+    """`kind:name` of the listed entities on word boundaries, in list order, or the first ``limit``."""
     low = F.lower(content)
     hits = [
         F.when(low.contains(name) & low.rlike(rf"(?U)\b{re.escape(name)}\b"), F.lit(f"{kind}:{name}"))
         for kind, name in entities or R.ENTITIES
     ]
-    return F.slice(F.array_compact(F.array(*hits)), 1, limit)
+    found = F.array_compact(F.array(*hits))
+    return found if limit is None else F.slice(found, 1, limit)
 
 
 def label(posts: DataFrame, rules: dict[str, list[str]] | None = None) -> DataFrame:
@@ -133,9 +130,15 @@ def label_matches(posts: DataFrame, rules: dict[str, list[str]] | None = None) -
 
 
 @F.pandas_udf(T.StringType())
-def normalize(text: pd.Series) -> pd.Series:
-    """NFKD, lower case, NFC; null becomes ''. Spark has no built-in decomposition."""
-    return text.map(lambda t: unicodedata.normalize("NFC", unicodedata.normalize("NFKD", t).lower()) if t else "")
+def _decomposed(text: pd.Series) -> pd.Series:
+    """NFKD, lower case, NFC. Spark has no built-in decomposition."""
+    return text.str.normalize("NFKD").str.lower().str.normalize("NFC")
+
+
+def normalize(col: str) -> Column:
+    """NFKD, lower case, NFC; null becomes ''. ASCII texts stay in the JVM."""
+    text = F.coalesce(F.col(col), F.lit(""))
+    return F.when(text.rlike(r"^\p{ASCII}*$"), F.lower(text)).otherwise(_decomposed(F.when(~text.rlike(r"^\p{ASCII}*$"), text)))
 
 
 # -- conclusions and triggers -----------------------------------------------
@@ -179,10 +182,10 @@ def needs_verification(posts: DataFrame, claims: DataFrame, min_claims: int = 1)
 
 def clean_label(reply: Column) -> Column:
     """Struct (category, error) of a model's label reply."""
-    low = F.lower(F.trim(reply))
-    bare = F.trim(F.regexp_replace(low, P.LEAD_IN, ""))
+    low = F.lower(strip(reply))
+    bare = strip(F.regexp_replace(low, P.LEAD_IN, ""))
     category = F.when(bare.isin(R.CATEGORIES), bare).otherwise(first_contained(bare, R.CATEGORIES))
-    error = F.when(category.isNull(), F.concat(F.lit("LLM returned invalid category: "), F.trim(reply)))
+    error = F.when(category.isNull(), F.concat(F.lit("LLM returned invalid category: "), strip(reply)))
     return F.struct(category.alias("category"), error.alias("error"))
 
 
@@ -196,19 +199,19 @@ def parse_reply(reply: Column) -> Column:
         return any_of(F.upper(line).startswith(m) for m in marks)
 
     def after_colon(line: Column) -> Column:
-        return F.trim(F.regexp_replace(line, r"(?s)^[^:]*:", ""))
+        return strip(F.regexp_replace(line, r"(?s)^[^:]*:", ""))
 
-    stripped = F.transform(lines, lambda s: F.trim(s))
+    stripped = F.transform(lines, lambda s: strip(s))
     at = F.array_position(F.transform(stripped, lambda s: F.upper(s).startswith("EXPLICACIÓN:")), True)
     head = F.when(at > 0, F.slice(stripped, F.lit(1), F.greatest(at.cast("int") - 1, F.lit(0)))).otherwise(stripped)
     category = F.lower(after_colon(F.try_element_at(F.filter(head, is_category), F.lit(-1))))
     rest = F.filter(lines, lambda s: ~is_category(s))
     text = F.when(at > 0, after_colon(F.try_element_at(stripped, at.cast("int")))).otherwise(
-        F.when(F.size(rest) > 0, F.trim(F.array_join(rest, " "))).otherwise(reply)
+        F.when(F.size(rest) > 0, strip(F.array_join(rest, " "))).otherwise(reply)
     )
     blank = F.coalesce(trimmed, F.lit("")) == ""
     explanation = (
-        F.when(blank, P.NO_EXTERNAL).when(F.length(F.trim(text)) < 10, P.EXTERNAL_DONE).otherwise(text)
+        F.when(blank, P.NO_EXTERNAL).when(F.length(strip(text)) < 10, P.EXTERNAL_DONE).otherwise(text)
     )
     return F.struct(F.when(~blank, category).alias("category"), explanation.alias("explanation"))
 
@@ -289,39 +292,158 @@ def infer_verdict(title: Column, excerpt: Column, source: str) -> Column:
     return _verdict(F.concat_ws(" ", title, excerpt), P.SOURCE_VERDICTS[source])
 
 
+def _asked(queries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Words of every query with their repeats; text, number of words and topic family per query."""
+    parts = F.filter(F.split(F.lower("query"), BLANK), lambda w: w != "")
+    words = queries.select("query_id", F.explode(parts).alias("word")).groupBy("query_id", "word").agg(F.count("*").alias("_times"))
+    low = F.lower("query")
+    family = F.coalesce(*[F.when(contains_any(low, asks), F.lit(i)) for i, (asks, _) in enumerate(P.TOPIC_FAMILIES)])
+    return words, queries.select("query_id", F.size(parts).alias("_total"), family.alias("family"))
+
+
+def _families(text: Column) -> Column:
+    """Numbers of the topic families a text covers."""
+    return F.array_compact(F.array(*[F.when(contains_any(text, words), F.lit(i)) for i, (_, words) in enumerate(P.TOPIC_FAMILIES)]))
+
+
+def _bodies(articles: DataFrame, *others: str) -> DataFrame:
+    text = F.lower(F.concat_ws(" ", "title", "description"))
+    return articles.select("article_id", *others, text.alias("_text")).filter(strip(F.col("_text")) != "")
+
+
 def relevant_articles(queries: DataFrame, articles: DataFrame) -> DataFrame:
     """(query_id, article_id, relevance): articles that hold a query word as a substring,
     or words of the query's topic family. Relevance is the share of the query's words
     (repeats included) that the article holds.
+
+    The result has a row for every such pair; searches that keep a few articles use
+    ``top_articles`` or ``first_articles``, which never build it.
     """
-    parts = F.filter(F.split(F.lower("query"), BLANK), lambda w: w != "")
-    asked = queries.select("query_id", F.explode(parts).alias("word"))
-    wanted = asked.groupBy("query_id", "word").agg(F.count("*").alias("_times"))
-    totals = queries.select("query_id", F.lower("query").alias("_q"), F.size(parts).alias("_total"))
-    text = F.lower(F.concat_ws(" ", "title", "description"))
-    bodies = articles.select("article_id", text.alias("_text")).filter(F.trim("_text") != "")
+    wanted, totals = _asked(queries)
+    bodies = _bodies(articles)
     hits = substring_hits(wanted, bodies.select(F.col("article_id").alias("doc_id"), F.col("_text").alias("text")))
     direct = (
         wanted.join(hits, "word").groupBy("query_id", F.col("doc_id").alias("article_id")).agg(F.sum("_times").alias("_n"))
     )
-
-    family = F.coalesce(*[F.when(contains_any(F.col("_q"), words), F.lit(i)) for i, (words, _) in enumerate(P.TOPIC_FAMILIES)])
-    asks = totals.select("query_id", family.alias("family")).filter(F.col("family").isNotNull())
-    covers = bodies.select(
-        "article_id",
-        F.explode(
-            F.array_compact(
-                F.array(*[F.when(contains_any(F.col("_text"), words), F.lit(i)) for i, (_, words) in enumerate(P.TOPIC_FAMILIES)])
-            )
-        ).alias("family"),
-    )
-    related = asks.join(covers, "family").select("query_id", "article_id", F.lit(0).cast("bigint").alias("_n"))
+    covers = bodies.select("article_id", F.explode(_families(F.col("_text"))).alias("family"))
+    related = totals.select("query_id", "family").join(covers, "family").select("query_id", "article_id", F.lit(0).cast("bigint").alias("_n"))
     found = direct.unionByName(related).groupBy("query_id", "article_id").agg(F.max("_n").alias("_n"))
     return found.join(totals.select("query_id", "_total"), "query_id").select(
         "query_id", "article_id", F.least(F.col("_n") / F.col("_total"), F.lit(1.0)).alias("relevance")
     )
 
 
+def relevance_of(pairs: DataFrame, queries: DataFrame, articles: DataFrame) -> DataFrame:
+    """(query_id, article_id, relevance) of chosen pairs."""
+    parts = F.filter(F.split(F.lower("query"), BLANK), lambda w: w != "")
+    both = pairs.join(queries.select("query_id", parts.alias("_words")), "query_id").join(_bodies(articles), "article_id")
+    held = F.size(F.filter("_words", lambda w: F.col("_text").contains(w)))
+    return both.select("query_id", "article_id", F.least(held / F.size("_words"), F.lit(1.0)).alias("relevance"))
+
+
+def first_articles(queries: DataFrame, articles: DataFrame, order: list[Column], k: int) -> DataFrame:
+    """(query_id, article_id): of the articles related to a query the first ``k`` per source, by
+    ``order``, rising values of the articles alone.
+
+    The first k of a union are among the first k of its parts, so every token, word and family
+    keeps k articles per source before queries meet them.
+    """
+    wanted, totals = _asked(queries)
+    keys = [f"_o{i}" for i in range(len(order))]
+    bodies = durable(_bodies(articles.withColumns(dict(zip(keys, order))), "source_name", *keys))
+    by = [F.col(c).asc_nulls_last() for c in keys]
+    article = ["article_id", "source_name", *keys]
+    tokens = tokens_of(bodies.select(F.struct(*article).alias("doc_id"), F.col("_text").alias("text"))).select("token", "doc_id.*")
+    few = ranked(tokens, ["token", "source_name"], by, k)
+    words = ranked(few.join(holding(wanted, few), "token").drop("token").distinct(), ["word", "source_name"], by, k)
+    direct = wanted.join(words, "word").select("query_id", *article)
+    covers = ranked(bodies.select(*article, F.explode(_families(F.col("_text"))).alias("family")), ["family", "source_name"], by, k)
+    related = totals.join(covers, "family").select("query_id", *article)
+    return ranked(direct.unionByName(related).distinct(), ["query_id", "source_name"], by, k).select("query_id", "article_id")
+
+
+#: Words that most articles hold; an article is known by which of them it has.
+COMMON_WORDS = 12
+#: A query meets the postings of its rarest word, then of its three rarest, then of all.
+ROUNDS = (1, 3, None)
+
+
+def top_articles(queries: DataFrame, articles: DataFrame, k: int) -> DataFrame:
+    """(query_id, article_id, relevance): as ``relevant_articles``, but only the ``k`` best per query
+    and source, by relevance and article_id. Exact, and without all pairs.
+
+    The most common words join nothing: articles are grouped by source and by which of them they hold,
+    and each group's first k stand for it. The other words are visited from rare to common. A query
+    is settled as soon as its k-th best article of every source holds more than the words not visited
+    yet could give to any other.
+    """
+    wanted, totals = _asked(queries)
+    wanted = durable(wanted)
+    bodies = durable(_bodies(articles, "source_name"))
+    tokens = tokens_of(bodies.select(F.col("article_id").alias("doc_id"), F.col("_text").alias("text")))
+    holds = durable(holding(wanted, tokens))
+    sizes = tokens.groupBy("token").agg(F.count("*").alias("n"))
+    spread = durable(holds.join(sizes, "token").groupBy("word").agg(F.sum("n").alias("n")))
+    common = [r.word for r in spread.orderBy(F.desc("n"), "word").limit(COMMON_WORDS).collect()]
+    mask = sum((F.when(F.col("_text").contains(w), F.lit(1 << i)).otherwise(F.lit(0)) for i, w in enumerate(common)), F.lit(0))
+    docs = durable(bodies.select("article_id", "source_name", mask.alias("mask"), _families(F.col("_text")).alias("families")))
+
+    # Queries by their common words: (place, repeats) pairs; few differ.
+    number = F.coalesce(*[F.when(F.col("word") == w, F.lit(i)) for i, w in enumerate(common)], F.lit(None).cast("int"))
+    split = wanted.withColumn("_common", number)
+    signature = split.filter(F.col("_common").isNotNull()).groupBy("query_id").agg(
+        F.sort_array(F.collect_list(F.struct("_common", "_times"))).alias("signature"), F.sum("_times").alias("_common_weight")
+    )
+    held_bits = F.array(*[F.col("mask").bitwiseAND(F.lit(1 << i)) > 0 for i in range(COMMON_WORDS)])
+    shared = F.aggregate(
+        "signature", F.lit(0).cast("bigint"), lambda n, s: n + F.when(F.get(held_bits, s["_common"]), s["_times"]).otherwise(0)
+    )
+    first = ranked(docs, ["source_name", "mask"], [F.col("article_id")], k)
+    bits = F.array_compact(F.array(*[F.when(F.col("mask").bitwiseAND(F.lit(1 << i)) > 0, F.lit(i)) for i in range(COMMON_WORDS)]))
+    kinds = signature.select("signature").distinct()
+    met = (
+        kinds.select("signature", F.explode("signature").alias("s")).select("signature", F.col("s._common").alias("_common"))
+        .join(first.select("source_name", "article_id", "mask", F.explode(bits).alias("_common")), "_common")
+        .select("signature", "source_name", "article_id", "mask").distinct().withColumn("_n", shared)
+    )
+    met = ranked(met, ["signature", "source_name"], [F.desc("_n"), F.col("article_id")], k)
+    by_common = signature.join(met, "signature").select("query_id", "article_id", "source_name", "_n")
+    covers = ranked(docs.select("article_id", "source_name", F.explode("families").alias("family")), ["family", "source_name"], [F.col("article_id")], k)
+    by_family = totals.join(covers, "family").select("query_id", "article_id", "source_name", F.lit(0).cast("bigint").alias("_n"))
+    settled = durable(by_common.unionByName(by_family))
+
+    rare = split.filter(F.col("_common").isNull()).join(spread, "word")
+    rare = durable(rare.withColumn("_rank", F.row_number().over(W.partitionBy("query_id").orderBy("n", "word"))).select("query_id", "word", "_times", "_rank"))
+    hits = durable(tokens.join(holds.join(rare.select("word").distinct(), "word"), "token").select(F.col("doc_id").alias("article_id"), "word").distinct())
+    n_sources = docs.select("source_name").distinct().count()
+    open_, best = rare.select("query_id").distinct(), settled
+    for visited in ROUNDS:
+        used = rare if visited is None else rare.filter(F.col("_rank") <= visited)
+        pairs = used.join(open_, "query_id").join(hits, "word").select("query_id", "article_id").distinct()
+        held = pairs.join(rare, "query_id").join(hits, ["article_id", "word"]).groupBy("query_id", "article_id").agg(F.sum("_times").alias("_rare"))
+        full = held.join(docs, "article_id").join(signature, "query_id", "left").select(
+            "query_id", "article_id", "source_name", (F.col("_rare") + F.coalesce(shared, F.lit(0))).alias("_n")
+        )
+        best = best.unionByName(full).groupBy("query_id", "article_id", "source_name").agg(F.max("_n").alias("_n"))
+        best = durable(ranked(best, ["query_id", "source_name"], [F.desc("_n"), F.col("article_id")], k))
+        if visited is None:
+            break
+        rest = rare.filter(F.col("_rank") > visited).groupBy("query_id").agg(F.sum("_times").alias("_rest"))
+        rest = rest.join(signature.select("query_id", "_common_weight"), "query_id", "left")
+        kth = best.groupBy("query_id", "source_name").agg(F.count("*").alias("m"), F.min("_n").alias("low")).filter(F.col("m") >= k)
+        kth = kth.groupBy("query_id").agg(F.count("*").alias("sources"), F.min("low").alias("low"))
+        done = kth.join(rest, "query_id").filter(
+            (F.col("sources") == n_sources) & (F.col("low") > F.col("_rest") + F.coalesce("_common_weight", F.lit(0)))
+        )
+        # A query without words to visit has none left either.
+        open_ = durable(rest.select("query_id").join(open_, "query_id").join(done, "query_id", "left_anti"))
+        if open_.isEmpty():
+            break
+    return best.join(totals.select("query_id", "_total"), "query_id").select(
+        "query_id", "article_id", F.least(F.col("_n") / F.col("_total"), F.lit(1.0)).alias("relevance")
+    )
+
+
 # -- display columns --------------------------------------------------------
 
 
@@ -638,7 +760,7 @@ def parse_fact_checks(pages: DataFrame, source: str) -> DataFrame:
             "claim",
             F.col("_v.verdict").alias("verdict"),
             F.col("_v.confidence").alias("confidence"),
-            F.when(F.length("excerpt") > 200, F.concat(F.substring("excerpt", 1, 200), F.lit("..."))).otherwise(F.col("excerpt")).alias("explanation"),
+            F.col("excerpt").alias("explanation"),
             F.lit(P.FACT_CHECK_NAMES[source]).alias("source_name"),
             F.when(F.col("href").startswith("http"), F.col("href")).otherwise(F.concat(F.lit(P.FACT_CHECK_SITES[source]), "href")).alias("url"),
             published.alias("publication_date"),
@@ -649,19 +771,20 @@ def parse_fact_checks(pages: DataFrame, source: str) -> DataFrame:
 
 # -- stored statistics ------------------------------------------------------
 
-# Fixed values: (source, indicator, unit, factor, latest rows kept or none).
+# Fixed values: (source, indicator, unit, factor).
 STATISTICS = {
-    "ine": ("INE", "population", "personas", 1.0, None),
-    "eurostat_gdp": ("Eurostat", "gdp", "EUR", 1e6, 5),
-    "eurostat_growth": ("Eurostat", "gdp_growth", "%", 1.0, 5),
-    "who": ("WHO", "life_expectancy", "años", 1.0, None),
-    "worldbank": ("World Bank", "gdp_per_capita", "USD", 1.0, 5),
+    "ine": ("INE", "population", "personas", 1.0),
+    "eurostat_gdp": ("Eurostat", "gdp", "EUR", 1e6),
+    "eurostat_growth": ("Eurostat", "gdp_growth", "%", 1.0),
+    "who": ("WHO", "life_expectancy", "años", 1.0),
+    "worldbank": ("World Bank", "gdp_per_capita", "USD", 1.0),
 }
 
 
-def normalize_statistics(raw: DataFrame, source: str) -> DataFrame:
-    """Stored JSON answers (payload_id, payload) of one source -> reference_stats rows."""
-    name, indicator, unit, factor, latest = STATISTICS[source]
+def normalize_statistics(raw: DataFrame, source: str, latest: int | None = None) -> DataFrame:
+    """Stored JSON answers (payload_id, payload) of one source -> reference_stats rows: all of an
+    answer, or its ``latest`` years."""
+    name, indicator, unit, factor = STATISTICS[source]
     payload = F.col("payload")
     if source == "ine":
         items = raw.select(

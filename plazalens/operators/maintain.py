@@ -176,7 +176,7 @@ def failed_rows(failures: DataFrame, as_of: Column) -> DataFrame:
         as_of.alias("analysis_ts"),
         F.to_json(
             F.struct(
-                F.substring(message, 1, 500).alias("error"),
+                message.alias("error"),
                 F.greatest(F.size("media_urls"), F.lit(0)).alias("media_urls"),
             )
         ).alias("analysis_json"),

@@ -95,9 +95,11 @@ def accounts_with_stats(accounts: DataFrame, posts: DataFrame, analyses: DataFra
     )
 
 
-def account_activity(posts: DataFrame, as_of: Column, latest: int = 1000, days: int = 7) -> tuple[DataFrame, DataFrame]:
-    """Per user: activity figures over the latest posts, and daily counts of the last days."""
-    newest = ranked(posts, ["username"], [F.col("post_ts").desc(), F.col("post_id").desc()], latest)
+def account_activity(posts: DataFrame, as_of: Column, latest: int | None = None, days: int = 7) -> tuple[DataFrame, DataFrame]:
+    """Per user: activity figures over all or the ``latest`` posts, and daily counts of the last days."""
+    newest = posts
+    if latest is not None:
+        newest = ranked(posts, ["username"], [F.col("post_ts").desc(), F.col("post_id").desc()], latest)
     totals = posts.groupBy("username").agg(F.count("*").alias("total_posts"))
     media = F.coalesce("media_count", F.lit(0))
     basic = newest.groupBy("username").agg(

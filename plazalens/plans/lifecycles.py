@@ -13,8 +13,8 @@ from plazalens.operators.views import pending_posts
 from plazalens.session import durable
 
 
-def claims_of_posts(posts: DataFrame, as_of: Column, n: int = 5) -> DataFrame:
-    """Best scored claims per post with a ``claim_id``."""
+def claims_of_posts(posts: DataFrame, as_of: Column, n: int | None = None) -> DataFrame:
+    """Scored claims of every post, or the ``n`` best, with a ``claim_id``."""
     top = K.top_claims(K.score_claims(K.all_claims(posts), as_of), n)
     return top.withColumn("claim_id", F.concat_ws("/", "post_id", F.col("claim_no").cast("string")))
 
@@ -25,7 +25,7 @@ def verify_content(
     fact_checks: DataFrame,
     articles: DataFrame,
     as_of: Column,
-    per_source: int = 2,
+    per_source: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(reports per post, judged claims). Numbers go to the statistics, dates to the
     rules, everything else to fact checks and articles; all of these are tables."""

@@ -4,6 +4,7 @@ import random
 import re
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from plazalens.functions.anchors import anchors_of
@@ -177,3 +178,26 @@ def test_stream_upsert_replay(spark, tmp_path):
         J.upsert_batch(batch, path, [F.col("n")], stored.schema, buckets=4)
     got = sorted((r["post_id"], r["content"], r["username"], r["thread_id"]) for r in J.read_table(spark, path, stored.columns).collect())
     assert got == [("1", "b", "u", "t"), ("2", "c", "u", None)]
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_searches_keep_the_best_of_all_pairs(spark, seed):
+    """Both top-k searches against ranking the full set of pairs."""
+    from plazalens.operators import evidence as G
+
+    rng = random.Random(seed)
+    words = ["de", "la", "que", "y"] * 6 + [f"palabra{i}" for i in range(40)] + ["pib", "desempleo", "vacuna", "ab", "paro"]
+    text = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    queries = spark.createDataFrame([(f"q{i}", text(rng.randrange(0, 7))) for i in range(60)] + [("q60", None)], "query_id string, query string")
+    rows = [(f"a{i:03}", text(rng.randrange(0, 4)), text(rng.randrange(0, 30)), rng.choice(["Maldita", "Newtral", "El País"]), rng.choice([0.2, 0.5, None]), f"2024-01-{rng.randrange(1, 29):02}") for i in range(120)]
+    articles = spark.createDataFrame(rows, "article_id string, title string, description string, source_name string, confidence double, day string").repartition(3)
+    for k in (1, 3):
+        every = {tuple(r) for r in G.rank_articles(queries, articles, None).filter(f"rank <= {k}").select("query_id", "article_id", "relevance", "rank").collect()}
+        best = {tuple(r) for r in G.rank_articles(queries, articles, k).select("query_id", "article_id", "relevance", "rank").collect()}
+        assert best == every
+        checks = articles.selectExpr("article_id as check_id", "concat_ws(' ', title, description) as claim", "'Falso' as verdict", "confidence", "source_name", "to_date(day) as publication_date")
+        claims = queries.selectExpr("query_id as claim_id", "query as claim_text")
+        order = ["claim_id", "check_id", "source_name", "relevance"]
+        w = "row_number() over (partition by claim_id, source_name order by confidence desc, publication_date desc, check_id)"
+        whole = G.match_fact_checks(claims, checks, None).selectExpr(*order, f"{w} as place").filter(f"place <= {k}").select(*order)
+        assert {tuple(r) for r in G.match_fact_checks(claims, checks, k).select(*order).collect()} == {tuple(r) for r in whole.collect()}
