@@ -2,17 +2,18 @@
 the window before it. Refused rows do not count, so the result depends on earlier
 results and no single window expression gives it.
 
-Each key's log is cut into time chunks at least one window long, so a chunk depends
-only on the rows that passed at the end of the chunk before it. All chunks are first
-replayed in parallel as if nothing came before; chunks whose incoming state differs
-from the assumed one are replayed until nothing changes. A hot key thereby uses many
-tasks, and the usual case (quiet chunk ends) needs a single replay.
+Where at most ``n`` rows of any kind lie in two windows before a row, all rows of the last
+window have passed, whatever came earlier. At such *calm* rows a key's log is cut
+into segments: the state there is known, so segments are walked in parallel, once. Rows
+of segments that never hold more than ``n`` rows in a window pass without a walk. A
+segment is as long as its key stays close to its limit without a calm row.
 """
 
 from __future__ import annotations
 
 from collections import deque
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -22,6 +23,9 @@ from pyspark.sql import Window as W
 
 from plazalens.session import durable
 
+#: Rows in a frame are counted in thousandths of the window; a little more is counted than lies in it.
+ONE, TWO = 1001, 2002
+
 
 def _pass(passed: deque, now: float, limit: int, window: float) -> bool:
     while passed and passed[0] <= now - window:
@@ -38,20 +42,22 @@ def admitted_times(seconds: list[float], limit: int, window: float, state: list[
     return [_pass(passed, now, limit, window) for now in seconds]
 
 
-def _scan(group: list[str]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """Walk one sorted partition; only the passed times of the current group are held."""
+def _scan(group: list[str], out: list[str]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Walk one sorted partition; only the passed times of the current segment are held."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, passed = None, deque()
         for batch in batches:
             flags = []
-            keys = zip(*[batch[g] for g in group], strict=True)
-            rows = zip(keys, batch["_sec"], batch["_limit"], batch["_window"], batch["_state"], strict=True)
-            for key, now, limit, window, state in rows:
+            keys = batch[group].astype(object).where(batch[group].notna(), None).itertuples(index=False, name=None)
+            for key, now, limit, window, lead in zip(keys, batch["_sec"], batch["_limit"], batch["_window"], batch["_lead"], strict=True):
                 if key != current:
-                    current, passed = key, deque([] if state is None else state)
-                flags.append(_pass(passed, now, limit, window))
-            yield batch.assign(admitted=flags)
+                    current, passed = key, deque()
+                if lead:
+                    passed.append(now)
+                flags.append(None if lead else _pass(passed, now, limit, window))
+            batch["admitted"] = flags
+            yield batch.loc[~batch["_lead"], out].astype({"admitted": bool})
 
     return run
 
@@ -66,49 +72,55 @@ def admit(
     chunk_seconds: int = 86_400,
 ) -> DataFrame:
     """Add the boolean ``admitted``. ``limit`` and ``window`` (seconds) are constant per key."""
+    size = F.greatest(F.lit(float(chunk_seconds)), 2.01 * F.col("_window"))
     base = (
         log.withColumn("_sec", F.unix_micros(ts) / F.lit(1_000_000.0))
         .withColumn("_limit", limit.cast("long"))
         .withColumn("_window", window.cast("double"))
-        .withColumn("_chunk", F.floor(F.col("_sec") / F.greatest(F.lit(float(chunk_seconds)), F.col("_window"))).cast("long"))
+        .withColumn("_chunk", F.floor(F.col("_sec") / size).cast("long"))
     )
-    group = [*keys, "_chunk"]
-    empty = F.array().cast("array<double>")
-    schema = T.StructType([*base.withColumn("_state", empty).schema.fields, T.StructField("admitted", T.BooleanType())])
-
-    def replay(rows: DataFrame) -> DataFrame:
-        placed = rows.repartition(*group).sortWithinPartitions(*group, "_sec", *order)
-        return placed.mapInPandas(_scan(group), schema)
-
-    done = durable(replay(base.withColumn("_state", empty)))
-    along = W.partitionBy(*keys).orderBy("_chunk")
-    while True:
-        # What each chunk hands on: at most `limit` passed times of its last window.
-        ends = done.groupBy(*group).agg(
-            F.max("_state").alias("_used"),
-            F.max("_window").alias("_window"),
-            F.sort_array(
-                F.collect_list(
-                    F.when(
-                        F.col("admitted")
-                        & (
-                            F.col("_sec")
-                            > (F.col("_chunk") + 1) * F.greatest(F.lit(float(chunk_seconds)), F.col("_window")) - F.col("_window")
-                        ),
-                        F.col("_sec"),
-                    )
-                )
-            ).alias("_out"),
-        )
-        incoming = ends.withColumn(
-            "_in",
-            F.coalesce(F.when(F.lag("_chunk").over(along) == F.col("_chunk") - 1, F.lag("_out").over(along)), empty),
-        )
-        stale = durable(incoming.filter(F.col("_in") != F.col("_used")).select(*group, F.col("_in")))
-        if stale.isEmpty():
-            break
-        fixed = replay(
-            done.drop("admitted", "_state").join(stale.withColumnRenamed("_in", "_state"), group).select(*schema.names[:-1])
+    # Counts of all rows in one and two windows; a chunk of time also sees the end of the one before.
+    late = F.col("_sec") > (F.col("_chunk") + 1) * size - 2.01 * F.col("_window")
+    seen = base.withColumn("_at", F.explode(F.when(late, F.array(F.col("_chunk"), F.col("_chunk") + 1)).otherwise(F.array("_chunk"))))
+    along = W.partitionBy(*keys, "_at").orderBy(F.col("_sec") / F.col("_window") * 1000)
+    counted = (
+        seen.withColumn("_busy", F.count("*").over(along.rangeBetween(-ONE, 0)) > F.col("_limit"))
+        .withColumn("_calm", F.count("*").over(along.rangeBetween(-TWO, 0)) <= F.col("_limit"))
+        .filter(F.col("_at") == F.col("_chunk"))
+        .drop("_at")
+    )
+    counted = durable(counted)
+
+    # The first calm row of each chunk cuts; a few rows per key and day.
+    by_chunk = W.partitionBy(*keys).orderBy("_chunk")
+    chunks = counted.groupBy(*keys, "_chunk").agg(F.min(F.when(F.col("_calm"), F.col("_sec"))).alias("_cut"))
+    earlier = F.last(F.when(F.col("_cut").isNotNull(), F.col("_chunk")), ignorenulls=True).over(by_chunk.rowsBetween(W.unboundedPreceding, -1))
+    following = F.when(F.lead("_chunk").over(by_chunk) == F.col("_chunk") + 1, F.lead("_cut").over(by_chunk))
+    chunks = chunks.withColumn("_from", F.coalesce(earlier, F.lit(-(1 << 60)))).withColumn("_following", following)
+
+    def same(left: DataFrame, right: DataFrame, names: list[str]) -> Column:
+        return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[f"_r{k}"]) for k in names])
+
+    chunks = chunks.withColumnsRenamed({k: f"_r{k}" for k in [*keys, "_chunk"]})
+    placed = counted.join(chunks, same(counted, chunks, [*keys, "_chunk"])).drop(*[f"_r{k}" for k in [*keys, "_chunk"]])
+    behind = F.col("_cut").isNotNull() & (F.col("_sec") >= F.col("_cut"))
+    placed = placed.withColumn("_segment", F.when(behind, F.col("_chunk")).otherwise(F.col("_from")))
+    busy = placed.filter("_busy").select(*[F.col(k).alias(f"_r{k}") for k in [*keys, "_segment"]]).distinct()
+
+    # A segment's state at its begin is made of the rows of one window before.
+    near = lambda cut: F.coalesce((F.col("_sec") < cut) & (F.col("_sec") > cut - 1.001 * F.col("_window")), F.lit(False))
+    roles = F.array_compact(
+        F.array(
+            F.struct(F.col("_segment").alias("segment"), F.lit(False).alias("lead")),
+            F.when(near(F.col("_cut")), F.struct(F.col("_chunk").alias("segment"), F.lit(True).alias("lead"))),
+            F.when(near(F.col("_following")), F.struct((F.col("_chunk") + 1).alias("segment"), F.lit(True).alias("lead"))),
         )
-        done = durable(done.join(stale.select(*group), group, "left_anti").select(*schema.names).unionByName(fixed))
-    return done.select(*log.columns, "admitted")
+    )
+    parts = placed.withColumn("_role", F.explode(roles)).withColumns({"_segment": F.col("_role.segment"), "_lead": F.col("_role.lead")}).drop("_role")
+    group = [*keys, "_segment"]
+    walked = parts.join(busy, same(parts, busy, group), "left_semi")
+    quiet = placed.join(busy, same(placed, busy, group), "left_anti")
+    schema = T.StructType([*log.schema.fields, T.StructField("admitted", T.BooleanType())])
+    needed = walked.select(*log.columns, "_sec", "_limit", "_window", "_segment", "_lead")
+    sorted_ = needed.repartition(*group).sortWithinPartitions(*group, "_sec", *order)
+    return sorted_.mapInPandas(_scan(group, schema.names), schema).unionByName(quiet.select(*log.columns, F.lit(True).alias("admitted")))

@@ -60,7 +60,7 @@ def upsert_batch(batch: DataFrame, path: str, order: list, schema: T.StructType,
 
 def stream_upsert(
     stream: DataFrame, path: str, checkpoint: str, schema: T.StructType, order_column: str, buckets: int = BUCKETS,
-    event_time: str | None = None, delay: str = "1 hour",
+    event_time: str | None = None, delay: str = "1 hour", trigger: dict | None = None,
 ):
     """Start the micro-batch upsert of a post stream into the bucketed table at ``path``.
 
@@ -79,7 +79,7 @@ def stream_upsert(
     return (
         stream.writeStream.foreachBatch(apply)
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**(trigger or {"availableNow": True}))
         .start()
     )
 
@@ -94,10 +94,11 @@ def claim_stream(stream: DataFrame, as_of) -> DataFrame:
     return score_claims(contextual_claims(stream), as_of)
 
 
-def append_to(stream: DataFrame, path: str, checkpoint: str):
+def append_to(stream: DataFrame, path: str, checkpoint: str, trigger: dict | None = None):
+    """Append a stream to a Parquet folder; without ``trigger`` what is there now, then stop."""
     return (
         stream.writeStream.format("parquet").outputMode("append").option("path", path)
-        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        .option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
     )
 
 
@@ -115,28 +116,57 @@ BREACH_SCHEMA = "event_id bigint, key string, endpoint string, ts timestamp"
 
 
 def breach_stream(log: DataFrame, limits: dict[str, tuple[int, int]], delay: str = "10 minutes") -> DataFrame:
-    """Refused requests of a stream. The state per (client, endpoint) holds at most its
-    limit of passed times and is forgotten once the watermark leaves its window."""
+    """Refused requests of a stream, in whatever order requests arrive within ``delay``.
+
+    A request is decided once the watermark has passed it, as no earlier one can come
+    then; until that it waits in the state of its (client, endpoint). The state holds the requests of
+    ``delay`` and at most ``limit`` passed times, and goes when both have left the window.
+    """
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
         limit, window = limits[key[1]]
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        # datetime64 of any unit -> seconds
-        seconds = (rows["ts"] - pd.Timestamp(0)).dt.total_seconds().tolist()
-        passed = list(state.get[0]) if state.exists else []
-        ok = admitted_times(seconds, limit, float(window), passed)
-        passed = (passed + [s for s, good in zip(seconds, ok, strict=True) if good])[-limit:]
-        state.update((passed,))
-        gone = int((seconds[-1] + window) * 1000)
-        state.setTimeoutTimestamp(max(gone, state.getCurrentWatermarkMs() + 1))
-        yield rows.loc[[not good for good in ok], ["event_id", "key", "endpoint", "ts"]]
+        passed, ids, times = (list(x) for x in state.get) if state.exists else ([], [], [])
+        if not state.hasTimedOut:
+            for rows in batches:
+                ids += rows["event_id"].tolist()
+                # datetime64 of any unit -> seconds
+                times += (rows["ts"] - pd.Timestamp(0)).dt.total_seconds().tolist()
+        mark = state.getCurrentWatermarkMs()
+        waiting = sorted(zip(times, ids, strict=True))
+        ready = [x for x in waiting if x[0] * 1000 < mark]
+        waiting = waiting[len(ready):]
+        ok = admitted_times([t for t, _ in ready], limit, float(window), passed)
+        passed = (passed + [t for (t, _), good in zip(ready, ok, strict=True) if good])[-limit:]
+        refused = [x for x, good in zip(ready, ok, strict=True) if not good]
+        if waiting or (passed and (passed[-1] + window) * 1000 > mark):
+            state.update((passed, [i for _, i in waiting], [t for t, _ in waiting]))
+            wake = waiting[0][0] * 1000 + 1 if waiting else (passed[-1] + window) * 1000
+            state.setTimeoutTimestamp(max(int(wake), mark + 1))
+        else:
+            state.remove()
+        yield pd.DataFrame(
+            {
+                "event_id": [i for _, i in refused], "key": key[0], "endpoint": key[1],
+                "ts": pd.to_datetime([round(t * 1_000_000) for t, _ in refused], unit="us"),
+            }
+        )
 
     return (
         log.withWatermark("ts", delay)
         .filter(F.col("endpoint").isin(list(limits)))
         .groupBy("key", "endpoint")
-        .applyInPandasWithState(run, BREACH_SCHEMA, "passed array<double>", "append", GroupStateTimeout.EventTimeTimeout)
+        .applyInPandasWithState(
+            run, BREACH_SCHEMA, "passed array<double>, ids array<bigint>, times array<double>", "append", GroupStateTimeout.EventTimeTimeout
+        )
+    )
+
+
+def end_mark(log: DataFrame, delay_days: int) -> DataFrame:
+    """One request far behind the last: reading it closes a finite stream, as it moves the
+    watermark over all others. It is never decided itself."""
+    last = log.agg((F.max("ts") + F.make_dt_interval(F.lit(2 * delay_days + 1))).alias("ts"))
+    kinds = {f.name: f.dataType for f in log.schema.fields}
+    first = log.select("endpoint").limit(1)
+    return first.crossJoin(last).select(  # one row each
+        *[F.col(c) if c in ("endpoint", "ts") else F.lit(-1 if c == "event_id" else None).cast(kinds[c]).alias(c) for c in log.columns]
     )

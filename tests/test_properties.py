@@ -156,16 +156,38 @@ def test_split_cuts_at_the_share(spark):
 
 
 def test_breach_stream_equals_batch(spark, tmp_path):
+    """Shuffled files, one a micro-batch: late rows meet newer ones that came first."""
     rng = random.Random(8)
     base = datetime(2024, 1, 1)
     data = [(i, "k", "api", base + timedelta(seconds=rng.randint(0, 400))) for i in range(200)]
+    rng.shuffle(data)
     log = spark.createDataFrame(data, "event_id long, key string, endpoint string, ts timestamp")
     limits = {"api": (4, 60)}
-    log.write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(log.schema).parquet(str(tmp_path / "in"))
-    J.append_to(J.breach_stream(stream, limits), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
-    got = {r["event_id"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
-    assert got == {r["event_id"] for r in H.rate_breaches(log, limits).collect()}
+    for part in range(4):
+        spark.createDataFrame(data[part * 50:][:50], log.schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    J.end_mark(log, 1).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    J.append_to(J.breach_stream(stream, limits, "1 hour"), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    got = sorted(r["event_id"] for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert got == sorted(r["event_id"] for r in H.rate_breaches(log, limits).collect())
+
+
+def test_long_windows_and_busy_clients(spark):
+    """Windows over a million seconds keep their values; a busy client needs one checkpoint, however
+    many days it is busy."""
+    base = datetime(2024, 1, 1)
+    data = [(i, "k", "api", base + timedelta(hours=7 * i)) for i in range(300)]
+    log = spark.createDataFrame(data, "event_id long, key string, endpoint string, ts timestamp")
+    limits = {"api": (5, 2_592_000)}
+    wanted, passed = [], []
+    for i, _, _, t in data:
+        passed = [p for p in passed if p > t - timedelta(seconds=2_592_000)]
+        if len(passed) < 5:
+            passed.append(t)
+        else:
+            wanted.append(i)
+    assert sorted(r["event_id"] for r in H.rate_breaches(log, limits).collect()) == wanted
+    assert {(r["max_requests"]) for r in H.request_volume(log, limits).collect()} == {5}
 
 
 def test_stream_upsert_replay(spark, tmp_path):
