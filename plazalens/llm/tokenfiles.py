@@ -7,11 +7,11 @@ control byte, and a table of 256 rows gives the four lengths, so numpy decodes a
 lookups without a loop. Blocks are rows of a table in the shared folder (part, block, first id,
 documents with their lengths, control, data); the ranks lie beside it.
 
-Texts are encoded once, by the tokenizers library, a word between white space at a time, as its
-pattern never crosses white space: equal words of a slice are encoded once.
+Texts are encoded by the tokenizers library, a piece between white space at a time, as its pattern
+never crosses white space: equal pieces of a slice are encoded once.
 
-Order without one task that sees all: documents are dealt into parts by bounds on doc_id, sorted inside
-a part, and the number of ids before each part comes from the sums per part.
+Order without one task that sees all: documents are dealt into parts, ranges of doc_id, and sorted
+inside a part; the number of ids before each part comes from the sums per part.
 
 Defined results: a null text is empty and has only the end id; rows without doc_id come first;
 repeated rows stand next to each other; an empty table gives no rows; other columns are left aside.
@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import functools
 import os
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -28,18 +29,21 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plazalens.llm.common import bounds, part_of, slices, spans, written
+from plazalens.llm.common import slices, spans, written
 from plazalens.session import work_folder
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 END = 1
 BLOCK_TOKENS = 1 << 16
 SLICE = 8 << 20
-#: Ranges of doc_id; each is sorted by itself.
-PARTS = 256
+#: Words that a worker keeps from slice to slice.
+CACHED = 300_000
+
+_SIMPLE = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f]+)([.,;:!?]*)")
 
 #: For each control byte, the lengths of its four ids.
 LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3) + 1
@@ -71,29 +75,91 @@ def unpack(control: bytes, data: bytes, count: int) -> np.ndarray:
     return out
 
 
-@functools.lru_cache(2)
-def _tokenizer(path: str):
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    found = Tokenizer.from_file(path)
-    found.no_truncation()
-    found.no_padding()
-    return found
+class Words:
+    """Ids of pieces between white space, from the tokenizers library.
+
+    A piece of Latin letters, perhaps with signs behind, is two words of the tokenizer's pattern, each in
+    lower case; such words go to the library many at a time, joined by blanks, and their ids are told
+    apart by the mark of a word's last id. Other pieces go to it one by one. The first CACHED
+    words of a worker stay known.
+    """
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.known: dict[str, int] = {}
+        self.ids, self.counts = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+
+    def _one_by_one(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids, counts = [np.zeros(0, np.uint32)], []
+        for k in range(0, len(pieces), 8192):
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(pieces[k : k + 8192], add_special_tokens=False)]
+            counts += map(len, found)
+            ids.append(np.fromiter((i for f in found for i in f), np.uint32))
+        return np.concatenate(ids), np.array(counts, np.int64)
+
+    def _together(self, words: list[str], at_once: int = 512) -> tuple[np.ndarray, np.ndarray]:
+        lines = [words[k : k + at_once] for k in range(0, len(words), at_once)]
+        ids, counts = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        for line, found in zip(lines, self.tokenizer.encode_batch_fast([" ".join(x) for x in lines], add_special_tokens=False)):
+            flat = np.array(found.ids, np.uint32)
+            stops = np.flatnonzero(self.last[flat]) + 1
+            if len(stops) != len(line):  # the library sees other words here
+                flat, sizes = self._one_by_one(line)
+            else:
+                sizes = np.diff(np.concatenate([[0], stops]))
+            ids.append(flat)
+            counts.append(sizes)
+        return np.concatenate(ids), np.concatenate(counts)
+
+    def encode(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all pieces, one after another, and where those of each begin."""
+        fresh: tuple[dict[str, int], dict[str, int]] = ({}, {})
+        parts, per_piece = [], np.ones(len(pieces), np.int64)
+        known = self.known
+        for n, piece in enumerate(pieces):
+            simple = _SIMPLE.fullmatch(piece)
+            if not simple:
+                at = known.get(piece)
+                parts.append(at if at is not None else -1 - 2 * fresh[1].setdefault(piece, len(fresh[1])))
+                continue
+            word = simple[1].lower()
+            at = known.get(word)
+            parts.append(at if at is not None else -2 - 2 * fresh[0].setdefault(word, len(fresh[0])))
+            if simple[2]:
+                at = known.get(simple[2])
+                parts.append(at if at is not None else -2 - 2 * fresh[0].setdefault(simple[2], len(fresh[0])))
+                per_piece[n] = 2
+        (a, na), (b, nb) = self._together(list(fresh[0])), self._one_by_one(list(fresh[1]))
+        ids, counts = np.concatenate([self.ids, a, b]), np.concatenate([self.counts, na, nb])
+        entry = np.array(parts, np.int64)
+        new = -1 - entry
+        entry = np.where(entry >= 0, entry, len(self.counts) + np.where(new % 2 == 1, new // 2, len(na) + new // 2))
+        flat, heads = spans(np.concatenate([[0], np.cumsum(counts)]), entry)
+        if len(known) < CACHED:
+            for words, before in zip(fresh, (len(self.counts), len(self.counts) + len(na))):
+                known.update((w, before + n) for w, n in words.items())
+            self.ids, self.counts = ids, counts
+        return ids[flat], heads[np.concatenate([[0], np.cumsum(per_piece)])]
+
+
+@functools.lru_cache(1)
+def _words(path: str) -> Words:
+    return Words(path)
 
 
 def encoded(column: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts with the end id, one after another, and where those of each text begin."""
     split = pc.ascii_split_whitespace(column.fill_null("").cast(pa.large_string()))
     words = split.flatten().dictionary_encode()
-    vocabulary, ids, counts = words.dictionary.to_pylist(), [np.zeros(0, np.uint32)], []
-    tokenizer = _tokenizer(path)
-    for k in range(0, len(vocabulary), 8192):
-        found = [e.ids for e in tokenizer.encode_batch_fast(vocabulary[k : k + 8192], add_special_tokens=False)]
-        counts += map(len, found)
-        ids.append(np.fromiter((i for f in found for i in f), np.uint32))
-    table = np.concatenate(ids)
-    places = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
+    table, places = _words(path).encode(words.dictionary.to_pylist())
     flat, heads = spans(places, words.indices.to_numpy(zero_copy_only=False).astype(np.int64))
     borders = heads[np.concatenate([[0], np.cumsum(split.value_lengths().to_numpy(zero_copy_only=False))])]
     return np.insert(table[flat], borders[1:], END), borders + np.arange(len(borders))
@@ -134,42 +200,33 @@ def ranks(tokens: DataFrame) -> DataFrame:
 
 
 def _blocks(order):
-    """Blocks of a sorted partition. A block ends with a document, at BLOCK_TOKENS ids or more, or with its part."""
+    """Blocks of a sorted partition. A block ends with a document, at BLOCK_TOKENS ids or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state = {"part": None, "block": 0, "before": 0}
+        part, block, before, count = TaskContext.get().partitionId(), 0, 0, 0
         rows: list[tuple] = []
         held: list[np.ndarray] = []
-        count = 0
 
         def flush():
-            ids = np.concatenate(held) if held else np.zeros(0, np.int64)
+            ids = np.concatenate(held)
             control, data = pack(order.value[ids])
             record = {
-                "part": state["part"], "block": state["block"], "before": state["before"], "count": len(ids),
+                "part": part, "block": block, "before": before, "count": len(ids),
                 "docs": [r[0] for r in rows], "lengths": [r[1] for r in rows], "control": control, "data": data,
             }
-            state["block"] += 1
-            state["before"] += len(ids)
             rows.clear()
             held.clear()
             return pa.RecordBatch.from_pylist([record], pa.schema(BLOCK_FIELDS))
 
         for batch in batches:
-            columns = (batch.column(c).to_pylist() for c in ("part", "doc_id", "ids", "wide"))
-            for part, doc, raw, wide in zip(*columns):
-                if part != state["part"]:
-                    if rows:
-                        yield flush()
-                        count = 0
-                    state.update(part=part, block=0, before=0)
+            for doc, raw, wide in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "ids", "wide"))):
                 ids = _ids(raw, wide)
                 rows.append((doc, len(ids)))
                 held.append(ids)
                 count += len(ids)
                 if count >= BLOCK_TOKENS:
                     yield flush()
-                    count = 0
+                    block, before, count = block + 1, before + count, 0
         if rows:
             yield flush()
 
@@ -193,9 +250,9 @@ def write(docs: DataFrame, folder: str, path: str = TOKENIZER) -> None:
     table = order.toPandas()  # a row per id of the vocabulary
     lookup = np.zeros(int(table["id"].max()) + 1 if len(table) else 1, np.int64)
     lookup[table["id"].to_numpy(int)] = table["rank"].to_numpy(int)
-    parts = tokens.withColumn("part", part_of(F.col("doc_id"), bounds(tokens, PARTS)))
-    # Equal ids are ordered by their content, so that blocks are the same in every run.
-    parts = parts.repartition("part").sortWithinPartitions("part", "doc_id", F.xxhash64("ids"))
+    # Parts are ranges of doc_id, as many as the cluster has shuffle partitions. Rows of equal id
+    # are ordered by their content, so that blocks are the same in every run.
+    parts = tokens.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("ids"))
     blocks = parts.mapInArrow(_blocks(spark.sparkContext.broadcast(lookup)), BLOCK_TYPES)
     blocks.write.option("compression", "zstd").parquet(f"{folder}/blocks")
 
@@ -228,7 +285,7 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
     back = np.zeros(len(table) or 1, np.int64)
     back[table["rank"].to_numpy(int)] = table["id"].to_numpy(int)
     blocks = spark.read.parquet(f"{folder}/blocks")
-    sums = blocks.groupBy("part").agg(F.sum("count").alias("n"))  # at most PARTS + 1 rows
+    sums = blocks.groupBy("part").agg(F.sum("count").alias("n"))  # a row per part
     before = Window.partitionBy(F.lit(0)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     first = sums.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
     rows = blocks.mapInArrow(_read(spark.sparkContext.broadcast(back)), "part int, doc_id bigint, at bigint, n_tokens bigint, ids binary")

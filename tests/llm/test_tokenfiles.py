@@ -30,8 +30,7 @@ def brute(rows):
 TEXTS = ["The QUICK brown fox's <|endoftext|> x", None, "", " \n ", "É é ñ 日本語 12.5 foo  bar\x0bbaz\x1cqux", "word " * 40000, "a b c　d", "İstanbul ΣΑΣ ß"]
 
 
-def test_files(spark, monkeypatch):
-    monkeypatch.setattr(tokenfiles, "PARTS", 4)
+def test_files(spark):
     rows = [(7 * i % 23, t, "x") for i, t in enumerate(TEXTS * 2)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, ids string").repartition(3)
     got = [tuple(r) for r in tokenfiles.report(docs).orderBy("doc_id").collect()]
