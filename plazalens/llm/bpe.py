@@ -2,7 +2,7 @@
 
 Texts are cut in front of single spaces between words, where the tokenizer's own pattern always has
 a border, so equal pieces have equal ids anywhere. All pieces are counted over all texts; the
-LEXICON_WORDS most frequent are compiled with their ids into a shared-suffix automaton, which
+most frequent, at most LEXICON_WORDS, are compiled with their ids into a shared-suffix automaton, which
 executors memory-map. Other pieces go through the pattern and the merges, exactly: the pair of
 lowest rank, leftmost first, until none is left. The lexicon only saves work, so its size never
 changes a result.
@@ -27,14 +27,16 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 from pyspark import SparkFiles
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plazalens.llm.common import buffer, slices, spans
+from plazalens.llm.common import buffer, slices, spans, written
 from plazalens.llm.lexicon import Lexicon, build
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 LEXICON_WORDS = 32_768
+#: A piece of the lexicon occurs so often at least.
+LEAST = 8
 SLICE = 8 << 20
 #: Longer tokens of the pattern are merged with a heap, shorter ones side by side in arrays.
 LONG = 256
@@ -305,10 +307,17 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def frequent(docs: DataFrame, most: int = LEXICON_WORDS) -> list[bytes]:
-    """The most frequent pieces of all texts; ties by the bytes. ``most`` of them come to the driver."""
+    """The most frequent pieces of all texts, at most ``most``, which come to the driver.
+
+    A histogram of the counts gives the count from which on that many pieces remain, so no task
+    sends candidates that the result does not hold. Pieces of equal count are in or out together.
+    """
     pieces = docs.select("text").mapInArrow(_counted, "piece binary, n bigint").groupBy("piece").agg(F.sum("n").alias("n"))
-    top = pieces.where(F.octet_length("piece") <= 64).orderBy(F.desc("n"), "piece").limit(most)
-    return [bytes(r.piece) for r in top.collect()]
+    pieces = written(pieces.where((F.col("n") >= LEAST) & (F.octet_length("piece") <= 64)), "pieces")
+    histogram = pieces.groupBy("n").agg(F.count("*").alias("m"))
+    above = F.sum("m").over(Window.partitionBy(F.lit(0)).orderBy(F.desc("n")))
+    least = histogram.withColumn("above", above).where(F.col("above") <= most).agg(F.min("n")).first()[0]
+    return [] if least is None else [bytes(r.piece) for r in pieces.where(F.col("n") >= least).select("piece").collect()]
 
 
 def compiled(docs: DataFrame, path: str = TOKENIZER, most: int = LEXICON_WORDS) -> str:
