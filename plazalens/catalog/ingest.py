@@ -4,6 +4,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from plazalens.catalog.claims import EVENTS_TEXT, event_posts, has
 from plazalens.catalog.labels import LABELS
 from plazalens.catalog.maintain import TS, stamp
 from plazalens.catalog.registry import query
@@ -11,7 +12,8 @@ from plazalens.operators import ingest as O
 from plazalens.operators import reports
 from plazalens.plans import driver_views as D
 from plazalens.plans.lifecycles import analyse_pending
-from plazalens.plans.sample_scorers import by_length, silent
+from plazalens.plans.sample_scorers import refusing, silent
+from plazalens.rules import claims as K
 from plazalens.session import work_folder
 from plazalens.streaming import jobs as J
 
@@ -303,14 +305,27 @@ def collectable(v):
     return O.collectable(v.incoming_posts, v.posts).select("post_id", "reason")
 
 
+ARREST = f"({has('e.content', K.ARREST_WORDS)} AND {has('e.content', K.FIGURES)})"
+
+
 @query(
     "H12_analyse_pending",
-    f"""WITH {LABELS}, w AS (SELECT post_id, username FROM posts p WHERE NOT (post_type IN ('repost_other', 'repost_own') AND rt_original_analyzed) AND NOT EXISTS (SELECT 1 FROM content_analyses a WHERE a.post_id = p.post_id))
-       SELECT w.post_id, w.username AS author_username, CASE WHEN length(l.content) > 1000 THEN 'political_general' ELSE 'general' END AS category, l.cats[1] AS first_pattern FROM w JOIN lab l ON l.post_id = w.post_id
-       UNION ALL SELECT post_id, author_username, category, CASE WHEN json_valid(categories_detected) THEN json_extract_string(categories_detected, '$[0]') END FROM content_analyses""",
+    f"""WITH {EVENTS_TEXT}, w AS (SELECT post_id, username, likes FROM posts p WHERE NOT (post_type IN ('repost_other', 'repost_own') AND rt_original_analyzed) AND NOT EXISTS (SELECT 1 FROM content_analyses a WHERE a.post_id = p.post_id)),
+       x AS (SELECT w.post_id, w.username, contains(e.content, 'Todos a las calles') AS failed, {ARREST} AS arrest, w.likes % 3 AS r FROM w JOIN et e ON e.post_id = w.post_id)
+       SELECT post_id, username AS author_username, CASE WHEN failed THEN 'ERROR' WHEN arrest AND r = 0 THEN 'disinformation' ELSE 'general' END AS category,
+         CASE WHEN failed THEN 'Analysis failed: refused' WHEN arrest AND r = 0 THEN 'fine' || chr(10) || chr(10) || 'Verificación realizada: 2 afirmaciones analizadas. Contradicciones detectadas: 1.'
+           WHEN arrest AND r = 1 THEN 'fine' || chr(10) || chr(10) || 'Verificación realizada: 2 afirmaciones analizadas.' ELSE 'fine' END AS local_explanation,
+         CASE WHEN NOT failed AND arrest AND r < 2 THEN CASE r WHEN 0 THEN 'debunked' ELSE 'verified' END END AS verdict,
+         CASE WHEN NOT failed AND arrest AND r < 2 THEN CAST(0.75 AS DOUBLE) END AS verification_confidence FROM x
+       UNION ALL SELECT post_id, author_username, category, local_explanation, CASE WHEN json_valid(verification_data) THEN json_extract_string(verification_data, '$.overall_verdict') END, verification_confidence FROM content_analyses""",
 )
 def analyse(v):
-    """The whole analysis lifecycle over the worklist; no reports yet."""
-    reports_ = v.posts.limit(0).select("post_id", F.lit("unverified").alias("verdict"))
-    table = analyse_pending(v.posts, v.content_analyses, by_length, reports_, as_of())
-    return table.select("post_id", "author_username", "category", F.get_json_object("categories_detected", "$[0]").alias("first_pattern"))
+    """The whole analysis lifecycle over the worklist, with reports and a model that refuses some texts."""
+    reports_ = v.posts.filter("likes % 3 < 2").select(
+        "post_id", F.expr("if(likes % 3 = 0, 'debunked', 'verified')").alias("verdict"), F.lit(0.75).alias("confidence"), F.lit(2).alias("n_claims"),
+        F.lit(1).alias("n_sources"), F.expr("if(likes % 3 = 0, array('x'), cast(array() as array<string>))").alias("contradictions"),
+    )
+    table = analyse_pending(event_posts(v), v.content_analyses, refusing, reports_, as_of())
+    return table.select(
+        "post_id", "author_username", "category", "local_explanation", F.get_json_object("verification_data", "$.overall_verdict").alias("verdict"), "verification_confidence"
+    )

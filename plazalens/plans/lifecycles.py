@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
+from plazalens.functions import posts as C
 from plazalens.operators import claims as K
 from plazalens.operators import evidence as G
 from plazalens.operators import labels as L
-from plazalens.operators.maintain import upsert_analyses
+from plazalens.operators.maintain import failed_rows, upsert_analyses
 from plazalens.operators.views import pending_posts
 from plazalens.session import durable
 
@@ -41,7 +43,8 @@ def verify_content(
 
     matched = G.match_fact_checks(other, fact_checks, per_source).select("claim_id", "check_id")
     asked = other.select(F.col("claim_id").alias("query_id"), F.col("claim_text").alias("query"))
-    read = G.rank_articles(asked, articles, per_source).select(F.col("query_id").alias("claim_id"), "article_id")
+    read = G.rank_articles(asked, articles, per_source)
+    read = read.select(F.col("query_id").alias("claim_id"), "article_id")
     found = G.to_evidence(matched.join(fact_checks, "check_id"), read.join(articles, "article_id"))
     found = found.join(claims.select("claim_id", "claim_text"), "claim_id")
     general = G.blend_priority(G.credibility(found, as_of))
@@ -58,8 +61,11 @@ def verify_content(
     )
     evidence = (
         general.select(*columns).unionByName(statistic).unionByName(moment).join(owner, "claim_id")
-        .withColumn("evidence_no", F.xxhash64("source_name", "url"))
     )
+    # Numbered by path (fact checks, articles, statistics, dates), then by what the paths rank first.
+    path = F.coalesce(*[F.when(F.col("source_type") == t, F.lit(i)) for i, t in enumerate(("fact_checker", "news", "statistical", "temporal"))])
+    order = [path, F.desc("credibility_score"), F.desc("confidence"), "source_name", "url"]
+    evidence = evidence.withColumn("evidence_no", F.row_number().over(W.partitionBy("claim_id").orderBy(*order)).cast("long"))
     verdicts = (
         checked.select("claim_id", "verdict", "confidence")
         .unionByName(timed.select("claim_id", "verdict", "confidence"))
@@ -71,6 +77,13 @@ def verify_content(
     return G.report_posts(posts, judged, evidence), judged
 
 
+def verification_note(report: Column) -> Column:
+    """What a report adds to an explanation: its own text, or the numbers checked and contradicted."""
+    clashes = F.coalesce(F.size(report["contradictions"]), F.lit(0))
+    counted = F.concat(F.lit("Verificación realizada: "), F.coalesce(report["n_claims"], F.lit(0)).cast("string"), F.lit(" afirmaciones analizadas."))
+    return F.concat(counted, F.when(clashes > 0, F.concat(F.lit(" Contradicciones detectadas: "), clashes.cast("string"), F.lit("."))).otherwise(""))
+
+
 def analyse_pending(
     posts: DataFrame,
     analyses: DataFrame,
@@ -79,30 +92,62 @@ def analyse_pending(
     as_of: Column,
     users: list[str] | None = None,
     n: int | None = None,
+    external: L.Scorer | None = None,
+    retries: int = 0,
 ) -> DataFrame:
-    """Label the worklist, ask the model, resolve the category, write the analyses back.
+    """Label the worklist, ask the model, verify where it matters, write the analyses back.
 
-    ``reports`` are verification reports (post_id, verdict) made by ``verify_content``.
+    ``reports`` are verification reports as ``verify_content`` makes them (post_id, verdict,
+    confidence, n_claims, n_sources, contradictions). They count where the label is disinformation or
+    the text claims an arrest. ``external`` is asked about the posts whose label asks for it. A post
+    whose model fails becomes an ERROR row, so that it can be found and tried again.
     """
-    work = pending_posts(posts, analyses, users, n)
+    work = durable(pending_posts(posts, analyses, users, n))
     labelled = L.label(work).select("post_id", "username", "categories", F.try_element_at("categories", F.lit(1)).alias("pattern_category"))
-    answered = L.score_models(work, {"model": scorer}).filter(F.col("error_message").isNull()).select(
+    answers = durable(L.score_models(work, {"model": scorer}, retries))
+    answered = answers.filter(F.col("error_message").isNull()).select(
         "post_id", F.col("category").alias("model_category"), F.col("explanation").alias("local_explanation")
     )
-    stages = (
-        labelled.join(answered, "post_id", "left")
-        .join(reports.select("post_id", "verdict"), "post_id", "left")
-        .withColumn("external_category", F.lit(None).cast("string"))
-    )
-    resolved = L.resolve_category(stages)
+    none = F.lit(None).cast("string")
+    stages = labelled.join(answered, "post_id").withColumn("verdict", none).withColumn("external_category", none)
+    first = L.resolve_category(stages).drop("verdict", "external_category")
+    arrests = K.arrest_claims(work).select("post_id", F.lit(True).alias("_arrest")).distinct()
+    kept = ["verdict", "confidence", "n_claims", "n_sources", "contradictions"]
+    joined = first.join(arrests, "post_id", "left").join(reports.select("post_id", F.struct(*kept).alias("_report")), "post_id", "left")
+    gate = (F.col("local_category") == "disinformation") | F.coalesce("_arrest", F.lit(False))
+    joined = joined.withColumn("_report", F.when(gate, F.col("_report"))).withColumn("verdict", F.col("_report.verdict"))
+    checked = L.resolve_category(joined.drop("local_category", "final_category").withColumn("external_category", none)).drop("external_category", "final_category")
+    checked = durable(checked)
+
+    outside = checked.select("post_id").limit(0).select("post_id", none.alias("external_category"), none.alias("external_explanation"))
+    if external is not None:
+        asked = L.external_eligible(checked.select("post_id", F.col("local_category").alias("category"))).join(work.select("post_id", "content"), "post_id")
+        outside = L.score_models(asked, {"external": external}, retries).filter(F.col("error_message").isNull()).select(
+            "post_id", F.col("category").alias("external_category"), F.col("explanation").alias("external_explanation")
+        )
+    resolved = L.resolve_category(checked.drop("local_category").join(outside, "post_id", "left"))
+    cited = F.coalesce((F.size("_report.contradictions") > 0) | (F.col("_report.n_sources") > 0), F.lit(False))
+    explained = F.concat_ws("\n\n", "local_explanation", F.when(cited, verification_note(F.col("_report"))))
+    summary = F.struct(
+        F.col("_report.verdict").alias("overall_verdict"), F.col("_report.confidence").alias("confidence_score"),
+        F.col("_report.n_claims").alias("claims"), F.col("_report.n_sources").alias("sources_cited"),
+        F.col("_report.contradictions").alias("contradictions_found"),
+    )
+    used = F.col("external_category").isNotNull()
     rows = resolved.select(
         "post_id",
         F.col("username").alias("author_username"),
         F.col("final_category").alias("category"),
         F.to_json("categories").alias("categories_detected"),
-        "local_explanation",
-        F.lit("pattern,category_detection,explanation").alias("analysis_stages"),
-        F.lit(False).alias("external_analysis_used"),
+        explained.alias("local_explanation"),
+        "external_explanation",
+        C.stage_text({s: used if s == "external" else F.lit(True) for s in ("pattern", "category_detection", "explanation", "external")}).alias("analysis_stages"),
+        used.alias("external_analysis_used"),
+        F.when(F.col("_report").isNotNull(), F.to_json(summary)).alias("verification_data"),
+        F.col("_report.confidence").cast("double").alias("verification_confidence"),
         as_of.alias("analysis_ts"),
     )
-    return upsert_analyses(analyses, rows)
+    failed = answers.filter(F.col("error_message").isNotNull()).join(work.select("post_id", F.col("username").alias("author_username")), "post_id")
+    failures = failed_rows(failed.select("post_id", "author_username", "error_message", F.array().cast("array<string>").alias("media_urls")), as_of)
+    shared = [c for c in failures.columns if c in analyses.columns]
+    return upsert_analyses(analyses, rows.unionByName(failures.select(*shared), allowMissingColumns=True))
