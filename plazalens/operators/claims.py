@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import heapq
+from collections import Counter
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -292,17 +296,20 @@ def claim_queries(claims: DataFrame, per_claim: int = 3) -> DataFrame:
     return first.select("post_id", "query", F.col("_at.claim_no").alias("claim_no"), F.col("_at.template_no").alias("template_no"))
 
 
-def key_terms(posts: DataFrame, n: int = 8) -> DataFrame:
-    """Most frequent words of at least four letters per post: (post_id, term_no, term, freq)."""
+def key_terms(posts: DataFrame, n: int | None = 8) -> DataFrame:
+    """Most frequent words of at least four letters per post: (post_id, term_no, term, freq).
+
+    A post is one row, so its words are counted there; nothing is shuffled.
+    """
+    stop = frozenset(R.STOPWORDS)
+
+    @F.pandas_udf("array<struct<term:string,freq:bigint>>")
+    def most_frequent(words: pd.Series) -> pd.Series:
+        counts = (Counter(w for w in ([] if row is None else row) if w not in stop) for row in words)
+        return pd.Series([[{"term": t, "freq": c} for t, c in heapq.nsmallest(len(k) if n is None else n, k.items(), key=lambda x: (-x[1], x[0]))] for k in counts])
+
     words = unicode_words(blank_links_and_marks(F.col("content")), 4)
-    counts = (
-        posts.select("post_id", F.explode(words).alias("term"))
-        .filter(~F.col("term").isin(R.STOPWORDS))
-        .groupBy("post_id", "term")
-        .agg(F.count("*").alias("freq"))
-    )
-    top = ranked(counts, ["post_id"], [F.col("freq").desc(), F.col("term")], n, "_no")
-    return top.select("post_id", (F.col("_no") - 1).alias("term_no"), "term", "freq")
+    return posts.select("post_id", F.posexplode(most_frequent(words)).alias("term_no", "t")).select("post_id", "term_no", "t.term", "t.freq")
 
 
 def fallback_queries(key_terms_: DataFrame, n: int = 5) -> DataFrame:

@@ -323,7 +323,7 @@ def export_rows(analyses: DataFrame, posts: DataFrame) -> DataFrame:
 
 
 def export_csv(analyses: DataFrame, posts: DataFrame, path: str) -> None:
-    export_rows(analyses, posts).write.mode("overwrite").option("header", True).csv(path)
+    export_rows(analyses, posts).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
 def export_documents(analyses: DataFrame, posts: DataFrame) -> DataFrame:

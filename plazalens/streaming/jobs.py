@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -23,39 +24,68 @@ def bucketed(df: DataFrame, buckets: int = BUCKETS, key: str = "post_id") -> Dat
     return df.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
 
 
+MANIFEST = "batch bigint, bucket int, folder string"
+
+
+def _manifest(spark: SparkSession, path: str) -> DataFrame:
+    """Which folder holds a bucket since which batch; a few rows per batch."""
+    return spark.read.schema(MANIFEST).parquet(f"{path}/manifest")
+
+
+def _switch(spark: SparkSession, path: str, batch: int, folder: str, buckets: list[int]) -> None:
+    """Make a written folder the current one of its buckets: one small file appears or not."""
+    rows = spark.createDataFrame([(batch, b, folder) for b in buckets], MANIFEST)
+    rows.coalesce(1).write.mode("append").parquet(f"{path}/manifest")
+
+
+def _write(rows: DataFrame, path: str) -> str:
+    """Write bucketed rows to a folder of their own, beside all earlier ones."""
+    folder = f"data/{uuid.uuid4().hex}"
+    rows.repartition("bucket").write.partitionBy("bucket").parquet(f"{path}/{folder}")
+    return folder
+
+
 def create_table(df: DataFrame, path: str, buckets: int = BUCKETS) -> None:
     """Store a keyed table in hash buckets, so that an upsert rewrites only some of them."""
-    (
-        bucketed(df, buckets).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
-    )
+    rows = bucketed(df, buckets)
+    folder = _write(rows, path)
+    held = [r[0] for r in rows.select("bucket").distinct().collect()]
+    _switch(df.sparkSession, path, -1, folder, held or [-1])
+
+
+def _current(spark: SparkSession, path: str, schema: T.StructType, before: int | None = None, buckets: list[int] | None = None) -> DataFrame:
+    """Rows of the table as of all batches, or of those before one; at most a path per bucket."""
+    known = _manifest(spark, path)
+    known = known if before is None else known.filter(F.col("batch") < before)
+    known = known if buckets is None else known.filter(F.col("bucket").isin(buckets))
+    places = known.groupBy("bucket").agg(F.max_by("folder", "batch").alias("folder")).filter("bucket >= 0").collect()
+    if not places:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(*[f"{path}/{r.folder}/bucket={r.bucket}" for r in places])
 
 
 def read_table(spark: SparkSession, path: str, columns: list[str], schema: T.StructType | None = None) -> DataFrame:
-    reader = spark.read if schema is None else spark.read.schema(schema)
-    return reader.parquet(path).select(*columns)
+    schema = schema or spark.read.option("recursiveFileLookup", "true").parquet(f"{path}/data").schema
+    return _current(spark, path, schema).select(*columns)
 
 
-def upsert_batch(batch: DataFrame, path: str, order: list, schema: T.StructType, buckets: int = BUCKETS) -> None:
+def upsert_batch(batch: DataFrame, path: str, order: list, schema: T.StructType, buckets: int = BUCKETS, number: int | None = None) -> None:
     """Apply one micro-batch to the table; applying it again changes nothing.
 
     Only buckets the batch touches are read and rewritten (at most ``buckets`` numbers
-    reach the driver). The new rows are checkpointed before the old files go.
+    reach the driver), into a new folder; the manifest names it last. A failure before
+    that leaves the table as it was, and a batch that runs again starts from the state before it.
     """
     spark = batch.sparkSession
     incoming = durable(bucketed(clean_batch(batch, order), buckets))
     touched = [r[0] for r in incoming.select("bucket").distinct().collect()]
     if not touched:
         return
-    stored = spark.read.schema(T.StructType([*schema.fields, T.StructField("bucket", T.IntegerType())])).parquet(path)
-    current = stored.filter(F.col("bucket").isin(touched)).select(*schema.names)
-    merged = durable(bucketed(upsert_posts(current, incoming.drop("bucket")), buckets))
-    (
-        merged.repartition("bucket")
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("bucket")
-        .parquet(path)
-    )
+    if number is None:
+        number = 1 + (_manifest(spark, path).agg(F.max("batch")).first()[0] or 0)
+    current = _current(spark, path, schema, number, touched).select(*schema.names)
+    merged = bucketed(upsert_posts(current, incoming.drop("bucket")), buckets)
+    _switch(spark, path, number, _write(merged, path), touched)
 
 
 def stream_upsert(
@@ -73,8 +103,8 @@ def stream_upsert(
             ["post_id", "_row"]
         ).drop("_row")
 
-    def apply(batch: DataFrame, _: int) -> None:
-        upsert_batch(batch, path, [F.col(order_column)], schema, buckets)
+    def apply(batch: DataFrame, number: int) -> None:
+        upsert_batch(batch, path, [F.col(order_column)], schema, buckets, number)
 
     return (
         stream.writeStream.foreachBatch(apply)

@@ -13,6 +13,8 @@ from plazalens.operators import labels as L
 from plazalens.operators import maintain as M
 from plazalens.operators import reports as R
 from plazalens.operators import threads as D
+from plazalens.rules import categories as CATEGORIES
+from plazalens.sources import tables as S
 
 AS_OF = "2024-06-01 00:00:00"
 
@@ -249,3 +251,46 @@ def test_adaptive_windows_tile_the_range(spark):
     assert [a[1] for a in got[:-1]] == [b[0] for b in got[1:]]
     assert (str(got[0][0]), str(got[-1][1]), sum(g[2] for g in got)) == ("2024-01-01", "2024-01-21", 190)
     assert all(n < 25 or (e - s).days == 1 for s, e, n in got)
+
+
+def test_odd_white_space_and_letters(spark):
+    """Short texts are short without any white space; ı and ſ fold as they do in the rules."""
+    posts = spark.createDataFrame([("1", "bulo\n"), ("2", "\t\n bulo \r")], "post_id string, content string")
+    assert [r["categories"] for r in L.label(posts).collect()] == [[], []]
+    texts = spark.createDataFrame([("\n\t", "local"), ("out", "local"), (None, "local"), (" ", "")], "e string, l string")
+    assert [r[0] for r in texts.select(C.best_explanation(F.col("e"), F.col("l"))).collect()][:3] == ["local", "out", "local"]
+    said = spark.createDataFrame([("1", "5 mıllones de"), ("2", "ſegún fuentes varias ayer,")], "post_id string, content string")
+    assert {r["post_id"] for r in K.extract_matches(said).collect()} == {"1", "2"}
+    odd = spark.createDataFrame([("ﬁn x² Ａ",), ("Ünï",), (None,), ("ASCII",)], "content string")
+    assert [r[0] for r in odd.select(L.normalize("content")).collect()] == ["fin x2 a", "ünï", "", "ascii"]
+
+
+def test_nothing_is_cut(spark):
+    """Values behind the old cuts still count."""
+    page = spark.createDataFrame([("<p>" + "x" * 3000 + "</p>",)], "html string")
+    assert page.select(F.length(C.page_text(F.col("html")))).first()[0] == 3000
+    claims = spark.createDataFrame([("c", "creció un 3", "y" * 250 + " el PIB creció")], "claim_id string, claim_text string, post_text string")
+    stats = spark.createDataFrame([("Eurostat", "gdp_growth", 2020, 3.0)], "source string, indicator string, year int, value double")
+    assert rows(G.verify_numeric(claims, stats), "claim_id", "verdict") == [("c", "verified")]
+    names = " ".join(n for _, n in CATEGORIES.ENTITIES)
+    tags = spark.createDataFrame([("1", names)], "post_id string, content string").select(L.entity_tags(F.col("content"))).first()[0]
+    assert len(tags) > 10
+
+
+def test_files_round_trip(spark, tmp_path):
+    """Typed load and both export writers, through files."""
+    base = str(tmp_path)
+    post = [("1", 'a, "b"\nc', "https://x/1", AS_OF), ("2", None, None, AS_OF)]
+    spark.createDataFrame(post, "post_id string, content string, url string, at string").selectExpr("post_id", "content", "url", "timestamp(at) as post_ts", "2L as likes").write.parquet(f"{base}/posts")
+    done = [("1", "u", "general", '["general"]', '{"overall_verdict": "verified"}', AS_OF), ("3", "v", "ERROR", "broken", None, AS_OF)]
+    spark.createDataFrame(done, "post_id string, author_username string, category string, categories_detected string, verification_data string, at string").selectExpr("* except (at)", "timestamp(at) as analysis_ts").write.parquet(f"{base}/content_analyses")
+    tables = S.load(spark, base)
+    assert {n: t.schema.simpleString() for n, t in tables.as_dict().items() if n not in ("posts",)} == {n: spark.createDataFrame([], S.SCHEMAS[n]).schema.simpleString() for n in S.SCHEMAS if n != "posts"}
+    assert rows(tables.posts, "post_id", "likes", "is_thread_start")[0][:2] == ("1", 2) and tables.post_edits.count() == 0
+    M.export_csv(tables.content_analyses, tables.posts, f"{base}/csv")
+    back = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(f"{base}/csv")
+    assert back.columns == list(M.CSV_COLUMNS) and [(r["Post ID"], r["Post Content"]) for r in back.collect()] == [("1", post[0][1])]
+    M.export_json(tables.content_analyses, tables.posts, f"{base}/json", as_of())
+    data = {r.post_id: r for r in spark.read.json(f"{base}/json/data").collect()}
+    assert data["1"].post_content == post[0][1] and data["1"].verification_data.overall_verdict == "verified" and data["3"].category == "ERROR"
+    assert spark.read.json(f"{base}/json/envelope").first().total_records == 2

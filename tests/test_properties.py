@@ -223,3 +223,26 @@ def test_searches_keep_the_best_of_all_pairs(spark, seed):
         w = "row_number() over (partition by claim_id, source_name order by confidence desc, publication_date desc, check_id)"
         whole = G.match_fact_checks(claims, checks, None).selectExpr(*order, f"{w} as place").filter(f"place <= {k}").select(*order)
         assert {tuple(r) for r in G.match_fact_checks(claims, checks, k).select(*order).collect()} == {tuple(r) for r in whole.collect()}
+
+
+def test_upsert_survives_a_failure_before_the_switch(spark, tmp_path, monkeypatch):
+    """Three batches with repeats, one of which fails between write and switch and runs again."""
+    schema = "post_id string, content string, username string, post_type string, likes long, thread_id string, n long"
+    stored = spark.createDataFrame([(str(i), "old", "u", "original", i, "t", 0) for i in range(20)], schema)
+    batches = [[(str(i), f"b{k}", "x", "original", k, None, k) for i in range(5 * k, 5 * k + 15)] for k in range(3)]
+    frames = [spark.createDataFrame(b, schema) for b in batches]
+    paths = [str(tmp_path / name) for name in ("plain", "failing")]
+    for path in paths:
+        J.create_table(stored, path, buckets=4)
+    switch = J._switch
+    for number, frame in enumerate(frames):
+        J.upsert_batch(frame, paths[0], [F.col("n")], stored.schema, 4, number)
+        monkeypatch.setattr(J, "_switch", lambda *a: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            J.upsert_batch(frame, paths[1], [F.col("n")], stored.schema, 4, number)
+        monkeypatch.setattr(J, "_switch", switch)
+        for _ in range(2):
+            J.upsert_batch(frame, paths[1], [F.col("n")], stored.schema, 4, number)
+    tables = [sorted(map(tuple, J.read_table(spark, p, stored.columns, stored.schema).collect())) for p in paths]
+    assert tables[0] == tables[1] and {r[1] for r in tables[0]} == {"b0", "b1", "b2"}
+    assert tables[0] == sorted(map(tuple, M.upsert_posts(M.upsert_posts(M.upsert_posts(stored, frames[0]), frames[1]), frames[2]).collect()))
