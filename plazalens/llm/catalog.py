@@ -38,7 +38,18 @@ def op2(spark, folder):
     return toxicity.report(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
-@query("op3_substrings")
+REPEATS = r"""WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+  t AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d),
+  x AS (SELECT doc_id, i, word, CASE WHEN count(*) OVER f = 35 THEN string_agg(word, ' ') OVER f END AS win FROM t
+    WINDOW f AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 34 FOLLOWING)),
+  r AS (SELECT doc_id, i, word, win IS NOT NULL AND count(*) OVER (PARTITION BY win) > 1 AS again FROM x),
+  c AS (SELECT doc_id, i, word, bool_or(again) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) AS gone FROM r)
+  SELECT d.doc_id, CAST(count(c.i) AS BIGINT) AS n_words, CAST(count(c.i) FILTER (WHERE c.gone) AS BIGINT) AS n_removed,
+    sha256(coalesce(string_agg(c.word, ' ' ORDER BY c.i) FILTER (WHERE NOT c.gone), '')) AS kept_sha256
+  FROM d LEFT JOIN c ON c.doc_id = d.doc_id GROUP BY d.doc_id"""
+
+
+@query("op3_substrings", REPEATS)
 def op3(spark, folder):
     return substrings.report(table(spark, folder, "documents"))
 
