@@ -46,6 +46,13 @@ def held_out(remainder_of: str = "doc_id"):
     return F.coalesce(split_name(remainder_of) == 2, F.lit(False))
 
 
+def few(hashed, wanted: int, total):
+    """True for about four times ``wanted`` of ``total`` rows, told by a 64-bit hash: the rows that a
+    bounded sample in hash order is taken from, so that no task sends more than its share."""
+    share = F.least(F.lit(1.0), F.lit(4.0 * wanted) / F.greatest(F.lit(1), total))
+    return F.shiftrightunsigned(F.xxhash64(hashed), 34) < share * (1 << 30)
+
+
 def bounds(rows: DataFrame, rows_each: int, most: int = 16_384) -> list:
     """Rising doc_ids that deal the rows into ranges of about ``rows_each``, at most ``most`` ranges."""
     parts = max(1, min(most, rows.count() // rows_each))

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plazalens.llm.common import buffer, slices, written
+from plazalens.llm.common import buffer, few, slices, written
 
 WORDS = 3
 RADIUS = 2
@@ -205,8 +205,8 @@ def links(nodes: DataFrame) -> DataFrame:
     spark = nodes.sparkSession
     total = nodes.count()
     depth = max(0, int(np.ceil(np.log2(max(1, total) / SHARD_NODES))))
-    few = nodes.select("fp").orderBy(F.xxhash64("fp")).limit(SAMPLE).toPandas()  # bounded
-    tree = spark.sparkContext.broadcast(Tree(few["fp"].to_numpy(np.int64).view(np.uint64), depth))
+    sample = nodes.select("fp").where(few(F.col("fp"), SAMPLE, F.lit(total))).orderBy(F.xxhash64("fp")).limit(SAMPLE).toPandas()
+    tree = spark.sparkContext.broadcast(Tree(sample["fp"].to_numpy(np.int64).view(np.uint64), depth))
     placed = nodes.select("fp").mapInArrow(_place(tree), "shard bigint, fp bigint, own boolean")
     return placed.groupBy("shard").applyInArrow(_links, "a bigint, b bigint")
 
