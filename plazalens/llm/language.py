@@ -2,13 +2,14 @@
 
 A suffix automaton holds every substring of a language's sample. A text is parsed against it into
 the longest substrings that the sample has, one after another; a text of the language needs few and
-long phrases. The normalised number of phrases, count * log2(sample size) / text size, estimates the cross
-entropy in bits a byte; the language with the fewest wins, ties by name.
+long phrases. The normalised number of phrases, count * log2(sample size) / text size, estimates
+the cross entropy in bits a byte; the language with the fewest wins, ties by name.
 
 Learning takes a bounded sample: ROWS labelled rows a language in hash order, CHARS characters at
-a hashed place of each, and at most BYTES bytes over all languages. Workers build the automata
-from it once. Parsing works on bytes, with letters lower-cased and all else as blanks, in
-segments of SEGMENT bytes side by side; every byte of every text is parsed.
+a hashed place of each, and at most BYTES bytes over all languages, of which there are LANGUAGES
+at most. Workers build the automata from it once. Parsing works on bytes, with letters
+lower-cased and all else as blanks, in segments of SEGMENT bytes side by side; every byte of every
+text is parsed.
 
 Defined results: a null text, or one without any letter, is ``und`` with score 0, as is every text
 if nothing is labelled; texts of any length are parsed whole; repeated rows get equal results; rows
@@ -25,11 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plazalens.llm.common import buffer, held_out, slices
+from plazalens.llm.common import buffer, few, held_out, slices
 
 ROWS = 256
 CHARS = 192
 BYTES = 256 << 10
+#: The languages with the most labelled rows, at most so many, are learned.
+LANGUAGES = 1024
 SEGMENT = 128
 #: The pipeline rejects texts that need more phrases a byte than this in every language: most of
 #: their letters are in no sample.
@@ -140,11 +143,13 @@ def _model(samples: tuple[tuple[str, bytes], ...]) -> Model:
 def samples(docs: DataFrame, rows: int = ROWS, chars: int = CHARS) -> tuple[tuple[str, bytes], ...]:
     """(language, folded sample) of the rows that are not held out."""
     known = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    hashed = known.select("lang", "text", F.xxhash64("text", "doc_id").alias("h"))
-    order = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    some = hashed.withColumn("n", order).where(F.col("n") <= rows)
     place = 1 + F.pmod(F.col("h"), F.greatest(F.lit(1), F.char_length("text") - chars))
-    found = some.select("lang", "n", F.substring("text", place.cast("int"), F.lit(chars)).alias("piece")).collect()
+    hashed = known.withColumn("h", F.xxhash64("text", "doc_id")).select("lang", "h", F.substring("text", place.cast("int"), F.lit(chars)).alias("piece"))
+    totals = known.groupBy("lang").agg(F.count("*").alias("total")).orderBy(F.desc("total"), "lang").limit(LANGUAGES)
+    # At most LANGUAGES rows, so that the texts are thinned before any of them is shuffled.
+    some = hashed.join(F.broadcast(totals), "lang").where(few(F.col("h"), rows, F.col("total")))
+    order = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    found = some.withColumn("n", order).where(F.col("n") <= rows).select("lang", "n", "piece").collect()
     by: dict[str, list] = {}
     for r in sorted(found, key=lambda r: (r.lang, r.n)):
         by.setdefault(r.lang, []).append(r.piece)
