@@ -510,30 +510,36 @@ def error_patterns(errors: DataFrame, examples: int = 3) -> DataFrame:
     )
 
 
+#: Rows of the bucket with the cut that one task may rank.
+RANKED_ROWS = 100_000
+
+
 def split_by_order(rows: DataFrame, order: str, share: float = 0.8, chunks: int = 256) -> DataFrame:
     """Mark the first ``share`` of the rows (by a unique numeric column) as training rows.
 
     Only the cut value is needed: a histogram over ``chunks`` quantile buckets finds
-    the bucket that holds the cut, and only that bucket is ranked.
+    the bucket that holds the cut, and that bucket is divided again until few rows are left to rank.
     """
     value = F.col(order)
-    bounds = rows.agg(
-        F.percentile_approx(value, [i / chunks for i in range(1, chunks)], 10_000).alias("_bounds"),
-        F.floor(F.count("*") * F.lit(share)).alias("_cut"),
-    )
-    bucket = F.size(F.filter("_bounds", lambda b: b < F.col("_v")))
-    placed = rows.select(value.alias("_v")).join(F.broadcast(bounds), F.lit(True)).select("_v", "_cut", bucket.alias("_b"))
-    histogram = placed.groupBy("_b", "_cut").agg(F.count("*").alias("_n"))  # at most `chunks` rows
-    upto = F.sum("_n").over(W.partitionBy("_cut").orderBy("_b"))
-    hit = (
-        histogram.withColumn("_upto", upto)
-        .filter((F.col("_cut") <= F.col("_upto")) & (F.col("_cut") > F.col("_upto") - F.col("_n")))
-        .select("_b", (F.col("_cut") - (F.col("_upto") - F.col("_n"))).alias("_k"))
-    )
-    inside = placed.join(F.broadcast(hit), "_b").withColumn("_r", F.row_number().over(W.partitionBy("_b").orderBy("_v")))
-    cut = inside.filter(F.col("_r") == F.col("_k")).agg(F.max("_v").alias("_last"))
-    marked = rows.join(F.broadcast(cut), F.lit(True), "left")
-    return marked.withColumn("is_train", F.coalesce(value <= F.col("_last"), F.lit(False))).drop("_last")
+    inside = rows.select(value.alias("_v")).filter(value.isNotNull())
+    place = int(rows.count() * share)
+    n = inside.count()
+    while n > RANKED_ROWS:
+        bounds = inside.agg(F.percentile_approx("_v", [i / chunks for i in range(1, chunks)], 10_000)).first()[0]
+        steps = sorted(set(bounds))
+        bucket = F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda k, b: k + (b < F.col("_v")).cast("int"))
+        sizes = sorted((r["_b"], r["_n"]) for r in inside.groupBy(bucket.alias("_b")).agg(F.count("*").alias("_n")).collect())  # at most ``chunks``
+        for number, size in sizes:
+            if place <= size:
+                break
+            place -= size
+        if size == n:  # equal values
+            break
+        low, high = (steps[number - 1] if number else None), (steps[number] if number < len(steps) else None)
+        inside = inside.filter(F.lit(True) if low is None else F.col("_v") > low).filter(F.lit(True) if high is None else F.col("_v") <= high)
+        n = size
+    last = inside.orderBy("_v").limit(place).agg(F.max("_v")).first()[0] if place > 0 else None
+    return rows.withColumn("is_train", F.lit(False) if last is None else F.coalesce(value <= F.lit(last), F.lit(False)))
 
 
 def split_eval(pred: DataFrame, truth: DataFrame, order: str, share: float = 0.8) -> DataFrame:

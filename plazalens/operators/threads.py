@@ -38,9 +38,11 @@ def reached_posts(posts: DataFrame) -> DataFrame:
     own_edge = F.col("_p_author") == F.col("author")
     no_parent = F.col("_p_author").isNull()  # no reply, or the parent is not in the set
     root = (F.coalesce("_child", F.lit(False)) & no_parent) | (F.col("line") & F.col("reply_to_post_id").isNull())
+    # Most posts are no replies; their null keys would meet in one task.
+    replies = base.filter(F.col("reply_to_post_id").isNotNull()).join(parent, "reply_to_post_id", "left")
+    linked = replies.unionByName(base.filter(F.col("reply_to_post_id").isNull()).withColumn("_p_author", F.lit(None).cast("string")))
     nodes = durable(
-        base.join(parent, "reply_to_post_id", "left")
-        .join(has_child, "post_id", "left")
+        linked.join(has_child, "post_id", "left")
         .select(
             "post_id", "author", "post_num",
             F.when(own_edge, F.col("reply_to_post_id")).alias("up"),
@@ -50,9 +52,11 @@ def reached_posts(posts: DataFrame) -> DataFrame:
     tops = nodes.filter(F.col("up").isNull())
     settled = tops.select("post_id", F.col("post_id").alias("top"))
     jumps = nodes.filter(F.col("up").isNotNull()).select("post_id", F.col("up").alias("at"))
+    # Only settled posts that an open one points to take part in a round.
+    pool = durable(settled.join(jumps.select(F.col("at").alias("post_id")), "post_id", "left_semi"))
     while True:
         # Where each post points: to its top (final), or to a post further up.
-        target = settled.select(F.col("post_id").alias("at"), F.col("top").alias("_to"), F.lit(True).alias("final")).unionByName(
+        target = pool.select(F.col("post_id").alias("at"), F.col("top").alias("_to"), F.lit(True).alias("final")).unionByName(
             jumps.select(F.col("post_id").alias("at"), F.col("at").alias("_to"), F.lit(False).alias("final"))
         )
         moved = durable(jumps.join(target, "at").select("post_id", F.col("_to").alias("at"), "final"))
@@ -61,6 +65,7 @@ def reached_posts(posts: DataFrame) -> DataFrame:
             break
         settled = settled.unionByName(fresh)
         jumps = moved.filter(~F.col("final")).select("post_id", "at")
+        pool = durable(pool.unionByName(fresh).join(jumps.select(F.col("at").alias("post_id")), "post_id", "left_semi"))
     valid = tops.filter(F.coalesce("is_root", F.lit(False))).select(F.col("post_id").alias("top"))
     return (
         settled.join(valid, "top", "left_semi")

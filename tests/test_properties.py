@@ -148,7 +148,8 @@ def test_upserts_are_idempotent(spark):
     assert batch.count() == 30
 
 
-def test_split_cuts_at_the_share(spark):
+def test_split_cuts_at_the_share(spark, monkeypatch):
+    monkeypatch.setattr(R, "RANKED_ROWS", 10)
     ids = random.Random(6).sample(range(100_000), 997)
     df = spark.createDataFrame([(i,) for i in ids], "n long")
     train = {r["n"] for r in R.split_by_order(df, "n", 0.8, chunks=16).filter("is_train").collect()}
