@@ -20,8 +20,8 @@ repeated rows stand next to each other; an empty table gives no rows; other colu
 from __future__ import annotations
 
 import functools
+import itertools
 import os
-import re
 import uuid
 from collections.abc import Iterator
 
@@ -41,9 +41,10 @@ END = 1
 BLOCK_TOKENS = 1 << 16
 SLICE = 8 << 20
 #: Words that a worker keeps from slice to slice.
-CACHED = 300_000
+CACHED = 400_000
 
-_SIMPLE = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f]+)([.,;:!?]*)")
+SIGNS = ".,;:!?"
+SIMPLE = "^[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f]+[.,;:!?]*$"
 
 #: For each control byte, the lengths of its four ids.
 LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3) + 1
@@ -80,8 +81,8 @@ class Words:
 
     A piece of Latin letters, perhaps with signs behind, is two words of the tokenizer's pattern, each in
     lower case; such words go to the library many at a time, joined by blanks, and their ids are told
-    apart by the mark of a word's last id. Other pieces go to it one by one. The first CACHED
-    words of a worker stay known.
+    apart by the mark of a word's last id. Other pieces go to it one by one. At most about
+    CACHED words of a worker stay known.
     """
 
     def __init__(self, path: str):
@@ -106,6 +107,10 @@ class Words:
         return np.concatenate(ids), np.array(counts, np.int64)
 
     def _together(self, words: list[str], at_once: int = 512) -> tuple[np.ndarray, np.ndarray]:
+        if "" in words:  # no signs behind a word
+            k = words.index("")
+            ids, counts = self._together(words[:k] + words[k + 1 :])
+            return ids, np.insert(counts, k, 0)
         lines = [words[k : k + at_once] for k in range(0, len(words), at_once)]
         ids, counts = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
         for line, found in zip(lines, self.tokenizer.encode_batch_fast([" ".join(x) for x in lines], add_special_tokens=False)):
@@ -119,35 +124,36 @@ class Words:
             counts.append(sizes)
         return np.concatenate(ids), np.concatenate(counts)
 
-    def encode(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all pieces, one after another, and where those of each begin."""
-        fresh: tuple[dict[str, int], dict[str, int]] = ({}, {})
-        parts, per_piece = [], np.ones(len(pieces), np.int64)
-        known = self.known
-        for n, piece in enumerate(pieces):
-            simple = _SIMPLE.fullmatch(piece)
-            if not simple:
-                at = known.get(piece)
-                parts.append(at if at is not None else -1 - 2 * fresh[1].setdefault(piece, len(fresh[1])))
-                continue
-            word = simple[1].lower()
-            at = known.get(word)
-            parts.append(at if at is not None else -2 - 2 * fresh[0].setdefault(word, len(fresh[0])))
-            if simple[2]:
-                at = known.get(simple[2])
-                parts.append(at if at is not None else -2 - 2 * fresh[0].setdefault(simple[2], len(fresh[0])))
-                per_piece[n] = 2
-        (a, na), (b, nb) = self._together(list(fresh[0])), self._one_by_one(list(fresh[1]))
-        ids, counts = np.concatenate([self.ids, a, b]), np.concatenate([self.counts, na, nb])
-        entry = np.array(parts, np.int64)
-        new = -1 - entry
-        entry = np.where(entry >= 0, entry, len(self.counts) + np.where(new % 2 == 1, new // 2, len(na) + new // 2))
-        flat, heads = spans(np.concatenate([[0], np.cumsum(counts)]), entry)
-        if len(known) < CACHED:
-            for words, before in zip(fresh, (len(self.counts), len(self.counts) + len(na))):
-                known.update((w, before + n) for w, n in words.items())
-            self.ids, self.counts = ids, counts
-        return ids[flat], heads[np.concatenate([[0], np.cumsum(per_piece)])]
+    def _entries(self, words: list[str], encode) -> np.ndarray:
+        """Places of the words in the table; those not known are encoded and added to it."""
+        entry = np.fromiter(map(self.known.get, words, itertools.repeat(-1)), np.int64, len(words))
+        unseen = np.flatnonzero(entry < 0)
+        new = [words[i] for i in unseen]
+        ids, counts = encode(new)
+        entry[unseen] = len(self.counts) + np.arange(len(new))
+        self.ids, self.counts = np.concatenate([self.ids, ids]), np.concatenate([self.counts, counts])
+        self.known.update(zip(new, entry[unseen].tolist()))
+        return entry
+
+    def encode(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct pieces, one after another, and where those of each begin."""
+        if len(self.known) > CACHED:  # what came last goes
+            keep = CACHED // 2
+            self.known = dict(itertools.islice(self.known.items(), keep))
+            self.ids, self.counts = self.ids[: self.counts[:keep].sum()], self.counts[:keep]
+        simple = pc.match_substring_regex(pieces, SIMPLE)
+        some = pieces.filter(simple)
+        parts = np.full((len(pieces), 2), -1, np.int64)
+        at = np.flatnonzero(simple.to_numpy(zero_copy_only=False))
+        for k, column in enumerate((pc.utf8_lower(pc.utf8_rtrim(some, SIGNS)), pc.replace_substring_regex(some, f"^[^{SIGNS}]+", ""))):
+            coded = column.dictionary_encode()
+            entry = self._entries(coded.dictionary.to_pylist(), self._together)
+            parts[at, k] = entry[coded.indices.to_numpy(zero_copy_only=False)]
+        others = pieces.filter(pc.invert(simple))
+        parts[np.flatnonzero(parts[:, 0] < 0), 0] = self._entries(others.to_pylist(), self._one_by_one)
+        places = np.concatenate([[0], np.cumsum(self.counts), [self.counts.sum()]])  # the last entry, -1, has no ids
+        flat, heads = spans(places, np.where(parts < 0, len(self.counts), parts).reshape(-1))
+        return self.ids[flat], heads[::2]
 
 
 @functools.lru_cache(1)
@@ -159,7 +165,7 @@ def encoded(column: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts with the end id, one after another, and where those of each text begin."""
     split = pc.ascii_split_whitespace(column.fill_null("").cast(pa.large_string()))
     words = split.flatten().dictionary_encode()
-    table, places = _words(path).encode(words.dictionary.to_pylist())
+    table, places = _words(path).encode(words.dictionary)
     flat, heads = spans(places, words.indices.to_numpy(zero_copy_only=False).astype(np.int64))
     borders = heads[np.concatenate([[0], np.cumsum(split.value_lengths().to_numpy(zero_copy_only=False))])]
     return np.insert(table[flat], borders[1:], END), borders + np.arange(len(borders))
