@@ -37,7 +37,7 @@ TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 LEXICON_WORDS = 32_768
 #: A piece of the lexicon occurs so often at least.
 LEAST = 8
-SLICE = 8 << 20
+SLICE = 4 << 20
 #: Longer tokens of the pattern are merged with a heap, shorter ones side by side in arrays.
 LONG = 256
 NONE = np.int32(2**31 - 1)

@@ -7,8 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from plazalens.llm import bpe, decontamination, fingerprints, language, secrets, sharding, simhash, substrings, tokenfiles, toxicity
-from plazalens.llm.common import table
-from plazalens.session import prepare
+from plazalens.llm.common import ready, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -17,7 +16,7 @@ ORACLE: dict[str, str] = {}
 def query(name: str, sql: str | None = None):
     def register(build: Callable[[SparkSession, str], DataFrame]):
         def run(spark: SparkSession, folder: str) -> DataFrame:
-            return build(prepare(spark), folder)
+            return build(ready(spark), folder)
 
         run.__name__ = name
         QUERIES[name] = run

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plazalens.session import work_folder
+from plazalens.session import prepare, work_folder
 
 #: UTF-8 bytes of text that a Python worker handles at once; one longer text is handled whole.
 SLICE_BYTES = 4 << 20
@@ -20,6 +20,16 @@ IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
 
+#: Rows of an Arrow batch; whole documents are long, and a batch is held in memory.
+BATCH_ROWS = 2500
+
+
+def ready(spark: SparkSession) -> SparkSession:
+    """The session, prepared for this subpackage's jobs."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    return prepare(spark)
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 

@@ -189,12 +189,14 @@ def _ids(raw: bytes, wide: int) -> np.ndarray:
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(1, np.int64)
-    for batch in batches:
-        for raw, wide in zip(batch.column("ids").to_pylist(), batch.column("wide").to_pylist()):
-            ids = _ids(raw, wide)
-            if ids.max() >= len(total):
-                total = np.pad(total, (0, int(ids.max()) + 1 - len(total)))
-            total += np.bincount(ids, minlength=len(total))
+    for batch in (b.slice(k, 512) for b in batches for k in range(0, b.num_rows, 512)):
+        widths = batch.column("wide").to_numpy(zero_copy_only=False)
+        for wide in np.unique(widths):
+            raw = batch.column("ids").filter(pa.array(widths == wide)).to_pylist()
+            counts = np.bincount(np.frombuffer(b"".join(raw), f"<u{wide}"))
+            if len(counts) > len(total):
+                total = np.pad(total, (0, len(counts) - len(total)))
+            total[: len(counts)] += counts
     seen = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], ["id", "n"])
 

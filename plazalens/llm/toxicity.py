@@ -31,7 +31,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plazalens.llm.common import held_out, slices, written
+from plazalens.llm.common import few, held_out, slices, written
 
 #: Most labelled rows that the lexicon and the trees learn from, in hash order.
 SAMPLE = 12_000
@@ -92,7 +92,8 @@ def sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> DataFrame:
     marks = labels.where("toxic in (0, 1)").select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("toxic")).dropDuplicates(["_id"])
     known = docs.where(~held_out()).select("doc_id", "text", F.xxhash64("doc_id", "text").alias("h"))
     # The smallest hashes are found without the texts first.
-    chosen = known.select("doc_id", "h").join(marks, F.col("doc_id") == F.col("_id")).select("h", "toxic").orderBy("h").limit(most)
+    marked = known.select("doc_id", "h").join(marks, F.col("doc_id") == F.col("_id")).select("h", "toxic")
+    chosen = marked.where(few(F.col("h"), most, F.lit(marked.count()))).orderBy("h").limit(most)
     return known.join(F.broadcast(chosen), "h").select("text", "toxic", F.pmod(F.xxhash64("h"), F.lit(4)).alias("fold"))
 
 
