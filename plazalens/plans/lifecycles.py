@@ -27,7 +27,7 @@ def verify_content(
     fact_checks: DataFrame,
     articles: DataFrame,
     as_of: Column,
-    per_source: int | None = None,
+    per_source: int | None = 3,
 ) -> tuple[DataFrame, DataFrame]:
     """(reports per post, judged claims). Numbers go to the statistics, dates to the
     rules, everything else to fact checks and articles; all of these are tables."""
