@@ -9,8 +9,10 @@
    retrieved: block maxima of all passages rule out blocks of segments at once, and block-max WAND with
    a fixed threshold walks the postings of the blocks that are left.
 3. Check. A retrieved item leaks if the document holds at least OVERLAP of the word n-grams of its
-   question and of its answer (the last sentence; the second half of a single one). Items of fewer than
-   SHORT terms leak only where they are the whole document.
+   question and of its answer (the last sentence; the second half of a single one). In a part of fewer
+   than EDITABLE terms one edited word can take more n-grams than that; such a part also counts by its
+   terms in order, at the place where the n-grams of the other part put it. Items of fewer than SHORT
+   terms leak only where they are the whole document.
 
 The index is broadcast. Its size is bounded: a benchmark of more than SHARD_BYTES of text is indexed
 in shards of about that size, each with its own pass over the documents.
@@ -27,6 +29,7 @@ import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +44,8 @@ THRESHOLD = 0.5
 GRAM = 3
 OVERLAP = 0.6
 SHORT = 5
+#: In so many terms, one replaced term leaves OVERLAP of the n-grams whole.
+EDITABLE = 10
 SHARD_BYTES = 4 << 20
 K1, B = 1.2, 0.75
 BLOCKS = 64
@@ -167,9 +172,28 @@ class Index:
             wanted = [tuple(part[i : i + n]) for i in range(len(part) - n + 1)]
             here = grams if n == GRAM else {g[i : i + n] for g in grams for i in range(GRAM - n + 1)}
             shares.append(sum(g in here for g in wanted) / len(wanted) if n else 1.0)
+        for short, (a, b), (c, d) in ((0, (0, cut), (cut, len(ids))), (1, (cut, len(ids)), (0, cut))):
+            if b - a < EDITABLE and shares[short] < OVERLAP <= shares[1 - short]:
+                shares[short] = max(shares[short], beside(document, ids, a, b, c, d))
         return tuple(shares) if min(shares) >= OVERLAP else None
 
 
+def beside(document: list[int], ids: list[int], a: int, b: int, c: int, d: int) -> float:
+    """The largest share of the terms ``a`` to ``b`` of an item that a document holds in order, where
+    an n-gram of the terms ``c`` to ``d`` puts them, give or take one term."""
+    places: dict[tuple[int, ...], list[int]] = {}
+    for i in range(c, d - GRAM + 1):
+        places.setdefault(tuple(ids[i : i + GRAM]), []).append(i)
+    shifts = {p - i for p, g in enumerate(zip(*(document[i:] for i in range(GRAM)))) for i in places.get(g, ())}
+    found = 0
+    for shift in shifts:
+        best = [0] * (b - a + 1)
+        for t in document[max(0, shift + a - 1) : max(0, shift + b + 1)]:
+            best = [0, *accumulate((max(best[k + 1], best[k] + (t == ids[a + k])) for k in range(b - a)), max)]
+        found = max(found, best[-1])
+    return found / (b - a)
+
+
 def matches(index: Index, column: pa.Array, threshold: float = THRESHOLD, check: bool = True) -> list[tuple]:
     """(row, item, score, question overlap, answer overlap) of the items that leak into each text;
     without ``check`` every retrieved item."""

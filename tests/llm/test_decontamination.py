@@ -95,3 +95,26 @@ def test_documents(spark):
     got = {(r.doc_id, r.item_id) for r in dc.leaks(docs, bench).collect()}
     texts = {d.doc_id: flat(d.text) for d in docs.collect()}
     assert {(d, i) for d, t in texts.items() for i, x in items.items() if f" {x} " in f" {t} "} == got
+
+
+@pytest.mark.parametrize("part", ["question", "answer"])
+def test_one_edited_word(spark, part):
+    items = {
+        1: "The grey heron waits beside the frozen mill pond until the miller opens his sluice. Carp rise at dusk there.",
+        2: "Copper kettles hang above every stove in the northern valley during the winter fair. They ring like bells.",
+        3: "Who found it? A surveyor from the coast found the buried lighthouse stairs under nine metres of drifting sand",
+    }
+    docs, want = [], set()
+    for k, text in items.items():
+        cut = dc.question_terms(text)
+        words = text.split()
+        for at in range(*((0, cut) if part == "question" else (cut, len(words)))):
+            want.add((len(docs), k))
+            edited = " ".join([*words[:at], "zzyzx", *words[at + 1 :]])
+            docs.append((len(docs), f"Words that come before it. {edited} Words that follow on it."))
+    # The question with another answer, and the answer far from its question, are no leaks.
+    question, answer = (" ".join(items[1].split()[s]) for s in (slice(0, 15), slice(15, 20)))
+    docs += [(len(docs), f"{question} Nobody has seen them since."), (len(docs) + 1, f"{question} {'other words ' * 20} carp fell at dusk there")]
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in dc.leaks(docs, bench).collect()} == want
