@@ -247,3 +247,16 @@ def test_upsert_survives_a_failure_before_the_switch(spark, tmp_path, monkeypatc
     tables = [sorted(map(tuple, J.read_table(spark, p, stored.columns, stored.schema).collect())) for p in paths]
     assert tables[0] == tables[1] and {r[1] for r in tables[0]} == {"b0", "b1", "b2"}
     assert tables[0] == sorted(map(tuple, M.upsert_posts(M.upsert_posts(M.upsert_posts(stored, frames[0]), frames[1]), frames[2]).collect()))
+
+
+def test_verification_asks_for_every_hit(spark, monkeypatch):
+    """The registered query sets no limit of hits per source in either search."""
+    from plazalens.catalog import evidence, registry  # noqa: F401
+    from plazalens.operators import evidence as E
+
+    asked = []
+    for name in ("match_fact_checks", "rank_articles"):
+        plain = getattr(E, name)
+        monkeypatch.setattr(E, name, lambda left, right, k=3, plain=plain: (asked.append(k), plain(left, right, 1))[1])
+    registry.QUERIES["G26_verify_content"](spark, "/root/testdata/sf0.001")
+    assert asked == [None, None]
