@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plazalens.llm import bpe, decontamination, fingerprints, language, secrets, sharding, simhash, substrings, tokenfiles, toxicity
+from plazalens.llm import bpe, decontamination, fingerprints, language, linededup, secrets, sharding, simhash, substrings, tokenfiles, toxicity
 from plazalens.llm.common import ready, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,3 +86,17 @@ def op9(spark, folder):
 @query("op10_simhash")
 def op10(spark, folder):
     return simhash.near_duplicates(table(spark, folder, "documents"))
+
+
+LINES = r"""WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+    generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents),
+  k AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+  r AS (SELECT key, max(doc_id) AS holder FROM k WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5)
+  SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE holder <> doc_id) AS n_dropped,
+    sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE holder IS NULL OR holder = doc_id), '')) AS kept_sha256
+  FROM k LEFT JOIN r USING (key) GROUP BY doc_id"""
+
+
+@query("op11_line_dedup", LINES)
+def op11(spark, folder):
+    return linededup.report(table(spark, folder, "documents"))
