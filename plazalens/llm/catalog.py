@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plazalens.llm import bpe, decontamination, fingerprints, language, linededup, secrets, sharding, simhash, substrings, tokenfiles, toxicity
+from plazalens.llm import audit, bpe, decontamination, fingerprints, language, linededup, secrets, sharding, simhash, substrings, tokenfiles, toxicity, whitening
 from plazalens.llm.common import ready, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -100,3 +100,36 @@ LINES = r"""WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), ch
 @query("op11_line_dedup", LINES)
 def op11(spark, folder):
     return linededup.report(table(spark, folder, "documents"))
+
+
+@query("op12_whitening")
+def op12(spark, folder):
+    return whitening.report(table(spark, folder, "embeddings"))
+
+
+AUDIT = r"""WITH w AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws,
+    min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS lowest FROM documents),
+  f AS (SELECT doc_id, part, CASE WHEN len(ws) < 100 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(ws)) < 80 * len(ws) THEN 2 ELSE 0 END
+    + CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t) THEN 4 ELSE 0 END
+    + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END + CASE WHEN doc_id > lowest THEN 16 ELSE 0 END AS fails FROM w),
+  l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+  d AS (SELECT f.*, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic FROM f LEFT JOIN l ON l.doc_id = f.doc_id),
+  c AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM d GROUP BY part, fails),
+  b(x, bit) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+  o AS (SELECT b1.x || b2.x || b3.x || b4.x || b5.x AS filter_order, [b1.bit, b2.bit, b3.bit, b4.bit, b5.bit] AS bits FROM b b1, b b2, b b3, b b4, b b5
+    WHERE b1.bit + b2.bit + b3.bit + b4.bit + b5.bit = 31 AND len(list_distinct([b1.x, b2.x, b3.x, b4.x, b5.x])) = 5),
+  s AS (SELECT filter_order, CAST(step AS INTEGER) AS step, bits[step] AS own, coalesce(list_sum(bits[1:step - 1]), 0)::BIGINT AS earlier FROM o, range(1, 6) AS r(step))
+  SELECT part, filter_order, step,
+    CAST(sum(CASE WHEN fails & own = 0 AND fails & earlier = 0 THEN n ELSE 0 END) AS BIGINT) AS kept,
+    CAST(sum(CASE WHEN fails & own <> 0 AND fails & earlier = 0 THEN n ELSE 0 END) AS BIGINT) AS removed,
+    CAST(sum(CASE WHEN fails & own <> 0 AND fails & earlier <> 0 THEN n ELSE 0 END) AS BIGINT) AS redundant,
+    CAST(sum(CASE WHEN fails = own THEN n ELSE 0 END) AS BIGINT) AS unique_fails,
+    CAST(sum(CASE WHEN fails & own <> 0 AND fails & earlier = 0 THEN good ELSE 0 END) AS BIGINT) AS good_lost,
+    CAST(sum(CASE WHEN fails & own <> 0 AND fails & earlier = 0 THEN toxic ELSE 0 END) AS BIGINT) AS toxic_lost,
+    CAST(sum(sum(CASE WHEN fails & own <> 0 AND fails & earlier = 0 THEN n ELSE 0 END)) OVER (PARTITION BY part, own) AS BIGINT) AS shapley
+  FROM c, s GROUP BY part, filter_order, step, own"""
+
+
+@query("op13_filter_audit", AUDIT)
+def op13(spark, folder):
+    return audit.audit(table(spark, folder, "documents"), table(spark, folder, "labels"))

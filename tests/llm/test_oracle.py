@@ -9,7 +9,7 @@ FOLDER = "/root/testdata/sf0.001"
 
 
 def test_names():
-    assert [f"op{n}_" for n in range(1, 11)] == sorted((q.split("_")[0] + "_" for q in catalog.QUERIES), key=lambda q: int(q[2:-1]))
+    assert [f"op{n}_" for n in range(1, 14)] == sorted((q.split("_")[0] + "_" for q in catalog.QUERIES), key=lambda q: int(q[2:-1]))
 
 
 @pytest.mark.parametrize("name", sorted(catalog.ORACLE))
