@@ -39,6 +39,17 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
 
 
+def fresh(docs: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as no column of ``docs`` is called so."""
+    taken = {c.lower() for c in docs.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write ``df`` to the shared folder and read it again, which cuts its lineage."""
     path = f"{work_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"

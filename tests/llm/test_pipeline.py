@@ -10,7 +10,8 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from plazalens.llm import bpe, decontamination, secrets
 from plazalens.llm.common import table
-from tests.llm.test_native import base_spans, brute_components, brute_prints
+from tests.llm.test_native import base_spans
+from tests.llm.test_nearcopies import brute as without_near_copies
 
 SOURCE = "/root/testdata/sf0.001"
 
@@ -26,8 +27,8 @@ def cut(text, spans):
 
 def brute(docs, bench):
     docs = [d for d in docs if d.text and re.search(r"[^\W\d_]", d.text)]
-    groups = brute_components(brute_prints([d.text for d in docs]), [d.doc_id for d in docs])
-    docs = [d for d, g in zip(docs, groups) if d.doc_id == g]
+    kept = set(without_near_copies(docs))
+    docs = [d for d in docs if d.doc_id in kept]
     flat = lambda t: " " + " ".join(decontamination.terms(t)) + " "
     docs = [d for d in docs if not any(flat(b.text) in flat(d.text) for b in bench)]
     owners = {}
