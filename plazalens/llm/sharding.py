@@ -5,8 +5,9 @@ versioned map says which shard owns a slot. Rebalancing edits the map, never the
 record moves only when its slot does.
 
 The law is ``bytes``: shards get nearly equal numbers of bytes. Equal texts share a slot and so a
-shard. Only a slot larger than a mean shard (one text or group of copies that fills it) is
-divided by the hash of doc_id into parts, as no map could balance it otherwise.
+shard. A slot larger than a mean shard is divided into parts by the hash of the text, so groups of equal texts stay
+whole; only a text that outweighs a mean shard alone is divided by the hash of doc_id, as no map could balance it
+otherwise.
 
 Defined results: a null text counts as empty (size 1, crc32 0); rows without doc_id, repeated rows
 and ties are rows like any other, each gets a place of its own; an empty table gives no rows;
@@ -39,6 +40,7 @@ def records(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
         (F.octet_length(text) + 1).cast("long").alias("size"),
         F.crc32(text).alias("text_crc32"),
         F.pmod(F.xxhash64(text), F.lit(slots)).cast("int").alias("virtual_slot"),
+        F.xxhash64(text, F.lit(5)).alias("text_key"),
         F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(1 << 20)).cast("int").alias("spread"),
     )
 
@@ -49,13 +51,20 @@ def slot_parts(rows: DataFrame, shards: int) -> DataFrame:
     mean = F.sum("bytes").over(Window.partitionBy(F.lit(0))) / shards  # over at most SLOTS rows
     return sizes.withColumn("mean", mean).select(
         "virtual_slot",
+        "mean",
         F.when(F.col("bytes") <= F.col("mean"), 1).otherwise(F.ceil(F.col("bytes") * PARTS / F.col("mean"))).cast("int").alias("parts"),
     )
 
 
 def with_part(rows: DataFrame, parts: DataFrame) -> DataFrame:
-    """The slot table has at most SLOTS rows, so it is broadcast."""
-    return rows.join(F.broadcast(parts), "virtual_slot").withColumn("part", F.col("spread") % F.col("parts"))
+    """Every row's part of its slot. The slot table has at most SLOTS rows, and fewer texts than there are shards
+    outweigh a mean shard, so both are broadcast."""
+    placed = rows.join(F.broadcast(parts), "virtual_slot")
+    divided = placed.where("parts > 1").groupBy("virtual_slot", "text_key", "mean").agg(F.sum("size").alias("bytes"))
+    heavy = divided.where(F.col("bytes") > F.col("mean")).select("virtual_slot", "text_key", F.lit(True).alias("heavy"))
+    placed = placed.join(F.broadcast(heavy), ["virtual_slot", "text_key"], "left")
+    by = F.when(F.coalesce("heavy", F.lit(False)), F.col("spread")).otherwise(F.pmod(F.col("text_key"), F.lit(1 << 20)).cast("int"))
+    return placed.withColumn("part", by % F.col("parts")).drop("mean", "heavy", "text_key")
 
 
 def assign(loads: DataFrame, shards: int = SHARDS) -> DataFrame:

@@ -1,6 +1,7 @@
 """Sharding, secret scans and SimHash against plain Python."""
 
 import re
+import time
 import zlib
 from collections import defaultdict
 from hashlib import sha256
@@ -8,6 +9,7 @@ from hashlib import sha256
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from plazalens.llm import secrets, sharding, simhash
 
@@ -69,6 +71,20 @@ def test_shards_are_level_and_split_hot_groups(spark):
     assert len(sizes) == 16 and max(sizes) < 1.05 * min(sizes)
 
 
+def test_groups_of_a_hot_slot_stay_whole(spark):
+    hot = "hot text that a third of all rows hold"
+    slot = spark.range(1).select(F.pmod(F.xxhash64(F.encode(F.lit(hot), "UTF-8")), F.lit(sharding.SLOTS)).alias("s")).first().s
+    names = spark.range(60_000).selectExpr("concat('group ', id) as text").where(F.pmod(F.xxhash64(F.encode("text", "UTF-8")), F.lit(sharding.SLOTS)) == slot)
+    groups = [r.text for r in names.limit(6).collect()]
+    rows = [(i, hot) for i in range(4000)] + [(10_000 + 4 * g + k, t) for g, t in enumerate(groups) for k in range(4)] + [(20_000 + i, f"other {i} " * 5) for i in range(2000)]
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    shards = defaultdict(set)
+    for r in got:
+        shards[r.text_crc32].add(r.shard)
+    assert len(groups) == 6 and all(len(shards[zlib.crc32(t.encode())]) == 1 for t in groups)
+    assert len(shards[zlib.crc32(hot.encode())]) == 16
+
+
 def test_map_versions(spark, tmp_path):
     loads = spark.range(400).selectExpr("int(id) as virtual_slot", "0 as part", "100 + id % 37 as bytes")
     sharding.store(sharding.assign(loads, 8), str(tmp_path), 1)
@@ -115,6 +131,47 @@ def test_owned_token_of_one_owner(spark):
     assert got == {1: "owned:4:29", 2: ""}
 
 
+def test_long_text_of_many_secrets(spark):
+    rng = np.random.default_rng(4)
+    lines = [f"key {k} ñ: {rng.bytes(16).hex()} token='{rng.bytes(9).hex()}' Ab{k}Cd{rng.bytes(10).hex().upper()}" for k in range(8000)]
+    texts = [("\n".join(lines), "a"), ("\n".join(lines[:300]) + " end", "b"), ("plain", "c")]
+    docs = spark.createDataFrame([(i, t, s, len(t)) for i, (t, s) in enumerate(texts)], "doc_id long, text string, source string, n_chars int")
+    started = time.monotonic()
+    rows = {r.doc_id: r for r in secrets.report(docs).collect()}
+    assert time.monotonic() - started < 30  # two texts; the longer has 0.8 MB
+    for i, (t, _) in enumerate(texts):
+        base = base_spans(t)
+        line = ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in base)
+        assert rows[i].base_sha256 == sha256(line.encode()).hexdigest()
+        owned = [m.span() for m in re.finditer(secrets.OWNED, t) if re.match(secrets.MIXED, m[0]) and not any(a < m.end() and m.start() < b for a, _, b in base)] if i else None
+        if i == 1:  # each of its tokens is also in the first text, of another owner
+            assert owned and "owned" not in rows[i].spans
+    clean = {r.doc_id: r for r in secrets.redacted(docs.where("doc_id <> 1").withColumns({"_id": F.lit(1), "_found": F.lit("x"), "_key": F.lit(2)})).collect()}
+    live = merged([(a, b) for s in rows_of(secrets.report(docs.where("doc_id <> 1")), 0) for _, a, b in [s]])
+    want, at = [], 0
+    for a, b in live:
+        want += [texts[0][0][at:a], "[SECRET]"]
+        at = b
+    assert clean[0].text == "".join(want) + texts[0][0][at:] and clean[2].text == "plain"
+    assert (clean[0]._id, clean[0]._found, clean[0]._key) == (1, "x", 2)
+
+
+def rows_of(report, doc_id):
+    line = next(r.spans for r in report.collect() if r.doc_id == doc_id)
+    return [(k, int(a), int(b)) for k, a, b in (x.split(":") for x in line.split(","))]
+
+
+def merged(spans):
+    """Spans in order without those that begin inside an earlier one; such a one makes it longer."""
+    out = []
+    for a, b in sorted(spans):
+        if out and a < out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
 def test_redaction(docs, empty):
     out = {r.doc_id: r for r in secrets.redacted(docs).collect()}
     assert out[6].text == "[SECRET]" and out[6].n_chars == 8
