@@ -39,6 +39,22 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
 
 
+#: Folders that ``written`` has made in this process, in order.
+MADE: list[str] = []
+
+
+def discard(spark: SparkSession, since: int, but: DataFrame) -> None:
+    """Remove the folders made after the first ``since``, except those that ``but`` is read from. Only
+    for tables that nothing else is made of."""
+    kept = but.inputFiles()
+    for path in MADE[since:]:
+        name = path.rsplit("/", 1)[1]  # unique
+        if not any(f"/{name}/" in f for f in kept):
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+            MADE.remove(path)
+
+
 def fresh(docs: DataFrame, *names: str) -> list[str]:
     """The names, each with as many underscores before it as no column of ``docs`` is called so."""
     taken = {c.lower() for c in docs.columns}
@@ -53,6 +69,7 @@ def fresh(docs: DataFrame, *names: str) -> list[str]:
 def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write ``df`` to the shared folder and read it again, which cuts its lineage."""
     path = f"{work_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    MADE.append(path)
     df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

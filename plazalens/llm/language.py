@@ -6,8 +6,8 @@ long phrases. The normalised number of phrases, count * log2(sample size) / text
 the cross entropy in bits a byte; the language with the fewest wins, ties by name.
 
 Learning takes a bounded sample: ROWS labelled rows a language in hash order, CHARS characters at
-a hashed place of each, and at most BYTES bytes over all languages, of which there are LANGUAGES
-at most. Workers build the automata from it once. Parsing works on bytes, with letters
+a hashed place of each, at most BYTES bytes of whole characters a language. Every labelled language is learned; a
+sample does not shrink as languages are added. Workers build the automata from it once. Parsing works on bytes, with letters
 lower-cased and all else as blanks, in segments of SEGMENT bytes side by side; every byte of every
 text is parsed.
 
@@ -26,13 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plazalens.llm.common import buffer, few, held_out, slices
+from plazalens.llm.common import buffer, few, fresh, held_out, slices
 
 ROWS = 256
 CHARS = 192
-BYTES = 256 << 10
-#: The languages with the most labelled rows, at most so many, are learned.
-LANGUAGES = 1024
+BYTES = 64 << 10
 SEGMENT = 128
 #: The pipeline rejects texts that need more phrases a byte than this in every language: most of
 #: their letters are in no sample.
@@ -145,16 +143,23 @@ def samples(docs: DataFrame, rows: int = ROWS, chars: int = CHARS) -> tuple[tupl
     known = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     place = 1 + F.pmod(F.col("h"), F.greatest(F.lit(1), F.char_length("text") - chars))
     hashed = known.withColumn("h", F.xxhash64("text", "doc_id")).select("lang", "h", F.substring("text", place.cast("int"), F.lit(chars)).alias("piece"))
-    totals = known.groupBy("lang").agg(F.count("*").alias("total")).orderBy(F.desc("total"), "lang").limit(LANGUAGES)
-    # At most LANGUAGES rows, so that the texts are thinned before any of them is shuffled.
+    totals = known.groupBy("lang").agg(F.count("*").alias("total"))
+    # A row a language, so that the texts are thinned before any of them is shuffled.
     some = hashed.join(F.broadcast(totals), "lang").where(few(F.col("h"), rows, F.col("total")))
     order = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
     found = some.withColumn("n", order).where(F.col("n") <= rows).select("lang", "n", "piece").collect()
     by: dict[str, list] = {}
     for r in sorted(found, key=lambda r: (r.lang, r.n)):
         by.setdefault(r.lang, []).append(r.piece)
-    most = BYTES // max(1, len(by))
-    return tuple((name, folded(np.frombuffer(" ".join(p).encode(), np.uint8)).tobytes()[:most]) for name, p in by.items())
+    return tuple((name, folded(np.frombuffer(_head(" ".join(p).encode()), np.uint8)).tobytes()) for name, p in by.items())
+
+
+def _head(data: bytes, most: int | None = None) -> bytes:
+    """At most BYTES bytes, cut before a character that would be parted."""
+    end = min(len(data), most or BYTES)
+    while 0 < end < len(data) and data[end] & 0xC0 == 0x80:
+        end -= 1
+    return data[:end]
 
 
 def _predict(learned):
@@ -193,15 +198,15 @@ def report(docs: DataFrame) -> DataFrame:
     return predict(docs).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
-def _accepted(learned):
+def _accepted(learned, letters: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(learned.value)
         for batch in slices(batches, most=2 << 20):
             rates = model.rates(*buffer(batch.column("text")))
-            keep = np.asarray(batch.column("_letters").to_numpy(zero_copy_only=False), bool)
+            keep = np.asarray(batch.column(letters).to_numpy(zero_copy_only=False), bool)
             if rates.shape[1]:
                 keep = keep & (rates.min(1) <= STRANGE)
-            yield batch.filter(pa.array(keep)).drop_columns(["_letters"])
+            yield batch.filter(pa.array(keep)).drop_columns([letters])
 
     return run
 
@@ -210,5 +215,6 @@ def accepted(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that some language explains: not those that are ``und`` or need more
     than STRANGE phrases a byte even in the language that suits them best."""
     learned = docs.sparkSession.sparkContext.broadcast(samples(docs))
-    rows = docs.withColumn("_letters", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
-    return rows.mapInArrow(_accepted(learned), docs.schema)
+    (letters,) = fresh(docs, "letters")
+    rows = docs.withColumn(letters, F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
+    return rows.mapInArrow(_accepted(learned, letters), docs.schema)

@@ -53,11 +53,16 @@ def test_pipeline(spark):
 @pytest.mark.parametrize("empty", [False, True])
 def test_edges(spark, tmp_path, empty):
     rows = [(1, None, None, None, None, "x"), (2, "", "en", "a", 0, "x"), (3, "plain words of a text", "en", "a", 21, "x"), (3, "plain words of a text", "en", "a", 21, "x"), (None, "words of plain text", None, None, None, None), (5, "w " * 60_000, "en", "a", 120_000, "x")]
-    docs = spark.createDataFrame([] if empty else rows, "doc_id long, text string, lang string, source string, n_chars long, ids string")
+    names = ("_fp", "_bands", "_row", "_id", "_key", "_found", "_letters", "letters", "k1", "goes", "row", "found")
+    rows = [(*r, *range(len(names))) for r in rows]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, ids string"
+    docs = spark.createDataFrame([] if empty else rows, f"{schema}, {', '.join(f'{n} int' for n in names)}")
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     shutil.copy(Path(SOURCE) / "benchmark.parquet", tmp_path / "benchmark.parquet")
     read = table(spark, str(tmp_path), "documents")
     for _, stage in corpus_pipeline.STAGES[:-1]:
-        assert stage(spark, read, str(tmp_path)).columns == docs.columns
+        kept = stage(spark, read, str(tmp_path))
+        assert kept.columns == docs.columns
+        assert all([r[n] for n in names] == list(range(len(names))) for r in kept.collect())
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert sorted(str(r.doc_id) for r in out) == ([] if empty else ["3", "5", "None"])
