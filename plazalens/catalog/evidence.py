@@ -2,13 +2,14 @@
 
 from pyspark.sql import functions as F
 
-from plazalens.catalog.claims import CONTEXTUAL, NUMBERS, W, has
+from plazalens.catalog.claims import CONTEXTUAL, MATCHES, NUMBERS, W, has
 from plazalens.catalog.registry import query
 from plazalens.operators import claims as K
 from plazalens.operators import evidence as O
 from plazalens.plans.lifecycles import verify_content as verify_lifecycle
 from plazalens.rules import claims as RK
 from plazalens.rules import evidence as R
+from plazalens.rules import phrases as P
 
 
 
@@ -310,9 +311,9 @@ def articles(v):
 @query(
     "G19_to_evidence",
     f"""WITH {CHECKS}, p AS (SELECT *, CASE source_name WHEN 'Maldita.es' THEN 9 WHEN 'Newtral' THEN 9 WHEN 'Snopes' THEN 8 END AS pr FROM fc)
-       SELECT check_id AS claim_id, source_name, 'fact_checker' AS source_type, concat('Verificación: ', substring(claim, 1, 50), '...') AS title, pr / 10.0 AS credibility_score, claim AS content_snippet,
+       SELECT check_id AS claim_id, source_name, 'fact_checker' AS source_type, concat('Verificación: ', claim) AS title, concat('Verificación: ', substring(claim, 1, 50), '...') AS shown_title, pr / 10.0 AS credibility_score, claim AS content_snippet,
         CASE verdict WHEN 'true' THEN 'verified' WHEN 'Falso' THEN 'debunked' ELSE 'questionable' END AS verdict, round(confidence, 6) AS confidence FROM p
-       UNION ALL SELECT doc_id, 'El País', 'news', source, CAST(0.3 AS DOUBLE), text, 'unverified', 0.5 FROM documents""",
+       UNION ALL SELECT doc_id, 'El País', 'news', source, source, CAST(0.3 AS DOUBLE), text, 'unverified', 0.5 FROM documents""",
 )
 def to_evidence(v):
     found = v.raw("documents").select(
@@ -321,7 +322,7 @@ def to_evidence(v):
     )
     rows = O.to_evidence(checks(v).withColumnRenamed("check_id", "claim_id"), found)
     return rows.select(
-        "claim_id", "source_name", "source_type", "title", "credibility_score", "content_snippet", "verdict", r6("confidence")
+        "claim_id", "source_name", "source_type", "title", "shown_title", "credibility_score", "content_snippet", "verdict", r6("confidence")
     )
 
 
@@ -341,11 +342,11 @@ def marked_pages(v):
     return v.raw("pages").select("page_id", F.concat("html", mark).alias("html"))
 
 
-INDICATORS = f"""ind AS (SELECT e.claim_id, m.page_id, {has('m.html', RK.CONTRADICTION_WORDS)} AS contradicts, {has('m.html', RK.CONFIRMATION_WORDS)} AS confirms
+INDICATORS = f"""ind AS (SELECT DISTINCT lower(e.person_name) AS person, lower(e.event_type) AS event, m.page_id, {has('m.html', RK.CONTRADICTION_WORDS)} AS contradicts, {has('m.html', RK.CONFIRMATION_WORDS)} AS confirms
   FROM ec e JOIN mp m ON contains(lower(m.html), lower(e.person_name)) AND contains(lower(m.html), lower(e.event_type)))"""
 
 
-@query("G20_event_indicators", f"WITH {EVENT_CLAIMS}, {MARKED}, {INDICATORS} SELECT claim_id, page_id, contradicts, confirms FROM ind")
+@query("G20_event_indicators", f"WITH {EVENT_CLAIMS}, {MARKED}, {INDICATORS} SELECT person, event, page_id, contradicts, confirms FROM ind")
 def indicators(v):
     return O.event_indicators(event_claims(v), marked_pages(v))
 
@@ -551,9 +552,97 @@ def news_pool(v):
     )
 
 
+# Posts of which some claim an arrest, and the pages searched for those.
+VERIFIED_POSTS = """SELECT post_id, post_num, concat(content, CASE post_num % 16 WHEN 5 THEN ' Ábalos ingresa en prisión.' WHEN 13 THEN ' Sánchez fue detenido ayer.'
+  WHEN 6 THEN ' Los precios suben debido a la crisis en la ciudad.' WHEN 7 THEN ' El ministro afirma que el empleo crece en la población.' ELSE '' END) AS content FROM posts"""
+EVENT_PAGES = """SELECT page_id, CAST(page_id * 16 + CASE page_id % 2 WHEN 0 THEN 5 ELSE 13 END AS VARCHAR(32)) AS post_id,
+  CASE page_id % 3 WHEN 0 THEN 'fact_checker' WHEN 1 THEN 'news' ELSE 'official' END AS source_kind, 'archivo' AS source_name,
+  concat(html, CASE page_id % 5 WHEN 0 THEN ' arrest de Ábalos es falso' WHEN 1 THEN ' Sánchez arrest Confirmado' WHEN 2 THEN ' Ábalos arrest' ELSE '' END) AS html FROM pages"""
+
+
+def verified_posts(v):
+    return v.posts.select("post_id", *[F.expr(VERIFIED_POSTS[len("SELECT post_id, post_num, ") : VERIFIED_POSTS.index(" AS content")]).alias("content")])
+
+
+def event_pages(v):
+    wanted = EVENT_PAGES.replace("VARCHAR(32)", "STRING").removeprefix("SELECT ").removesuffix(" FROM pages")
+    v.raw("pages").createOrReplaceTempView("_event_pages")
+    return v.spark.sql(f"SELECT {wanted} FROM _event_pages")
+
+
 @query("G26_verify_content")
 def verify_content(v):
     """The whole verification lifecycle over the posts."""
-    posts = v.texts
-    out, _ = verify_lifecycle(posts, stats(v), checks(v), news_pool(v), as_of())
-    return out.withColumn("contradictions", F.array_join("contradictions", "|"))
+    out, _ = verify_lifecycle(verified_posts(v), stats(v), checks(v), news_pool(v), as_of(), event_pages=event_pages(v))
+    return out.withColumn("confidence", F.round("confidence", 6)).withColumn("contradictions", F.array_join("contradictions", "|"))
+
+
+def related(asked, text):
+    """The text covers the first topic family that is asked about."""
+    return "CASE " + " ".join(f"WHEN {has(asked, a)} THEN {has(text, w)}" for a, w in P.TOPIC_FAMILIES) + " ELSE FALSE END"
+
+
+def shares_word(asked, text):
+    return f"len(list_filter(regexp_split_to_array(lower({asked}), '\\s+'), lambda x: x <> '' AND contains(lower({text}), x))) > 0"
+
+
+PERSON_NAMED = "CASE " + " ".join(f"WHEN contains(lower(content), '{f}') THEN '{f}'" for f in RK.FIGURES) + " END"
+# Claims of the posts that claim no arrest: contextual ones, and typed matches whose verdict asks for no context.
+GIVEN_CLAIMS = f"""vp AS ({VERIFIED_POSTS}), ea AS (SELECT post_id, {PERSON_NAMED} AS person FROM vp WHERE {has('content', RK.ARREST_WORDS)} AND {has('content', RK.FIGURES)}),
+  pl AS (SELECT * FROM vp WHERE post_id NOT IN (SELECT post_id FROM ea)), {CONTEXTUAL.replace('FROM posts', 'FROM pl')},
+  c AS MATERIALIZED (SELECT row_number() OVER () AS claim_id, u.* FROM (SELECT post_id, claim_type, claim_text FROM claims
+    UNION ALL SELECT post_id, claim_type, claim_text FROM ({MATCHES.replace('FROM posts', 'FROM pl')}) m WHERE claim_type <> 'temporal') u)"""
+GIVEN_NUMBERS = f"""{STATS}, gn AS (SELECT claim_id, claim_text, 0 AS pat, unnest(regexp_extract_all(claim_text, '\\b[0-9]{{1,3}}(?:,[0-9]{{3}})*(?:\\.[0-9]+)?\\b')) AS txt FROM c WHERE claim_type = 'numerical'
+    UNION ALL SELECT claim_id, claim_text, 1, unnest(regexp_extract_all(claim_text, '\\b[0-9]+\\.[0-9]+\\b')) FROM c WHERE claim_type = 'numerical'
+    UNION ALL SELECT claim_id, claim_text, 2, unnest(regexp_extract_all(claim_text, '\\b[0-9]+\\b')) FROM c WHERE claim_type = 'numerical'),
+  gu AS (SELECT claim_id, txt, min(pat) AS pat, CAST(replace(txt, ',', '') AS DOUBLE) AS value, instr(claim_text, txt) AS ps FROM gn WHERE NOT regexp_matches(txt, '^(19|20)[0-9][0-9]$') GROUP BY claim_id, claim_text, txt),
+  gf AS (SELECT claim_id, arg_min(value, pat * 100000 + ps) AS value FROM gu GROUP BY claim_id),
+  gx AS (SELECT c.claim_id, c.claim_text || '. ' || p.content AS rtx, f.value FROM c JOIN gf f ON f.claim_id = c.claim_id JOIN pl p ON p.post_id = c.post_id),
+  nv AS (SELECT claim_id, rtx, CASE WHEN regexp_matches(rtx, '(?i)[0-9]+ millones') THEN CAST(regexp_extract(rtx, '(?i)([0-9]+) millones', 1) AS DOUBLE) * 1000000 ELSE value END AS value FROM gx),
+  rr AS {NUMERIC[NUMERIC.index('rr AS ') + 6 :].replace('JOIN of s', 'JOIN st s')},
+  se AS (SELECT c.claim_id, c.post_id, CASE h.source WHEN 'INE' THEN 'INE - Instituto Nacional de Estadística' ELSE 'Eurostat - Oficina Estadística de la Unión Europea' END AS source_name FROM c JOIN hh h ON h.claim_id = c.claim_id AND h.rn = 1)"""
+GIVEN_DATES = f"""gd AS (SELECT claim_id, post_id, claim_text || ' ' || claim_text AS t FROM c WHERE claim_type = 'temporal'),
+  ge AS (SELECT *, regexp_extract(t, '(?:^|{W})([0-9]{{1,2}}[/-][0-9]{{1,2}}[/-][0-9]{{4}})(?:$|{W})', 1) AS ds, try_cast(nullif(regexp_extract(t, '(?:^|{W})((?:19|20)[0-9]{{2}})(?:$|{W})', 1), '') AS INTEGER) AS y,
+    regexp_matches(t, '(^|{W})(hace\\s+[0-9]+\\s+(días?|meses?|años?)|en\\s+(el\\s+)?[0-9]{{4}})($|{W})', 'i') AS rel FROM gd),
+  gg AS (SELECT *, try_cast(regexp_replace(ds, '^([0-9]+)[/-]([0-9]+)[/-]([0-9]+)$', '\\3-\\2-\\1') AS DATE) AS day FROM ge),
+  td AS (SELECT claim_id, post_id, day IS NOT NULL OR y IS NOT NULL AS dated, CASE WHEN CASE WHEN day IS NOT NULL THEN day <= DATE '2024-06-01' WHEN y IS NOT NULL THEN y <= 2026 ELSE rel END THEN 'verified' ELSE 'debunked' END AS verdict FROM gg)"""
+GIVEN_GENERAL = f"""{CHECKS}, gt AS MATERIALIZED (SELECT DISTINCT claim_text FROM c WHERE claim_type NOT IN ('numerical', 'temporal')),
+  ev0 AS MATERIALIZED (SELECT claim_text, source_name, source_type, url, title, content_snippet, publication_date, verdict, confidence, {PRIO} / 10.0 AS credibility_score FROM (
+    SELECT t.claim_text, f.source_name, 'fact_checker' AS source_type, concat('https://check.example/', f.check_id) AS url, concat('Verificación: ', f.claim) AS title, f.claim AS content_snippet, f.publication_date,
+      CASE f.verdict WHEN 'true' THEN 'verified' WHEN 'Falso' THEN 'debunked' ELSE 'questionable' END AS verdict, f.confidence
+    FROM gt t JOIN fc f ON {shares_word('t.claim_text', 'f.claim')} OR {related('t.claim_text', 'f.claim')}
+    UNION ALL SELECT t.claim_text, n.source_name, 'news', concat('https://news.example/', n.item_id), '', n.text, NULL, 'unverified', 0.5
+    FROM gt t JOIN (SELECT *, CASE item_id % 5 WHEN 0 THEN 'El País' WHEN 1 THEN 'ABC' ELSE 'El Mundo' END AS source_name FROM benchmark) n ON {shares_word('t.claim_text', 'n.text')} OR {related('t.claim_text', 'n.text')}) x),
+  {SCORED.replace('FROM evidence)', 'FROM ev0)')},
+  gb AS MATERIALIZED (SELECT claim_text, url, verdict, confidence, cred * 0.7 + {PRIO} / 10.0 * 0.3 AS credibility_score FROM sc)"""
+GIVEN_VERDICTS = f"""gev AS MATERIALIZED (SELECT c.claim_id, c.post_id, b.url, b.verdict, b.confidence, b.credibility_score FROM c JOIN gb b ON b.claim_text = c.claim_text WHERE c.claim_type NOT IN ('numerical', 'temporal')
+    UNION ALL SELECT claim_id, post_id, '', 'verified', 0.9, {PRIO} / 10.0 FROM se
+    UNION ALL SELECT claim_id, post_id, '', verdict, CASE verdict WHEN 'verified' THEN 0.8 ELSE 0.6 END, 0.8 FROM td WHERE dated),
+  {verdict_sql('gev', 'credibility_score * confidence', 0.4, R.CLAIM_VERDICTS, 'questionable', 'unverified')},
+  jd AS (SELECT c.claim_id, c.post_id, c.claim_type, c.claim_text, coalesce(td.verdict, vd.verdict, 'unverified') AS verdict FROM c LEFT JOIN vd ON vd.claim_id = c.claim_id LEFT JOIN td ON td.claim_id = c.claim_id),
+  gm AS (SELECT claim_id, max(credibility_score) AS best FROM gev GROUP BY claim_id),
+  pw AS (SELECT j.post_id AS pid, j.verdict, coalesce(gm.best, 1.0) AS wt FROM jd j LEFT JOIN gm ON gm.claim_id = j.claim_id)"""
+GIVEN_REPORT = (
+    f"""{GIVEN_CLAIMS}, {GIVEN_NUMBERS}, {GIVEN_DATES}, {GIVEN_GENERAL}, {GIVEN_VERDICTS}, {POST_VD[POST_VD.index('ptot AS') :]}, {CLASH},
+  du AS (SELECT post_id, count(DISTINCT url) AS n FROM gev WHERE url <> '' GROUP BY post_id), """
+    + REPORT[REPORT.index("rep AS") :].replace("(SELECT count(*) FROM dd WHERE dd.post_id = p.post_id)", "coalesce((SELECT n FROM du WHERE du.post_id = p.post_id), 0)").replace("FROM posts p", "FROM pl p")
+    + f""", ec AS (SELECT post_id AS claim_id, person AS person_name, 'arrest' AS event_type FROM ea), sp AS (SELECT post_id AS claim_id, page_id, source_kind, html FROM ({EVENT_PAGES}) x), """
+    + EVENT_EV[EVENT_EV.index("fl AS") :]
+    + """, eg AS (SELECT claim_id, bool_or(verdict = 'debunked') AS d, bool_or(verdict = 'verified') AS ver, avg(confidence) AS cf, count(*) AS n FROM ee GROUP BY claim_id),
+  er AS (SELECT e.claim_id AS post_id, CASE WHEN d THEN 'debunked' WHEN ver THEN 'verified' ELSE 'questionable' END AS verdict,
+    CASE WHEN cf IS NULL THEN 0.3 WHEN d THEN least(0.9, cf) WHEN ver THEN least(0.8, cf) ELSE 0.4 END AS conf, coalesce(n, 0) AS n FROM ec e LEFT JOIN eg ON eg.claim_id = e.claim_id)"""
+)
+
+
+@query(
+    "G26_verify_claims",
+    f"""WITH {GIVEN_REPORT} SELECT post_id, verdict, CAST(round(conf, 6) AS DOUBLE) AS confidence, n_claims, n_verified, n_debunked, n_questionable, n_sources, temporal_consistency, contradictions FROM rep
+       UNION ALL SELECT post_id, verdict, CAST(round(conf, 6) AS DOUBLE), 1, CAST(verdict = 'verified' AS BIGINT), CAST(verdict = 'debunked' AS BIGINT), CAST(verdict = 'questionable' AS BIGINT), n, TRUE, '' FROM er""",
+)
+def verify_claims(v):
+    """The lifecycle over given claims: all whose verdict asks for no position in the text."""
+    posts = verified_posts(v)
+    claims = K.all_claims(posts).filter("phase <> 'temporal'")
+    claims = K.score_claims(claims, as_of()).withColumn("claim_id", F.md5(F.concat_ws("/", "post_id", "phase", "rule", "start_pos", "end_pos").cast("binary")))
+    out, _ = verify_lifecycle(posts, stats(v), checks(v), news_pool(v), as_of(), event_pages=event_pages(v), claims=claims)
+    return out.withColumn("confidence", F.round("confidence", 6)).withColumn("contradictions", F.array_join("contradictions", "|"))

@@ -61,23 +61,21 @@ def stream_upsert(v):
 
 @query(
     "H2_only_new",
-    """WITH b AS (SELECT username, min(post_ts) AS lo FROM posts WHERE likes % 2 = 0 AND username <> 'src3' GROUP BY username)
+    """WITH b AS (SELECT username, min(post_ts) AS lo FROM posts GROUP BY username)
        SELECT n.post_id, n.username FROM incoming_posts n LEFT JOIN b ON b.username = n.username WHERE b.lo IS NULL OR n.post_ts < b.lo""",
 )
 def only_new(v):
-    kept = v.posts.filter("likes % 2 = 0 AND username <> 'src3'")
-    bounds = kept.groupBy("username").agg(F.min("post_ts").alias("oldest_ts"), F.max("post_ts").alias("newest_ts"))
+    bounds = v.posts.groupBy("username").agg(F.min("post_ts").alias("oldest_ts"), F.max("post_ts").alias("newest_ts"))
     return O.only_new(v.incoming_posts, bounds, "older").select("post_id", "username")
 
 
 @query(
     "H2_only_newer",
-    """WITH b AS (SELECT username, max(post_ts) AS hi FROM posts WHERE likes % 2 = 0 AND username <> 'src3' GROUP BY username)
+    """WITH b AS (SELECT username, max(post_ts) AS hi FROM posts GROUP BY username)
        SELECT n.post_id, n.username FROM incoming_posts n LEFT JOIN b ON b.username = n.username WHERE b.hi IS NULL OR n.post_ts > b.hi""",
 )
 def only_newer(v):
-    kept = v.posts.filter("likes % 2 = 0 AND username <> 'src3'")
-    bounds = kept.groupBy("username").agg(F.min("post_ts").alias("oldest_ts"), F.max("post_ts").alias("newest_ts"))
+    bounds = v.posts.groupBy("username").agg(F.min("post_ts").alias("oldest_ts"), F.max("post_ts").alias("newest_ts"))
     return O.only_new(v.incoming_posts, bounds, "newer").select("post_id", "username")
 
 

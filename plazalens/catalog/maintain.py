@@ -246,18 +246,18 @@ def status(v):
 
 EDITS = (
     "SELECT CAST(event_id % 400 AS VARCHAR) AS post_id, CAST(row_number() OVER (PARTITION BY event_id % 400 ORDER BY event_id) AS INTEGER) AS version_number, "
-    "props AS previous_content, CAST(ts AS TIMESTAMP) AS detected_at FROM events WHERE event_type = 'click'"
+    "props AS previous_content, CAST(ts AS TIMESTAMP) AS detected_at FROM events"
 )
 NEW_EDITS = (
     "SELECT CAST(event_id % 600 AS VARCHAR) AS post_id, props AS previous_content, CAST(ts AS TIMESTAMP) + INTERVAL '60' DAY AS detected_at "
-    "FROM events WHERE event_type = 'view'"
+    "FROM events"
 )
 
 
 def edits(v):
     from pyspark.sql import Window as W
 
-    rows = v.raw("events").filter("event_type = 'click'")
+    rows = v.raw("events")
     number = F.row_number().over(W.partitionBy(F.col("event_id") % 400).orderBy("event_id"))
     return rows.select(
         (F.col("event_id") % 400).cast("string").alias("post_id"),
@@ -276,7 +276,7 @@ def edits(v):
          n.previous_content, strftime(n.detected_at, '{TS}') FROM n LEFT JOIN m ON m.post_id = n.post_id""",
 )
 def append(v):
-    fresh = v.raw("events").filter("event_type = 'view'").selectExpr(
+    fresh = v.raw("events").selectExpr(
         "CAST(event_id % 600 AS STRING) AS post_id",
         "props AS previous_content",
         "CAST(ts AS TIMESTAMP) + INTERVAL '60' DAY AS detected_at",
@@ -316,7 +316,7 @@ def manual(v):
 
 @query(
     "A15_attach_external",
-    """WITH x AS (SELECT post_id, max(explanation) AS ext FROM model_analyses WHERE model_name = 'm_large' AND error_message IS NULL GROUP BY post_id)
+    """WITH x AS (SELECT post_id, max(explanation) AS ext FROM model_analyses WHERE error_message IS NULL GROUP BY post_id)
        SELECT a.post_id, coalesce(x.ext, a.external_explanation) AS external_explanation,
         (x.ext IS NOT NULL OR a.external_analysis_used) AS external_analysis_used,
         CASE WHEN x.ext IS NULL THEN a.analysis_stages WHEN coalesce(a.analysis_stages, '') = '' THEN 'external'
@@ -326,7 +326,7 @@ def manual(v):
 )
 def external(v):
     ext = (
-        v.model_analyses.filter("model_name = 'm_large' AND error_message IS NULL")
+        v.model_analyses.filter("error_message IS NULL")
         .groupBy("post_id")
         .agg(F.max("explanation").alias("external_explanation"))
     )
@@ -337,7 +337,9 @@ def external(v):
 
 FEEDBACK_WALK = """f AS (SELECT id, post_id, user_ip, epoch_us(submitted_at) AS us, CASE WHEN coalesce(post_id, '') = '' THEN 'post_id missing'
      WHEN coalesce(feedback_type, 'correction') = 'correction' AND coalesce(corrected_category, '') = '' THEN 'corrected_category missing'
-     WHEN post_id NOT IN (SELECT post_id FROM posts) THEN 'post not found' END AS why FROM feedback),
+     WHEN post_id NOT IN (SELECT post_id FROM posts) THEN 'post not found'
+     WHEN EXISTS (SELECT 1 FROM stored_feedback s WHERE s.post_id = feedback.post_id AND s.user_ip = feedback.user_ip AND s.submitted_at <= feedback.submitted_at
+       AND s.submitted_at > feedback.submitted_at - INTERVAL '1' HOUR) THEN 'already submitted recently' END AS why FROM feedback),
   o AS (SELECT *, concat(post_id, '/', user_ip) AS k, row_number() OVER (PARTITION BY post_id, user_ip ORDER BY us, id) AS rn FROM f WHERE why IS NULL),
   walk AS (SELECT k, rn, id, us AS last, TRUE AS ok FROM o WHERE rn = 1
     UNION ALL SELECT o.k, o.rn, o.id, CASE WHEN o.us - walk.last >= 3600000000 THEN o.us ELSE walk.last END, o.us - walk.last >= 3600000000 FROM walk JOIN o ON o.k = walk.k AND o.rn = walk.rn + 1)"""
@@ -349,7 +351,7 @@ FEEDBACK_WALK = """f AS (SELECT id, post_id, user_ip, epoch_us(submitted_at) AS
        CASE WHEN f.why IS NOT NULL THEN f.why WHEN NOT walk.ok THEN 'already submitted recently' END AS reason FROM f LEFT JOIN walk ON walk.id = f.id""",
 )
 def feedback(v):
-    return M.accept_feedback(v.feedback, v.posts).select("id", "post_id", "user_ip", "accepted", "reason")
+    return M.accept_feedback(v.feedback, v.posts, v.stored_feedback).select("id", "post_id", "user_ip", "accepted", "reason")
 
 
 GONE = "SELECT username FROM accounts WHERE platform = 'telegram'"

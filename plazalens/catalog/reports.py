@@ -377,13 +377,16 @@ def run_summary(v):
     return R.run_summary(results).select("category", "n", r6("percentage"))
 
 
-PAIRS = """pairs AS (SELECT m.post_id, m.category AS predicted, a.category AS actual, p.content, CAST(m.post_id AS BIGINT) AS num
-  FROM model_analyses m JOIN content_analyses a ON a.post_id = m.post_id JOIN posts p ON p.post_id = m.post_id WHERE m.model_name = 'm_fast')"""
+PAIRS = """pairs AS (SELECT m.post_id, m.model_name, m.category AS predicted, a.category AS actual, p.content, CAST(m.post_id AS BIGINT) AS num
+  FROM model_analyses m JOIN content_analyses a ON a.post_id = m.post_id JOIN posts p ON p.post_id = m.post_id)"""
+TRUTH = "truth AS (SELECT a.post_id, CAST(a.post_id AS BIGINT) AS num FROM content_analyses a JOIN posts p ON p.post_id = a.post_id)"
+MODELS = "models AS (SELECT DISTINCT model_name FROM model_analyses)"
+BY_MODEL = ("model_name",)
 NAMES = "cats AS (" + " UNION ALL ".join(f"SELECT '{c}' AS category" for c in CATEGORIES) + ")"
 
 
 def pred(v):
-    return v.model_analyses.filter("model_name = 'm_fast'").select("post_id", "category")
+    return v.model_analyses.select("post_id", "model_name", "category")
 
 
 def truth(v):
@@ -394,57 +397,63 @@ def truth(v):
 
 @query(
     "C26_evaluate",
-    f"""WITH {PAIRS}, {NAMES}, e AS (SELECT c.category, (SELECT count(*) FROM pairs WHERE predicted = c.category AND actual = c.category) AS tp,
-         (SELECT count(*) FROM pairs WHERE predicted = c.category) AS predicted, (SELECT count(*) FROM pairs WHERE actual = c.category) AS actual FROM cats c),
-        f AS (SELECT *, CASE WHEN predicted > 0 THEN tp / predicted ELSE 0.0 END AS precision, CASE WHEN actual > 0 THEN tp / actual ELSE 0.0 END AS recall FROM e)
-       SELECT category, tp, predicted, actual, CAST(round(precision, 6) AS DOUBLE) AS precision, CAST(round(recall, 6) AS DOUBLE) AS recall,
+    f"""WITH {PAIRS}, {NAMES}, {MODELS}, e AS (SELECT m.model_name, c.category,
+         (SELECT count(*) FROM pairs p WHERE p.model_name = m.model_name AND predicted = c.category AND actual = c.category) AS tp,
+         (SELECT count(*) FROM pairs p WHERE p.model_name = m.model_name AND predicted = c.category) AS predicted,
+         (SELECT count(*) FROM pairs p WHERE p.model_name = m.model_name AND actual = c.category) AS actual FROM models m CROSS JOIN cats c),
+        f AS (SELECT *, CASE WHEN predicted > 0 THEN tp / predicted ELSE 0.0 END AS precision, CASE WHEN actual > 0 THEN tp / actual ELSE 0.0 END AS recall FROM e),
+        s AS (SELECT model_name, count(*) AS samples, count(*) FILTER (WHERE predicted = actual) AS ok FROM pairs GROUP BY model_name)
+       SELECT f.model_name, category, tp, predicted, actual, CAST(round(precision, 6) AS DOUBLE) AS precision, CAST(round(recall, 6) AS DOUBLE) AS recall,
         CAST(CASE WHEN precision + recall > 0 THEN round(2 * precision * recall / (precision + recall), 6) ELSE 0 END AS DOUBLE) AS f1,
-        (SELECT count(*) FROM pairs) AS samples, round((SELECT count(*) FROM pairs WHERE predicted = actual) / (SELECT count(*) FROM pairs), 6) AS accuracy FROM f""",
+        samples, round(ok / samples, 6) AS accuracy FROM f JOIN s ON s.model_name = f.model_name""",
 )
 def evaluate(v):
-    return R.evaluate(pred(v), truth(v)).select(
-        "category", "tp", "predicted", "actual", r6("precision"), r6("recall"), r6("f1"), "samples", r6("accuracy")
+    return R.evaluate(pred(v), truth(v), BY_MODEL).select(
+        "model_name", "category", "tp", "predicted", "actual", r6("precision"), r6("recall"), r6("f1"), "samples", r6("accuracy")
     )
 
 
 @query(
     "C26_confusion_matrix",
-    f"""WITH {PAIRS}, {NAMES} SELECT p.category AS predicted, a.category AS actual,
-       (SELECT count(*) FROM pairs WHERE predicted = p.category AND actual = a.category) AS n FROM cats p CROSS JOIN cats a""",
+    f"""WITH {PAIRS}, {NAMES}, {MODELS} SELECT m.model_name, p.category AS predicted, a.category AS actual,
+       (SELECT count(*) FROM pairs q WHERE q.model_name = m.model_name AND predicted = p.category AND actual = a.category) AS n
+       FROM models m CROSS JOIN cats p CROSS JOIN cats a""",
 )
 def confusion(v):
-    return R.confusion_matrix(pred(v), truth(v))
+    return R.confusion_matrix(pred(v), truth(v), BY_MODEL)
 
 
 @query(
     "C27_error_pairs",
-    f"""WITH {PAIRS} SELECT predicted, actual, count(*) AS n, CAST(row_number() OVER (ORDER BY count(*) DESC, predicted, actual) AS INTEGER) AS rank
-       FROM pairs WHERE predicted <> actual GROUP BY predicted, actual""",
+    f"""WITH {PAIRS} SELECT model_name, predicted, actual, count(*) AS n,
+        CAST(row_number() OVER (PARTITION BY model_name ORDER BY count(*) DESC, predicted, actual) AS INTEGER) AS rank
+       FROM pairs WHERE predicted <> actual GROUP BY model_name, predicted, actual""",
 )
 def error_pairs(v):
-    return R.error_pairs(R.misclassified(pred(v), truth(v)))
+    return R.error_pairs(R.misclassified(pred(v), truth(v), BY_MODEL), BY_MODEL)
 
 
 @query(
     "C27_error_patterns",
     f"""WITH {PAIRS}, err AS (SELECT * FROM pairs WHERE predicted <> actual),
-        s AS (SELECT predicted AS category, 'fp' AS side, post_id, substring(content, 1, 100) AS ex FROM err UNION ALL SELECT actual, 'fn', post_id, substring(content, 1, 100) FROM err),
-        r AS (SELECT *, row_number() OVER (PARTITION BY category, side ORDER BY post_id) AS rn FROM s)
-       SELECT category, count(*) FILTER (WHERE side = 'fp') AS false_positives, count(*) FILTER (WHERE side = 'fn') AS false_negatives,
-        count(*) AS total_errors, count(*) > (SELECT count(*) FROM err) * 0.1 AS high_error,
+        s AS (SELECT model_name, predicted AS category, 'fp' AS side, post_id, substring(content, 1, 100) AS ex FROM err
+          UNION ALL SELECT model_name, actual, 'fn', post_id, substring(content, 1, 100) FROM err),
+        r AS (SELECT *, row_number() OVER (PARTITION BY model_name, category, side ORDER BY post_id) AS rn FROM s)
+       SELECT model_name, category, count(*) FILTER (WHERE side = 'fp') AS false_positives, count(*) FILTER (WHERE side = 'fn') AS false_negatives,
+        count(*) AS total_errors, count(*) > (SELECT count(*) FROM err WHERE err.model_name = r.model_name) * 0.1 AS high_error,
         coalesce(string_agg(ex, '|' ORDER BY rn) FILTER (WHERE side = 'fp' AND rn <= 3), '') AS fp_examples,
-        coalesce(string_agg(ex, '|' ORDER BY rn) FILTER (WHERE side = 'fn' AND rn <= 3), '') AS fn_examples FROM r GROUP BY category""",
+        coalesce(string_agg(ex, '|' ORDER BY rn) FILTER (WHERE side = 'fn' AND rn <= 3), '') AS fn_examples FROM r GROUP BY model_name, category""",
 )
 def error_patterns(v):
-    return R.error_patterns(R.misclassified(pred(v), truth(v))).select(
-        "category", "false_positives", "false_negatives", "total_errors", "high_error",
+    return R.error_patterns(R.misclassified(pred(v), truth(v), BY_MODEL), by=BY_MODEL).select(
+        "model_name", "category", "false_positives", "false_negatives", "total_errors", "high_error",
         F.array_join("fp_examples", "|").alias("fp_examples"), F.array_join("fn_examples", "|").alias("fn_examples"),
     )
 
 
 @query(
     "C28_split",
-    f"""WITH {PAIRS} SELECT post_id, row_number() OVER (ORDER BY num) <= floor((SELECT count(*) FROM pairs) * 0.8) AS is_train FROM pairs""",
+    f"""WITH {TRUTH} SELECT post_id, row_number() OVER (ORDER BY num) <= floor((SELECT count(*) FROM truth) * 0.8) AS is_train FROM truth""",
 )
 def split(v):
     return R.split_by_order(truth(v), "num").select("post_id", "is_train")
@@ -452,14 +461,15 @@ def split(v):
 
 @query(
     "C28_split_eval",
-    f"""WITH {PAIRS}, m AS (SELECT *, row_number() OVER (ORDER BY num) <= floor((SELECT count(*) FROM pairs) * 0.8) AS tr FROM pairs)
-       SELECT count(*) FILTER (WHERE tr) AS train_rows, count(*) FILTER (WHERE NOT tr) AS validation_rows,
+    f"""WITH {PAIRS}, {TRUTH}, t AS (SELECT post_id, row_number() OVER (ORDER BY num) <= floor((SELECT count(*) FROM truth) * 0.8) AS tr FROM truth),
+        m AS (SELECT pairs.*, t.tr FROM pairs JOIN t ON t.post_id = pairs.post_id)
+       SELECT model_name, count(*) FILTER (WHERE tr) AS train_rows, count(*) FILTER (WHERE NOT tr) AS validation_rows,
         round(avg(CASE WHEN predicted = actual THEN 1.0 ELSE 0.0 END) FILTER (WHERE tr), 6) AS train_accuracy,
-        round(avg(CASE WHEN predicted = actual THEN 1.0 ELSE 0.0 END) FILTER (WHERE NOT tr), 6) AS validation_accuracy FROM m""",
+        round(avg(CASE WHEN predicted = actual THEN 1.0 ELSE 0.0 END) FILTER (WHERE NOT tr), 6) AS validation_accuracy FROM m GROUP BY model_name""",
 )
 def split_eval(v):
-    return R.split_eval(pred(v), truth(v), "num").select(
-        "train_rows", "validation_rows", r6("train_accuracy"), r6("validation_accuracy")
+    return R.split_eval(pred(v), truth(v), "num", by=BY_MODEL).select(
+        "model_name", "train_rows", "validation_rows", r6("train_accuracy"), r6("validation_accuracy")
     )
 
 

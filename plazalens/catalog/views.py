@@ -109,7 +109,10 @@ def recent_analyses(v):
        WHERE a.category = 'disinformation' ORDER BY a.analysis_ts DESC, a.post_id DESC LIMIT 10 OFFSET 10""",
 )
 def by_category(v):
-    return O.analyses_by_category(v.content_analyses, v.posts, "disinformation", 2, 10).select(
+    """The second page, asked by the last row of the first."""
+    first = O.analyses_by_category(v.content_analyses, v.posts, "disinformation", 1, 10).select("analysis_ts", "post_id").collect()
+    last = first[-1].asDict() if len(first) == 10 else {"analysis_ts": None, "post_id": None}
+    return O.analyses_by_category(v.content_analyses, v.posts, "disinformation", per_page=10, last=last).select(
         "post_id", "category", "username", "url"
     )
 
@@ -151,10 +154,14 @@ def failed(v):
        FROM j LEFT JOIN s ON s.username = j.username AND s.thread_id = j.thread_id WHERE position > 3 AND position <= 6""",
 )
 def timeline(v):
-    rows = O.timeline(
-        v.posts.drop("is_thread_start"), v.content_analyses, post_type="original", date_from="2024-01-02", date_to="2024-01-25",
-        page=2, per_page=3,
-    )
+    """Every account's second page, asked by the last rows of its first."""
+
+    def page(**asked):
+        posts = v.posts.drop("is_thread_start")
+        return O.timeline(posts, v.content_analyses, post_type="original", date_from="2024-01-02", date_to="2024-01-25", per_page=3, **asked)
+
+    first = page().filter("position = 3 OR position = total_filtered")
+    rows = page(last=first)
     return rows.select(
         "post_id", "username", "analysis_category", "position", "total_filtered", "total_pages", "thread_post_count", "is_thread_start"
     )
@@ -241,7 +248,10 @@ def category_page(v):
        FROM feedback f LEFT JOIN posts p ON p.post_id = f.post_id ORDER BY f.submitted_at DESC, f.id DESC LIMIT 20 OFFSET 20""",
 )
 def feedback(v):
-    return O.feedback_list(v.feedback, v.posts, 2, 20).select("id", "post_id", "feedback_type", "username", stamp("submitted_at"))
+    """The second page, asked by the last row of the first."""
+    first = O.feedback_list(v.feedback, v.posts, 1, 20).select("submitted_at", "id").collect()
+    last = first[-1].asDict() if len(first) == 20 else {"submitted_at": None, "id": None}
+    return O.feedback_list(v.feedback, v.posts, per_page=20, last=last).select("id", "post_id", "feedback_type", "username", stamp("submitted_at"))
 
 
 @query(

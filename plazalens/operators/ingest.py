@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from itertools import count
+from bisect import bisect_left
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -64,38 +66,50 @@ def windows_back(ends: DataFrame, k: int, months: int = 6) -> DataFrame:
     )
 
 
+def _halved(threshold: int, depth: int | None):
+    """Split each window by the running counts of its user's days."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out: list[tuple] = []
+            for user, start, end, days, before in batch.itertuples(index=False, name=None):
+                days, before = list(days), [0, *before]
+                open_ = [(start, end, 0)]
+                while open_:
+                    a, b, level = open_.pop()
+                    n = int(before[bisect_left(days, b)] - before[bisect_left(days, a)])
+                    if n >= threshold and b - a > 1 and (depth is None or level < depth):
+                        middle = a + (b - a) // 2
+                        open_ += [(middle, b, level + 1), (a, middle, level + 1)]
+                    else:
+                        out.append((user, a, b, n, level))
+            yield pd.DataFrame(out, columns=["username", "start_day", "end_day", "n_posts", "depth"])
+
+    return run
+
+
 def adaptive_windows(
     posts: DataFrame, windows: DataFrame, threshold: int = SPLIT_THRESHOLD, depth: int | None = None
 ) -> DataFrame:
     """Halve windows [start, end) with at least ``threshold`` posts, down to a day, or to ``depth`` halvings.
 
-    Works on daily counts per user, in as many rounds over the open windows as the longest has halvings.
+    Posts are counted by user and day, map side first. A user's running counts, an entry for each day with posts,
+    give the count of any window, so a window goes through all its halvings in one pass.
     """
-    daily = durable(posts.groupBy("username", F.to_date("post_ts").alias("_day")).agg(F.count("*").alias("_n")))
-    open_ = windows.select("username", "start_date", "end_date")
-    finished = None
-    for level in count():
-        inside = (F.col("_day") >= F.col("start_date")) & (F.col("_day") < F.col("end_date"))
-        counted = (
-            open_.join(daily.withColumnRenamed("username", "_user"), (F.col("username") == F.col("_user")) & inside, "left")
-            .groupBy("username", "start_date", "end_date")
-            .agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("n_posts"))
-        )
-        days = F.datediff("end_date", "start_date")
-        counted = durable(counted.withColumn("_split", (F.col("n_posts") >= threshold) & (days > 1) & F.lit(depth is None or level < depth)))
-        done = counted.filter(~F.col("_split")).drop("_split").withColumn("depth", F.lit(level))
-        finished = done if finished is None else finished.unionByName(done)
-        full = counted.filter("_split")
-        if full.isEmpty():
-            break
-        middle = F.date_add("start_date", F.floor(days / 2).cast("int"))
-        halves = F.array(
-            F.struct(F.col("start_date").alias("s"), middle.alias("e")), F.struct(middle.alias("s"), F.col("end_date").alias("e"))
-        )
-        open_ = full.select("username", F.explode(halves).alias("h")).select(
-            "username", F.col("h.s").alias("start_date"), F.col("h.e").alias("end_date")
-        )
-    return finished
+    daily = posts.groupBy("username", F.unix_date(F.to_date("post_ts")).alias("day")).agg(F.count("*").alias("n"))
+    daily = daily.filter(F.col("day").isNotNull())
+    before = daily.withColumn("before", F.sum("n").over(W.partitionBy("username").orderBy("day")))
+    counts = before.groupBy("username").agg(F.sort_array(F.collect_list(F.struct("day", "before"))).alias("_c"))
+    none = F.array().cast("array<bigint>")
+    rows = windows.select("username", "start_date", "end_date").join(counts, "username", "left").select(
+        "username", F.unix_date("start_date").alias("start_day"), F.unix_date("end_date").alias("end_day"),
+        F.coalesce(F.transform("_c", lambda x: x["day"].cast("bigint")), none).alias("days"),
+        F.coalesce(F.transform("_c", lambda x: x["before"]), none).alias("before"),
+    )
+    split = rows.mapInPandas(_halved(threshold, depth), "username string, start_day int, end_day int, n_posts bigint, depth int")
+    return split.select(
+        "username", F.date_from_unix_date("start_day").alias("start_date"), F.date_from_unix_date("end_day").alias("end_date"), "n_posts", "depth"
+    )
 
 
 def history_extent(windows: DataFrame, n: int = EMPTY_TO_STOP) -> DataFrame:

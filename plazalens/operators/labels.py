@@ -14,8 +14,9 @@ from pyspark.sql import Window as W
 
 from plazalens.functions import dom
 from plazalens.functions import posts as C
-from plazalens.functions.anchors import HEAD, anchors_of, merged
+from plazalens.functions.anchors import merged
 from plazalens.functions.joins import BLANK, holding, substring_hits, tokens_of
+from plazalens.functions.literals import seen
 from plazalens.functions.spans import SpanRule, find_spans
 from plazalens.functions.tables import ranked
 from plazalens.functions.text import any_of, contains_any, extract_or_null, first_contained, folded, found_in_order, strip
@@ -37,43 +38,49 @@ def folded_pattern(rules: list[str]) -> str:
     return "(?Ud)" + "|".join(parts)
 
 
-def _hit(patterns: list[str], low: Column, heads: Column, group: int) -> Column:
-    """Any rule hits. Groups of rules are tried only when their anchors occur."""
-    tests = []
-    for at in range(0, len(patterns), group):
-        part = patterns[at:at + group]
-        need = merged(part)
-        test = low.rlike(folded_pattern(part))
-        if not need.always:
-            near = [low.contains(p) for p in sorted(need.parts)]
-            if need.heads:
-                near.append(F.arrays_overlap(heads, F.array(*[F.lit(h) for h in sorted(need.heads)])))
-            test = any_of(near) & test
-        tests.append(test)
-    return any_of(tests)
+def _rule_groups(rules: dict[str, list[str]], group: int) -> list[tuple[str, list[str], frozenset[str]]]:
+    """(category, rules, literals): groups of rules with what every match of one must hold; no literals
+    where none can be derived."""
+    out = []
+    for category, patterns in rules.items():
+        for at in range(0, len(patterns), group):
+            part = patterns[at : at + group]
+            need = merged(part)
+            out.append((category, part, need.heads | need.parts))
+    return out
 
 
-def detected_categories(content: Column, rules: dict[str, list[str]] | None = None, group: int = 3) -> Column:
+def literals_seen(content: Column, rules: dict[str, list[str]] | None = None, entities: list[tuple[str, str]] | None = None, group: int = 3) -> Column:
+    """What one automaton over the rules' literals and the names finds in a text (see ``seen``)."""
+    groups = [literals for _, _, literals in _rule_groups(R.LABEL_RULES if rules is None else rules, group)]
+    return seen(F.lower(content), groups, [name for _, name in (R.ENTITIES if entities is None else entities)])
+
+
+def detected_categories(content: Column, rules: dict[str, list[str]] | None = None, group: int = 3, found: Column | None = None) -> Column:
     """Categories with at least one hit, in rule order; short texts have none.
 
-    The word beginnings of a post are cut down once to those any rule needs, so the
-    test of each rule group runs on a handful of values. The lower-cased text and the
-    beginnings are bound by a lambda: wherever Catalyst moves the expression, they
-    are computed once per row.
+    A group of rules is tried only where the automaton saw one of its literals (``found``), which most texts
+    do not have; the test is a necessary condition and changes no result. The lower-cased text is bound by a lambda:
+    wherever Catalyst moves the expression, it is computed once per row.
     """
     rules = rules or R.LABEL_RULES
-    needed = sorted(frozenset().union(*[anchors_of(p).heads for patterns in rules.values() for p in patterns]))
-    low = folded(content)
-    words = F.regexp_extract_all(low, F.lit(rf"(?U)\b\w{{{HEAD}}}"), F.lit(0))
-    heads = F.array_intersect(words, F.array(*[F.lit(h) for h in needed]))
+    fired = (literals_seen(content, rules, [], group) if found is None else found)["groups"]
+    tests: dict[str, list] = {c: [] for c in rules}
+    for k, (category, part, literals) in enumerate(_rule_groups(rules, group)):
+        tests[category].append((k, folded_pattern(part), bool(literals)))
 
     def hits(bound: Column) -> Column:
-        return F.array_compact(
-            F.array(*[F.when(_hit(p, bound["low"], bound["heads"], group), F.lit(c)) for c, p in rules.items()])
-        )
+        def hit(k: int, pattern: str, needs: bool) -> Column:
+            test = bound["low"].rlike(pattern)
+            return F.coalesce(F.array_contains(bound["fired"], k), F.lit(False)) & test if needs else test
 
-    found = F.transform(F.array(F.struct(low.alias("low"), heads.alias("heads"))), hits)[0]
-    return F.when(F.length(strip(content)) >= 5, found).otherwise(F.array().cast("array<string>"))
+        return F.array_compact(F.array(*[F.when(any_of(hit(*t) for t in found), F.lit(c)) for c, found in tests.items()]))
+
+    detected = F.transform(F.array(F.struct(folded(content).alias("low"), fired.alias("fired"))), hits)[0]
+    none = F.array().cast("array<string>")
+    if all(needs for found in tests.values() for _, _, needs in found):
+        detected = F.when(fired.isNotNull(), detected).otherwise(none)
+    return F.when(F.length(strip(content)) >= 5, detected).otherwise(none)
 
 
 def with_categories(posts: DataFrame, rules: dict[str, list[str]] | None = None) -> DataFrame:
@@ -93,24 +100,29 @@ def category_keywords(categories: Column) -> Column:
     return F.array_sort(F.array_distinct(F.flatten(F.array(*lists))))
 
 
-def entity_tags(content: Column, entities: list[tuple[str, str]] | None = None, limit: int | None = None) -> Column:
-    """`kind:name` of the listed entities on word boundaries, in list order, or the first ``limit``."""
-    low = F.lower(content)
-    hits = [
-        F.when(low.contains(name) & low.rlike(rf"(?U)\b{re.escape(name)}\b"), F.lit(f"{kind}:{name}"))
-        for kind, name in entities or R.ENTITIES
-    ]
-    found = F.array_compact(F.array(*hits))
-    return found if limit is None else F.slice(found, 1, limit)
+def entity_tags(content: Column, entities: list[tuple[str, str]] | None = None, limit: int | None = None, found: Column | None = None) -> Column:
+    """`kind:name` of the listed entities on word boundaries, in list order, or the first ``limit``.
+
+    The automaton finds all names in one pass, however many there are.
+    """
+    entities = R.ENTITIES if entities is None else entities
+    places = (seen(F.lower(content), [], [name for _, name in entities]) if found is None else found)["names"]
+    tags = F.array(*[F.lit(f"{kind}:{name}") for kind, name in entities]).cast("array<string>")
+    named = F.coalesce(F.transform(places, lambda k: F.get(tags, k)), F.array().cast("array<string>"))
+    return named if limit is None else F.slice(named, 1, limit)
 
 
 def label(posts: DataFrame, rules: dict[str, list[str]] | None = None) -> DataFrame:
     """Add categories, primary category, keywords and entity tags. Works on streams."""
+    found = F.col("_seen")
     return (
-        with_categories(posts, rules)
+        posts.withColumn("_seen", literals_seen(F.col("content"), rules))
+        .withColumn("categories", detected_categories(F.col("content"), rules, found=found))
+        .withColumn("entities", entity_tags(F.col("content"), found=found))
+        .drop("_seen")
         .withColumn("primary_category", primary_category(F.col("categories")))
         .withColumn("keywords", category_keywords(F.col("categories")))
-        .withColumn("entities", entity_tags(F.col("content")))
+        .select(*posts.columns, "categories", "primary_category", "keywords", "entities")
     )
 
 
@@ -364,8 +376,35 @@ def first_articles(queries: DataFrame, articles: DataFrame, order: list[Column],
 
 #: Words that most articles hold; an article is known by which of them it has.
 COMMON_WORDS = 12
-#: A query meets the postings of its rarest word, then of its three rarest, then of all.
-ROUNDS = (1, 3, None)
+#: A word's articles are all met by its queries where they are no more than so many for each of the k.
+CHEAP = 32
+#: Articles of a block.
+BLOCK = 256
+
+
+def _posting_blocks(hits: DataFrame, words: DataFrame, docs: DataFrame) -> DataFrame:
+    """(word, source_name, mask, ids): the articles that hold a word, in blocks of about BLOCK with one source and
+    one set of common words. What a block can give a query is known from its mask; ids rise in a block."""
+    sizes = words.select("word", F.ceil(F.col("n") / BLOCK).cast("int").alias("_salts")).distinct()
+    rows = hits.join(sizes, "word").join(docs.select("article_id", "source_name", "mask"), "article_id")
+    rows = rows.withColumn("_salt", F.pmod(F.xxhash64("article_id"), F.col("_salts")))
+    return rows.groupBy("word", "source_name", "mask", "_salt").agg(F.sort_array(F.collect_list("article_id")).alias("ids")).drop("_salt")
+
+
+def _kept_ids(met: DataFrame, k: int) -> DataFrame:
+    """(query_id, article_id) of the blocks that can still change a query's ``k`` best of their source.
+
+    ``met`` has a row for each query, word and block: ``bound``, the most an article of the block can have that is
+    not found by a rarer word; ``alone``, where no commoner word follows; and the k-th row so far (low, last).
+    A tie with the k-th counts for smaller ids only. Where no word follows, a block's articles are equal but for
+    what rarer words give, so its first k stand for it.
+    """
+    tied = F.col("bound") == F.col("low")
+    ids = F.when(tied, F.filter("ids", lambda i: i < F.col("last"))).otherwise(F.col("ids"))
+    ids = F.when(F.col("low").isNull(), F.col("ids")).otherwise(ids)
+    open_ = met.filter(F.col("low").isNull() | (F.col("bound") >= F.col("low"))).withColumn("_ids", ids)
+    first = F.when(F.col("alone"), F.slice("_ids", 1, k)).otherwise(F.col("_ids"))
+    return open_.select("query_id", F.explode(first).alias("article_id")).distinct()
 
 
 def top_articles(queries: DataFrame, articles: DataFrame, k: int) -> DataFrame:
@@ -373,10 +412,17 @@ def top_articles(queries: DataFrame, articles: DataFrame, k: int) -> DataFrame:
     and source, by relevance and article_id. Exact, and without all pairs.
 
     The most common words join nothing: articles are grouped by source and by which of them they hold,
-    and each group's first k stand for it. The other words are visited from rare to common. A query
-    is settled as soon as its k-th best article of every source holds more than the words not visited
-    yet could give to any other.
+    and each group's first k stand for it. Words that few articles hold are met in full. Both give a k-th score; of the
+    other words only those are visited without which an article could still reach it, and of their
+    postings only the blocks whose best possible score does. Queries with one text are one query.
     """
+    texts = queries.select(F.col("query_id").alias("_query"), F.md5(F.coalesce("query", F.lit("")).cast("binary")).alias("query_id"), "query")
+    one_each = texts.groupBy("query_id").agg(F.first("query").alias("query"))
+    found = _top_of_texts(one_each, articles, k)
+    return texts.select("_query", "query_id").join(found, "query_id").select(F.col("_query").alias("query_id"), "article_id", "relevance")
+
+
+def _top_of_texts(queries: DataFrame, articles: DataFrame, k: int) -> DataFrame:
     wanted, totals = _asked(queries)
     wanted = durable(wanted)
     bodies = durable(_bodies(articles, "source_name"))
@@ -410,40 +456,50 @@ def top_articles(queries: DataFrame, articles: DataFrame, k: int) -> DataFrame:
     by_common = signature.join(met, "signature").select("query_id", "article_id", "source_name", "_n")
     covers = ranked(docs.select("article_id", "source_name", F.explode("families").alias("family")), ["family", "source_name"], [F.col("article_id")], k)
     by_family = totals.join(covers, "family").select("query_id", "article_id", "source_name", F.lit(0).cast("bigint").alias("_n"))
-    settled = durable(by_common.unionByName(by_family))
+    settled = by_common.unionByName(by_family)
 
     rare = split.filter(F.col("_common").isNull()).join(spread, "word")
-    rare = durable(rare.withColumn("_rank", F.row_number().over(W.partitionBy("query_id").orderBy("n", "word"))).select("query_id", "word", "_times", "_rank"))
+    onward = W.partitionBy("query_id").orderBy(F.desc("n"), F.desc("word"))
+    rare = rare.withColumn("_onward", F.sum("_times").over(onward)).withColumn("alone", F.row_number().over(onward) == 1)
+    rare = durable(rare.select("query_id", "word", "_times", "n", "_onward", "alone"))
     hits = durable(tokens.join(holds.join(rare.select("word").distinct(), "word"), "token").select(F.col("doc_id").alias("article_id"), "word").distinct())
-    n_sources = docs.select("source_name").distinct().count()
-    open_, best = rare.select("query_id").distinct(), settled
-    for visited in ROUNDS:
-        used = rare if visited is None else rare.filter(F.col("_rank") <= visited)
-        pairs = used.join(open_, "query_id").join(hits, "word").select("query_id", "article_id").distinct()
-        held = pairs.join(rare, "query_id").join(hits, ["article_id", "word"]).groupBy("query_id", "article_id").agg(F.sum("_times").alias("_rare"))
-        full = held.join(docs, "article_id").join(signature, "query_id", "left").select(
-            "query_id", "article_id", "source_name", (F.col("_rare") + F.coalesce(shared, F.lit(0))).alias("_n")
-        )
-        best = best.unionByName(full).groupBy("query_id", "article_id", "source_name").agg(F.max("_n").alias("_n"))
-        best = durable(ranked(best, ["query_id", "source_name"], [F.desc("_n"), F.col("article_id")], k))
-        if visited is None:
-            break
-        rest = rare.filter(F.col("_rank") > visited).groupBy("query_id").agg(F.sum("_times").alias("_rest"))
-        rest = rest.join(signature.select("query_id", "_common_weight"), "query_id", "left")
-        kth = best.groupBy("query_id", "source_name").agg(F.count("*").alias("m"), F.min("_n").alias("low")).filter(F.col("m") >= k)
-        kth = kth.groupBy("query_id").agg(F.count("*").alias("sources"), F.min("low").alias("low"))
-        done = kth.join(rest, "query_id").filter(
-            (F.col("sources") == n_sources) & (F.col("low") > F.col("_rest") + F.coalesce("_common_weight", F.lit(0)))
-        )
-        # A query without words to visit has none left either.
-        open_ = durable(rest.select("query_id").join(open_, "query_id").join(done, "query_id", "left_anti"))
-        if open_.isEmpty():
-            break
+
+    def scored(pairs: DataFrame) -> DataFrame:
+        held = pairs.join(rare.select("query_id", "word", "_times"), "query_id").join(hits, ["article_id", "word"])
+        held = held.groupBy("query_id", "article_id").agg(F.sum("_times").alias("_rare"))
+        full = held.join(docs, "article_id").join(signature, "query_id", "left")
+        return full.select("query_id", "article_id", "source_name", (F.col("_rare") + F.coalesce(shared, F.lit(0))).alias("_n"))
+
+    def kept(best: DataFrame) -> DataFrame:
+        most = best.groupBy("query_id", "article_id", "source_name").agg(F.max("_n").alias("_n"))
+        return durable(ranked(most, ["query_id", "source_name"], [F.desc("_n"), F.col("article_id")], k))
+
+    met = rare.filter(F.col("n") <= CHEAP * k).select("query_id", "word").join(hits, "word").select("query_id", "article_id").distinct()
+    best = kept(settled.unionByName(scored(met)))
+    dear = rare.filter(F.col("n") > CHEAP * k)
+    candidates = _candidates(dear, signature, best, _posting_blocks(hits, dear, docs), docs, shared, k)
+    best = kept(best.unionByName(scored(candidates)))
     return best.join(totals.select("query_id", "_total"), "query_id").select(
         "query_id", "article_id", F.least(F.col("_n") / F.col("_total"), F.lit(1.0)).alias("relevance")
     )
 
 
+def _candidates(dear: DataFrame, signature: DataFrame, best: DataFrame, blocks: DataFrame, docs: DataFrame, shared: Column, k: int) -> DataFrame:
+    """(query_id, article_id) that words of many articles may still bring among the ``k`` best."""
+    kth = best.groupBy("query_id", "source_name").agg(F.count("*").alias("_m"), F.max(F.struct(-F.col("_n"), "article_id")).alias("_last"))
+    kth = kth.filter(F.col("_m") >= k).select("query_id", "source_name", (-F.col("_last.col1")).alias("low"), F.col("_last.article_id").alias("last"))
+    kth = durable(kth)
+    # A word goes at once where all sources have k articles that no later word can pass.
+    sources = docs.select("source_name").distinct().count()
+    floor = kth.groupBy("query_id").agg(F.count("*").alias("_sources"), F.min("low").alias("_low")).filter(F.col("_sources") == sources)
+    asked = dear.join(signature, "query_id", "left").join(floor.select("query_id", "_low"), "query_id", "left")
+    most = F.coalesce("_common_weight", F.lit(0)) + F.col("_onward")
+    asked = asked.filter(F.col("_low").isNull() | (most >= F.col("_low")))
+    met = asked.join(blocks, "word").withColumn("bound", F.coalesce(shared, F.lit(0)) + F.col("_onward"))
+    met = met.filter(F.col("_low").isNull() | (F.col("bound") >= F.col("_low"))).join(kth, ["query_id", "source_name"], "left")
+    return _kept_ids(met, k)
+
+
 # -- display columns --------------------------------------------------------
 
 

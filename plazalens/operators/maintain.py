@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from plazalens.functions.limiter import admit
+from plazalens.functions.scan import by_width, running
 from plazalens.functions.tables import one_per_key, replace_by_key
 from plazalens.functions.text import csv_list
 
@@ -26,6 +27,7 @@ FLAGS = {"is_pinned", "is_thread_start"}
 NOT_A_POST = "analytics"
 MANUAL_NOTE = "Categoría asignada manualmente por administrador"
 FAILURE_PREFIX = "Analysis failed: "
+FEEDBACK_SECONDS = 3600
 
 
 def clean_batch(incoming: DataFrame, order: list[Column], key: str = "post_id") -> DataFrame:
@@ -252,8 +254,8 @@ def attach_external(analyses: DataFrame, external: DataFrame, as_of: Column) ->
 def accept_feedback(incoming: DataFrame, posts: DataFrame, existing: DataFrame | None = None) -> DataFrame:
     """Decide each feedback row: adds ``accepted`` and ``reason``.
 
-    One row per (post, ip) and hour is accepted; refused rows do not block later
-    ones. Stored feedback counts as accepted before.
+    A row is refused if any stored row of its (post, ip) lies in the hour before it, however that row came
+    to be stored. Of the others, one per (post, ip) and hour is accepted; refused rows do not block later ones.
     """
     known = posts.select("post_id").distinct().withColumn("_known", F.lit(True))
     kind = F.coalesce("feedback_type", F.lit("correction"))
@@ -263,16 +265,33 @@ def accept_feedback(incoming: DataFrame, posts: DataFrame, existing: DataFrame |
         .when(F.col("_known").isNull(), "post not found")
     )
     checked = incoming.join(known, "post_id", "left").withColumn("reason", reason).drop("_known")
-    valid = checked.filter(F.col("reason").isNull()).withColumn("_old", F.lit(False))
     if existing is not None:
-        stored = existing.select(*[c for c in existing.columns if c in valid.columns]).withColumn("_old", F.lit(True))
-        valid = valid.unionByName(stored, allowMissingColumns=True)
-    limited = admit(valid, ["post_id", "user_ip"], "submitted_at", ["id"], F.lit(1), F.lit(3600)).filter(~F.col("_old"))
-    decided = limited.withColumn("reason", F.when(~F.col("admitted"), "already submitted recently")).drop("admitted", "_old")
+        recent = F.when(F.col("reason").isNull() & stored_recently("submitted_at"), "already submitted recently")
+        checked = _with_last_stored(checked, existing).withColumn("reason", F.coalesce("reason", recent)).drop("_stored")
+    valid = checked.filter(F.col("reason").isNull())
+    limited = admit(valid, ["post_id", "user_ip"], "submitted_at", ["id"], F.lit(1), F.lit(FEEDBACK_SECONDS))
+    decided = limited.withColumn("reason", F.when(~F.col("admitted"), "already submitted recently")).drop("admitted")
     refused = checked.filter(F.col("reason").isNotNull())
     return decided.unionByName(refused).withColumn("accepted", F.col("reason").isNull())
 
 
+def stored_recently(at: str) -> Column:
+    """Whether the last stored time is less than FEEDBACK_SECONDS before ``at``."""
+    return F.coalesce(F.unix_micros(at) - F.col("_stored") < FEEDBACK_SECONDS * 1_000_000, F.lit(False))
+
+
+def _with_last_stored(incoming: DataFrame, existing: DataFrame) -> DataFrame:
+    """Add ``_stored``: the last time, in microseconds and not after the row, at which its (post, ip) has a stored
+    row. A running maximum in chunks of days, so that a busy pair is not one task."""
+    keys = {"_post": F.coalesce("post_id", F.lit("")), "_ip": F.coalesce("user_ip", F.lit(""))}
+    own = incoming.withColumns(keys).withColumns({"_us": F.unix_micros("submitted_at"), "_was": F.lit(None).cast("long")})
+    old = existing.withColumns(keys).select("_post", "_ip", F.unix_micros("submitted_at").alias("_us"), F.unix_micros("submitted_at").alias("_was"))
+    both = own.unionByName(old, allowMissingColumns=True)
+    order = [F.col("_us"), F.col("_was").isNull()]
+    last = running(both, ["_post", "_ip"], order, by_width(F.col("_us"), 86_400_000_000), {"_stored": ("max", F.col("_was"))})
+    return last.filter(F.col("_was").isNull()).select(*incoming.columns, "_stored")
+
+
 def delete_account(tables: dict[str, DataFrame], usernames: DataFrame) -> tuple[dict[str, DataFrame], DataFrame]:
     """Remove accounts with everything that hangs on them; also deleted counts per table."""
     names = usernames.select("username").distinct()

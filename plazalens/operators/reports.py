@@ -408,24 +408,28 @@ def run_summary(results: DataFrame) -> DataFrame:
     return counts.withColumn("percentage", share_of_all(counts)).orderBy("category")
 
 
-def confusion_matrix(pred: DataFrame, truth: DataFrame) -> DataFrame:
-    """All category pairs with their counts; both frames are keyed by post_id."""
+def confusion_matrix(pred: DataFrame, truth: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """All category pairs with their counts; ``truth`` is keyed by post_id, ``pred`` by post_id and ``by``, such as
+    the model. Every value of ``by`` has its own matrix."""
     pairs = (
-        pred.select("post_id", F.col("category").alias("predicted"))
+        pred.select("post_id", *by, F.col("category").alias("predicted"))
         .join(truth.select("post_id", F.col("category").alias("actual")), "post_id")
-        .groupBy("predicted", "actual")
+        .groupBy(*by, "predicted", "actual")
         .agg(F.count("*").alias("n"))
     )
     spark = pred.sparkSession
     names = spark.createDataFrame([(c,) for c in CATEGORIES], "predicted string")
     grid = names.crossJoin(F.broadcast(names.withColumnRenamed("predicted", "actual")))  # 12 x 12 fixed rows
-    return grid.join(pairs, ["predicted", "actual"], "full_outer").withColumn("n", F.coalesce("n", F.lit(0)))
+    if by:
+        grid = pred.select(*by).distinct().crossJoin(F.broadcast(grid))
+    return grid.join(pairs, [*by, "predicted", "actual"], "full_outer").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
-def evaluate(pred: DataFrame, truth: DataFrame) -> DataFrame:
-    """Precision, recall and F1 per category with the overall accuracy; 0 when undefined."""
-    cells = confusion_matrix(pred, truth)
+def evaluate(pred: DataFrame, truth: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Precision, recall and F1 per category with the overall accuracy, for each value of ``by``; 0 when undefined."""
+    cells = confusion_matrix(pred, truth, by)
     sides = cells.select(
+        *by,
         "n",
         F.explode(
             F.array(
@@ -436,7 +440,7 @@ def evaluate(pred: DataFrame, truth: DataFrame) -> DataFrame:
         (F.col("predicted") == F.col("actual")).alias("hit"),
     )
     per = (
-        sides.groupBy(F.col("s.category").alias("category"))
+        sides.groupBy(*by, F.col("s.category").alias("category"))
         .agg(
             F.sum(F.when((F.col("s.side") == "p") & F.col("hit"), F.col("n")).otherwise(0)).alias("tp"),
             F.sum(F.when(F.col("s.side") == "p", F.col("n")).otherwise(0)).alias("predicted"),
@@ -444,7 +448,7 @@ def evaluate(pred: DataFrame, truth: DataFrame) -> DataFrame:
         )
         .filter(F.col("category").isin(CATEGORIES))
     )
-    overall = cells.agg(
+    overall = cells.groupBy(*by).agg(
         F.sum("n").alias("samples"), F.sum(F.when(F.col("predicted") == F.col("actual"), F.col("n")).otherwise(0)).alias("_ok")
     )
     precision = F.coalesce(F.try_divide(F.col("tp"), F.col("predicted")), F.lit(0.0))
@@ -453,32 +457,33 @@ def evaluate(pred: DataFrame, truth: DataFrame) -> DataFrame:
     f1 = F.coalesce(F.try_divide(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")), F.lit(0.0))
     return (
         scored.withColumn("f1", f1)
-        .join(F.broadcast(overall), F.lit(True))
+        .join(F.broadcast(overall), list(by) or F.lit(True))  # a row for each model
         .withColumn("accuracy", F.coalesce(F.try_divide(F.col("_ok"), F.col("samples")), F.lit(0.0)))
         .drop("_ok")
     )
 
 
-def misclassified(pred: DataFrame, truth: DataFrame) -> DataFrame:
+def misclassified(pred: DataFrame, truth: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Wrong rows with both labels; ``truth`` carries the content."""
     return (
-        pred.select("post_id", F.col("category").alias("predicted"))
+        pred.select("post_id", *by, F.col("category").alias("predicted"))
         .join(truth.select("post_id", F.col("category").alias("actual"), "content"), "post_id")
         .filter(F.col("predicted") != F.col("actual"))
     )
 
 
-def error_pairs(errors: DataFrame) -> DataFrame:
-    counts = errors.groupBy("predicted", "actual").agg(F.count("*").alias("n"))
-    # At most 12 x 12 pairs remain here.
-    rank = F.row_number().over(W.partitionBy(F.lit(1)).orderBy(F.col("n").desc(), "predicted", "actual"))
+def error_pairs(errors: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    counts = errors.groupBy(*by, "predicted", "actual").agg(F.count("*").alias("n"))
+    # At most 12 x 12 pairs of each value of ``by`` remain here.
+    rank = F.row_number().over(W.partitionBy(*by, F.lit(1)).orderBy(F.col("n").desc(), "predicted", "actual"))
     return counts.withColumn("rank", rank)
 
 
-def error_patterns(errors: DataFrame, examples: int = 3) -> DataFrame:
-    """Per category: false positives and negatives, first examples, above-10 % mark."""
+def error_patterns(errors: DataFrame, examples: int = 3, by: tuple[str, ...] = ()) -> DataFrame:
+    """Per category, and value of ``by``: false positives and negatives, first examples, above-10 % mark."""
     sides = errors.select(
         "post_id",
+        *by,
         F.substring("content", 1, 100).alias("example"),
         F.explode(
             F.array(
@@ -486,14 +491,14 @@ def error_patterns(errors: DataFrame, examples: int = 3) -> DataFrame:
                 F.struct(F.lit("fn").alias("side"), F.col("actual").alias("category")),
             )
         ).alias("s"),
-    ).select("post_id", "example", "s.side", "s.category")
-    counts = sides.groupBy("category").agg(
+    ).select("post_id", *by, "example", "s.side", "s.category")
+    counts = sides.groupBy(*by, "category").agg(
         F.count_if(F.col("side") == "fp").alias("false_positives"),
         F.count_if(F.col("side") == "fn").alias("false_negatives"),
         F.count("*").alias("total_errors"),
     )
-    first = ranked(sides, ["category", "side"], [F.col("post_id")], examples, "r")
-    listed = first.groupBy("category").agg(
+    first = ranked(sides, [*by, "category", "side"], [F.col("post_id")], examples, "r")
+    listed = first.groupBy(*by, "category").agg(
         *[
             F.transform(
                 F.sort_array(F.collect_list(F.when(F.col("side") == side, F.struct("r", "example")))), lambda x: x["example"]
@@ -501,10 +506,10 @@ def error_patterns(errors: DataFrame, examples: int = 3) -> DataFrame:
             for side in ("fp", "fn")
         ]
     )
-    total = errors.agg(F.count("*").alias("_all"))
+    total = errors.groupBy(*by).agg(F.count("*").alias("_all"))
     return (
-        counts.join(listed, "category")
-        .join(F.broadcast(total), F.lit(True))
+        counts.join(listed, [*by, "category"])
+        .join(F.broadcast(total), list(by) or F.lit(True))
         .withColumn("high_error", F.col("total_errors") > F.col("_all") * 0.1)
         .drop("_all")
     )
@@ -542,14 +547,14 @@ def split_by_order(rows: DataFrame, order: str, share: float = 0.8, chunks: int
     return rows.withColumn("is_train", F.lit(False) if last is None else F.coalesce(value <= F.lit(last), F.lit(False)))
 
 
-def split_eval(pred: DataFrame, truth: DataFrame, order: str, share: float = 0.8) -> DataFrame:
-    """Accuracy on both parts of the split and their gap."""
+def split_eval(pred: DataFrame, truth: DataFrame, order: str, share: float = 0.8, by: tuple[str, ...] = ()) -> DataFrame:
+    """Accuracy on both parts of the split of ``truth`` and their gap, for each value of ``by``."""
     marked = split_by_order(truth, order, share)
     ok = F.col("predicted") == F.col("actual")
-    rows = pred.select("post_id", F.col("category").alias("predicted")).join(
+    rows = pred.select("post_id", *by, F.col("category").alias("predicted")).join(
         marked.select("post_id", F.col("category").alias("actual"), "is_train"), "post_id"
     )
-    out = rows.agg(
+    out = rows.groupBy(*by).agg(
         F.count_if(F.col("is_train")).alias("train_rows"),
         F.count_if(~F.col("is_train")).alias("validation_rows"),
         F.coalesce(F.avg(F.when(F.col("is_train"), ok.cast("int"))), F.lit(0.0)).alias("train_accuracy"),

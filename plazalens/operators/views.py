@@ -22,6 +22,27 @@ def page_of(df: DataFrame, order: list[Column], page: int = 1, per_page: int | N
     return ordered if per_page is None else ordered.offset((page - 1) * per_page).limit(per_page)
 
 
+def beyond(order: list[str], last: dict) -> Column:
+    """True for rows that come after the row with the values ``last`` when sorted by ``order``, falling, nulls last.
+
+    A page is asked by the last row of the page before: what was shown is filtered at the scan and not sorted
+    again, so any page costs what the first one does.
+    """
+    out = F.lit(False)
+    for name in reversed(order):
+        value = last[name] if isinstance(last[name], Column) else F.lit(last[name])
+        same = F.col(name).eqNullSafe(value)
+        later = value.isNotNull() & (F.col(name).isNull() | (F.col(name) < value))
+        out = later | (same & out)
+    return F.coalesce(out, F.lit(False))
+
+
+def page_after(df: DataFrame, order: list[str], last: dict | None, page: int, per_page: int | None) -> DataFrame:
+    """The page that follows ``last``, or page number ``page`` where it is not given."""
+    falling = [F.col(c).desc_nulls_last() for c in order]
+    return page_of(df, falling, page, per_page) if last is None else page_of(df.filter(beyond(order, last)), falling, 1, per_page)
+
+
 def pending_posts(posts: DataFrame, analyses: DataFrame, users: list[str] | None = None, n: int | None = None) -> DataFrame:
     """Posts without analysis, except reposts whose original is already analysed."""
     done = F.col("post_type").isin(REPOSTS) & F.coalesce("rt_original_analyzed", F.lit(False))
@@ -92,15 +113,19 @@ def _analyses_with_posts(analyses: DataFrame, posts: DataFrame) -> DataFrame:
 
 
 
+NEWEST_ANALYSIS = ["analysis_ts", "post_id"]
+
+
 def newest_analysis() -> list[Column]:
     return [F.col("analysis_ts").desc(), F.col("post_id").desc()]
 
 
 def analyses_by_category(
-    analyses: DataFrame, posts: DataFrame, category: str, page: int = 1, per_page: int | None = None
+    analyses: DataFrame, posts: DataFrame, category: str, page: int = 1, per_page: int | None = None, last: dict | None = None
 ) -> DataFrame:
+    """Newest first; ``last`` has analysis_ts and post_id of the last row of the page before."""
     chosen = analyses.filter(F.col("category") == category)
-    return page_of(_analyses_with_posts(chosen, posts), newest_analysis(), page, per_page)
+    return page_after(_analyses_with_posts(chosen, posts), NEWEST_ANALYSIS, last, page, per_page)
 
 
 def analyses_by_author(analyses: DataFrame, posts: DataFrame, authors: list[str] | None = None) -> DataFrame:
@@ -130,11 +155,14 @@ def timeline(
     date_to: str | None = None,
     page: int = 1,
     per_page: int = 20,
+    last: DataFrame | None = None,
 ) -> DataFrame:
     """One page of every account's timeline, with totals.
 
     Thread continuations are hidden, starts carry the thread size (counted before
-    any filter), non-general posts come first, then the newest.
+    any filter), non-general posts come first, then the newest. ``last`` has the last row of every account's page before
+    (username, flagged, post_ts, post_id, position); an account that it lacks starts at its first post. Only
+    ``per_page`` rows of an account are kept by any task then, whichever page it is.
     """
     own = of_users(posts, users)
     sizes = own.filter(F.col("thread_id").isNotNull()).groupBy("username", "thread_id").agg(F.count("*").alias("_size"))
@@ -152,9 +180,17 @@ def timeline(
     else:
         joined = shown.join(labels, "post_id", "left")
     totals = joined.groupBy("username").agg(F.count("*").alias("total_filtered"))
-    first = F.coalesce("analysis_category", F.lit("general")) != "general"
-    order = [first.desc(), F.col("post_ts").desc(), F.col("post_id").desc()]
-    rows = ranked(joined, ["username"], order, page * per_page, "position").filter(F.col("position") > (page - 1) * per_page)
+    joined = joined.withColumn("flagged", F.coalesce("analysis_category", F.lit("general")) != "general")
+    names = ["flagged", "post_ts", "post_id"]
+    order = [F.col(c).desc_nulls_last() for c in names]
+    if last is None:
+        rows = ranked(joined, ["username"], order, page * per_page, "position").filter(F.col("position") > (page - 1) * per_page)
+    else:
+        marks = last.select("username", F.col("position").alias("_before"), *[F.col(c).alias(f"_last_{c}") for c in names])
+        left = joined.join(marks, "username", "left")
+        left = left.filter(F.col("_before").isNull() | beyond(names, {c: F.col(f"_last_{c}") for c in names}))
+        rows = ranked(left, ["username"], order, per_page, "position")
+        rows = rows.withColumn("position", F.col("position") + F.coalesce("_before", F.lit(0))).drop("_before", *[f"_last_{c}" for c in names])
     return (
         rows.join(sizes, ["username", "thread_id"], "left")
         .join(totals, "username")
@@ -255,12 +291,14 @@ def recent_multi_model(
     )
 
 
-def category_page(analyses: DataFrame, posts: DataFrame, category: str, page: int = 1, per_page: int | None = None) -> DataFrame:
+def category_page(
+    analyses: DataFrame, posts: DataFrame, category: str, page: int = 1, per_page: int | None = None, last: dict | None = None
+) -> DataFrame:
     """Posts of a category with the explanation to show and how it was found."""
     external = F.col("external_explanation")
     stages = F.coalesce("analysis_stages", F.lit("pattern"))
     return (
-        analyses_by_category(analyses, posts, category, page, per_page)
+        analyses_by_category(analyses, posts, category, page, per_page, last)
         .withColumn("best_explanation", F.when(F.coalesce(external, F.lit("")) != "", external).otherwise(F.col("local_explanation")))
         .withColumn(
             "display_method",
@@ -269,9 +307,13 @@ def category_page(analyses: DataFrame, posts: DataFrame, category: str, page: in
     )
 
 
-def feedback_list(feedback: DataFrame, posts: DataFrame, page: int = 1, per_page: int | None = None) -> DataFrame:
-    joined = feedback.join(posts.select("post_id", "username", "content"), "post_id", "left")
-    return page_of(joined, [F.col("submitted_at").desc(), F.col("id").desc()], page, per_page)
+def feedback_list(feedback: DataFrame, posts: DataFrame, page: int = 1, per_page: int | None = None, last: dict | None = None) -> DataFrame:
+    """Newest first; ``last`` has submitted_at and id of the last row of the page before. A page is cut before
+    posts are looked up."""
+    order = ["submitted_at", "id"]
+    rows = page_after(feedback, order, last, page, per_page)
+    joined = rows.join(posts.select("post_id", "username", "content"), "post_id", "left")
+    return joined.orderBy(*[F.col(c).desc_nulls_last() for c in order])
 
 
 def mark_known(ids: DataFrame, posts: DataFrame) -> DataFrame:

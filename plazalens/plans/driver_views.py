@@ -55,7 +55,7 @@ _POSTS = {
 # A second collection run over the same documents: what the upserts receive.
 _INCOMING = {
     "post_id": f"CAST(doc_id + CASE WHEN doc_id % 9 = 0 THEN 1000000000 ELSE 0 END AS {ID})",
-    "username": "source",
+    "username": "CASE WHEN doc_id % 18 = 0 THEN concat('new_', source) ELSE source END",
     "content": "CASE doc_id % 7 WHEN 0 THEN concat(text, ' editado') WHEN 1 THEN '' ELSE "
     + _POSTS["content"] + " END",
     "url": _POSTS["url"],
@@ -67,7 +67,7 @@ _INCOMING = {
     "likes": "n_chars % 97 + 1",
     "media_links": _POSTS["media_links"],
     "media_count": _POSTS["media_count"],
-    "post_ts": "TIMESTAMP '2024-01-01 06:00:00' + (doc_id % 720) * INTERVAL '1' HOUR",
+    "post_ts": "TIMESTAMP '2023-12-16 06:00:00' + (doc_id * 7 % 1440) * INTERVAL '1' HOUR",
     "thread_id": f"CASE WHEN doc_id % 12 = 4 THEN CAST(doc_id AS {ID}) END",
     "conversation_id": f"CASE WHEN doc_id % 12 = 4 THEN CAST(doc_id AS {ID}) END",
     "thread_position": "CAST(CASE WHEN doc_id % 12 = 4 THEN 0 END AS INTEGER)",
@@ -149,6 +149,12 @@ _FEEDBACK = {
     "submitted_at": "CAST(ts AS TIMESTAMP)",
 }
 
+# What the table already holds when the feedback above arrives: rows from 20 to 120 minutes earlier.
+_STORED_FEEDBACK = _FEEDBACK | {
+    "id": "event_id + 1000000000",
+    "submitted_at": "CAST(ts AS TIMESTAMP) - (20 + 25 * (event_id % 5)) * INTERVAL '1' MINUTE",
+}
+
 _REQUESTS = {
     "event_id": "event_id",
     "key": f"CAST(user_id AS {ID})",
@@ -187,7 +193,8 @@ CTES: dict[str, str] = {
     "model_analyses": _select(_MODEL_ANALYSES, _VOTES + " v"),
     "thread_posts": _select(_THREAD_POSTS, "conversations"),
     "evidence": _select(_EVIDENCE, "pages"),
-    "feedback": _select(_FEEDBACK, "events") + " WHERE event_type = 'error'",
+    "feedback": _select(_FEEDBACK, "events"),
+    "stored_feedback": _select(_STORED_FEEDBACK, "events"),
     "requests": _select(_REQUESTS, "events"),
     "progress": "SELECT username, start_date, CAST(end_date AS DATE) AS end_date, max(status) AS status, "
     "max(posts_collected) AS posts_collected, max(completed_at) AS completed_at FROM ("
@@ -268,7 +275,11 @@ class Views:
 
     @cached_property
     def feedback(self) -> DataFrame:
-        return self._view(_FEEDBACK, self.raw("events").filter("event_type = 'error'"))
+        return self._view(_FEEDBACK, self.raw("events"))
+
+    @cached_property
+    def stored_feedback(self) -> DataFrame:
+        return self._view(_STORED_FEEDBACK, self.raw("events"))
 
     @cached_property
     def requests(self) -> DataFrame:

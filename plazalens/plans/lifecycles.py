@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from plazalens.functions import posts as C
+from plazalens.functions.tables import ranked
 from plazalens.operators import claims as K
 from plazalens.operators import evidence as G
 from plazalens.operators import labels as L
@@ -21,6 +21,64 @@ def claims_of_posts(posts: DataFrame, as_of: Column, n: int | None = None) -> Da
     return top.withColumn("claim_id", F.concat_ws("/", "post_id", F.col("claim_no").cast("string")))
 
 
+BEST_SOURCES = 5
+SOURCES = "array<struct<source_name:string,source_type:string,url:string,credibility_score:double,verdict:string,confidence:double>>"
+
+
+def judge_texts(texts: DataFrame, fact_checks: DataFrame, articles: DataFrame, as_of: Column, per_source: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(verdicts, urls) of distinct claim texts (text_id, claim_text) by all fact checks and articles that share words
+    with them, or the ``per_source`` best of each source.
+
+    A verdict has the weighted shares of its text's evidence, the best credibility and the first BEST_SOURCES
+    sources; sums are partial before they are shuffled, and nothing ranks all evidence of a text in one task.
+    """
+    asked = texts.select(F.col("text_id").alias("query_id"), F.col("claim_text").alias("query"))
+    if per_source is None:
+        bodies = fact_checks.select(F.col("check_id").alias("article_id"), F.col("claim").alias("title"), F.lit("").alias("description"))
+        matched = L.relevant_articles(asked, bodies).select(F.col("query_id").alias("claim_id"), F.col("article_id").alias("check_id"))
+        read = L.relevant_articles(asked, articles).select(F.col("query_id").alias("claim_id"), "article_id")
+    else:
+        claims = texts.select(F.col("text_id").alias("claim_id"), "claim_text")
+        matched = G.match_fact_checks(claims, fact_checks, per_source).select("claim_id", "check_id")
+        read = G.rank_articles(asked, articles, per_source).select(F.col("query_id").alias("claim_id"), "article_id")
+    found = G.to_evidence(matched.join(fact_checks, "check_id"), read.join(articles, "article_id"))
+    found = found.withColumnRenamed("claim_id", "text_id").join(texts, "text_id")
+    scored = G.blend_priority(G.credibility(found, as_of))
+    scored = durable(scored.select("text_id", "source_name", "source_type", "url", "credibility_score", "verdict", "confidence"))
+    best = scored.groupBy("text_id").agg(F.max("credibility_score").alias("best"))
+    order = [F.col("source_type"), F.desc("credibility_score"), F.desc("confidence"), F.col("source_name"), F.col("url")]
+    first = ranked(scored, ["text_id"], order, BEST_SOURCES, "_r")
+    item = F.struct("_r", "source_name", "source_type", "url", "credibility_score", "verdict", "confidence")
+    listed = first.groupBy("text_id").agg(F.transform(F.sort_array(F.collect_list(item)), lambda s: s.dropFields("_r")).cast(SOURCES).alias("sources"))
+    verdicts = G.claim_verdict(scored, ["text_id"]).join(best, "text_id").join(listed, "text_id")
+    urls = scored.filter(F.coalesce("url", F.lit("")) != "").select("text_id", "url").distinct()
+    return verdicts, urls
+
+
+def sources_of_posts(claims: DataFrame, urls: DataFrame) -> DataFrame:
+    """(post_id, n_sources): distinct addresses over the texts of a post. Posts with the same texts are counted once."""
+    texts = claims.groupBy("post_id").agg(F.sort_array(F.collect_set("text_id")).alias("texts")).withColumn("set_id", F.md5(F.array_join("texts", ",").cast("binary")))
+    texts = durable(texts)
+    sets = texts.groupBy("set_id").agg(F.first("texts").alias("texts")).select("set_id", F.explode("texts").alias("text_id"))
+    counts = durable(sets.join(urls, "text_id").groupBy("set_id").agg(F.count_distinct("url").alias("n_sources")))
+    return texts.select("post_id", "set_id").join(counts, "set_id").select("post_id", "n_sources")
+
+
+def event_reports(posts: DataFrame, pages: DataFrame) -> DataFrame:
+    """Reports of posts that claim an arrest, by the pages searched for them (post_id, page_id, source_kind,
+    source_name, html): one claim a post, and a page is a source."""
+    claims = K.arrest_claims(posts).select(F.col("post_id").alias("claim_id"), "person_name", "event_type")
+    evidence = G.event_evidence(claims, pages.withColumnRenamed("post_id", "claim_id"))
+    sources = evidence.groupBy("claim_id").agg(F.count("*").alias("n_sources"))
+    verdicts = G.event_verdict(evidence, claims).join(sources, "claim_id", "left")
+    return verdicts.select(
+        F.col("claim_id").alias("post_id"), "verdict", "confidence", F.lit(1).cast("long").alias("n_claims"),
+        *[(F.col("verdict") == v).cast("long").alias(f"n_{v}") for v in ("verified", "debunked", "questionable")],
+        F.coalesce("n_sources", F.lit(0)).alias("n_sources"), F.lit(True).alias("temporal_consistency"),
+        F.array().cast("array<string>").alias("contradictions"),
+    )
+
+
 def verify_content(
     posts: DataFrame,
     reference_stats: DataFrame,
@@ -28,11 +86,21 @@ def verify_content(
     articles: DataFrame,
     as_of: Column,
     per_source: int | None = None,
+    event_pages: DataFrame | None = None,
+    claims: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(reports per post, judged claims). Numbers go to the statistics, dates to the
-    rules, everything else to fact checks and articles; all of these are tables."""
-    # Claims feed three paths and the roll-up: extract them once.
-    claims = durable(claims_of_posts(posts, as_of))
+    rules, everything else to fact checks and articles; all of these are tables.
+
+    With ``event_pages`` a post that claims an arrest is judged by the pages searched for it instead. ``claims``
+    are extracted from the posts unless given (as ``claims_of_posts`` makes them).
+    """
+    plain = posts
+    if event_pages is not None:
+        plain = posts.join(K.arrest_claims(posts).select("post_id"), "post_id", "left_anti")
+    claims = claims_of_posts(plain, as_of) if claims is None else claims.join(plain.select("post_id"), "post_id", "left_semi")
+    # Claims feed three paths and the roll-up: extract them once. Equal texts are judged once.
+    claims = durable(claims.withColumn("text_id", F.md5(F.col("claim_text").cast("binary"))))
     numeric = claims.filter(F.col("claim_type") == "numerical")
     dated = claims.filter(F.col("claim_type") == "temporal")
     other = claims.filter(~F.col("claim_type").isin("numerical", "temporal"))
@@ -40,41 +108,29 @@ def verify_content(
     texts = posts.select("post_id", F.col("content").alias("post_text"))
     checked = G.verify_numeric(numeric.join(texts, "post_id").select("claim_id", "claim_text", "post_text"), reference_stats)
     timed = G.verify_temporal(dated, as_of)
+    by_text, urls = judge_texts(other.groupBy("text_id").agg(F.first("claim_text").alias("claim_text")), fact_checks, articles, as_of, per_source)
+
+    none = F.lit(None).cast(SOURCES)
+
+    def single(rows: DataFrame, name: Column, kind: str, confidence: Column) -> DataFrame:
+        own = F.array(F.struct(name, F.lit(kind), F.lit(""), "credibility_score", "verdict", confidence)).cast(SOURCES)
+        return rows.select(
+            "claim_id", "verdict", "confidence", F.col("credibility_score").alias("best"), F.when(F.col("credibility_score").isNotNull(), own).otherwise(none).alias("sources")
+        )
 
-    matched = G.match_fact_checks(other, fact_checks, per_source).select("claim_id", "check_id")
-    asked = other.select(F.col("claim_id").alias("query_id"), F.col("claim_text").alias("query"))
-    read = G.rank_articles(asked, articles, per_source)
-    read = read.select(F.col("query_id").alias("claim_id"), "article_id")
-    found = G.to_evidence(matched.join(fact_checks, "check_id"), read.join(articles, "article_id"))
-    found = found.join(claims.select("claim_id", "claim_text"), "claim_id")
-    general = G.blend_priority(G.credibility(found, as_of))
-
-    owner = claims.select("claim_id", "post_id", "claim_no")
-    columns = ["claim_id", "source_name", "source_type", "url", "credibility_score", "verdict", "confidence"]
-    statistic = checked.filter(F.col("credibility_score").isNotNull()).select(
-        "claim_id", G.lookup(G.R.STATISTICS_NAMES, F.col("source")).alias("source_name"), F.lit("statistical").alias("source_type"),
-        F.lit("").alias("url"), "credibility_score", "verdict", F.col("evidence_confidence").alias("confidence"),
-    )
-    moment = timed.filter(F.col("credibility_score").isNotNull()).select(
-        "claim_id", F.lit("Verificación Temporal").alias("source_name"), F.lit("temporal").alias("source_type"), F.lit("").alias("url"),
-        "credibility_score", "verdict", "confidence",
-    )
-    evidence = (
-        general.select(*columns).unionByName(statistic).unionByName(moment).join(owner, "claim_id")
-    )
-    # Numbered by path (fact checks, articles, statistics, dates), then by what the paths rank first.
-    path = F.coalesce(*[F.when(F.col("source_type") == t, F.lit(i)) for i, t in enumerate(("fact_checker", "news", "statistical", "temporal"))])
-    order = [path, F.desc("credibility_score"), F.desc("confidence"), "source_name", "url"]
-    evidence = evidence.withColumn("evidence_no", F.row_number().over(W.partitionBy("claim_id").orderBy(*order)).cast("long"))
     verdicts = (
-        checked.select("claim_id", "verdict", "confidence")
-        .unionByName(timed.select("claim_id", "verdict", "confidence"))
-        .unionByName(G.claim_verdict(general).select("claim_id", "verdict", "confidence"))
+        single(checked, G.lookup(G.R.STATISTICS_NAMES, F.col("source")), "statistical", F.col("evidence_confidence"))
+        .unionByName(single(timed, F.lit("Verificación Temporal"), "temporal", F.col("confidence")))
+        .unionByName(other.select("claim_id", "text_id").join(durable(by_text), "text_id").select("claim_id", "verdict", "confidence", "best", "sources"))
     )
     judged = claims.drop("confidence").join(verdicts, "claim_id", "left").withColumn(
         "verdict", F.coalesce("verdict", F.lit("unverified"))
     ).withColumn("confidence", F.coalesce("confidence", F.lit(0.0)))
-    return G.report_posts(posts, judged, evidence), judged
+    judged = durable(judged)
+    reports = G.report_of(plain, judged, G.voted(judged), sources_of_posts(other, urls))
+    if event_pages is not None:
+        reports = reports.unionByName(event_reports(posts, event_pages))
+    return reports, judged.drop("text_id", "best")
 
 
 def verification_note(report: Column) -> Column:

@@ -2,90 +2,69 @@
 
 from __future__ import annotations
 
-import uuid
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from plazalens.functions.limiter import admitted_times
+from plazalens.functions.limiter import replay
 from plazalens.operators.claims import contextual_claims, score_claims
 from plazalens.operators.labels import label
 from plazalens.operators.maintain import clean_batch, upsert_posts
-from plazalens.session import durable
 
 BUCKETS = 256
+#: The batch number of the rows a table starts with.
+FIRST = -1
 
 
 def bucketed(df: DataFrame, buckets: int = BUCKETS, key: str = "post_id") -> DataFrame:
     return df.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
 
 
-MANIFEST = "batch bigint, bucket int, folder string"
-
-
-def _manifest(spark: SparkSession, path: str) -> DataFrame:
-    """Which folder holds a bucket since which batch; a few rows per batch."""
-    return spark.read.schema(MANIFEST).parquet(f"{path}/manifest")
-
-
-def _switch(spark: SparkSession, path: str, batch: int, folder: str, buckets: list[int]) -> None:
-    """Make a written folder the current one of its buckets: one small file appears or not."""
-    rows = spark.createDataFrame([(batch, b, folder) for b in buckets], MANIFEST)
-    rows.coalesce(1).write.mode("append").parquet(f"{path}/manifest")
-
-
-def _write(rows: DataFrame, path: str) -> str:
-    """Write bucketed rows to a folder of their own, beside all earlier ones."""
-    folder = f"data/{uuid.uuid4().hex}"
-    rows.repartition("bucket").write.partitionBy("bucket").parquet(f"{path}/{folder}")
-    return folder
+def _append(rows: DataFrame, path: str, number: int, buckets: int) -> None:
+    """Write a batch's rows as its own folder; a batch that runs again replaces what it wrote."""
+    bucketed(rows, buckets).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/batch={number}")
 
 
 def create_table(df: DataFrame, path: str, buckets: int = BUCKETS) -> None:
-    """Store a keyed table in hash buckets, so that an upsert rewrites only some of them."""
-    rows = bucketed(df, buckets)
-    folder = _write(rows, path)
-    held = [r[0] for r in rows.select("bucket").distinct().collect()]
-    _switch(df.sparkSession, path, -1, folder, held or [-1])
+    """Store a keyed table as the first batch of ``path``, in hash buckets. Of a table of many batches
+    (``read_table``) it makes one of a single batch, at another path."""
+    _append(df, path, FIRST, buckets)
 
 
-def _current(spark: SparkSession, path: str, schema: T.StructType, before: int | None = None, buckets: list[int] | None = None) -> DataFrame:
-    """Rows of the table as of all batches, or of those before one; at most a path per bucket."""
-    known = _manifest(spark, path)
-    known = known if before is None else known.filter(F.col("batch") < before)
-    known = known if buckets is None else known.filter(F.col("bucket").isin(buckets))
-    places = known.groupBy("bucket").agg(F.max_by("folder", "batch").alias("folder")).filter("bucket >= 0").collect()
-    if not places:
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(*[f"{path}/{r.folder}/bucket={r.bucket}" for r in places])
+def _latest(spark: SparkSession, path: str, schema: T.StructType, before: int | None = None, buckets: list[int] | None = None) -> DataFrame:
+    """The last row of every key, of all batches or of those before one. The buckets asked for are read only."""
+    stored = T.StructType([*schema.fields, T.StructField("batch", T.LongType()), T.StructField("bucket", T.IntegerType())])
+    rows = spark.read.schema(stored).parquet(path)
+    rows = rows if before is None else rows.filter(F.col("batch") < before)
+    rows = rows if buckets is None else rows.filter(F.col("bucket").isin(buckets))
+    return rows.groupBy("bucket", "post_id").agg(F.max_by(F.struct(*schema.names), "batch").alias("row")).select("row.*")
 
 
 def read_table(spark: SparkSession, path: str, columns: list[str], schema: T.StructType | None = None) -> DataFrame:
-    schema = schema or spark.read.option("recursiveFileLookup", "true").parquet(f"{path}/data").schema
-    return _current(spark, path, schema).select(*columns)
+    if schema is None:
+        schema = T.StructType([f for f in spark.read.parquet(path).schema.fields if f.name not in ("batch", "bucket")])
+    return _latest(spark, path, schema).select(*columns)
 
 
-def upsert_batch(batch: DataFrame, path: str, order: list, schema: T.StructType, buckets: int = BUCKETS, number: int | None = None) -> None:
-    """Apply one micro-batch to the table; applying it again changes nothing.
+def upsert_batch(batch: DataFrame, path: str, order: list, schema: T.StructType, number: int, buckets: int = BUCKETS) -> None:
+    """Append what one micro-batch makes of the rows it touches; applying it again changes nothing.
 
-    Only buckets the batch touches are read and rewritten (at most ``buckets`` numbers
-    reach the driver), into a new folder; the manifest names it last. A failure before
-    that leaves the table as it was, and a batch that runs again starts from the state before it.
+    Rows of earlier batches stay as they are and a key's last row counts, so a batch writes as many rows as it
+    has keys. It reads the buckets that its keys fall in (at most ``buckets`` numbers reach the driver), and of
+    those the batches before it, so that one that runs again starts from the same state.
     """
     spark = batch.sparkSession
-    incoming = durable(bucketed(clean_batch(batch, order), buckets))
-    touched = [r[0] for r in incoming.select("bucket").distinct().collect()]
-    if not touched:
-        return
-    if number is None:
-        number = 1 + (_manifest(spark, path).agg(F.max("batch")).first()[0] or 0)
-    current = _current(spark, path, schema, number, touched).select(*schema.names)
-    merged = bucketed(upsert_posts(current, incoming.drop("bucket")), buckets)
-    _switch(spark, path, number, _write(merged, path), touched)
+    incoming = clean_batch(batch, order).persist()
+    touched = [r[0] for r in bucketed(incoming.select("post_id"), buckets).select("bucket").distinct().collect()]
+    if touched:
+        current = _latest(spark, path, schema, number, touched).join(incoming.select("post_id"), "post_id", "left_semi")
+        _append(upsert_posts(current.select(*schema.names), incoming), path, number, buckets)
+    incoming.unpersist()
 
 
 def stream_upsert(
@@ -104,7 +83,7 @@ def stream_upsert(
         ).drop("_row")
 
     def apply(batch: DataFrame, number: int) -> None:
-        upsert_batch(batch, path, [F.col(order_column)], schema, buckets, number)
+        upsert_batch(batch, path, [F.col(order_column)], schema, number, buckets)
 
     return (
         stream.writeStream.foreachBatch(apply)
@@ -143,51 +122,79 @@ def volume_stream(log: DataFrame, window: str = "1 minute", slide: str = "10 sec
 
 
 BREACH_SCHEMA = "event_id bigint, key string, endpoint string, ts timestamp"
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def breach_stream(log: DataFrame, limits: dict[str, tuple[int, int]], delay: str = "10 minutes") -> DataFrame:
-    """Refused requests of a stream, in whatever order requests arrive within ``delay``.
+class _Breaches(StatefulProcessor):
+    """Requests of one (client, endpoint) wait, listed by second, until the watermark has passed their second.
 
-    A request is decided once the watermark has passed it, as no earlier one can come
-    then; until that it waits in the state of its (client, endpoint). The state holds the requests of
-    ``delay`` and at most ``limit`` passed times, and goes when both have left the window.
+    A timer for each second that has rows decides it: what a batch touches are its new seconds and the ripe ones,
+    and the passed times, at most ``limit`` of them.
     """
 
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        limit, window = limits[key[1]]
-        passed, ids, times = (list(x) for x in state.get) if state.exists else ([], [], [])
-        if not state.hasTimedOut:
-            for rows in batches:
-                ids += rows["event_id"].tolist()
-                # datetime64 of any unit -> seconds
-                times += (rows["ts"] - pd.Timestamp(0)).dt.total_seconds().tolist()
-        mark = state.getCurrentWatermarkMs()
-        waiting = sorted(zip(times, ids, strict=True))
-        ready = [x for x in waiting if x[0] * 1000 < mark]
-        waiting = waiting[len(ready):]
-        ok = admitted_times([t for t, _ in ready], limit, float(window), passed)
-        passed = (passed + [t for (t, _), good in zip(ready, ok, strict=True) if good])[-limit:]
-        refused = [x for x, good in zip(ready, ok, strict=True) if not good]
-        if waiting or (passed and (passed[-1] + window) * 1000 > mark):
-            state.update((passed, [i for _, i in waiting], [t for t, _ in waiting]))
-            wake = waiting[0][0] * 1000 + 1 if waiting else (passed[-1] + window) * 1000
-            state.setTimeoutTimestamp(max(int(wake), mark + 1))
-        else:
-            state.remove()
-        yield pd.DataFrame(
-            {
-                "event_id": [i for _, i in refused], "key": key[0], "endpoint": key[1],
-                "ts": pd.to_datetime([round(t * 1_000_000) for t, _ in refused], unit="us"),
-            }
-        )
+    def __init__(self, limits: dict[str, tuple[int, int]]):
+        self.limits = limits
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        rows = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("us", T.LongType())])
+        self.waiting = handle.getMapState("waiting", "second bigint", T.StructType([T.StructField("rows", T.ArrayType(rows))]))
+        self.passed = handle.getValueState("passed", "times array<bigint>")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        new: dict[int, list] = {}
+        for batch in rows:
+            # datetime64 of any unit -> microseconds
+            times = batch["ts"].to_numpy("datetime64[us]").astype("int64").tolist()
+            for event, us in zip(batch["event_id"].tolist(), times, strict=True):
+                new.setdefault(us // 1_000_000, []).append((event, us))
+        for second, found in new.items():
+            if self.waiting.containsKey((second,)):
+                found = [*(tuple(r) for r in self.waiting.getValue((second,))[0]), *found]
+            else:
+                self.handle.registerTimer((second + 1) * 1000)
+            self.waiting.updateValue((second,), (found,))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        limit, window = self.limits[key[1]]
+        second = expiredTimerInfo.getExpiryTimeInMs() // 1000 - 1
+        if self.waiting.containsKey((second,)):
+            ready = sorted((us, event) for event, us in self.waiting.getValue((second,))[0])
+            passed = deque(self.passed.get()[0] if self.passed.exists() else [])
+            ok = replay([us for us, _ in ready], limit, window * 1_000_000, passed)
+            self.passed.update((list(passed),))
+            self.waiting.removeKey((second,))
+            # Once the last passed time has left the window, the state says nothing.
+            self.handle.registerTimer((ready[-1][0] // 1_000_000 + window + 2) * 1000)
+            refused = [r for r, good in zip(ready, ok, strict=True) if not good]
+            yield pd.DataFrame(
+                {
+                    "event_id": [event for _, event in refused], "key": key[0], "endpoint": key[1],
+                    "ts": pd.to_datetime([us for us, _ in refused], unit="us"),
+                }
+            )
+        elif self.passed.exists() and self.passed.get()[0] and max(self.passed.get()[0]) // 1_000_000 + window <= second:
+            self.passed.clear()
+
+    def close(self) -> None:
+        pass
+
+
+def breach_stream(log: DataFrame, limits: dict[str, tuple[int, int]], delay: str = "10 minutes") -> DataFrame:
+    """Refused requests of a stream, in whatever order requests arrive within ``delay``.
 
+    A request is decided once the watermark has passed its second, as no earlier one can come then; until
+    that it waits in the state of its (client, endpoint), which needs the RocksDB state store.
+    """
+    log.sparkSession.conf.set(STATE_STORE, ROCKS)
     return (
         log.withWatermark("ts", delay)
         .filter(F.col("endpoint").isin(list(limits)))
+        .select("event_id", "key", "endpoint", "ts")
         .groupBy("key", "endpoint")
-        .applyInPandasWithState(
-            run, BREACH_SCHEMA, "passed array<double>, ids array<bigint>, times array<double>", "append", GroupStateTimeout.EventTimeTimeout
-        )
+        .transformWithStateInPandas(_Breaches(limits), BREACH_SCHEMA, "append", "EventTime")
     )
 
 

@@ -2,11 +2,14 @@
 
 import random
 import re
+from collections import deque
 from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from plazalens.functions import limiter
 from plazalens.functions.anchors import anchors_of
 from plazalens.functions.joins import substring_hits
 from plazalens.functions.limiter import admit
@@ -94,7 +97,8 @@ def test_chunked_scans(spark):
             assert places[k, n] == i + 1
 
 
-def test_limiter_is_exact_across_chunks(spark):
+def test_limiter_is_exact_across_chunks(spark, monkeypatch):
+    monkeypatch.setattr(limiter, "SMALL_LOG", 0)
     rng = random.Random(5)
     base = datetime(2024, 1, 1)
     data = [(i, rng.choice(["hot", "hot", "hot", "cold"]), base + timedelta(seconds=rng.randint(0, 3000))) for i in range(600)]
@@ -198,7 +202,7 @@ def test_stream_upsert_replay(spark, tmp_path):
     path = str(tmp_path / "posts")
     J.create_table(stored, path, buckets=4)
     for _ in range(2):
-        J.upsert_batch(batch, path, [F.col("n")], stored.schema, buckets=4)
+        J.upsert_batch(batch, path, [F.col("n")], stored.schema, 0, buckets=4)
     got = sorted((r["post_id"], r["content"], r["username"], r["thread_id"]) for r in J.read_table(spark, path, stored.columns).collect())
     assert got == [("1", "b", "u", "t"), ("2", "c", "u", None)]
 
@@ -226,8 +230,8 @@ def test_searches_keep_the_best_of_all_pairs(spark, seed):
         assert {tuple(r) for r in G.match_fact_checks(claims, checks, k).select(*order).collect()} == {tuple(r) for r in whole.collect()}
 
 
-def test_upsert_survives_a_failure_before_the_switch(spark, tmp_path, monkeypatch):
-    """Three batches with repeats, one of which fails between write and switch and runs again."""
+def test_upsert_survives_a_failure(spark, tmp_path, monkeypatch):
+    """Three batches with repeats; every one is written, fails after it and runs again, or fails before it is written."""
     schema = "post_id string, content string, username string, post_type string, likes long, thread_id string, n long"
     stored = spark.createDataFrame([(str(i), "old", "u", "original", i, "t", 0) for i in range(20)], schema)
     batches = [[(str(i), f"b{k}", "x", "original", k, None, k) for i in range(5 * k, 5 * k + 15)] for k in range(3)]
@@ -235,18 +239,206 @@ def test_upsert_survives_a_failure_before_the_switch(spark, tmp_path, monkeypatc
     paths = [str(tmp_path / name) for name in ("plain", "failing")]
     for path in paths:
         J.create_table(stored, path, buckets=4)
-    switch = J._switch
+    append = J._append
     for number, frame in enumerate(frames):
-        J.upsert_batch(frame, paths[0], [F.col("n")], stored.schema, 4, number)
-        monkeypatch.setattr(J, "_switch", lambda *a: 1 / 0)
+        J.upsert_batch(frame, paths[0], [F.col("n")], stored.schema, number, 4)
+        monkeypatch.setattr(J, "_append", lambda *a: 1 / 0)
         with pytest.raises(ZeroDivisionError):
-            J.upsert_batch(frame, paths[1], [F.col("n")], stored.schema, 4, number)
-        monkeypatch.setattr(J, "_switch", switch)
+            J.upsert_batch(frame, paths[1], [F.col("n")], stored.schema, number, 4)
+        monkeypatch.setattr(J, "_append", append)
         for _ in range(2):
-            J.upsert_batch(frame, paths[1], [F.col("n")], stored.schema, 4, number)
+            J.upsert_batch(frame, paths[1], [F.col("n")], stored.schema, number, 4)
     tables = [sorted(map(tuple, J.read_table(spark, p, stored.columns, stored.schema).collect())) for p in paths]
     assert tables[0] == tables[1] and {r[1] for r in tables[0]} == {"b0", "b1", "b2"}
     assert tables[0] == sorted(map(tuple, M.upsert_posts(M.upsert_posts(M.upsert_posts(stored, frames[0]), frames[1]), frames[2]).collect()))
+    written = spark.read.parquet(paths[0]).groupBy("batch").count().collect()
+    assert {r["batch"]: r["count"] for r in written} == {-1: 20, 0: 15, 1: 15, 2: 15}  # a batch writes the rows it touches
+    J.create_table(J.read_table(spark, paths[0], stored.columns), str(tmp_path / "compact"), buckets=4)
+    assert sorted(map(tuple, J.read_table(spark, str(tmp_path / "compact"), stored.columns).collect())) == tables[0]
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_outcomes_of_chunks_equal_one_replay(seed):
+    """States passed from chunk to chunk, and through compositions of chunks, are those of a sequential replay."""
+    rng = random.Random(seed)
+    for _ in range(60):
+        n, window, rows = rng.randrange(1, 5), rng.choice([5, 17, 60]), rng.randrange(1, 400)
+        size = rng.choice([window, 2 * window, 100])
+        times = np.sort(np.array([rng.randrange(rng.choice([300, 1500])) for _ in range(rows)], np.int64))
+        passed, all_passed = deque(), []
+        for t in times.tolist():
+            while passed and passed[0] <= t - window:
+                passed.popleft()
+            if len(passed) < n:
+                passed.append(t)
+                all_passed.append(t)
+        assert [t for t, ok in zip(times.tolist(), limiter.replay(times.tolist(), n, window, deque())) if ok] == all_passed
+        chunks = [(c * size, times[times // size == c]) for c in range(int(times.max()) // size + 1)]
+        tables = [(begin, limiter.Outcome.of(t, n, window, begin, limiter._depth(n, 1))) for begin, t in chunks if len(t)]
+        for width in (1, 4):
+            state = np.full((1, n), limiter.NEVER)
+            for k in range(0, len(tables), width):
+                assert [t for t in state[0].tolist() if t > limiter.NEVER] == [t for t in all_passed if t < tables[k][0]][-n:]
+                whole = tables[k][1]
+                for _, later in tables[k + 1 : k + width]:
+                    whole = whole.then(later, n, window, limiter._depth(n, 0))
+                _, state = whole.after(state, n, window, n)
+
+
+@pytest.mark.parametrize("small", [0, 1 << 16])
+def test_a_client_always_at_its_limit(spark, monkeypatch, small):
+    """64 days without a pause: every day is a chunk of its own, and null keys are a key."""
+    monkeypatch.setattr(limiter, "SMALL_LOG", small)
+    base = datetime(2024, 1, 1)
+    rng = random.Random(3)
+    data = [(i, key, "api", base + timedelta(minutes=20 * i + rng.randrange(20))) for key in ("hot", None) for i in range(64 * 72)]
+    log = spark.createDataFrame([(n, *d[1:]) for n, d in enumerate(data)], "event_id long, key string, endpoint string, ts timestamp").repartition(6)
+    wanted = set()
+    for key in ("hot", None):
+        passed = deque()
+        for n, d in enumerate(data):
+            if d[1] == key:
+                while passed and passed[0] <= d[3] - timedelta(hours=5):
+                    passed.popleft()
+                if len(passed) < 3:
+                    passed.append(d[3])
+                else:
+                    wanted.add(n)
+    got = [r["event_id"] for r in H.rate_breaches(log, {"api": (3, 18_000)}).collect()]
+    assert len(got) == len(set(got)) and set(got) == wanted
+    refused_all = H.rate_breaches(log.limit(50), {"api": (0, 60)})
+    assert refused_all.count() == 50
+
+
+def test_feedback_against_stored_rows(spark):
+    """Any stored row of the hour before refuses, whether or not it would pass the limit itself."""
+    rng = random.Random(12)
+    base = datetime(2024, 1, 1)
+    stamp = lambda minute: base + timedelta(minutes=minute)
+    schema = "id long, post_id string, feedback_type string, corrected_category string, user_ip string, submitted_at timestamp"
+    posts = spark.createDataFrame([("p",), ("q",)], "post_id string")
+    stored = [(1000 + i, rng.choice("pq"), "flag", None, rng.choice(["a", "b", None]), stamp(rng.randrange(6000))) for i in range(60)]
+    stored += [(1, "p", "flag", None, "c", stamp(0)), (2, "p", "flag", None, "c", stamp(30))]
+    data = [(i, rng.choice("pq"), "flag", None, rng.choice(["a", "b", None]), stamp(rng.randrange(6000))) for i in range(300)]
+    data.append((500, "p", "flag", None, "c", stamp(75)))
+    got = {r["id"]: r["accepted"] for r in M.accept_feedback(spark.createDataFrame(data, schema), posts, spark.createDataFrame(stored, schema)).collect()}
+    assert got[500] is False
+    accepted = {}
+    for i, post, _, _, ip, at in sorted(data, key=lambda d: (d[5], d[0])):
+        recent = any(s[1] == post and s[4] == ip and at - timedelta(hours=1) < s[5] <= at for s in stored)
+        last = accepted.get((post, ip))
+        ok = not recent and (last is None or at - last >= timedelta(hours=1))
+        if ok:
+            accepted[post, ip] = at
+        assert got[i] is ok, i
+
+
+def test_verification_uses_every_hit(spark):
+    """A text is judged by all fact checks and articles that are related to it, by default without a limit per source."""
+    from plazalens.plans.lifecycles import judge_texts
+
+    rng = random.Random(21)
+    words = [f"palabra{i}" for i in range(30)]
+    text = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    texts = spark.createDataFrame([(f"t{i}", text(3)) for i in range(12)], "text_id string, claim_text string")
+    day = datetime(2024, 1, 1)
+    checks = spark.createDataFrame(
+        [(f"c{i}", text(6), rng.choice(["Falso", "true"]), 0.9, "Maldita", day, text(5), f"https://a/{i}") for i in range(40)],
+        "check_id string, claim string, verdict string, confidence double, source_name string, publication_date timestamp, explanation string, url string",
+    )
+    articles = spark.createDataFrame(
+        [(f"n{i}", text(2), text(5), text(5), "ABC", f"https://b/{i}", day) for i in range(40)],
+        "article_id string, title string, description string, content string, source_name string, url string, publication_date timestamp",
+    )
+    as_of = F.lit(datetime(2024, 6, 1))
+    held = lambda asked, body: any(w in body for w in asked.split())
+    want = {
+        t.text_id: sum(held(t.claim_text, c.claim) for c in checks.collect()) + sum(held(t.claim_text, f"{n.title} {n.description}") for n in articles.collect())
+        for t in texts.collect()
+    }
+    verdicts, urls = judge_texts(texts, checks, articles, as_of)
+    rows = {r["text_id"]: r for r in verdicts.collect()}
+    assert max(want.values()) > 6 and {t: r["n_evidence"] for t, r in rows.items()} == {t: n for t, n in want.items() if n}
+    assert all(len(r["sources"]) == min(5, r["n_evidence"]) for r in rows.values())
+    assert urls.count() == sum(want.values())
+    few, _ = judge_texts(texts, checks, articles, as_of, per_source=1)
+    assert max(r["n_evidence"] for r in few.collect()) == 2
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_outcomes_of_chunks_equal_one_replay(seed):
+    """States passed from chunk to chunk, and through compositions of chunks, are those of a sequential replay."""
+    rng = random.Random(seed)
+    for _ in range(60):
+        n, window, rows = rng.randrange(1, 5), rng.choice([5, 17, 60]), rng.randrange(1, 400)
+        size = rng.choice([window, 2 * window, 100])
+        times = np.sort(np.array([rng.randrange(rng.choice([300, 1500])) for _ in range(rows)], np.int64))
+        passed, all_passed = deque(), []
+        for t in times.tolist():
+            while passed and passed[0] <= t - window:
+                passed.popleft()
+            if len(passed) < n:
+                passed.append(t)
+                all_passed.append(t)
+        assert [t for t, ok in zip(times.tolist(), limiter.replay(times.tolist(), n, window, deque())) if ok] == all_passed
+        chunks = [(c * size, times[times // size == c]) for c in range(int(times.max()) // size + 1)]
+        tables = [(begin, limiter.Outcome.of(t, n, window, begin, limiter._depth(n, 1))) for begin, t in chunks if len(t)]
+        for width in (1, 4):
+            state = np.full((1, n), limiter.NEVER)
+            for k in range(0, len(tables), width):
+                assert [t for t in state[0].tolist() if t > limiter.NEVER] == [t for t in all_passed if t < tables[k][0]][-n:]
+                whole = tables[k][1]
+                for _, later in tables[k + 1 : k + width]:
+                    whole = whole.then(later, n, window, limiter._depth(n, 0))
+                _, state = whole.after(state, n, window, n)
+
+
+@pytest.mark.parametrize("small", [0, 1 << 16])
+def test_a_client_always_at_its_limit(spark, monkeypatch, small):
+    """64 days without a pause: every day is a chunk of its own, and null keys are a key."""
+    monkeypatch.setattr(limiter, "SMALL_LOG", small)
+    base = datetime(2024, 1, 1)
+    rng = random.Random(3)
+    data = [(i, key, "api", base + timedelta(minutes=20 * i + rng.randrange(20))) for key in ("hot", None) for i in range(64 * 72)]
+    log = spark.createDataFrame([(n, *d[1:]) for n, d in enumerate(data)], "event_id long, key string, endpoint string, ts timestamp").repartition(6)
+    wanted = set()
+    for key in ("hot", None):
+        passed = deque()
+        for n, d in enumerate(data):
+            if d[1] == key:
+                while passed and passed[0] <= d[3] - timedelta(hours=5):
+                    passed.popleft()
+                if len(passed) < 3:
+                    passed.append(d[3])
+                else:
+                    wanted.add(n)
+    got = [r["event_id"] for r in H.rate_breaches(log, {"api": (3, 18_000)}).collect()]
+    assert len(got) == len(set(got)) and set(got) == wanted
+    refused_all = H.rate_breaches(log.limit(50), {"api": (0, 60)})
+    assert refused_all.count() == 50
+
+
+def test_feedback_against_stored_rows(spark):
+    """Any stored row of the hour before refuses, whether or not it would pass the limit itself."""
+    rng = random.Random(12)
+    base = datetime(2024, 1, 1)
+    stamp = lambda minute: base + timedelta(minutes=minute)
+    schema = "id long, post_id string, feedback_type string, corrected_category string, user_ip string, submitted_at timestamp"
+    posts = spark.createDataFrame([("p",), ("q",)], "post_id string")
+    stored = [(1000 + i, rng.choice("pq"), "flag", None, rng.choice(["a", "b", None]), stamp(rng.randrange(6000))) for i in range(60)]
+    stored += [(1, "p", "flag", None, "c", stamp(0)), (2, "p", "flag", None, "c", stamp(30))]
+    data = [(i, rng.choice("pq"), "flag", None, rng.choice(["a", "b", None]), stamp(rng.randrange(6000))) for i in range(300)]
+    data.append((500, "p", "flag", None, "c", stamp(75)))
+    got = {r["id"]: r["accepted"] for r in M.accept_feedback(spark.createDataFrame(data, schema), posts, spark.createDataFrame(stored, schema)).collect()}
+    assert got[500] is False
+    accepted = {}
+    for i, post, _, _, ip, at in sorted(data, key=lambda d: (d[5], d[0])):
+        recent = any(s[1] == post and s[4] == ip and at - timedelta(hours=1) < s[5] <= at for s in stored)
+        last = accepted.get((post, ip))
+        ok = not recent and (last is None or at - last >= timedelta(hours=1))
+        if ok:
+            accepted[post, ip] = at
+        assert got[i] is ok, i
 
 
 def test_verification_asks_for_every_hit(spark, monkeypatch):
