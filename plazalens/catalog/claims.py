@@ -68,12 +68,80 @@ def matches(v):
     return O.extract_matches(v.texts).select("post_id", "claim_type", "rule", "claim_text", "extracted_value")
 
 
-@query("E1_match_spans")
+def located(pattern, text):
+    """All matches of a pattern with their places: the k-th begins after the pieces and matches before it."""
+    return f"""unnest(list_transform(range(1, len(m) + 1), lambda k: struct_pack(t := m[k], at := CAST(coalesce(list_sum(list_transform(s[1:k], lambda x: length(x))), 0)
+      + coalesce(list_sum(list_transform(m[1:k - 1], lambda x: length(x))), 0) AS INTEGER)))) AS x FROM (SELECT *, regexp_extract_all({text}, {pattern}) AS m, string_split_regex({text}, {pattern}) AS s FROM posts) q"""
+
+
+def around(text, start, stop, width):
+    """The text from ``width`` characters before a match to as many after it, without white space at its ends."""
+    return f"trim(substring({text}, greatest({start} - {width}, 0) + 1, {stop} + {width} - greatest({start} - {width}, 0)), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
+
+
+LOCATED = " UNION ALL ".join(
+    f"SELECT post_id, content, '{kind}' AS phase, {i} AS rule, {width} AS w, {located(f"'(?i){re2_claim(p)}'", 'content')}"
+    for kind, (width, patterns) in R.CLAIM_RULES.items()
+    for i, p in enumerate(patterns)
+)
+SPANS = f"""ml AS (SELECT post_id, phase, rule, x.t AS claim_text, {around('content', 'x.at', '(x.at + length(x.t))', 'w')} AS context,
+  x.at AS start_pos, CAST(x.at + length(x.t) AS INTEGER) AS end_pos FROM ({LOCATED}) l)"""
+
+
+@query(
+    "E1_match_spans",
+    f"""WITH {SPANS} SELECT post_id, phase AS claim_type, phase, rule, claim_text, context, CASE WHEN phase IN ('numerical', 'temporal') THEN claim_text END AS extracted_value, start_pos, end_pos FROM ml""",
+)
 def spans(v):
     return O.extract_matches(v.texts)
 
 
-@query("E1_scored_claims")
+def dbl(x):
+    return f"CAST({x} AS DOUBLE)"
+
+
+CT, CX = "claim_text", "context"
+FIGURE, SERIOUS = has(CT, R.FIGURES), has(CT, R.SERIOUS_ACTIONS)
+RECENT = "(contains(claim_text, '2024') OR contains(claim_text, '2023'))"
+OFF, SAID, SOURCE = (f"CAST({has(CX, w)} AS INTEGER)" for w in (R.OFFICIAL_CONTEXT, R.STATISTICAL_CONTEXT, R.SOURCED))
+START_C = f"CASE WHEN {RECENT} THEN {dbl(0.8)} WHEN {has(CT, R.ECONOMY_NUMBERS)} THEN {dbl(0.9)} WHEN contains(claim_text, '%') THEN {dbl(0.85)} ELSE {dbl(0.7)} END"
+START_P = f"CASE WHEN {RECENT} THEN 8 WHEN {has(CT, R.ECONOMY_NUMBERS)} THEN 10 WHEN contains(claim_text, '%') THEN 9 ELSE 6 END"
+PHASE_SCORES = {
+    "numerical": (
+        f"least(CASE WHEN contains(claim_text, '%') THEN {dbl(0.9)} WHEN {has(CT, R.BIG_NUMBERS)} THEN {dbl(0.95)} ELSE {dbl(0.8)} END + {SAID} * {dbl(0.1)}, {dbl(1)})",
+        f"least(CASE WHEN contains(claim_text, '%') THEN 9 WHEN {has(CT, R.BIG_NUMBERS)} THEN 10 ELSE 7 END + {SAID}, 10)",
+    ),
+    "temporal": (
+        f"CASE WHEN contains(claim_text, '/') OR contains(claim_text, '-') THEN {dbl(0.9)} WHEN {RECENT} THEN {dbl(0.85)} ELSE {dbl(0.7)} END",
+        f"CASE WHEN contains(claim_text, '/') OR contains(claim_text, '-') THEN 9 WHEN {RECENT} THEN 8 ELSE 6 END",
+    ),
+    "attribution": (f"CASE WHEN {has(CT, R.OFFICIAL_SOURCES)} THEN {dbl(0.8)} ELSE {dbl(0.6)} END", f"CASE WHEN {has(CT, R.OFFICIAL_SOURCES)} THEN 8 ELSE 5 END"),
+    "causal": (f"CASE WHEN {has(CX, R.CAUSAL_EVIDENCE)} THEN {dbl(0.7)} ELSE {dbl(0.5)} END", f"CASE WHEN {has(CX, R.CAUSAL_EVIDENCE)} THEN 6 ELSE 4 END"),
+    "legal_event": (
+        f"greatest(CASE WHEN {FIGURE} THEN {dbl(0.95)} WHEN {SERIOUS} THEN {dbl(0.9)} ELSE {dbl(0.8)} END - CAST(NOT {has(CT, R.LEGAL_SPECIFICS)} AS INTEGER) * {dbl(0.1)}, {dbl(0)})",
+        f"CASE WHEN {FIGURE} OR {SERIOUS} THEN 10 ELSE 9 END",
+    ),
+    "breaking_news": (
+        f"greatest(CASE WHEN {FIGURE} THEN {dbl(0.95)} ELSE {dbl(0.85)} END - {SOURCE} * {dbl(0.2)}, {dbl(0)})",
+        f"least(CASE WHEN {FIGURE} THEN 10 ELSE 9 END - {SOURCE}, 10)",
+    ),
+    "contextual": (
+        f"least(CASE WHEN {has(CT, R.IMPORTANT_TOPICS)} THEN greatest({START_C}, {dbl(0.85)}) ELSE {START_C} END + {OFF} * {dbl(0.1)}, {dbl(1)})",
+        f"least(CASE WHEN {has(CT, R.IMPORTANT_TOPICS)} THEN greatest({START_P}, 9) ELSE {START_P} END + {OFF}, 10)",
+    ),
+}
+PHASE_CASE = [" ".join(f"WHEN '{k}' THEN {pair[i]}" for k, pair in PHASE_SCORES.items()) for i in (0, 1)]
+TURNS = " ".join(f"WHEN '{p}' THEN {i}" for i, p in enumerate(O.PHASES))
+ALL_CLAIMS = f"""{CONTEXTUAL}, {SPANS}, ac AS (SELECT post_id, phase AS claim_type, phase, rule, claim_text, context, start_pos FROM ml
+    UNION ALL SELECT post_id, claim_type, 'contextual', rule, claim_text, claim_text, start_pos FROM claims),
+  sa AS (SELECT *, CASE phase {PHASE_CASE[0]} END AS confidence, CASE phase {PHASE_CASE[1]} END AS priority FROM ac),
+  na AS (SELECT *, row_number() OVER (PARTITION BY post_id ORDER BY priority DESC, confidence DESC, CASE phase {TURNS} END, rule, start_pos) - 1 AS claim_no FROM sa)"""
+
+
+@query(
+    "E1_scored_claims",
+    f"""WITH {ALL_CLAIMS} SELECT post_id, CAST(claim_no AS INTEGER) AS claim_no, claim_type, claim_text, CAST(priority AS INTEGER) AS priority, round(confidence, 4) AS confidence FROM na WHERE claim_no < 5""",
+)
 def scored_matches(v):
     return O.top_claims(O.score_claims(O.all_claims(v.texts), as_of())).select(
         "post_id", "claim_no", "claim_type", "claim_text", "priority", F.round("confidence", 4).alias("confidence")

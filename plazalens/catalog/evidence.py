@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from plazalens.catalog.claims import CONTEXTUAL, MATCHES, NUMBERS, W, has
+from plazalens.catalog.claims import CONTEXTUAL, NUMBERS, SPANS, W, has
 from plazalens.catalog.registry import query
 from plazalens.operators import claims as K
 from plazalens.operators import evidence as O
@@ -570,13 +570,6 @@ def event_pages(v):
     return v.spark.sql(f"SELECT {wanted} FROM _event_pages")
 
 
-@query("G26_verify_content")
-def verify_content(v):
-    """The whole verification lifecycle over the posts."""
-    out, _ = verify_lifecycle(verified_posts(v), stats(v), checks(v), news_pool(v), as_of(), event_pages=event_pages(v))
-    return out.withColumn("confidence", F.round("confidence", 6)).withColumn("contradictions", F.array_join("contradictions", "|"))
-
-
 def related(asked, text):
     """The text covers the first topic family that is asked about."""
     return "CASE " + " ".join(f"WHEN {has(asked, a)} THEN {has(text, w)}" for a, w in P.TOPIC_FAMILIES) + " ELSE FALSE END"
@@ -587,11 +580,11 @@ def shares_word(asked, text):
 
 
 PERSON_NAMED = "CASE " + " ".join(f"WHEN contains(lower(content), '{f}') THEN '{f}'" for f in RK.FIGURES) + " END"
-# Claims of the posts that claim no arrest: contextual ones, and typed matches whose verdict asks for no context.
+# Claims of the posts that claim no arrest: contextual ones and typed matches.
 GIVEN_CLAIMS = f"""vp AS ({VERIFIED_POSTS}), ea AS (SELECT post_id, {PERSON_NAMED} AS person FROM vp WHERE {has('content', RK.ARREST_WORDS)} AND {has('content', RK.FIGURES)}),
-  pl AS (SELECT * FROM vp WHERE post_id NOT IN (SELECT post_id FROM ea)), {CONTEXTUAL.replace('FROM posts', 'FROM pl')},
-  c AS MATERIALIZED (SELECT row_number() OVER () AS claim_id, u.* FROM (SELECT post_id, claim_type, claim_text FROM claims
-    UNION ALL SELECT post_id, claim_type, claim_text FROM ({MATCHES.replace('FROM posts', 'FROM pl')}) m WHERE claim_type <> 'temporal') u)"""
+  pl AS (SELECT * FROM vp WHERE post_id NOT IN (SELECT post_id FROM ea)), {CONTEXTUAL.replace('FROM posts', 'FROM pl')}, {SPANS.replace('FROM posts', 'FROM pl')},
+  c AS MATERIALIZED (SELECT row_number() OVER () AS claim_id, u.* FROM (SELECT post_id, claim_type, claim_text, claim_text AS context FROM claims
+    UNION ALL SELECT post_id, phase, claim_text, context FROM ml) u)"""
 GIVEN_NUMBERS = f"""{STATS}, gn AS (SELECT claim_id, claim_text, 0 AS pat, unnest(regexp_extract_all(claim_text, '\\b[0-9]{{1,3}}(?:,[0-9]{{3}})*(?:\\.[0-9]+)?\\b')) AS txt FROM c WHERE claim_type = 'numerical'
     UNION ALL SELECT claim_id, claim_text, 1, unnest(regexp_extract_all(claim_text, '\\b[0-9]+\\.[0-9]+\\b')) FROM c WHERE claim_type = 'numerical'
     UNION ALL SELECT claim_id, claim_text, 2, unnest(regexp_extract_all(claim_text, '\\b[0-9]+\\b')) FROM c WHERE claim_type = 'numerical'),
@@ -601,7 +594,7 @@ GIVEN_NUMBERS = f"""{STATS}, gn AS (SELECT claim_id, claim_text, 0 AS pat, unnes
   nv AS (SELECT claim_id, rtx, CASE WHEN regexp_matches(rtx, '(?i)[0-9]+ millones') THEN CAST(regexp_extract(rtx, '(?i)([0-9]+) millones', 1) AS DOUBLE) * 1000000 ELSE value END AS value FROM gx),
   rr AS {NUMERIC[NUMERIC.index('rr AS ') + 6 :].replace('JOIN of s', 'JOIN st s')},
   se AS (SELECT c.claim_id, c.post_id, CASE h.source WHEN 'INE' THEN 'INE - Instituto Nacional de Estadística' ELSE 'Eurostat - Oficina Estadística de la Unión Europea' END AS source_name FROM c JOIN hh h ON h.claim_id = c.claim_id AND h.rn = 1)"""
-GIVEN_DATES = f"""gd AS (SELECT claim_id, post_id, claim_text || ' ' || claim_text AS t FROM c WHERE claim_type = 'temporal'),
+GIVEN_DATES = f"""gd AS (SELECT claim_id, post_id, claim_text || ' ' || context AS t FROM c WHERE claim_type = 'temporal'),
   ge AS (SELECT *, regexp_extract(t, '(?:^|{W})([0-9]{{1,2}}[/-][0-9]{{1,2}}[/-][0-9]{{4}})(?:$|{W})', 1) AS ds, try_cast(nullif(regexp_extract(t, '(?:^|{W})((?:19|20)[0-9]{{2}})(?:$|{W})', 1), '') AS INTEGER) AS y,
     regexp_matches(t, '(^|{W})(hace\\s+[0-9]+\\s+(días?|meses?|años?)|en\\s+(el\\s+)?[0-9]{{4}})($|{W})', 'i') AS rel FROM gd),
   gg AS (SELECT *, try_cast(regexp_replace(ds, '^([0-9]+)[/-]([0-9]+)[/-]([0-9]+)$', '\\3-\\2-\\1') AS DATE) AS day FROM ge),
@@ -635,14 +628,11 @@ GIVEN_REPORT = (
 
 
 @query(
-    "G26_verify_claims",
+    "G26_verify_content",
     f"""WITH {GIVEN_REPORT} SELECT post_id, verdict, CAST(round(conf, 6) AS DOUBLE) AS confidence, n_claims, n_verified, n_debunked, n_questionable, n_sources, temporal_consistency, contradictions FROM rep
        UNION ALL SELECT post_id, verdict, CAST(round(conf, 6) AS DOUBLE), 1, CAST(verdict = 'verified' AS BIGINT), CAST(verdict = 'debunked' AS BIGINT), CAST(verdict = 'questionable' AS BIGINT), n, TRUE, '' FROM er""",
 )
-def verify_claims(v):
-    """The lifecycle over given claims: all whose verdict asks for no position in the text."""
-    posts = verified_posts(v)
-    claims = K.all_claims(posts).filter("phase <> 'temporal'")
-    claims = K.score_claims(claims, as_of()).withColumn("claim_id", F.md5(F.concat_ws("/", "post_id", "phase", "rule", "start_pos", "end_pos").cast("binary")))
-    out, _ = verify_lifecycle(posts, stats(v), checks(v), news_pool(v), as_of(), event_pages=event_pages(v), claims=claims)
+def verify_content(v):
+    """The whole verification lifecycle over the posts."""
+    out, _ = verify_lifecycle(verified_posts(v), stats(v), checks(v), news_pool(v), as_of(), event_pages=event_pages(v))
     return out.withColumn("confidence", F.round("confidence", 6)).withColumn("contradictions", F.array_join("contradictions", "|"))

@@ -232,7 +232,7 @@ def breach_stream(v):
         log.filter(F.pmod(F.xxhash64("event_id"), F.lit(3)) == part).coalesce(1).write.mode("append").parquet(f"{folder}/in")
     J.end_mark(log, 40).coalesce(1).write.mode("append").parquet(f"{folder}/in")
     stream = v.spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
-    J.append_to(J.breach_stream(stream, LIMITS, "40 days"), f"{folder}/out", f"{folder}/state").awaitTermination()
+    J.append_to(J.breach_stream(stream, LIMITS, "40 days"), f"{folder}/out", f"{folder}/state", settings=J.ROCKS_STORE).awaitTermination()
     return v.spark.read.schema(J.BREACH_SCHEMA).parquet(f"{folder}/out").select("event_id", "key", "endpoint")
 
 

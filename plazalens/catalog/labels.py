@@ -4,6 +4,7 @@ import re
 
 from pyspark.sql import functions as F
 
+from plazalens.catalog.claims import around, located
 from plazalens.catalog.registry import query
 from plazalens.functions import posts as C
 
@@ -87,7 +88,24 @@ def label_match_counts(v):
     return O.label_matches(v.texts).groupBy("post_id", "category", "rule_no").agg(F.count("*").alias("n"))
 
 
-@query("F2_label_matches")
+def place_sql(category, i, rule):
+    """Matches of one rule with their places in the lower-cased text; what must not follow is tested behind the match."""
+    at, text = rule.find(r"\b(?!"), rule.lower()
+    head, barred = (text, None) if at < 0 else (text[:at] + r"\b", text[at + 5 : -1])
+    test = "" if barred is None else f" WHERE NOT regexp_matches(substring(low, x.at + length(x.t) + 1), {lit('^(?:' + barred + ')')})"
+    return f"SELECT * FROM (SELECT post_id, content, low, '{category}' AS category, {i} AS rule_no, {located(lit(head), 'low').replace('FROM posts', 'FROM lowered')}) y{test}"
+
+
+RULE_PLACES = " UNION ALL ".join(place_sql(c, i, r) for c, rules in R.LABEL_RULES.items() for i, r in enumerate(rules))
+DESCRIBED = " ".join(f"WHEN '{c}' THEN {lit(d)}" for c, d in R.CATEGORY_DESCRIPTIONS.items())
+
+
+@query(
+    "F2_label_matches",
+    f"""WITH lowered AS (SELECT post_id, content, lower(content) AS low FROM posts)
+       SELECT post_id, category, rule_no, x.t AS matched, CASE category {DESCRIBED} ELSE '' END AS description, x.at AS start_pos, CAST(x.at + length(x.t) AS INTEGER) AS end_pos,
+        {around('content', 'x.at', '(x.at + length(x.t))', '20')} AS context FROM ({RULE_PLACES}) r""",
+)
 def label_matches(v):
     return O.label_matches(v.texts)
 

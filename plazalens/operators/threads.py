@@ -65,7 +65,8 @@ def reached_posts(posts: DataFrame) -> DataFrame:
             break
         settled = settled.unionByName(fresh)
         jumps = moved.filter(~F.col("final")).select("post_id", "at")
-        pool = durable(pool.unionByName(fresh).join(jumps.select(F.col("at").alias("post_id")), "post_id", "left_semi"))
+        # Made of stored rows, once for each round so far, of which there are few; one checkpoint a round is enough.
+        pool = pool.unionByName(fresh).join(jumps.select(F.col("at").alias("post_id")), "post_id", "left_semi")
     valid = tops.filter(F.coalesce("is_root", F.lit(False))).select(F.col("post_id").alias("top"))
     return (
         settled.join(valid, "top", "left_semi")

@@ -87,18 +87,16 @@ def verify_content(
     as_of: Column,
     per_source: int | None = None,
     event_pages: DataFrame | None = None,
-    claims: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(reports per post, judged claims). Numbers go to the statistics, dates to the
     rules, everything else to fact checks and articles; all of these are tables.
 
-    With ``event_pages`` a post that claims an arrest is judged by the pages searched for it instead. ``claims``
-    are extracted from the posts unless given (as ``claims_of_posts`` makes them).
+    With ``event_pages`` a post that claims an arrest is judged by the pages searched for it instead.
     """
     plain = posts
     if event_pages is not None:
         plain = posts.join(K.arrest_claims(posts).select("post_id"), "post_id", "left_anti")
-    claims = claims_of_posts(plain, as_of) if claims is None else claims.join(plain.select("post_id"), "post_id", "left_semi")
+    claims = claims_of_posts(plain, as_of)
     # Claims feed three paths and the roll-up: extract them once. Equal texts are judged once.
     claims = durable(claims.withColumn("text_id", F.md5(F.col("claim_text").cast("binary"))))
     numeric = claims.filter(F.col("claim_type") == "numerical")

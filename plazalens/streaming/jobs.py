@@ -103,12 +103,23 @@ def claim_stream(stream: DataFrame, as_of) -> DataFrame:
     return score_claims(contextual_claims(stream), as_of)
 
 
-def append_to(stream: DataFrame, path: str, checkpoint: str, trigger: dict | None = None):
-    """Append a stream to a Parquet folder; without ``trigger`` what is there now, then stop."""
-    return (
-        stream.writeStream.format("parquet").outputMode("append").option("path", path)
-        .option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
-    )
+def append_to(stream: DataFrame, path: str, checkpoint: str, trigger: dict | None = None, settings: dict[str, str] | None = None):
+    """Append a stream to a Parquet folder; without ``trigger`` what is there now, then stop.
+
+    A stream keeps the ``settings`` it is started with; the session has its own again afterwards.
+    """
+    conf = stream.sparkSession.conf
+    before = {k: conf.get(k, None) for k in settings or {}}
+    for k, v in (settings or {}).items():
+        conf.set(k, v)
+    try:
+        return (
+            stream.writeStream.format("parquet").outputMode("append").option("path", path)
+            .option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+        )
+    finally:
+        for k, v in before.items():
+            conf.unset(k) if v is None else conf.set(k, v)
 
 
 def volume_stream(log: DataFrame, window: str = "1 minute", slide: str = "10 seconds", delay: str = "10 minutes") -> DataFrame:
@@ -122,8 +133,8 @@ def volume_stream(log: DataFrame, window: str = "1 minute", slide: str = "10 sec
 
 
 BREACH_SCHEMA = "event_id bigint, key string, endpoint string, ts timestamp"
-STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
-ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: What ``breach_stream`` needs when it is started.
+ROCKS_STORE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
 
 
 class _Breaches(StatefulProcessor):
@@ -186,9 +197,8 @@ def breach_stream(log: DataFrame, limits: dict[str, tuple[int, int]], delay: str
     """Refused requests of a stream, in whatever order requests arrive within ``delay``.
 
     A request is decided once the watermark has passed its second, as no earlier one can come then; until
-    that it waits in the state of its (client, endpoint), which needs the RocksDB state store.
+    that it waits in the state of its (client, endpoint). Start it with ``ROCKS_STORE`` (see ``append_to``).
     """
-    log.sparkSession.conf.set(STATE_STORE, ROCKS)
     return (
         log.withWatermark("ts", delay)
         .filter(F.col("endpoint").isin(list(limits)))

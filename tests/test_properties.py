@@ -172,7 +172,7 @@ def test_breach_stream_equals_batch(spark, tmp_path):
         spark.createDataFrame(data[part * 50:][:50], log.schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     J.end_mark(log, 1).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    J.append_to(J.breach_stream(stream, limits, "1 hour"), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    J.append_to(J.breach_stream(stream, limits, "1 hour"), str(tmp_path / "out"), str(tmp_path / "cp"), settings=J.ROCKS_STORE).awaitTermination()
     got = sorted(r["event_id"] for r in spark.read.parquet(str(tmp_path / "out")).collect())
     assert got == sorted(r["event_id"] for r in H.rate_breaches(log, limits).collect())
 
