@@ -146,11 +146,12 @@ def repeats(docs: DataFrame) -> DataFrame:
     key = f"doc_id {kind}, text_key bigint, start int"
     cells = texts.mapInArrow(_cells, f"{key}, windows int, anchor bigint, cell bigint")
     shared = cells.groupBy("anchor").agg(F.count("*").alias("n")).where("n >= 2").select("anchor")
-    matched = written(cells.join(shared, "anchor"), "matched")
+    # Written, so that both sides of the join are dealt anew and an anchor of very many cells can be split.
+    matched = written(cells.join(written(shared, "shared"), "anchor"), "matched")
 
     kinds = matched.groupBy("anchor", "cell").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "text_key", "start")).alias("one"))
     several = kinds.groupBy("anchor").agg(F.count("*").alias("cells"))
-    kinds = kinds.join(several, "anchor")
+    kinds = written(kinds.join(several, "anchor"), "kinds")
     judged = written(
         matched.join(kinds, ["anchor", "cell"]).select(
             "doc_id", "text_key", "start", "windows", "anchor",

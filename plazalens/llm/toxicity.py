@@ -51,15 +51,6 @@ FEATURES = (
     "obfuscated_hits", "second_share", "second_near", "capital_share", "shouted_share", "exclaimed", "punctuated", "obfuscated_share", "stretched_share",
 )
 
-#: Plain insults that belong to the lexicon even where a small sample does not show them.
-SEED = (
-    "idiot idiots moron morons stupid dumb scum trash loser losers clown pathetic worthless disgusting "
-    "idiota estúpido imbécil basura payaso asqueroso inútil "
-    "dumm dummkopf trottel abschaum versager widerlich erbärmlich "
-    "stupide crétin ordure nul minable dégoûtant"
-).split()
-SEED_ODDS = 2.5
-
 _EDGE = re.compile(r"^[\W\d_]+|[\W\d_]+$")
 _MIXED = re.compile(r"[^\W\d_][\d@$!*#%&]+[^\W\d_]")
 _STRETCH = re.compile(r"(.)\1\1")
@@ -98,14 +89,14 @@ def sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> DataFrame:
 
 
 def lexicon(rows: DataFrame) -> dict[str, float]:
-    """Term to log odds: SEED, and what the sample shows; at most LEXICON entries come to the driver."""
+    """Term to log odds, as the sample shows them; at most LEXICON entries come to the driver."""
     counts = rows.select("text", "toxic").mapInArrow(_term_counts, "term string, clean bigint, toxic bigint")
     counts = counts.groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).where(F.col("toxic") >= SUPPORT)
     total = rows.agg(F.sum(1 - F.col("toxic")), F.sum("toxic")).first()
     clean, toxic = (x or 0 for x in total)
     odds = F.log((F.col("toxic") + 0.1) / (toxic + 1)) - F.log((F.col("clean") + 0.5) / (clean + 1))
     top = counts.withColumn("odds", odds).where(F.col("odds") >= ODDS).orderBy(F.desc(F.col("odds") * F.sqrt("toxic")), "term").limit(LEXICON)
-    return dict.fromkeys(SEED, SEED_ODDS) | {r.term: r.odds for r in top.collect()}
+    return {r.term: r.odds for r in top.collect()}
 
 
 def _measure(word: str, known: dict[str, float]) -> tuple[float, ...]:
