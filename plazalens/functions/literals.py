@@ -34,15 +34,20 @@ def bounded(text: str, start: int, stop: int) -> bool:
     return left != is_word(text[start]) and right != is_word(text[stop - 1])
 
 
+Group = tuple[frozenset[str], frozenset[str]]  # beginnings of words, literals anywhere
+
+
 @lru_cache(maxsize=16)
-def automaton(groups: tuple[frozenset[str], ...], names: tuple[str, ...]) -> ahocorasick.Automaton:
-    """Every literal with its length, the groups it stands for and its places in the list of names."""
-    found: dict[str, tuple[int, list[int], list[int]]] = {}
-    for k, literals in enumerate(groups):
-        for literal in literals:
-            found.setdefault(literal, (len(literal), [], []))[1].append(k)
+def automaton(groups: tuple[Group, ...], names: tuple[str, ...]) -> ahocorasick.Automaton:
+    """Every literal with its length, the groups that it stands for at the begin of a word and anywhere, and its places
+    in the list of names."""
+    found: dict[str, tuple[int, list[int], list[int], list[int]]] = {}
+    for k, pair in enumerate(groups):
+        for place, literals in enumerate(pair, 1):
+            for literal in literals:
+                found.setdefault(literal, (len(literal), [], [], []))[place].append(k)
     for k, name in enumerate(names):
-        found.setdefault(name, (len(name), [], []))[2].append(k)
+        found.setdefault(name, (len(name), [], [], []))[3].append(k)
     out = ahocorasick.Automaton()
     for literal, value in found.items():
         out.add_word(literal, value)
@@ -53,24 +58,28 @@ def automaton(groups: tuple[frozenset[str], ...], names: tuple[str, ...]) -> aho
 SEEN = T.StructType([T.StructField("groups", T.ArrayType(T.IntegerType())), T.StructField("names", T.ArrayType(T.IntegerType()))])
 
 
-def _scan(text: str, machine: ahocorasick.Automaton) -> tuple[list[int], list[int]]:
+def fired(text: str, machine: ahocorasick.Automaton) -> tuple[set[int], set[int]]:
+    """Groups with a literal in the text, and names that stand in it on word boundaries."""
     groups: set[int] = set()
     names: set[int] = set()
-    for last, (size, of, named) in machine.iter(text):
-        groups.update(of)
+    for last, (size, begins, anywhere, named) in machine.iter(text):
+        if anywhere:
+            groups.update(anywhere)
+        if begins and not groups.issuperset(begins) and (last < size or not is_word(text[last - size])):
+            groups.update(begins)
         if named and not names.issuperset(named) and bounded(text, last + 1 - size, last + 1):
             names.update(named)
-    return sorted(groups), sorted(names)
+    return groups, names
 
 
-def seen(low: Column, groups: list[frozenset[str]], names: list[str]) -> Column:
+def seen(low: Column, groups: list[Group], names: list[str]) -> Column:
     """For lower-cased text: which groups have a literal in it, folded or not, and which names stand in it on word
     boundaries, both as rising numbers; null where neither is, or where the text is null."""
-    key = tuple(frozenset(g) for g in groups), tuple(names)
+    key = tuple(groups), tuple(names)
 
     @F.pandas_udf(SEEN)
     def scan(texts: pd.Series) -> pd.DataFrame:
-        if not any(key[0]) and not key[1]:
+        if not any(heads or parts for heads, parts in key[0]) and not key[1]:
             return pd.DataFrame({"groups": [None] * len(texts), "names": [None] * len(texts)})
         machine = automaton(*key)
         out = []
@@ -78,10 +87,10 @@ def seen(low: Column, groups: list[frozenset[str]], names: list[str]) -> Column:
             if text is None:
                 out.append((None, None))
                 continue
-            of, named = _scan(text, machine)
+            of, named = fired(text, machine)
             if "ſ" in text or "ı" in text:  # the two letters that fold to ASCII
-                of = sorted({*of, *_scan(text.translate(FOLDED), machine)[0]})
-            out.append((of or None, named or None))
+                of |= fired(text.translate(FOLDED), machine)[0]
+            out.append((sorted(of) or None, sorted(named) or None))
         return pd.DataFrame(out, columns=["groups", "names"])
 
     return scan(low)

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plazalens.functions.anchors import anchors_of
-from plazalens.functions.literals import automaton
+from plazalens.functions.literals import automaton, fired
 from plazalens.functions.text import folded_text
 
 
@@ -90,22 +90,21 @@ def find_spans(df: DataFrame, keys: list[str], text: str, rules: list[SpanRule],
     chosen = df.select(*keys, F.col(text).alias("_text")).filter(F.col("_text").isNotNull())
     schema = T.StructType([*[chosen.schema[k] for k in keys], *SPAN_FIELDS])
 
-    needs = tuple(frozenset(a.heads | a.parts) for a in (anchors_of(r.pattern) for r in rules))
+    needs = tuple((a.heads, a.parts) for a in (anchors_of(r.pattern) for r in rules))
     numeric = [_starts_with_digit(r.pattern) for r in rules]
     digits = [_needs_digit(r.pattern) for r in rules]
 
     def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         compiled = [re.compile(r.pattern, re.IGNORECASE) for r in rules]
-        machine = automaton(needs, ()) if any(needs) else None
-        always = [k for k, need in enumerate(needs) if not need]
+        always = [k for k, need in enumerate(needs) if not any(need)]
+        machine = automaton(needs, ()) if len(always) < len(needs) else None
         for batch in batches:
             rows = []
             for values in batch.itertuples(index=False, name=None):
                 original = values[-1]
                 tried = set(always)
                 if machine is not None:
-                    for _, (_, groups, _) in machine.iter(folded_text(original)):
-                        tried.update(groups)
+                    tried |= fired(folded_text(original), machine)[0]
                 if not tried:
                     continue
                 searched = original.lower() if on_lower else original

@@ -16,7 +16,7 @@ from plazalens.functions import dom
 from plazalens.functions import posts as C
 from plazalens.functions.anchors import merged
 from plazalens.functions.joins import BLANK, holding, substring_hits, tokens_of
-from plazalens.functions.literals import seen
+from plazalens.functions.literals import Group, seen
 from plazalens.functions.spans import SpanRule, find_spans
 from plazalens.functions.tables import ranked
 from plazalens.functions.text import any_of, contains_any, extract_or_null, first_contained, folded, found_in_order, strip
@@ -38,7 +38,7 @@ def folded_pattern(rules: list[str]) -> str:
     return "(?Ud)" + "|".join(parts)
 
 
-def _rule_groups(rules: dict[str, list[str]], group: int) -> list[tuple[str, list[str], frozenset[str]]]:
+def _rule_groups(rules: dict[str, list[str]], group: int) -> list[tuple[str, list[str], Group]]:
     """(category, rules, literals): groups of rules with what every match of one must hold; no literals
     where none can be derived."""
     out = []
@@ -46,17 +46,17 @@ def _rule_groups(rules: dict[str, list[str]], group: int) -> list[tuple[str, lis
         for at in range(0, len(patterns), group):
             part = patterns[at : at + group]
             need = merged(part)
-            out.append((category, part, need.heads | need.parts))
+            out.append((category, part, (need.heads, need.parts)))
     return out
 
 
-def literals_seen(content: Column, rules: dict[str, list[str]] | None = None, entities: list[tuple[str, str]] | None = None, group: int = 3) -> Column:
+def literals_seen(content: Column, rules: dict[str, list[str]] | None = None, entities: list[tuple[str, str]] | None = None, group: int = 1) -> Column:
     """What one automaton over the rules' literals and the names finds in a text (see ``seen``)."""
     groups = [literals for _, _, literals in _rule_groups(R.LABEL_RULES if rules is None else rules, group)]
     return seen(F.lower(content), groups, [name for _, name in (R.ENTITIES if entities is None else entities)])
 
 
-def detected_categories(content: Column, rules: dict[str, list[str]] | None = None, group: int = 3, found: Column | None = None) -> Column:
+def detected_categories(content: Column, rules: dict[str, list[str]] | None = None, group: int = 1, found: Column | None = None) -> Column:
     """Categories with at least one hit, in rule order; short texts have none.
 
     A group of rules is tried only where the automaton saw one of its literals (``found``), which most texts
@@ -67,7 +67,7 @@ def detected_categories(content: Column, rules: dict[str, list[str]] | None = No
     fired = (literals_seen(content, rules, [], group) if found is None else found)["groups"]
     tests: dict[str, list] = {c: [] for c in rules}
     for k, (category, part, literals) in enumerate(_rule_groups(rules, group)):
-        tests[category].append((k, folded_pattern(part), bool(literals)))
+        tests[category].append((k, folded_pattern(part), any(literals)))
 
     def hits(bound: Column) -> Column:
         def hit(k: int, pattern: str, needs: bool) -> Column:

@@ -363,92 +363,3 @@ def test_verification_uses_every_hit(spark):
     assert urls.count() == sum(want.values())
     few, _ = judge_texts(texts, checks, articles, as_of, per_source=1)
     assert max(r["n_evidence"] for r in few.collect()) == 2
-
-
-@pytest.mark.parametrize("seed", [1, 2, 3])
-def test_outcomes_of_chunks_equal_one_replay(seed):
-    """States passed from chunk to chunk, and through compositions of chunks, are those of a sequential replay."""
-    rng = random.Random(seed)
-    for _ in range(60):
-        n, window, rows = rng.randrange(1, 5), rng.choice([5, 17, 60]), rng.randrange(1, 400)
-        size = rng.choice([window, 2 * window, 100])
-        times = np.sort(np.array([rng.randrange(rng.choice([300, 1500])) for _ in range(rows)], np.int64))
-        passed, all_passed = deque(), []
-        for t in times.tolist():
-            while passed and passed[0] <= t - window:
-                passed.popleft()
-            if len(passed) < n:
-                passed.append(t)
-                all_passed.append(t)
-        assert [t for t, ok in zip(times.tolist(), limiter.replay(times.tolist(), n, window, deque())) if ok] == all_passed
-        chunks = [(c * size, times[times // size == c]) for c in range(int(times.max()) // size + 1)]
-        tables = [(begin, limiter.Outcome.of(t, n, window, begin, limiter._depth(n, 1))) for begin, t in chunks if len(t)]
-        for width in (1, 4):
-            state = np.full((1, n), limiter.NEVER)
-            for k in range(0, len(tables), width):
-                assert [t for t in state[0].tolist() if t > limiter.NEVER] == [t for t in all_passed if t < tables[k][0]][-n:]
-                whole = tables[k][1]
-                for _, later in tables[k + 1 : k + width]:
-                    whole = whole.then(later, n, window, limiter._depth(n, 0))
-                _, state = whole.after(state, n, window, n)
-
-
-@pytest.mark.parametrize("small", [0, 1 << 16])
-def test_a_client_always_at_its_limit(spark, monkeypatch, small):
-    """64 days without a pause: every day is a chunk of its own, and null keys are a key."""
-    monkeypatch.setattr(limiter, "SMALL_LOG", small)
-    base = datetime(2024, 1, 1)
-    rng = random.Random(3)
-    data = [(i, key, "api", base + timedelta(minutes=20 * i + rng.randrange(20))) for key in ("hot", None) for i in range(64 * 72)]
-    log = spark.createDataFrame([(n, *d[1:]) for n, d in enumerate(data)], "event_id long, key string, endpoint string, ts timestamp").repartition(6)
-    wanted = set()
-    for key in ("hot", None):
-        passed = deque()
-        for n, d in enumerate(data):
-            if d[1] == key:
-                while passed and passed[0] <= d[3] - timedelta(hours=5):
-                    passed.popleft()
-                if len(passed) < 3:
-                    passed.append(d[3])
-                else:
-                    wanted.add(n)
-    got = [r["event_id"] for r in H.rate_breaches(log, {"api": (3, 18_000)}).collect()]
-    assert len(got) == len(set(got)) and set(got) == wanted
-    refused_all = H.rate_breaches(log.limit(50), {"api": (0, 60)})
-    assert refused_all.count() == 50
-
-
-def test_feedback_against_stored_rows(spark):
-    """Any stored row of the hour before refuses, whether or not it would pass the limit itself."""
-    rng = random.Random(12)
-    base = datetime(2024, 1, 1)
-    stamp = lambda minute: base + timedelta(minutes=minute)
-    schema = "id long, post_id string, feedback_type string, corrected_category string, user_ip string, submitted_at timestamp"
-    posts = spark.createDataFrame([("p",), ("q",)], "post_id string")
-    stored = [(1000 + i, rng.choice("pq"), "flag", None, rng.choice(["a", "b", None]), stamp(rng.randrange(6000))) for i in range(60)]
-    stored += [(1, "p", "flag", None, "c", stamp(0)), (2, "p", "flag", None, "c", stamp(30))]
-    data = [(i, rng.choice("pq"), "flag", None, rng.choice(["a", "b", None]), stamp(rng.randrange(6000))) for i in range(300)]
-    data.append((500, "p", "flag", None, "c", stamp(75)))
-    got = {r["id"]: r["accepted"] for r in M.accept_feedback(spark.createDataFrame(data, schema), posts, spark.createDataFrame(stored, schema)).collect()}
-    assert got[500] is False
-    accepted = {}
-    for i, post, _, _, ip, at in sorted(data, key=lambda d: (d[5], d[0])):
-        recent = any(s[1] == post and s[4] == ip and at - timedelta(hours=1) < s[5] <= at for s in stored)
-        last = accepted.get((post, ip))
-        ok = not recent and (last is None or at - last >= timedelta(hours=1))
-        if ok:
-            accepted[post, ip] = at
-        assert got[i] is ok, i
-
-
-def test_verification_asks_for_every_hit(spark, monkeypatch):
-    """The registered query sets no limit of hits per source in either search."""
-    from plazalens.catalog import evidence, registry  # noqa: F401
-    from plazalens.operators import evidence as E
-
-    asked = []
-    for name in ("match_fact_checks", "rank_articles"):
-        plain = getattr(E, name)
-        monkeypatch.setattr(E, name, lambda left, right, k=3, plain=plain: (asked.append(k), plain(left, right, 1))[1])
-    registry.QUERIES["G26_verify_content"](spark, "/root/testdata/sf0.001")
-    assert asked == [None, None]
