@@ -27,9 +27,10 @@ def scratch(v) -> str:
     return f"{work_folder(v.spark)}/run-{uuid.uuid4().hex}"
 
 
-def document_stream(v):
-    schema = v.raw("documents").schema
-    return v.spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(v.folder)
+def table_stream(v, name: str):
+    """A driver table as a stream, be it one file or a folder of files. The name is a pattern, as a stream's plain
+    path has to be a folder."""
+    return v.spark.readStream.schema(v.raw(name).schema).parquet(f"{v.folder}/[{name[0]}]{name[1:]}.parquet")
 
 
 UPSERTED = ["post_id", "content", "username", "post_type", "likes", "thread_id", "is_thread_start"]
@@ -254,9 +255,7 @@ def volume(v):
 )
 def volume_stream(v):
     folder = scratch(v)
-    schema = v.raw("events").schema
-    events = v.spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(v.folder)
-    log = v._view(D._REQUESTS, events)
+    log = v._view(D._REQUESTS, table_stream(v, "events"))
     # Complete result of one finite run: update mode into a keyed sink.
     counts = J.volume_stream(log, "1 day", "12 hours", "40 days")
 
@@ -271,10 +270,10 @@ def volume_stream(v):
 @query("H11_label_stream", f"WITH {LABELS} SELECT post_id, coalesce(cats[1], 'non_political') AS primary_category, array_to_string(cats, ',') AS categories FROM lab")
 def label_stream(v):
     folder = scratch(v)
-    stream = v._view(D._POSTS, document_stream(v)).select("post_id", "content")
+    stream = v._view(D._POSTS, table_stream(v, "documents")).select("post_id", "content")
     labelled = J.label_stream(stream).select("post_id", "primary_category", F.array_join("categories", ",").alias("categories"))
     J.append_to(labelled, f"{folder}/out", f"{folder}/state").awaitTermination()
-    return v.spark.read.parquet(f"{folder}/out")
+    return v.spark.read.schema(labelled.schema).parquet(f"{folder}/out")
 
 
 @query(

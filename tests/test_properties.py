@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from plazalens import catalog
 from plazalens.functions import limiter
 from plazalens.functions.anchors import anchors_of
 from plazalens.functions.joins import substring_hits
@@ -363,3 +364,12 @@ def test_verification_uses_every_hit(spark):
     assert urls.count() == sum(want.values())
     few, _ = judge_texts(texts, checks, articles, as_of, per_source=1)
     assert max(r["n_evidence"] for r in few.collect()) == 2
+
+
+def test_label_stream_of_a_table_in_many_files(spark, tmp_path):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    docs.repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    label = catalog.queries()["H11_label_stream"]
+    got = [tuple(r) for r in label(spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(tuple(r) for r in label(spark, "/root/testdata/sf0.001").collect())
+    assert len(got) == docs.count()
