@@ -15,6 +15,7 @@ from plazalens.functions.anchors import anchors_of
 from plazalens.functions.joins import substring_hits
 from plazalens.functions.limiter import admit
 from plazalens.functions.scan import by_width, positions, running
+from plazalens.operators import evidence as E
 from plazalens.operators import ingest as H
 from plazalens.operators import labels as L
 from plazalens.operators import maintain as M
@@ -373,3 +374,12 @@ def test_label_stream_of_a_table_in_many_files(spark, tmp_path):
     got = [tuple(r) for r in label(spark, str(tmp_path)).collect()]
     assert sorted(got) == sorted(tuple(r) for r in label(spark, "/root/testdata/sf0.001").collect())
     assert len(got) == docs.count()
+
+
+def test_event_indicators_list_every_claim(spark, monkeypatch):
+    """Claims with one person and event are rows of their own, however many shares they are dealt into."""
+    monkeypatch.setattr(E, "ASKED_TOGETHER", 2)
+    claims = spark.createDataFrame([(i, "Ana" if i < 7 else "Eva", "arrest") for i in range(9)], "claim_id long, person_name string, event_type string")
+    pages = spark.createDataFrame([(1, "ANA arrest falso"), (2, "ana: arrest"), (3, "eva"), (4, "Eva arrest, confirmado")], "page_id long, html string")
+    got = sorted(tuple(r) for r in E.event_indicators(claims, pages).select("claim_id", "page_id", "contradicts", "confirms").collect())
+    assert got == sorted([(i, p, p == 1, False) for i in range(7) for p in (1, 2)] + [(i, 4, False, True) for i in (7, 8)])
