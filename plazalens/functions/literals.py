@@ -7,6 +7,7 @@ with the JVM; the automaton tells which groups of them can match at all, and fin
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 from functools import lru_cache
 
 import ahocorasick
@@ -15,7 +16,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plazalens.functions.text import FOLDED
+from plazalens.functions.text import DOTTED, FOLDED
 
 _WORD = {"Lu", "Ll", "Lt", "Lm", "Lo", "Mn", "Mc", "Me", "Nd", "Nl", "Pc"}
 _JOINERS = "‌‍"
@@ -27,6 +28,11 @@ def is_word(char: str) -> bool:
     return char.isascii() and (char.isalnum() or char == "_") or unicodedata.category(char) in _WORD or char in _JOINERS or "Ⓐ" <= char <= "ⓩ"
 
 
+def is_python_word(char: str) -> bool:
+    """A word character as Python's regular expressions have it: a combining mark is none."""
+    return char.isalnum() or char == "_"
+
+
 def bounded(text: str, start: int, stop: int) -> bool:
     """Whether a word boundary lies on both sides of text[start:stop]."""
     left = start > 0 and is_word(text[start - 1])
@@ -58,14 +64,15 @@ def automaton(groups: tuple[Group, ...], names: tuple[str, ...]) -> ahocorasick.
 SEEN = T.StructType([T.StructField("groups", T.ArrayType(T.IntegerType())), T.StructField("names", T.ArrayType(T.IntegerType()))])
 
 
-def fired(text: str, machine: ahocorasick.Automaton) -> tuple[set[int], set[int]]:
-    """Groups with a literal in the text, and names that stand in it on word boundaries."""
+def fired(text: str, machine: ahocorasick.Automaton, word: Callable[[str], bool] = is_word) -> tuple[set[int], set[int]]:
+    """Groups with a literal in the text, and names that stand in it on word boundaries. ``word`` tells word
+    characters as the engine of the groups' rules has them."""
     groups: set[int] = set()
     names: set[int] = set()
     for last, (size, begins, anywhere, named) in machine.iter(text):
         if anywhere:
             groups.update(anywhere)
-        if begins and not groups.issuperset(begins) and (last < size or not is_word(text[last - size])):
+        if begins and not groups.issuperset(begins) and (last < size or not word(text[last - size])):
             groups.update(begins)
         if named and not names.issuperset(named) and bounded(text, last + 1 - size, last + 1):
             names.update(named)
@@ -88,8 +95,8 @@ def seen(low: Column, groups: list[Group], names: list[str]) -> Column:
                 out.append((None, None))
                 continue
             of, named = fired(text, machine)
-            if "ſ" in text or "ı" in text:  # the two letters that fold to ASCII
-                of |= fired(text.translate(FOLDED), machine)[0]
+            if "ſ" in text or "ı" in text or DOTTED in text:  # the letters that fold to ASCII
+                of |= fired(text.replace(DOTTED, "i").translate(FOLDED), machine)[0]
             out.append((sorted(of) or None, sorted(named) or None))
         return pd.DataFrame(out, columns=["groups", "names"])
 

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plazalens.functions.anchors import anchors_of
-from plazalens.functions.literals import automaton, fired
+from plazalens.functions.literals import automaton, fired, is_python_word
 from plazalens.functions.text import folded_text
 
 
@@ -104,7 +104,7 @@ def find_spans(df: DataFrame, keys: list[str], text: str, rules: list[SpanRule],
                 original = values[-1]
                 tried = set(always)
                 if machine is not None:
-                    tried |= fired(folded_text(original), machine)[0]
+                    tried |= fired(folded_text(original), machine, is_python_word)[0]
                 if not tried:
                     continue
                 searched = original.lower() if on_lower else original

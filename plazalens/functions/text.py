@@ -56,6 +56,7 @@ def strip(col: Column) -> Column:
 
 
 FOLDED = str.maketrans("ſı", "si")
+DOTTED = "i\u0307"  # what the capital I with a dot is in lower case; to a rule it is an i
 
 
 def folded(col: Column) -> Column:
@@ -64,8 +65,8 @@ def folded(col: Column) -> Column:
 
 
 def folded_text(text: str) -> str:
-    """``folded`` for one text inside a task."""
-    return text.lower().translate(FOLDED)
+    """``folded`` for one text inside a task; a capital I with a dot is an i."""
+    return text.replace("İ", "i").lower().translate(FOLDED)
 
 
 def squeeze(col: Column) -> Column:

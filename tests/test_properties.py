@@ -15,12 +15,14 @@ from plazalens.functions.anchors import anchors_of
 from plazalens.functions.joins import substring_hits
 from plazalens.functions.limiter import admit
 from plazalens.functions.scan import by_width, positions, running
+from plazalens.operators import claims as C
 from plazalens.operators import evidence as E
 from plazalens.operators import ingest as H
 from plazalens.operators import labels as L
 from plazalens.operators import maintain as M
 from plazalens.operators import reports as R
 from plazalens.rules.categories import LABEL_RULES
+from plazalens.rules.claims import CLAIM_RULES
 from plazalens.streaming import jobs as J
 
 
@@ -383,3 +385,15 @@ def test_event_indicators_list_every_claim(spark, monkeypatch):
     pages = spark.createDataFrame([(1, "ANA arrest falso"), (2, "ana: arrest"), (3, "eva"), (4, "Eva arrest, confirmado")], "page_id long, html string")
     got = sorted(tuple(r) for r in E.event_indicators(claims, pages).select("claim_id", "page_id", "contradicts", "confirms").collect())
     assert got == sorted([(i, p, p == 1, False) for i in range(7) for p in (1, 2)] + [(i, 4, False, True) for i in (7, 8)])
+
+
+def test_spans_behind_marks_and_dotted_letters(spark):
+    """A combining mark is no word character to the rules, and a capital I with a dot is an i to them."""
+    texts = ["caféporque llueve mucho y hace frío. ", "expertos İndican esto", "x́según el informe largo, hoy"]
+    df = spark.createDataFrame(list(enumerate(texts)), "post_id long, content string")
+    got = sorted((r["post_id"], r["claim_type"], r["claim_text"]) for r in C.extract_matches(df).collect())
+    wanted = sorted(
+        (i, kind, hit.group())
+        for i, text in enumerate(texts) for kind, (_, rules) in CLAIM_RULES.items() for rule in rules for hit in re.finditer(rule, text, re.IGNORECASE)
+    )
+    assert got == wanted and {i for i, _, _ in got} == {0, 1, 2}
