@@ -138,73 +138,84 @@ ROCKS_STORE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark
 
 
 class _Breaches(StatefulProcessor):
-    """Requests of one (client, endpoint) wait, listed by second, until the watermark has passed their second.
+    """Requests of one (client, endpoint) wait in a list until the watermark has passed their span of time.
 
-    A timer for each second that has rows decides it: what a batch touches are its new seconds and the ripe ones,
-    and the passed times, at most ``limit`` of them.
+    A timer for each ``span`` (seconds) that has rows decides what has come of it, so the calls to the state follow
+    the spans and batches of a client, not its requests. What waits is written anew once a span; passed times
+    are at most ``limit``.
     """
 
-    def __init__(self, limits: dict[str, tuple[int, int]]):
-        self.limits = limits
+    def __init__(self, limits: dict[str, tuple[int, int]], span: int):
+        self.limits, self.span = limits, span
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        rows = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("us", T.LongType())])
-        self.waiting = handle.getMapState("waiting", "second bigint", T.StructType([T.StructField("rows", T.ArrayType(rows))]))
+        self.waiting = handle.getListState("waiting", T.StructType([T.StructField("us", T.LongType()), T.StructField("event_id", T.LongType())]))
         self.passed = handle.getValueState("passed", "times array<bigint>")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        new: dict[int, list] = {}
+        new: list[tuple[int, int]] = []
         for batch in rows:
             # datetime64 of any unit -> microseconds
             times = batch["ts"].to_numpy("datetime64[us]").astype("int64").tolist()
-            for event, us in zip(batch["event_id"].tolist(), times, strict=True):
-                new.setdefault(us // 1_000_000, []).append((event, us))
-        for second, found in new.items():
-            if self.waiting.containsKey((second,)):
-                found = [*(tuple(r) for r in self.waiting.getValue((second,))[0]), *found]
-            else:
-                self.handle.registerTimer((second + 1) * 1000)
-            self.waiting.updateValue((second,), (found,))
+            new.extend(zip(times, batch["event_id"].tolist(), strict=True))
+        self.waiting.appendList(new)
+        for span in {us // (self.span * 1_000_000) for us, _ in new}:
+            self.handle.registerTimer((span + 1) * self.span * 1000)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         limit, window = self.limits[key[1]]
-        second = expiredTimerInfo.getExpiryTimeInMs() // 1000 - 1
-        if self.waiting.containsKey((second,)):
-            ready = sorted((us, event) for event, us in self.waiting.getValue((second,))[0])
-            passed = deque(self.passed.get()[0] if self.passed.exists() else [])
+        # No request before the watermark can come any more, so one timer does the work of all that are due.
+        end = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()) * 1000
+        ready, later = [], []
+        for us, event in self.waiting.get():
+            (ready if us < end else later).append((us, event))
+        if ready:
+            ready.sort()
+            passed = deque(self._passed())
             ok = replay([us for us, _ in ready], limit, window * 1_000_000, passed)
             self.passed.update((list(passed),))
-            self.waiting.removeKey((second,))
+            self.waiting.put(later) if later else self.waiting.clear()
             # Once the last passed time has left the window, the state says nothing.
             self.handle.registerTimer((ready[-1][0] // 1_000_000 + window + 2) * 1000)
             refused = [r for r, good in zip(ready, ok, strict=True) if not good]
-            yield pd.DataFrame(
-                {
-                    "event_id": [event for _, event in refused], "key": key[0], "endpoint": key[1],
-                    "ts": pd.to_datetime([us for us, _ in refused], unit="us"),
-                }
-            )
-        elif self.passed.exists() and self.passed.get()[0] and max(self.passed.get()[0]) // 1_000_000 + window <= second:
+            if refused:
+                yield pd.DataFrame(
+                    {
+                        "event_id": [event for _, event in refused], "key": key[0], "endpoint": key[1],
+                        "ts": pd.to_datetime([us for us, _ in refused], unit="us"),
+                    }
+                )
+        elif not later and (before := self._passed()) and max(before) + window * 1_000_000 <= end:
             self.passed.clear()
 
+    def _passed(self) -> list[int]:
+        stored = self.passed.get()
+        return stored[0] if stored else []
+
     def close(self) -> None:
         pass
 
 
+def _seconds(spark: SparkSession, delay: str) -> int:
+    """The length of an interval such as '10 minutes'."""
+    return spark.range(1).select((F.lit("1970-01-01").cast("timestamp") + F.expr(f"INTERVAL {delay}")).cast("long")).first()[0]
+
+
 def breach_stream(log: DataFrame, limits: dict[str, tuple[int, int]], delay: str = "10 minutes") -> DataFrame:
     """Refused requests of a stream, in whatever order requests arrive within ``delay``.
 
-    A request is decided once the watermark has passed its second, as no earlier one can come then; until
-    that it waits in the state of its (client, endpoint). Start it with ``ROCKS_STORE`` (see ``append_to``).
+    A request is decided once the watermark has passed its span, half of ``delay``, as no earlier one can come then;
+    until that it waits in the state of its (client, endpoint). Start it with ``ROCKS_STORE`` (see ``append_to``).
     """
+    span = max(1, _seconds(log.sparkSession, delay) // 2)
     return (
         log.withWatermark("ts", delay)
         .filter(F.col("endpoint").isin(list(limits)))
         .select("event_id", "key", "endpoint", "ts")
         .groupBy("key", "endpoint")
-        .transformWithStateInPandas(_Breaches(limits), BREACH_SCHEMA, "append", "EventTime")
+        .transformWithStateInPandas(_Breaches(limits, span), BREACH_SCHEMA, "append", "EventTime")
     )
 
 

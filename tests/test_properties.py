@@ -6,6 +6,7 @@ from collections import deque
 from datetime import datetime, timedelta
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -397,3 +398,39 @@ def test_spans_behind_marks_and_dotted_letters(spark):
         for i, text in enumerate(texts) for kind, (_, rules) in CLAIM_RULES.items() for rule in rules for hit in re.finditer(rule, text, re.IGNORECASE)
     )
     assert got == wanted and {i for i, _, _ in got} == {0, 1, 2}
+
+
+def test_breaches_call_the_state_by_batch_not_by_request():
+    calls = []
+
+    class State:
+        def __init__(self):
+            self.held = None
+
+        def __getattr__(self, name):
+            def call(*args):
+                calls.append(name)
+                if name in ("get", "getValue"):
+                    return iter(self.held or []) if isinstance(self.held, list) else self.held
+                if name in ("exists", "containsKey"):
+                    return self.held is not None
+                self.held = args[-1] if args else None
+
+            return call
+
+    class Handle:
+        def __getattr__(self, name):
+            return (lambda *args: State()) if name.startswith("get") else lambda *args: calls.append(name)
+
+    class Clock:
+        def getCurrentWatermarkInMs(self):
+            return 10_000_000_000_000
+
+    states = J._Breaches({"api": (4, 60)}, 1 << 30)
+    states.init(Handle())
+    rows = pd.DataFrame({"event_id": range(500), "ts": pd.to_datetime([3 * i for i in range(500)], unit="s")})
+    assert not list(states.handleInputRows(("k", "api"), iter([rows]), Clock()))
+    assert len(calls) <= 4
+    due = type("Due", (), {"getExpiryTimeInMs": lambda self: 1 << 40})()
+    refused = pd.concat(states.handleExpiredTimer(("k", "api"), Clock(), due))
+    assert len(refused) == 500 - 100 and len(calls) <= 10
