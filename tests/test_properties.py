@@ -22,6 +22,7 @@ from plazalens.operators import ingest as H
 from plazalens.operators import labels as L
 from plazalens.operators import maintain as M
 from plazalens.operators import reports as R
+from plazalens.rules import phrases as PHRASES
 from plazalens.rules.categories import LABEL_RULES
 from plazalens.rules.claims import CLAIM_RULES
 from plazalens.streaming import jobs as J
@@ -434,3 +435,25 @@ def test_breaches_call_the_state_by_batch_not_by_request():
     due = type("Due", (), {"getExpiryTimeInMs": lambda self: 1 << 40})()
     refused = pd.concat(states.handleExpiredTimer(("k", "api"), Clock(), due))
     assert len(refused) == 500 - 100 and len(calls) <= 10
+
+
+def test_relevant_articles_by_blocks(spark, monkeypatch):
+    """Blocks of queries and articles give every pair once, with repeats of words and topic families."""
+    monkeypatch.setattr(L, "ASKED_BLOCK", 3)
+    monkeypatch.setattr(L, "HELD_BLOCK", 4)
+    rng = random.Random(11)
+    words = ["a", "ab", "casa", "pib", "covid", "vacuna", "sol", "crecimiento", "x"]
+    asked = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(0, 4)))) for i in range(20)]
+    texts = [(100 + i, "t", " ".join(rng.choice(words[1:]) for _ in range(rng.randint(0, 3)))) for i in range(30)]
+    wanted = []
+    for q, text in asked:
+        parts = text.split()
+        topic = next((i for i, (asks, _) in enumerate(PHRASES.TOPIC_FAMILIES) if any(w in text for w in asks)), None)
+        for a, title, body in texts:
+            whole = f"{title} {body}"
+            n = sum(w in whole for w in parts)
+            if n or topic is not None and any(w in whole for w in PHRASES.TOPIC_FAMILIES[topic][1]):
+                wanted.append((q, a, n / len(parts)))
+    queries = spark.createDataFrame(asked, "query_id long, query string")
+    got = L.relevant_articles(queries, spark.createDataFrame(texts, "article_id long, title string, description string"))
+    assert sorted(tuple(r) for r in got.collect()) == sorted(wanted)
