@@ -25,6 +25,7 @@ from plazalens.operators import reports as R
 from plazalens.rules import phrases as PHRASES
 from plazalens.rules.categories import LABEL_RULES
 from plazalens.rules.claims import CLAIM_RULES
+from plazalens.session import prepare
 from plazalens.streaming import jobs as J
 
 
@@ -457,3 +458,19 @@ def test_relevant_articles_by_blocks(spark, monkeypatch):
     queries = spark.createDataFrame(asked, "query_id long, query string")
     got = L.relevant_articles(queries, spark.createDataFrame(texts, "article_id long, title string, description string"))
     assert sorted(tuple(r) for r in got.collect()) == sorted(wanted)
+
+
+def test_python_workers_get_small_batches(spark):
+    """A query's Python pass gets few rows at once, and fewer where texts are long, whatever the session had before."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    prepare(spark)
+
+    def sizes(batches):
+        for batch in batches:
+            yield pd.DataFrame({"n": [len(batch)]})
+
+    def most(length: int) -> int:
+        rows = spark.range(0, 4000, 1, 1).select(F.lit("x" * length).alias("t"), F.rand().cast("string").alias("r"))
+        return max(r["n"] for r in rows.select(F.concat("t", "r").alias("t")).mapInPandas(sizes, "n long").collect())
+
+    assert most(10) <= 500 and most(100_000) <= 100
