@@ -25,15 +25,21 @@ def bucketed(df: DataFrame, buckets: int = BUCKETS, key: str = "post_id") -> Dat
     return df.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
 
 
-def _append(rows: DataFrame, path: str, number: int, buckets: int) -> None:
-    """Write a batch's rows as its own folder; a batch that runs again replaces what it wrote."""
-    bucketed(rows, buckets).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/batch={number}")
+#: Rows of a bucket that one task writes, about.
+FILE_ROWS = 1 << 13
+
+
+def _append(rows: DataFrame, path: str, number: int, buckets: int, n: int) -> None:
+    """Write a batch's ``n`` rows as its own folder; a batch that runs again replaces what it wrote. A large bucket is
+    the work of many tasks."""
+    share = F.pmod(F.xxhash64("post_id", F.lit(0)), F.lit(1 + n // (buckets * FILE_ROWS)))
+    bucketed(rows, buckets).repartition("bucket", share).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/batch={number}")
 
 
 def create_table(df: DataFrame, path: str, buckets: int = BUCKETS) -> None:
     """Store a keyed table as the first batch of ``path``, in hash buckets. Of a table of many batches
     (``read_table``) it makes one of a single batch, at another path."""
-    _append(df, path, FIRST, buckets)
+    _append(df, path, FIRST, buckets, df.count())
 
 
 def _latest(spark: SparkSession, path: str, schema: T.StructType, before: int | None = None, buckets: list[int] | None = None) -> DataFrame:
@@ -60,10 +66,10 @@ def upsert_batch(batch: DataFrame, path: str, order: list, schema: T.StructType,
     """
     spark = batch.sparkSession
     incoming = clean_batch(batch, order).persist()
-    touched = [r[0] for r in bucketed(incoming.select("post_id"), buckets).select("bucket").distinct().collect()]
+    touched = dict(bucketed(incoming.select("post_id"), buckets).groupBy("bucket").count().collect())
     if touched:
-        current = _latest(spark, path, schema, number, touched).join(incoming.select("post_id"), "post_id", "left_semi")
-        _append(upsert_posts(current.select(*schema.names), incoming), path, number, buckets)
+        current = _latest(spark, path, schema, number, list(touched)).join(incoming.select("post_id"), "post_id", "left_semi")
+        _append(upsert_posts(current.select(*schema.names), incoming), path, number, buckets, sum(touched.values()))
     incoming.unpersist()
 
 

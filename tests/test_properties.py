@@ -474,3 +474,15 @@ def test_python_workers_get_small_batches(spark):
         return max(r["n"] for r in rows.select(F.concat("t", "r").alias("t")).mapInPandas(sizes, "n long").collect())
 
     assert most(10) <= 500 and most(100_000) <= 100
+
+
+def test_large_buckets_are_written_by_many_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(J, "FILE_ROWS", 100)
+    posts = spark.range(4000).select(F.col("id").cast("string").alias("post_id"), F.lit("a").alias("content"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # which joins what is small
+    try:
+        J.create_table(posts, str(tmp_path / "posts"), buckets=2)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert all(len(list(folder.glob("*.parquet"))) > 2 for folder in (tmp_path / "posts" / "batch=-1").glob("bucket=*"))
+    assert J.read_table(spark, str(tmp_path / "posts"), ["post_id"]).distinct().count() == 4000
