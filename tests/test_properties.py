@@ -486,3 +486,10 @@ def test_large_buckets_are_written_by_many_tasks(spark, tmp_path, monkeypatch):
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
     assert all(len(list(folder.glob("*.parquet"))) > 2 for folder in (tmp_path / "posts" / "batch=-1").glob("bucket=*"))
     assert J.read_table(spark, str(tmp_path / "posts"), ["post_id"]).distinct().count() == 4000
+
+
+def test_texts_are_lowered_once_a_row(spark):
+    posts = spark.createDataFrame([("VACUNA y fraude",), (None,), ("",)], "content string")
+    for made in (L.topic_tags(F.col("content"), "maldita"), L.found_in_order(F.col("content"), PHRASES.TRIGGER_KEYWORDS)):
+        assert made._jc.toString().count("lower(") == 1
+        assert [len(r["v"]) for r in posts.select(made.alias("v")).collect()][1:] == [0, 0]
