@@ -1,8 +1,8 @@
 """The corpus pipeline: five stages over ``documents``, each written as Parquet and read again.
 
 1. language ID: texts without letters, or that no learned language explains, go;
-2. near-dedup: of texts that share 0.8 of their 5-word shingles (Jaccard), and of groups of such texts, the
-   document with the smallest doc_id stays;
+2. near-dedup: SimHash fingerprints meet in the shards of a vantage-point tree; of texts that share 0.8 of their 5-word
+   shingles (exact Jaccard), and of groups of such texts, the document with the smallest doc_id stays;
 3. benchmark decontamination: documents into which a test item leaks go;
 4. secret scans: owner-specific secrets are replaced in the text, copied examples stay;
 5. BPE: the ids of every text that is left.

@@ -1,17 +1,23 @@
-"""Near copies by the Jaccard similarity of their 5-word shingles.
-
-1. Each row gets a key of its word sequence, BANDS keys of ROWS minima each and a sketch of two bits a minimum; equal
-   sequences are one node, so copies never form pairs. Two texts that share SIMILARITY of their
-   shingles share no key with a probability of (1 - SIMILARITY ** ROWS) ** BANDS, 5e-6.
-2. Nodes of one key are compared by their sketches, each with those that nothing has reached yet, and linked to the
-   smallest node they are reached from: at most n - 1 rows for n nodes. A key that more than BUCKET nodes share links
-   them all, without a comparison. Sketches that agree in under LEAST_EQUAL places are not linked, which is 4.7
-   standard deviations below what SIMILARITY gives.
-3. The components of these links (``simhash.components``) hold every near copy of a node. The whole shingle sets of
+"""Near copies: SimHash over 5-word shingles and a vantage-point tree (``simhash``), then exact Jaccard similarity.
+
+1. Each row gets a key of its word sequence and a fingerprint: BITS majority bits over its distinct 5-word shingles; equal
+   sequences are one node, so copies never form pairs.
+2. A vantage-point tree deals the nodes into shards. The first vantage point is the empty text, from which a text is as far as
+   it has shingles; near copies lie in one ring or in two neighbours, as the rings grow by 1 / SIMILARITY. A ring of over
+   SHARD nodes is dealt on by ``simhash.Tree`` over a bounded sample. Every node lives in one shard and visits each
+   shard that its ring and the triangle bound leave within REACH; the sample decides only where shards end.
+3. In a shard, nodes of such sizes that SIMILARITY is possible are compared, visitors as they come past, so a task holds one shard
+   and a batch. Fingerprints at most REACH bits apart are linked, by a spanning forest: at most n - 1 links for n nodes. Texts that
+   share SIMILARITY of their shingles are further apart with a probability of 2e-06 at most (4 shingles of 5, where a bit differs with
+   3/16), 2e-09 in long texts, where it differs with 0.152.
+4. The components of these links (``simhash.components``) hold every near copy of a node. The whole shingle sets of
    a component meet once in one task, many small components together, and are linked again where their exact
    Jaccard similarity reaches SIMILARITY; again by n - 1 rows. A component over PACK shingles or BUCKET nodes is dealt into blocks and every
    two blocks meet.
-4. Components of the exact links are the groups. What is read again by its text is found by a key of doc_id and text.
+5. Components of the exact links are the groups. What is read again by its text is found by a key of doc_id and text.
+
+The comparisons of step 3 grow with the square of the nodes of a size: near copies of 0.8 are too far apart for the triangle bound to
+leave out much of a ring. A task's memory is bounded by SHARD; the visitors that pass it grow with their rings.
 
 Defined results: words end at ASCII white space, A-Z are folded; a text of one to four words has one
 shingle; null texts and texts without words are copies of each other; texts are taken whole, however long; of repeated rows one stays; a
@@ -27,22 +33,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plazalens.llm.common import Rolling, buffer, fresh, mixed, slices, spans, words, written
-from plazalens.llm.simhash import components
+from plazalens.llm.common import Rolling, buffer, few, fresh, mixed, slices, spans, words, written
+from plazalens.llm.simhash import Forest, Tree, components
 
 WORDS = 5
 SIMILARITY = 0.8
-BANDS, ROWS = 40, 6
 SEED = 42
-#: Equal places of two sketches of BANDS * ROWS below which nodes are not linked.
-LEAST_EQUAL = 178
-#: Nodes of a key that are compared, and of a block.
+#: Bits of a fingerprint, and of those that are compared first.
+BITS, FIRST = 256, 128
+#: Different bits up to which fingerprints are linked, and so many of the first bits.
+REACH, FIRST_REACH = 80, 46
+#: Nodes that a shard should hold before visitors, and fingerprints of a ring that place the shards' borders.
+SHARD, SAMPLE = 1 << 16, 1024
+#: Nodes of a block.
 BUCKET = 2048
 #: Shingles that meet in a task.
 PACK = 1 << 20
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
-_FACTORS = mixed(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * _STEP + np.uint64(SEED)) | np.uint64(1)
 _PLACES = mixed(np.arange(1, WORDS + 1, dtype=np.uint64) * _STEP) | np.uint64(1)
 
 
@@ -67,97 +75,164 @@ def shingles(data: np.ndarray, places: np.ndarray, rolling: Rolling) -> tuple[np
     return mixed(out), heads, keys
 
 
-PRINTS = "doc_id bigint, k1 bigint, k2 int, fp bigint, size bigint, bands array<bigint>, sketch binary"
+PRINTS = "doc_id bigint, k1 bigint, k2 int, fp bigint, size bigint, sketch binary"
+
+
+def sketches(hashes: np.ndarray, heads: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingles of each text and its BITS majority bits over them, packed; sorts ``hashes`` within the texts."""
+    for a, b in zip(heads[:-1].tolist(), heads[1:].tolist()):
+        hashes[a:b].sort()
+    new = np.concatenate([[True], hashes[1:] != hashes[:-1]])[: len(hashes)]
+    new[heads[:-1][np.diff(heads) > 0]] = True
+    bounds = np.concatenate([[0], np.cumsum(new)])[heads]
+    hashes, sizes = hashes[new], np.diff(bounds)
+    # Votes are added in pieces of 255 shingles, eight one-byte sums in a number.
+    pieces = -(-sizes // 255)
+    first = np.concatenate([[0], np.cumsum(pieces)])
+    starts = np.repeat(bounds[:-1], pieces) + 255 * (np.arange(first[-1]) - np.repeat(first[:-1], pieces))
+    stops = np.concatenate([starts[1:], [len(hashes)]])
+    sums = np.zeros((len(starts), BITS), np.uint8)
+    for k in range(0, len(starts), 256):
+        at = starts[k : k + 256]
+        part = hashes[at[0] : stops[k : k + 256][-1]]
+        voters = np.stack([mixed(part + _STEP * np.uint64(i)) for i in range(1, BITS // 64 + 1)], axis=1)
+        votes = np.unpackbits(voters.view(np.uint8), axis=1).view(np.uint64)
+        sums[k : k + 256] = np.add.reduceat(votes, at - at[0], axis=0).view(np.uint8)
+    some = sizes > 0
+    out = np.zeros((len(sizes), BITS // 8), np.uint8)
+    if some.any():
+        out[some] = np.packbits(2 * np.add.reduceat(sums, first[:-1][some], axis=0, dtype=np.int64) > sizes[some, None], axis=1)
+    return sizes, out
 
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rolling = Rolling(SEED)
     for batch in slices(batches, most=1 << 20):
         hashes, heads, keys = shingles(*buffer(batch.column("text")), rolling)
-        some = np.flatnonzero(np.diff(heads))
-        low = np.zeros((len(some), BANDS * ROWS), np.uint64)
-        for k, factor in enumerate(_FACTORS):
-            if len(some):
-                low[:, k] = np.minimum.reduceat(hashes * factor, heads[some])
-        bands = np.repeat(np.arange(1, BANDS + 1, dtype=np.uint64)[None, :] * _STEP, len(some), axis=0)
-        for k in range(ROWS):
-            bands = mixed(bands + low[:, k::ROWS])
-        sizes = np.zeros(len(keys), np.int32)
-        sizes[some] = BANDS
-        offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
-        marks = (mixed(low) & np.uint64(3)).astype(np.uint8)
-        packed = marks[:, 0::4] | marks[:, 1::4] << 2 | marks[:, 2::4] << 4 | marks[:, 3::4] << 6
-        sketch: list[bytes] = [b""] * len(keys)
-        for i, row in zip(some.tolist(), packed):
-            sketch[i] = row.tobytes()
-        lists = pa.ListArray.from_arrays(offsets, pa.array(bands.reshape(-1).view(np.int64)))
-        columns = [*(batch.column(c) for c in ("doc_id", "k1", "k2")), pa.array(keys.view(np.int64)), pa.array(np.diff(heads)), lists, pa.array(sketch, pa.binary())]
-        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "k1", "k2", "fp", "size", "bands", "sketch"])
-
-
-def unpacked(sketches: list[bytes]) -> np.ndarray:
-    """The places of each sketch, a row each."""
-    packed = np.frombuffer(b"".join(sketches), np.uint8).reshape(len(sketches), -1)
-    return np.stack([packed >> s & 3 for s in (0, 2, 4, 6)], axis=2).reshape(len(sketches), -1)
-
-
-def reached(marks: np.ndarray) -> np.ndarray:
-    """For each row the first row from which sketches lead to it; every row is asked once, for rows not reached yet."""
-    out, open_ = np.full(len(marks), -1), np.arange(len(marks))
-    while len(open_):
-        start, queue, open_ = open_[0], [open_[0]], open_[1:]
-        out[start] = start
-        while queue and len(open_):
-            near = (marks[open_] == marks[queue.pop()]).sum(1) >= LEAST_EQUAL
-            out[open_[near]] = start
-            queue += open_[near].tolist()
-            open_ = open_[~near]
-    return out
+        sizes, marks = sketches(hashes, heads)
+        columns = [*(batch.column(c) for c in ("doc_id", "k1", "k2")), pa.array(keys.view(np.int64)), pa.array(sizes), pa.array([m.tobytes() for m in marks], pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "k1", "k2", "fp", "size", "sketch"])
+
+
+def unpacked(sketches: pa.Array) -> np.ndarray:
+    """The fingerprints, a row of 64-bit numbers each."""
+    return np.frombuffer(b"".join(sketches.to_pylist()), np.uint64).reshape(-1, BITS // 64)
+
+
+SHARDS = "shard bigint, own boolean, fp bigint, size bigint, sketch binary"
+
+
+def _place(trees):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            marks, ring = unpacked(batch.column("sketch")), np.array(batch.column("ring"), np.int64)
+            for r in np.unique(ring).tolist():
+                at = np.flatnonzero(ring == r)
+                for target in (r, r + 1):
+                    if target not in trees.value:
+                        continue
+                    rows, leaf, own = trees.value[target].shards(marks[at])
+                    own &= target == r
+                    if target == r:  # of two shards of a ring, the nodes of the first visit the second
+                        home = np.zeros(len(at), np.int64)
+                        home[rows[own]] = leaf[own]
+                        rows, leaf, own = (x[own | (leaf > home[rows])] for x in (rows, leaf, own))
+                    taken = batch.select(["fp", "size", "sketch"]).take(pa.array(at[rows]))
+                    yield pa.RecordBatch.from_arrays([pa.array((target << 32) + leaf), pa.array(own), *taken.columns], ["shard", "own", "fp", "size", "sketch"])
+
+    return run
+
+
+class Shard:
+    """The nodes of a shard by size, and the groups that its links make."""
+
+    def __init__(self, fp: np.ndarray, size: np.ndarray, marks: np.ndarray):
+        order = np.argsort(size, kind="stable")
+        self.fp, self.size, self.marks = fp[order], size[order], marks[order]
+        self.words = [np.ascontiguousarray(self.marks[:, i]) for i in range(FIRST // 64)]
+        self.forest = Forest(len(fp))
+
+    def near(self, size: np.ndarray, marks: np.ndarray, among: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Index pairs within REACH of the given nodes, by size, and the shard's; ``among`` itself, each pair once."""
+        for k in range(0, len(size), 64):
+            held_sizes, some = size[k : k + 64], marks[k : k + 64]
+            low = k if among else int(np.searchsorted(self.size, SIMILARITY * held_sizes[0] - 1e-9))
+            high = int(np.searchsorted(self.size, held_sizes[-1] / SIMILARITY + 1e-9, "right"))
+            for j in range(low, high, 4096):
+                stop = min(high, j + 4096)
+                away = np.zeros((len(held_sizes), stop - j), np.uint8)
+                for i, word in enumerate(self.words):
+                    away += np.bitwise_count(some[:, i, None] ^ word[None, j:stop])
+                x, y = np.divmod(np.flatnonzero(away <= FIRST_REACH), stop - j)
+                y += j
+                held = np.minimum(held_sizes[x], self.size[y]) >= SIMILARITY * np.maximum(held_sizes[x], self.size[y]) - 1e-9
+                held &= np.bitwise_count(some[x] ^ self.marks[y]).sum(1, dtype=np.int64) <= REACH
+                held &= (y > k + x) if among else True
+                if held.any():
+                    yield k + x[held], y[held]
+
+    def among(self) -> Iterator[pa.RecordBatch]:
+        for x, y in self.near(self.size, self.marks, True):
+            a, b = self.forest.join(x, y)
+            yield _edges(self.fp[a], self.fp[b])
+
+    def visited(self, fp: np.ndarray, size: np.ndarray, marks: np.ndarray) -> Iterator[pa.RecordBatch]:
+        order, n = np.argsort(size, kind="stable"), len(self.fp)
+        both = Forest(n + len(fp))
+        both.parent[:n] = self.forest.parent
+        for x, y in self.near(size[order], marks[order], False):
+            a, b = both.join(n + x, y)
+            yield _edges(fp[order][np.array(a, np.int64) - n], self.fp[b])
+        self.forest.parent = both.parent[:n]  # the smaller number is a root, so none leads to a visitor
+
+
+def _edges(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
 def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links of the nodes of each key; rows come by key and node, and no key has over BUCKET of them."""
-
-    def linked(rows: pa.Table) -> pa.RecordBatch:
-        key, fp = (np.array(rows.column(c).combine_chunks(), np.int64) for c in ("key", "fp"))
-        marks = unpacked(rows.column("sketch").to_pylist())
-        heads = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        sizes = np.diff(np.concatenate([heads, [len(key)]]))
-        pairs = heads[sizes == 2]
-        pairs = pairs[(marks[pairs] == marks[pairs + 1]).sum(1) >= LEAST_EQUAL]
-        a, b = [fp[pairs + 1]], [fp[pairs]]
-        for i, n in zip(heads[sizes > 2].tolist(), sizes[sizes > 2].tolist()):
-            own = fp[i : i + n]
-            first = own[reached(marks[i : i + n])]
-            a.append(own[own != first])
-            b.append(first[own != first])
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
-
-    left = None
+    """Links of each shard; rows come by shard, its own nodes before visitors."""
+    number, shard, own = None, None, []
     for batch in batches:
-        rows = pa.Table.from_batches([batch])
-        rows = pa.concat_tables([left, rows]) if left is not None else rows
-        if rows.num_rows == 0:
+        if batch.num_rows == 0:
             continue
-        key = np.array(rows.column("key").combine_chunks(), np.int64)
-        cut = int(np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))[-1])  # the last key may go on
-        if cut:
-            yield linked(rows.slice(0, cut))
-        left = rows.slice(cut)
-    if left is not None and left.num_rows:
-        yield linked(left)
+        kinds = np.array(batch.column("shard"), np.int64) * 2 + ~np.array(batch.column("own"))
+        heads = [0, *(np.flatnonzero(kinds[1:] != kinds[:-1]) + 1).tolist(), len(kinds)]
+        marks = unpacked(batch.column("sketch"))
+        fp, size = (np.array(batch.column(c), np.int64) for c in ("fp", "size"))
+        for a, b in zip(heads[:-1], heads[1:]):
+            at, visit = divmod(int(kinds[a]), 2)
+            if own and (at != number or visit):
+                shard = Shard(*(np.concatenate(x) for x in zip(*own)))
+                own = []
+                yield from shard.among()
+            part = (fp[a:b], size[a:b], marks[a:b])
+            if not visit:
+                number, shard = at, None
+                own.append(part)
+            elif at == number and shard is not None:
+                yield from shard.visited(*part)
+    if own:
+        yield from Shard(*(np.concatenate(x) for x in zip(*own))).among()
 
 
 def candidates(nodes: DataFrame) -> DataFrame:
-    """Links (a, b) by sketches; their components hold all near copies."""
-    buckets = nodes.select(F.explode("bands").alias("key"), "fp")
-    many = written(buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("low")).where("n > 1"), "keys")
-    # Written, so that both sides of the joins are dealt anew and a hot key can be split.
-    shared = written(buckets.join(many, "key"), "shared")
-    hot = shared.where((F.col("n") > BUCKET) & (F.col("fp") != F.col("low"))).select(F.col("fp").alias("a"), F.col("low").alias("b"))
-    told = written(shared.where(F.col("n") <= BUCKET).select("key", "fp").join(nodes.select("fp", "sketch"), "fp"), "told")
-    near = told.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_near, "a bigint, b bigint")
-    return written(near.unionByName(hot).distinct(), "near")
+    """Links (a, b) by fingerprints; their components hold all near copies."""
+    ring = F.floor(F.log("size") / float(np.log(1 / SIMILARITY))).cast("int")
+    ringed = nodes.where("size > 0").select("fp", "size", "sketch", ring.alias("ring"))
+    counts = {r.ring: r.n for r in ringed.groupBy("ring").agg(F.count(F.lit(1)).alias("n")).collect()}  # some dozens
+    depths = {r: max(0, int(np.ceil(np.log2(n / SHARD)))) for r, n in counts.items()}
+    deep = {r: counts[r] for r, depth in depths.items() if depth}
+    sample: dict[int, list] = {r: [] for r in counts}
+    if deep:
+        of = F.create_map(*[F.lit(x) for item in deep.items() for x in item])
+        taken = ringed.where(F.col("ring").isin(list(deep))).where(few(F.col("fp"), SAMPLE, F.element_at(of, F.col("ring"))))
+        for r in taken.select("ring", "sketch").orderBy(F.xxhash64("fp")).collect():
+            sample[r.ring] += [r.sketch][: SAMPLE - len(sample[r.ring])]
+    trees = {r: Tree(unpacked(pa.array(sample[r], pa.binary())), depth, REACH) for r, depth in depths.items()}
+    placed = ringed.mapInArrow(_place(nodes.sparkSession.sparkContext.broadcast(trees)), SHARDS)
+    met = placed.repartition("shard").sortWithinPartitions("shard", F.desc("own"))
+    return written(met.mapInArrow(_near, "a bigint, b bigint").distinct(), "near")
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,9 +313,9 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     texts = keyed.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(keys[0]).alias("k1"), F.col(keys[1]).alias("k2"), "text")
     prints = written(texts.mapInArrow(_sketches, PRINTS), "prints")
     narrow = prints.select("fp", "doc_id", "k1", "k2")
-    same = [F.first(c).alias(c) for c in ("size", "bands", "sketch")]  # equal for all rows of a node
+    same = [F.first(c).alias(c) for c in ("size", "sketch")]  # equal for all rows of a node
     nodes = prints.groupBy("fp").agg(F.min(F.struct("k1", "k2")).alias("m"), *same)
-    nodes = written(nodes.select("fp", "m.*", "size", "bands", "sketch"), "nodes")
+    nodes = written(nodes.select("fp", "m.*", "size", "sketch"), "nodes")
     found = named(exact(named(candidates(nodes)), nodes, texts))
     member = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2")
     # Copies first, so that no hot key is joined.

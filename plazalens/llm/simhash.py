@@ -82,20 +82,26 @@ def fingerprints(docs: DataFrame, others: list[str]) -> DataFrame:
 
 
 class Tree:
-    """Top of the vantage-point tree: arrays in heap order, leaves are the shards."""
+    """Top of the vantage-point tree: arrays in heap order, leaves are the shards.
 
-    def __init__(self, sample: np.ndarray, depth: int):
-        self.depth = depth
-        self.points = np.zeros(1 << depth, np.uint64)
-        self.radii = np.full(1 << depth, 64, np.int64)
+    Fingerprints are numbers, or rows of several numbers for more than 64 bits; ``reach`` is how far links go."""
+
+    def __init__(self, sample: np.ndarray, depth: int, reach: int = RADIUS):
+        self.depth, self.reach = depth, reach
+        self.points = np.zeros((1 << depth, *sample.shape[1:]), np.uint64)
+        self.radii = np.full(1 << depth, 8 * sample[:1].nbytes or 64, np.int64)
         self._build(1, sample)
 
+    def _away(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        bits = np.bitwise_count(x ^ y).astype(np.int64)
+        return bits.sum(-1) if self.points.ndim > 1 else bits
+
     def _build(self, node: int, sample: np.ndarray) -> None:
         if node >= 1 << self.depth or len(sample) < 2:
             return
         # Of a few candidates, the vantage point whose distances spread most prunes best.
         tries = sample[:: max(1, len(sample) // 8)][:8]
-        away = np.bitwise_count(sample[None, :] ^ tries[:, None]).astype(np.int64)
+        away = self._away(sample[None, :], tries[:, None])
         best = int(np.argmax(away.std(1)))
         self.points[node] = tries[best]
         self.radii[node] = radius = int(np.median(away[best]))
@@ -106,9 +112,9 @@ class Tree:
         """Row, shard and whether it is the row's own, for all shards each fingerprint visits."""
         rows, nodes, own = np.arange(len(fps)), np.ones(len(fps), np.int64), np.ones(len(fps), bool)
         for _ in range(self.depth):
-            away = np.bitwise_count(fps[rows] ^ self.points[nodes]).astype(np.int64)
+            away = self._away(fps[rows], self.points[nodes])
             radius = self.radii[nodes]
-            left, right = away - RADIUS <= radius, away + RADIUS > radius
+            left, right = away - self.reach <= radius, away + self.reach > radius
             inner = away <= radius
             rows = np.concatenate([rows[left], rows[right]])
             own = np.concatenate([own[left] & inner[left], own[right] & ~inner[right]])

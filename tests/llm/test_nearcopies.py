@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+
 import corpus_pipeline
 from plazalens.llm import nearcopies
 from plazalens.llm.common import table
@@ -74,3 +76,63 @@ def test_large_groups_are_dealt_into_blocks(spark, monkeypatch):
         rows.append((k, " ".join(edited)))
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     assert sorted(r.doc_id for r in nearcopies.one_of_each(docs).collect()) == brute(docs.collect())
+
+
+def test_sketches_are_majorities_of_distinct_shingles():
+    rng = np.random.default_rng(3)
+    texts = [rng.integers(0, 1 << 60, n).astype(np.uint64) for n in (0, 1, 4, 700, 0, 256)]
+    texts[3] = np.concatenate([texts[3], np.repeat(texts[3][:2], 900)])  # repeats have no more votes
+    heads = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    sizes, marks = nearcopies.sketches(np.concatenate(texts), heads)
+    for text, size, mark in zip(texts, sizes, marks):
+        own = np.unique(text)
+        words = np.stack([nearcopies.mixed(own + nearcopies._STEP * np.uint64(i)) for i in range(1, 5)], axis=1)
+        votes = np.unpackbits(words.view(np.uint8), axis=1).sum(0, dtype=int)
+        assert size == len(own) and (mark == np.packbits(2 * votes > len(own))).all()
+
+
+def test_links_hold_all_fingerprints_within_reach(spark, monkeypatch):
+    monkeypatch.setattr(nearcopies, "SHARD", 8)  # deep trees in every ring
+    rng = np.random.default_rng(11)
+    marks, size = [], []
+    for _ in range(25):
+        base = rng.integers(0, 256, 32).astype(np.uint8)
+        for _ in range(9):  # chains of edits, near and at the edge of REACH
+            flip = np.zeros(nearcopies.BITS, np.uint8)
+            flip[rng.choice(nearcopies.BITS, rng.choice([0, 20, 60, 79, 80, 81, 95]), replace=False)] = 1
+            base = base ^ np.packbits(flip)
+            marks.append(base)
+            size.append(int(rng.integers(60, 130)))
+    rows = [(i * 7 - 50, s, m.tobytes()) for i, (s, m) in enumerate(zip(size, marks))]
+    nodes = spark.createDataFrame(rows, "fp long, size long, sketch binary").repartition(3)
+    got = {(r.a, r.b) for r in nearcopies.candidates(nodes).collect()}
+    bits = np.unpackbits(np.array(marks), axis=1)
+    parent = list(range(len(rows)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    def joined(pairs):
+        parent[:] = range(len(rows))
+        for i, j in pairs:
+            a, b = sorted((root(i), root(j)))
+            parent[b] = a
+        return [root(i) for i in range(len(rows))]
+
+    near = set()
+    for i in range(len(rows)):
+        away = bits[:i] != bits[i]
+        for j in np.flatnonzero((away.sum(1) <= nearcopies.REACH) & (away[:, : nearcopies.FIRST].sum(1) <= nearcopies.FIRST_REACH)):
+            if min(size[i], size[j]) >= 0.8 * max(size[i], size[j]):
+                near.add((i, int(j)))
+    links = {((a + 50) // 7, (b + 50) // 7) for a, b in got}
+    assert len(near) > 100 and {(max(p), min(p)) for p in links} <= near
+    assert joined(links) == joined(near)
+
+
+def test_deep_trees_keep_no_near_copy(spark, monkeypatch):
+    monkeypatch.setattr(nearcopies, "SHARD", 4)
+    docs = table(spark, "/root/testdata/sf0.001", "documents")
+    assert sorted(r.doc_id for r in nearcopies.one_of_each(docs).select("doc_id").collect()) == brute(docs.collect())
