@@ -22,6 +22,8 @@ from __future__ import annotations
 import functools
 import itertools
 import os
+import re
+import string
 import uuid
 from collections.abc import Iterator
 
@@ -43,8 +45,9 @@ SLICE = 8 << 20
 #: Words that a worker keeps from slice to slice.
 CACHED = 400_000
 
-SIGNS = ".,;:!?"
-SIMPLE = "^[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f]+[.,;:!?]*$"
+#: The ASCII signs; one run of them is one word of the tokenizer's pattern unless letters follow an apostrophe.
+SIGNS = string.punctuation
+SIMPLE = f"^[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f]+[{re.escape(SIGNS)}]*$"
 
 #: For each control byte, the lengths of its four ids.
 LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3) + 1
@@ -76,22 +79,30 @@ def unpack(control: bytes, data: bytes, count: int) -> np.ndarray:
     return out
 
 
+def _strings(column: pa.Array) -> list[str]:
+    return column.to_numpy(zero_copy_only=False).tolist()
+
+
 class Words:
     """Ids of pieces between white space, from the tokenizers library.
 
     A piece of Latin letters, perhaps with signs behind, is two words of the tokenizer's pattern, each in
     lower case; such words go to the library many at a time, joined by blanks, and their ids are told
-    apart by the mark of a word's last id. Other pieces go to it one by one. At most about
-    CACHED words of a worker stay known.
+    apart by the mark of a word's last id. Their lower case is composed already and blanks alone divide
+    them, so ``plain``, the same model without normalizer and pattern, has the same ids for them.
+    Other pieces go to the whole tokenizer one by one. At most about CACHED words of a worker stay known.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+        self.tokenizer, self.plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        for tokenizer in (self.tokenizer, self.plain):
+            tokenizer.no_truncation()
+            tokenizer.no_padding()
+        self.plain.normalizer = normalizers.Sequence([])
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
         self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
@@ -113,7 +124,7 @@ class Words:
             return ids, np.insert(counts, k, 0)
         lines = [words[k : k + at_once] for k in range(0, len(words), at_once)]
         ids, counts = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
-        for line, found in zip(lines, self.tokenizer.encode_batch_fast([" ".join(x) for x in lines], add_special_tokens=False)):
+        for line, found in zip(lines, self.plain.encode_batch_fast([" ".join(x) for x in lines], add_special_tokens=False)):
             flat = np.array(found.ids, np.uint32)
             stops = np.flatnonzero(self.last[flat]) + 1
             if len(stops) != len(line):  # the library sees other words here
@@ -145,12 +156,12 @@ class Words:
         some = pieces.filter(simple)
         parts = np.full((len(pieces), 2), -1, np.int64)
         at = np.flatnonzero(simple.to_numpy(zero_copy_only=False))
-        for k, column in enumerate((pc.utf8_lower(pc.utf8_rtrim(some, SIGNS)), pc.replace_substring_regex(some, f"^[^{SIGNS}]+", ""))):
+        for k, column in enumerate((pc.utf8_lower(pc.utf8_rtrim(some, SIGNS)), pc.replace_substring_regex(some, f"^[^{re.escape(SIGNS)}]+", ""))):
             coded = column.dictionary_encode()
-            entry = self._entries(coded.dictionary.to_pylist(), self._together)
+            entry = self._entries(_strings(coded.dictionary), self._together)
             parts[at, k] = entry[coded.indices.to_numpy(zero_copy_only=False)]
         others = pieces.filter(pc.invert(simple))
-        parts[np.flatnonzero(parts[:, 0] < 0), 0] = self._entries(others.to_pylist(), self._one_by_one)
+        parts[np.flatnonzero(parts[:, 0] < 0), 0] = self._entries(_strings(others), self._one_by_one)
         places = np.concatenate([[0], np.cumsum(self.counts), [self.counts.sum()]])  # the last entry, -1, has no ids
         flat, heads = spans(places, np.where(parts < 0, len(self.counts), parts).reshape(-1))
         return self.ids[flat], heads[::2]

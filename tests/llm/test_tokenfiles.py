@@ -1,8 +1,10 @@
 """Token files against the tokenizers library and plain prefix sums."""
 
+import string
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -49,3 +51,19 @@ def test_documents(spark):
     docs = table(spark, "/root/testdata/sf0.001", "documents")
     got = [tuple(r) for r in tokenfiles.report(docs).orderBy("doc_id").collect()]
     assert got == brute([(d.doc_id, d.text) for d in docs.orderBy("doc_id").collect()])
+
+
+def test_words_with_signs_go_together(monkeypatch):
+    """Latin words and the ASCII signs behind them reach the library many at a time, with the ids it gives them one by one."""
+    letters = [chr(c) for c in range(0x41, 0x130) if chr(c).isalpha() and c not in (0xAA, 0xB5, 0xBA)]
+    runs = [*string.punctuation, "&&&", ".###", "'\"", "<|", "|>", "]^-\\", "'''"]
+    pieces = ["".join(letters), *(f"{x}a{x}" for x in letters), *(f"Straße{x}" for x in runs), *(f"don{x}" for x in runs)]
+    texts = [" ".join(pieces), *pieces, "don't you's 'tis a<|endoftext|> (b) c's. l'été' é. x5%"]
+    one_by_one = tokenfiles.Words._one_by_one
+    alone = []
+    monkeypatch.setattr(tokenfiles.Words, "_one_by_one", lambda self, p: alone.extend(p) or one_by_one(self, p))
+    tokenfiles._words.cache_clear()
+    ids, places = tokenfiles.encoded(pa.array(texts), tokenfiles.TOKENIZER)
+    assert sorted(alone) == sorted("don't you's 'tis a<|endoftext|> (b) c's. l'été' é. x5%".split())
+    t = Tokenizer.from_file(tokenfiles.TOKENIZER)
+    assert [ids[a:b].tolist() for a, b in zip(places, places[1:])] == [[*t.encode(x, add_special_tokens=False).ids, 1] for x in texts]
