@@ -43,40 +43,36 @@ END = 1
 BLOCK_TOKENS = 1 << 16
 SLICE = 8 << 20
 #: Words that a worker keeps from slice to slice.
-CACHED = 400_000
+CACHED = 1_000_000
 
 #: The ASCII signs; one run of them is one word of the tokenizer's pattern unless letters follow an apostrophe.
 SIGNS = string.punctuation
 SIMPLE = f"^[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f]+[{re.escape(SIGNS)}]*$"
 
 #: For each control byte, the lengths of its four ids.
-LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3) + 1
+LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3) + 1).astype(np.uint8)
 
 
 def pack(numbers: np.ndarray) -> tuple[bytes, bytes]:
     """Control and data bytes of numbers below 2^32."""
     numbers = numbers.astype("<u4")
-    size = 1 + (numbers > 0xFF).astype(np.uint8) + (numbers > 0xFFFF) + (numbers > 0xFFFFFF)
     codes = np.zeros(-len(numbers) % 4 + len(numbers), np.uint8)
-    codes[: len(numbers)] = size - 1
-    control = (codes.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)).sum(1, dtype=np.uint8)
-    data = numbers.view(np.uint8).reshape(-1, 4)[np.arange(4) < size[:, None]]
+    used = np.ones((len(numbers), 4), bool)
+    for k in range(1, 4):
+        used[:, k] = numbers >= np.uint32(1 << 8 * k)
+        codes[: len(numbers)] += used[:, k]
+    control = codes[::4] | codes[1::4] << 2 | codes[2::4] << 4 | codes[3::4] << 6
+    data = numbers.view(np.uint8)[used.reshape(-1)]
     return control.tobytes(), data.tobytes()
 
 
 def unpack(control: bytes, data: bytes, count: int) -> np.ndarray:
     """The ``count`` numbers of a block."""
     size = LENGTHS[np.frombuffer(control, np.uint8)].reshape(-1)[:count]
-    stop = np.cumsum(size)
-    raw = np.concatenate([np.frombuffer(data, np.uint8), np.zeros(4, np.uint8)]).astype(np.uint32)
-    at = stop - size
-    out = raw[at]
-    for k in range(1, 4):
-        longer = size > k
-        if not longer.any():
-            break
-        out[longer] |= raw[at[longer] + k] << np.uint32(8 * k)
-    return out
+    used = np.arange(4, dtype=np.uint8) < size[:, None]
+    out = np.zeros((count, 4), np.uint8)
+    out[used] = np.frombuffer(data, np.uint8)
+    return out.view("<u4").reshape(-1)
 
 
 def _strings(column: pa.Array) -> list[str]:
@@ -90,7 +86,8 @@ class Words:
     lower case; such words go to the library many at a time, joined by blanks, and their ids are told
     apart by the mark of a word's last id. Their lower case is composed already and blanks alone divide
     them, so ``plain``, the same model without normalizer and pattern, has the same ids for them.
-    Other pieces go to the whole tokenizer one by one. At most about CACHED words of a worker stay known.
+    Other pieces go to the whole tokenizer one by one. At most about CACHED words of a worker, or eight times
+    as many ids, stay known.
     """
 
     def __init__(self, path: str):
@@ -139,7 +136,7 @@ class Words:
         """Places of the words in the table; those not known are encoded and added to it."""
         entry = np.fromiter(map(self.known.get, words, itertools.repeat(-1)), np.int64, len(words))
         unseen = np.flatnonzero(entry < 0)
-        new = [words[i] for i in unseen]
+        new = [words[i] for i in unseen.tolist()]
         ids, counts = encode(new)
         entry[unseen] = len(self.counts) + np.arange(len(new))
         self.ids, self.counts = np.concatenate([self.ids, ids]), np.concatenate([self.counts, counts])
@@ -148,8 +145,8 @@ class Words:
 
     def encode(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of distinct pieces, one after another, and where those of each begin."""
-        if len(self.known) > CACHED:  # what came last goes
-            keep = CACHED // 2
+        if len(self.known) > CACHED or len(self.ids) > 8 * CACHED:  # what came last goes
+            keep = min(CACHED // 2, int(np.searchsorted(np.cumsum(self.counts), 4 * CACHED, "right")))
             self.known = dict(itertools.islice(self.known.items(), keep))
             self.ids, self.counts = self.ids[: self.counts[:keep].sum()], self.counts[:keep]
         simple = pc.match_substring_regex(pieces, SIMPLE)
@@ -283,7 +280,7 @@ def _read(order):
                 ids = order.value[unpack(row["control"], row["data"], row["count"])]
                 stops = np.cumsum(row["lengths"])
                 starts = stops - row["lengths"]
-                raw = memoryview(ids.astype("<u4").tobytes())
+                raw = memoryview(ids.tobytes())
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([row["part"]] * len(stops), pa.int32()),
@@ -301,7 +298,7 @@ def _read(order):
 def read(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id, ``start`` (ids before it), n_tokens and ``ids`` (32-bit little-endian) from the files."""
     table = spark.read.parquet(f"{folder}/ranks").toPandas()
-    back = np.zeros(len(table) or 1, np.int64)
+    back = np.zeros(len(table) or 1, "<u4")
     back[table["rank"].to_numpy(int)] = table["id"].to_numpy(int)
     blocks = spark.read.parquet(f"{folder}/blocks")
     sums = blocks.groupBy("part").agg(F.sum("count").alias("n"))  # a row per part

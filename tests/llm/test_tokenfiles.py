@@ -67,3 +67,22 @@ def test_words_with_signs_go_together(monkeypatch):
     assert sorted(alone) == sorted("don't you's 'tis a<|endoftext|> (b) c's. l'été' é. x5%".split())
     t = Tokenizer.from_file(tokenfiles.TOKENIZER)
     assert [ids[a:b].tolist() for a, b in zip(places, places[1:])] == [[*t.encode(x, add_special_tokens=False).ids, 1] for x in texts]
+
+
+def test_known_words_are_bounded(monkeypatch):
+    """Words that were forgotten are encoded again, with the same ids; few long words are forgotten like many short ones."""
+    monkeypatch.setattr(tokenfiles, "CACHED", 40)
+    tokenfiles._words.cache_clear()
+    t = Tokenizer.from_file(tokenfiles.TOKENIZER)
+    for k in (0, 0, 25, 50, 0, 50):
+        texts = [" ".join(f"{chr(97 + j % 26)}x{chr(97 + j // 26)}{'!' * (j % 3)}" for j in range(k, k + 30)), "zq" * (300 + k)]
+        ids, places = tokenfiles.encoded(pa.array(texts), tokenfiles.TOKENIZER)
+        assert [ids[a:b].tolist() for a, b in zip(places, places[1:])] == [[*t.encode(x, add_special_tokens=False).ids, 1] for x in texts]
+        words = tokenfiles._words(tokenfiles.TOKENIZER)
+        assert len(words.known) == len(words.counts) <= 80 and len(words.ids) == words.counts.sum()
+    long = [f"{'zq' * 100}{chr(97 + k)}" for k in range(6)]
+    tokenfiles._words.cache_clear()
+    tokenfiles.encoded(pa.array(long), tokenfiles.TOKENIZER)
+    tokenfiles.encoded(pa.array(["a"]), tokenfiles.TOKENIZER)
+    assert len(tokenfiles._words(tokenfiles.TOKENIZER).ids) <= 8 * 40
+    tokenfiles._words.cache_clear()
