@@ -460,6 +460,33 @@ def test_relevant_articles_by_blocks(spark, monkeypatch):
     assert sorted(tuple(r) for r in got.collect()) == sorted(wanted)
 
 
+def test_relevant_articles_shuffle_bits_and_round_once(spark, monkeypatch):
+    """What an article holds is a bit for each word, in passes and slices of words; rounding is not a step over pairs."""
+    monkeypatch.setattr(L, "WORDS_PASS", 16)
+    monkeypatch.setattr(L, "WORDS_SLICE", 8)
+    monkeypatch.setattr(L, "HELD_BLOCK", 16)
+    rng = random.Random(5)
+    words = [a + b for a in "abcdef" for b in ("", "a", "eb", "é")] + ["pib", "x\x1cy"]
+    asked = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(1, 7)))) for i in range(30)]
+    texts = [(f"t{i}", "x", "\u2003".join("".join(rng.choice(words) for _ in range(2)) for _ in range(rng.randint(0, 4)))) for i in range(60)]
+    texts += texts[:5] + [(None, "x", "a b")]
+    topics = {w for w in PHRASES.TOPIC_FAMILIES[1][1]}
+    wanted = set()
+    for q, text in asked:
+        parts = text.split(" ")
+        for a, title, body in texts:
+            n = sum(w in f"{title} {body}" for w in parts)
+            if a is not None and (n or "pib" in text and any(w in body for w in topics)):
+                wanted.add((q, a, round(n / len(parts), 3)))
+    queries = spark.createDataFrame(asked, "query_id long, query string")
+    got = L.relevant_articles(queries, spark.createDataFrame(texts, "article_id string, title string, description string"), digits=3)
+    rows = [tuple(r) for r in got.collect()]
+    assert sorted(rows) == sorted(wanted)
+    plan = got._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "round(" not in plan and "explode(token" not in plan and "generate explode(split" not in plan
+    assert L._share(1, 8, 2) == 0.13 and L._share(2, 3, 6) == 0.666667 and L._share(9, 4, 6) == 1.0
+
+
 def test_python_workers_get_small_batches(spark):
     """A query's Python pass gets few rows at once, and fewer where texts are long, whatever the session had before."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
