@@ -52,7 +52,7 @@ def stream_upsert(v):
     news = v.incoming_posts.withColumn("arrival", F.col("post_ts"))
     share = F.pmod(F.xxhash64("post_id"), F.lit(6))
     for part in range(3):
-        news.filter(share.isin(2 * part, 2 * part + 1, (2 * part + 2) % 6)).write.mode("append").parquet(f"{folder}/in")
+        news.filter(share.isin(2 * part, 2 * part + 1, (2 * part + 2) % 6)).write.mode("append").option("compression", "zstd").parquet(f"{folder}/in")
     files = max(1, news.rdd.getNumPartitions())
     stream = v.spark.readStream.schema(news.schema).option("maxFilesPerTrigger", files).parquet(f"{folder}/in")
     J.stream_upsert(
@@ -231,8 +231,8 @@ def breach_stream(v):
     folder = scratch(v)
     log = v.requests.select("event_id", "key", "endpoint", "ts").filter(F.col("endpoint").isin(list(LIMITS)))
     for part in range(3):
-        log.filter(F.pmod(F.xxhash64("event_id"), F.lit(3)) == part).coalesce(1).write.mode("append").parquet(f"{folder}/in")
-    J.end_mark(log, 40).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        log.filter(F.pmod(F.xxhash64("event_id"), F.lit(3)) == part).coalesce(1).write.mode("append").option("compression", "zstd").parquet(f"{folder}/in")
+    J.end_mark(log, 40).coalesce(1).write.mode("append").option("compression", "zstd").parquet(f"{folder}/in")
     stream = v.spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
     J.append_to(J.breach_stream(stream, LIMITS, "40 days"), f"{folder}/out", f"{folder}/state", settings=J.ROCKS_STORE).awaitTermination()
     return v.spark.read.schema(J.BREACH_SCHEMA).parquet(f"{folder}/out").select("event_id", "key", "endpoint")

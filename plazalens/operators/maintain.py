@@ -73,6 +73,11 @@ def _merged_posts(current: DataFrame, incoming: DataFrame, applies: Column) -> l
     return out
 
 
+def replaced_columns(incoming: list[str]) -> list[str]:
+    """Of the incoming columns those whose value an upsert takes without regard to the stored one."""
+    return [c for c in incoming if c != "post_id" and c not in INSERT_ONLY and c not in THREAD_FIELDS]
+
+
 def upsert_posts(current: DataFrame, incoming: DataFrame) -> DataFrame:
     """Batch upsert; ``incoming`` is unique per post_id (see ``clean_batch``)."""
     return _outer(current, incoming, ["post_id"]).select(*_merged_posts(current, incoming, F.lit(True)))

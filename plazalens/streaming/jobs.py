@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import deque
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +15,8 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from plazalens.functions.limiter import replay
 from plazalens.operators.claims import contextual_claims, score_claims
 from plazalens.operators.labels import label
-from plazalens.operators.maintain import clean_batch, upsert_posts
+from plazalens.operators.maintain import clean_batch, replaced_columns, upsert_posts
+from plazalens.session import durable
 
 BUCKETS = 256
 #: The batch number of the rows a table starts with.
@@ -27,13 +29,33 @@ def bucketed(df: DataFrame, buckets: int = BUCKETS, key: str = "post_id") -> Dat
 
 #: Rows of a bucket that one task writes, about.
 FILE_ROWS = 1 << 13
+#: What a step has shuffled goes when it ends, not when the driver happens to collect its garbage.
+CLEANED = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+#: A table's bitmaps of last rows, 4 kB for up to 32,768 rows each, are broadcast up to so many; more are dealt with the rows.
+BITMAPS = 1 << 13
+COLUMNS = ("batch", "bucket", "_row")
+
+
+@contextmanager
+def _set(spark: SparkSession, settings: dict[str, str]) -> Iterator[None]:
+    """Settings for what is begun inside; the session has its own again afterwards."""
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def _append(rows: DataFrame, path: str, number: int, buckets: int, n: int) -> None:
-    """Write a batch's ``n`` rows as its own folder; a batch that runs again replaces what it wrote. A large bucket is
-    the work of many tasks."""
+    """Write a batch's ``n`` rows, numbered, as its own folder; a batch that runs again replaces what it wrote. A large
+    bucket is the work of many tasks."""
     share = F.pmod(F.xxhash64("post_id", F.lit(0)), F.lit(1 + n // (buckets * FILE_ROWS)))
-    bucketed(rows, buckets).repartition("bucket", share).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/batch={number}")
+    dealt = bucketed(rows, buckets).repartition("bucket", share).withColumn("_row", F.monotonically_increasing_id())
+    with _set(rows.sparkSession, CLEANED):
+        dealt.write.mode("overwrite").option("compression", "zstd").partitionBy("bucket").parquet(f"{path}/batch={number}")
 
 
 def create_table(df: DataFrame, path: str, buckets: int = BUCKETS) -> None:
@@ -42,19 +64,43 @@ def create_table(df: DataFrame, path: str, buckets: int = BUCKETS) -> None:
     _append(df, path, FIRST, buckets, df.count())
 
 
-def _latest(spark: SparkSession, path: str, schema: T.StructType, before: int | None = None, buckets: list[int] | None = None) -> DataFrame:
-    """The last row of every key, of all batches or of those before one. The buckets asked for are read only."""
-    stored = T.StructType([*schema.fields, T.StructField("batch", T.LongType()), T.StructField("bucket", T.IntegerType())])
-    rows = spark.read.schema(stored).parquet(path)
-    rows = rows if before is None else rows.filter(F.col("batch") < before)
-    rows = rows if buckets is None else rows.filter(F.col("bucket").isin(buckets))
-    return rows.groupBy("bucket", "post_id").agg(F.max_by(F.struct(*schema.names), "batch").alias("row")).select("row.*")
+def _stored(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    kinds = T.StructType([T.StructField("_row", T.LongType()), T.StructField("batch", T.LongType()), T.StructField("bucket", T.IntegerType())])
+    return spark.read.schema(T.StructType([*schema.fields, *kinds.fields])).parquet(path)
+
+
+def _last_rows(rows: DataFrame) -> DataFrame:
+    """The last row of every key, of all batches. Keys and row numbers are shuffled, no row: a bitmap for each task that
+    wrote tells which of its rows are last, and the rows are filtered where they are read."""
+    number = F.col("_row").bitwiseAND(F.lit((1 << 33) - 1))
+    writer = [F.col("batch"), F.shiftright("_row", 33).alias("_task"), F.bitmap_bucket_number(number).alias("_bitmap")]
+    last = rows.groupBy("bucket", "post_id").agg(F.max(F.struct("batch", "_row")).alias("_last")).select("_last.*")
+    last = last.select("_row", *writer).repartition("batch", "_task")
+    bits = durable(last.groupBy("batch", "_task", "_bitmap").agg(F.bitmap_construct_agg(F.bitmap_bit_position(number)).alias("_bits")))
+    bits = F.broadcast(bits) if bits.count() <= BITMAPS else bits.hint("shuffle_hash")
+    place = F.bitmap_bit_position(number)
+    byte = F.conv(F.hex(F.substring("_bits", (place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
+    found = rows.select("*", *writer[1:]).join(bits, ["batch", "_task", "_bitmap"])
+    return found.filter(F.getbit(byte, (place % 8).cast("int")) == 1)
 
 
 def read_table(spark: SparkSession, path: str, columns: list[str], schema: T.StructType | None = None) -> DataFrame:
     if schema is None:
-        schema = T.StructType([f for f in spark.read.parquet(path).schema.fields if f.name not in ("batch", "bucket")])
-    return _latest(spark, path, schema).select(*columns)
+        schema = T.StructType([f for f in spark.read.parquet(path).schema.fields if f.name not in COLUMNS])
+    return _last_rows(_stored(spark, path, schema)).select(*columns)
+
+
+def _touched(spark: SparkSession, path: str, schema: T.StructType, number: int, buckets: list[int], incoming: DataFrame) -> DataFrame:
+    """The last rows, of the batches before one, of the keys that come in. What the upsert takes from the incoming row
+    whatever the stored one has is not read, but null."""
+    names = [n for n in schema.names if n != "post_id" and n not in replaced_columns(incoming.columns)]
+    rows = _stored(spark, path, schema).filter((F.col("batch") < number) & F.col("bucket").isin(buckets))
+    rows = rows.select("bucket", "post_id", "batch", "_row", F.struct(F.lit(0).alias("_none"), *names).alias("_kept")).join(incoming.select("post_id"), "post_id", "left_semi")
+    last = rows.groupBy("bucket", "post_id").agg(F.max_by("_kept", F.struct("batch", "_row")).alias("_kept"))
+    return last.select(*[
+        F.col(f.name if f.name == "post_id" else f"_kept.{f.name}") if f.name == "post_id" or f.name in names else F.lit(None).cast(f.dataType).alias(f.name)
+        for f in schema.fields
+    ])
 
 
 def upsert_batch(batch: DataFrame, path: str, order: list, schema: T.StructType, number: int, buckets: int = BUCKETS) -> None:
@@ -68,8 +114,8 @@ def upsert_batch(batch: DataFrame, path: str, order: list, schema: T.StructType,
     incoming = clean_batch(batch, order).persist()
     touched = dict(bucketed(incoming.select("post_id"), buckets).groupBy("bucket").count().collect())
     if touched:
-        current = _latest(spark, path, schema, number, list(touched)).join(incoming.select("post_id"), "post_id", "left_semi")
-        _append(upsert_posts(current.select(*schema.names), incoming), path, number, buckets, sum(touched.values()))
+        current = _touched(spark, path, schema, number, list(touched), incoming)
+        _append(upsert_posts(current, incoming), path, number, buckets, sum(touched.values()))
     incoming.unpersist()
 
 
@@ -91,12 +137,13 @@ def stream_upsert(
     def apply(batch: DataFrame, number: int) -> None:
         upsert_batch(batch, path, [F.col(order_column)], schema, number, buckets)
 
-    return (
-        stream.writeStream.foreachBatch(apply)
-        .option("checkpointLocation", checkpoint)
-        .trigger(**(trigger or {"availableNow": True}))
-        .start()
-    )
+    with _set(stream.sparkSession, CLEANED):  # the stream keeps what it is started with
+        return (
+            stream.writeStream.foreachBatch(apply)
+            .option("checkpointLocation", checkpoint)
+            .trigger(**(trigger or {"availableNow": True}))
+            .start()
+        )
 
 
 def label_stream(stream: DataFrame, rules: dict[str, list[str]] | None = None) -> DataFrame:
@@ -114,18 +161,11 @@ def append_to(stream: DataFrame, path: str, checkpoint: str, trigger: dict | Non
 
     A stream keeps the ``settings`` it is started with; the session has its own again afterwards.
     """
-    conf = stream.sparkSession.conf
-    before = {k: conf.get(k, None) for k in settings or {}}
-    for k, v in (settings or {}).items():
-        conf.set(k, v)
-    try:
+    with _set(stream.sparkSession, settings or {}):
         return (
             stream.writeStream.format("parquet").outputMode("append").option("path", path)
             .option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
         )
-    finally:
-        for k, v in before.items():
-            conf.unset(k) if v is None else conf.set(k, v)
 
 
 def volume_stream(log: DataFrame, window: str = "1 minute", slide: str = "10 seconds", delay: str = "10 minutes") -> DataFrame:

@@ -515,6 +515,34 @@ def test_large_buckets_are_written_by_many_tasks(spark, tmp_path, monkeypatch):
     assert J.read_table(spark, str(tmp_path / "posts"), ["post_id"]).distinct().count() == 4000
 
 
+def test_upserts_shuffle_no_stored_rows(spark, tmp_path, monkeypatch):
+    """A table's last rows are found by keys and row numbers: a reader shuffles no row, an upsert no replaced column."""
+    monkeypatch.setattr(J, "FILE_ROWS", 1 << 20)  # one task writes more than a bitmap holds
+    path = str(tmp_path / "posts")
+    n = 70_000
+    stored = spark.range(n).select(F.col("id").cast("string").alias("post_id"), F.concat(F.lit("c"), "id").alias("content"), F.lit("u").alias("username"), F.lit(None).cast("string").alias("thread_id"))
+    stored = stored.unionByName(stored.limit(5)).unionByName(stored.limit(3).withColumn("post_id", F.lit(None).cast("string")))
+    J.create_table(stored, path, buckets=2)
+    for number in range(2):
+        some = spark.range(number, n + 10, 2 + number).select(F.col("id").cast("string").alias("post_id"), F.lit(f"new{number}").alias("content"), F.lit("v").alias("username"), F.lit(f"t{number}").alias("thread_id"), F.lit(0).alias("n"))
+        J.upsert_batch(some, path, [F.col("n")], stored.schema, number, 2)
+    current = J._touched(spark, path, stored.schema, 9, [0, 1], some)
+    assert current.schema.names == stored.columns and "content:string" not in current._jdf.queryExecution().executedPlan().toString()
+
+    def wanted(i: int) -> tuple:
+        new = [k for k in range(2) if i >= k and (i - k) % (2 + k) == 0]
+        return (str(i), f"new{new[-1]}" if new else f"c{i}", "u" if i < n else "v", f"t{new[-1]}" if new else None)
+
+    rows = [wanted(i) for i in range(n + 10) if i < n or wanted(i)[3]]
+    for most in (J.BITMAPS, 0):
+        monkeypatch.setattr(J, "BITMAPS", most)
+        table = J.read_table(spark, path, stored.columns, stored.schema)
+        got = [tuple(r) for r in table.collect()]
+        assert len([r for r in got if r[0] is None]) == 1
+        assert sorted(r for r in got if r[0] is not None) == sorted(rows)
+        assert ("Exchange hashpartitioning" in table._jdf.queryExecution().executedPlan().toString()) == (not most)
+
+
 def test_texts_are_lowered_once_a_row(spark):
     posts = spark.createDataFrame([("VACUNA y fraude",), (None,), ("",)], "content string")
     for made in (L.topic_tags(F.col("content"), "maldita"), L.found_in_order(F.col("content"), PHRASES.TRIGGER_KEYWORDS)):
