@@ -390,6 +390,29 @@ def test_event_indicators_list_every_claim(spark, monkeypatch):
     assert got == sorted([(i, p, p == 1, False) for i in range(7) for p in (1, 2)] + [(i, 4, False, True) for i in (7, 8)])
 
 
+def test_event_indicators_shuffle_blocks_only(spark, monkeypatch):
+    """Blocks of claims meet blocks of pages, in passes over the probes; repeats and nulls are rows as they were."""
+    for name, value in (("ASKED_TOGETHER", 3), ("PAGES_TOGETHER", 2), ("PROBES_PASS", 2), ("PAGES_HELD", 5), ("PAIRS_BATCH", 4)):
+        monkeypatch.setattr(E, name, value)
+    kinds = [("Ana Ruiz", "arrest"), ("eva", "ARREST"), ("eva", ""), (" ", "arrest"), ("Eva", None), (None, "arrest"), ("ana", "trial")]
+    asked = [(i if i % 9 else None, *kinds[i % len(kinds)]) for i in range(40)]
+    texts = ["ana ruiz: arrest", "EVA ana", "Eva arrest, confirmado", "nothing", "ana RUIZ trial falso arrest", None]
+    pages = [(f"p{i % 20}" if i != 7 else None, texts[i % len(texts)]) for i in range(30)]
+    wanted = []
+    for claim, person, event in asked:
+        for page, html in pages:
+            if page and html and person and person.strip() and event is not None and person.lower() in html.lower() and event.lower() in html.lower():
+                wanted.append((claim, page, "falso" in html, "confirmado" in html))
+    found = E.event_indicators(
+        spark.createDataFrame(asked, "claim_id long, person_name string, event_type string"), spark.createDataFrame(pages, "page_id string, html string")
+    )
+    assert sorted(map(str, (tuple(r) for r in found.collect()))) == sorted(map(str, wanted)) and len(wanted) > 100
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "doc_id" not in plan and plan.count("MapInArrow") > 1
+    nobody = spark.createDataFrame([], "claim_id long, person_name string, event_type string")
+    assert not E.event_indicators(nobody, spark.createDataFrame(pages, "page_id string, html string")).count()
+
+
 def test_spans_behind_marks_and_dotted_letters(spark):
     """A combining mark is no word character to the rules, and a capital I with a dot is an i to them."""
     texts = ["caféporque llueve mucho y hace frío. ", "expertos İndican esto", "x́según el informe largo, hoy"]
